@@ -34,9 +34,8 @@ def severity(score: Column | str, theta: Column | float) -> Column:
 
 
 def fold_text(x: Column) -> Column:
-    """trim + casefold + strip accents (NFKD marks removed)."""
-    decomposed = F.regexp_replace(F.normalize(F.trim(x), "NFKD"), r"\p{M}", "")
-    return F.lower(decomposed)
+    """trim + casefold, compared accent-insensitively (ICU collation UNICODE_CI_AI)."""
+    return F.collate(F.lower(F.trim(x)), "UNICODE_CI_AI")
 
 
 def normalise_truth(value: Column | str) -> Column:

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "flowlens.plans.q_eval",
+    "flowlens.plans.q_store",
 ]
 
 

@@ -99,3 +99,143 @@ def build_store_from_rows(
     paths["runs"] = _write(runs, f"{root}/runs")
     paths["uploads"] = _write(event_uploads.unionByName(nation_uploads), f"{root}/uploads")
     return paths
+
+
+# ---------------------------------------------------------------------------
+# Register an uploaded CSV file
+# ---------------------------------------------------------------------------
+
+MAX_UPLOAD_BYTES = 100 * 1024 * 1024  # fixed value: upload size cap
+
+
+def register_upload(spark: SparkSession, path: str, upload_id: int, root: str) -> int:
+    """Store one CSV file as an upload: rows first, metadata last.
+
+    Rejects non-.csv names, files over 100 MB and header-only files.  The
+    sha256 of the raw bytes is computed by the ``binaryFile`` source on an
+    executor; the rows are JSON payloads with a dense row index in file order.
+    """
+    from flowlens.functions.cleaning import json_safe_payload
+    from flowlens.sources.flow_files import read_csv_with_order
+
+    if not path.lower().endswith(".csv"):
+        raise StoreError("only .csv files are accepted")
+    meta = (
+        spark.read.format("binaryFile").load(path)
+        .select(F.sha2("content", 256).alias("file_sha256"), "length", "path")
+        .first()
+    )
+    if meta is None:
+        raise StoreError("file not found")
+    if meta["length"] > MAX_UPLOAD_BYTES:
+        raise StoreError("file larger than 100 MB")
+    df, columns = read_csv_with_order(spark, [path])
+    indexed = ordered_scan(df, order_cols=["_file", "_pos"], index_col="row_index")
+    rows = indexed.select(
+        F.lit(upload_id).cast("long").alias("upload_id"), "row_index", json_safe_payload(columns).alias("payload")
+    )
+    rows.write.mode("append").parquet(f"{root}/rows")
+    n = spark.read.parquet(f"{root}/rows").filter(F.col("upload_id") == upload_id).count()
+    if n == 0:
+        raise StoreError("empty CSV (header only)")
+    upload = spark.createDataFrame(
+        [(upload_id, path.rsplit("/", 1)[-1], n, len(columns), meta["file_sha256"])],
+        "upload_id long, filename string, row_count long, col_count int, file_sha256 string",
+    ).withColumn("created_at", F.localtimestamp().cast("timestamp_ntz"))
+    upload.write.mode("append").parquet(f"{root}/uploads")
+    return n
+
+
+# ---------------------------------------------------------------------------
+# A9 / A12 / A14 / A15
+# ---------------------------------------------------------------------------
+
+def load_upload(rows: DataFrame, uploads: DataFrame, schema: str) -> DataFrame:
+    """Rows as a typed frame (``from_json`` with ``schema``); raises when an
+    upload's stored row count differs from its metadata."""
+    counts = rows.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n"))
+    bad = (
+        uploads.join(counts, "upload_id", "left")
+        .filter(F.coalesce(F.col("n"), F.lit(0)) != F.col("row_count"))
+        .count()
+    )
+    if bad:
+        raise StoreError(f"{bad} upload(s) have a row count that differs from their metadata")
+    parsed = F.from_json("payload", schema)
+    names = [f.split()[0] for f in schema.split(",")]
+    return rows.select("upload_id", "row_index", *[parsed[n].alias(n) for n in names])
+
+
+def delete_upload(store: dict[str, DataFrame], victims: DataFrame) -> dict[str, DataFrame]:
+    """Remove uploads and, by cascade, their rows, runs and predictions (left-anti joins).
+
+    Raises when none of the victims exists.  Write the result back with
+    ``commit_tables`` (dynamic partition overwrite on a partitioned store).
+    """
+    found = store["uploads"].join(victims, "upload_id", "left_semi").count()
+    if found == 0:
+        raise StoreError("upload not found")
+    v = F.broadcast(victims.select("upload_id").distinct())
+    return {name: df.join(v, "upload_id", "left_anti") for name, df in store.items()}
+
+
+def table_counts(store: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.select(F.lit(name).alias("table_name")).groupBy("table_name").count() for name, df in store.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("table_name", F.col("count").cast("long").alias("n"))
+
+
+def validate_runs(predictions: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per run: declared total vs results, and results whose row index matches no stored row."""
+    matched = predictions.join(
+        rows.select("upload_id", "row_index", F.lit(1).alias("_hit")), ["upload_id", "row_index"], "left"
+    )
+    c = matched.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_results"),
+        F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).alias("n_unknown"),
+    )
+    return runs.join(c, "run_id", "left").select(
+        "run_id",
+        "total_flows",
+        F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"),
+        ((F.col("total_flows") == F.coalesce("n_results", F.lit(0))) & (F.coalesce("n_unknown", F.lit(0)) == 0)).alias("valid"),
+    )
+
+
+def save_run(predictions_new: DataFrame, run_new: DataFrame, rows: DataFrame, root: str) -> None:
+    """Append one run: validate first, then predictions, then the run row (metadata last)."""
+    check = validate_runs(predictions_new, run_new, rows).filter(~F.col("valid")).count()
+    if check:
+        raise StoreError("run does not match its upload's rows; nothing written")
+    predictions_new.write.mode("append").parquet(f"{root}/predictions")
+    run_new.write.mode("append").parquet(f"{root}/runs")
+
+
+def constraint_violations(store: dict[str, DataFrame]) -> DataFrame:
+    """Violation counts: prediction domain, uniqueness and foreign keys."""
+    u, r, runs, p = store["uploads"], store["rows"], store["runs"], store["predictions"]
+
+    def n(name, df):
+        return df.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+    checks = [
+        n("prediction_domain", p.filter(~F.col("prediction").isin(0, 1))),
+        n("rows_unique", r.groupBy("upload_id", "row_index").count().filter("count > 1")),
+        n("predictions_unique", p.groupBy("run_id", "row_index").count().filter("count > 1")),
+        n("rows_fk_upload", r.join(u, "upload_id", "left_anti")),
+        n("runs_fk_upload", runs.join(u, "upload_id", "left_anti")),
+        n("predictions_fk_run", p.join(runs, "run_id", "left_anti")),
+        n("predictions_fk_row", p.join(r, ["upload_id", "row_index"], "left_anti")),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def commit_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Write a new version of every table under ``root`` (readers switch after all are written)."""
+    return {name: _write(df, f"{root}/{name}") for name, df in tables.items()}

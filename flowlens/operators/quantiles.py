@@ -43,6 +43,27 @@ def exact_percentiles(
     ranks = [(n - 1) * float(p) for p in fractions]
     k_lo = [math.floor(r) for r in ranks]
     k_hi = [math.ceil(r) for r in ranks]
+    stats = _order_statistics(values, n, sorted(set(k_lo) | set(k_hi)), max_inside, accuracy)
+    return [stats[a] + (stats[b] - stats[a]) * (r - a) for a, b, r in zip(k_lo, k_hi, ranks)]
+
+
+def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int = MAX_INSIDE,
+                     accuracy: int = ACCURACY) -> dict[int, float]:
+    """Exact k-th smallest values (0-based ranks ``ks``) of the non-null values of ``col``."""
+    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = values.count()
+    ks = [k for k in ks if 0 <= k < n]
+    if not ks:
+        return {}
+    return _order_statistics(values, n, sorted(set(ks)), max_inside, accuracy)
+
+
+def _order_statistics(values: DataFrame, n: int, ks: Sequence[int], max_inside: int,
+                      accuracy: int) -> dict[int, float]:
+    m = len(ks)
+    ranks = [float(k) for k in ks]
+    k_lo = list(ks)
+    k_hi = list(ks)
     lo = [None] * m  # None = unbounded
     hi = [None] * m
     below = [0] * m
@@ -125,12 +146,7 @@ def exact_percentiles(
         .collect()
     )
     got: dict[tuple[int, int], float] = {(r["q"], r["rk"]): r["v"] for r in picked}
-    out: list[float | None] = []
-    for i in range(m):
-        a = got[(bid[i], k_lo[i] - below[i])]
-        b = got[(bid[i], k_hi[i] - below[i])]
-        out.append(a + (b - a) * (ranks[i] - k_lo[i]))
-    return out
+    return {ks[i]: got[(bid[i], k_lo[i] - below[i])] for i in range(m)}
 
 
 def _bracket_expr(i_col, lo, hi):

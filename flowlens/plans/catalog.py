@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "flowlens.plans.q_eval",
     "flowlens.plans.q_store",
+    "flowlens.plans.q_profile",
 ]
 
 

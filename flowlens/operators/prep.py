@@ -140,7 +140,7 @@ def scale(df: DataFrame, scaler: DataFrame, cols: Sequence[str], keep: Sequence[
 def assert_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: count of NULL / NaN / Inf cells (all zero on a clean matrix)."""
     agg = df.agg(*[F.sum(finite_or_null(q(c)).isNull().cast("long")).alias(c) for c in cols])
-    s = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n_bad")) for c in cols]
+    s = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("n_bad")) for c in cols]
     return agg.select(F.explode(F.array(*s)).alias("s")).select("s.*")
 
 

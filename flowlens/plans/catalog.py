@@ -8,6 +8,7 @@ MODULES = [
     "flowlens.plans.q_eval",
     "flowlens.plans.q_store",
     "flowlens.plans.q_profile",
+    "flowlens.plans.q_prep",
 ]
 
 

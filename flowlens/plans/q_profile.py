@@ -219,11 +219,13 @@ def q_class_balance(spark, sf):
 
 
 SPLIT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-SPLIT_SQL = FLOWS + """, hashed AS (
+def split_sql(view: str) -> str:
+    """CTEs ``hashed`` and ``split_flows`` over ``view`` (same rule as prep.train_val_split)."""
+    return f"""hashed AS (
   SELECT *, CAST(('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
                                              CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '42')), 1, 15)) AS BIGINT) AS h,
          CASE WHEN label = 'BENIGN' THEN 0 ELSE 1 END AS binary_label
-  FROM flows),
+  FROM {view}),
 split_flows AS (
   SELECT *, CASE WHEN source_file <> 'src_1995' THEN 'test'
                  WHEN h <= (SELECT max(h) FROM (SELECT h FROM hashed WHERE source_file = 'src_1995' ORDER BY h
@@ -231,6 +233,9 @@ split_flows AS (
                  THEN 'val' ELSE 'train' END AS split
   FROM hashed)"""
 
+
+SPLIT_SQL = FLOWS + ", " + split_sql("flows")
+
 SQL_CLASS_BALANCE = with_views("""
 SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN binary_label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_normal,
        CAST(sum(CASE WHEN binary_label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_attack,

@@ -9,6 +9,7 @@ MODULES = [
     "flowlens.plans.q_store",
     "flowlens.plans.q_profile",
     "flowlens.plans.q_prep",
+    "flowlens.plans.q_score",
 ]
 
 

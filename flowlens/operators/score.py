@@ -64,6 +64,14 @@ def forward(model: dict, x: np.ndarray) -> dict:
     return {"xhat": xhat, "err": err, "mu": mu, "logvar": logvar, "kl": kl, "acts": acts}
 
 
+def forward_decoder(model: dict, z: np.ndarray) -> np.ndarray:
+    """Decoder only: latent codes -> reconstructions."""
+    g = z
+    for w, b in model["dec"]:
+        g = np.maximum(g @ w.T + b, 0.0)
+    return g @ model["out"][0].T + model["out"][1]
+
+
 def model_table(spark, model: dict) -> DataFrame:
     """Parameter table (part, idx, kind, rows, cols, values) -- the stored form of a model."""
     recs = []

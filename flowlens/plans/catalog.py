@@ -10,6 +10,7 @@ MODULES = [
     "flowlens.plans.q_profile",
     "flowlens.plans.q_prep",
     "flowlens.plans.q_score",
+    "flowlens.plans.q_fit",
 ]
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,3 +249,74 @@ def error_by_cell(df: DataFrame, score: str = "score", truth: str = "truth", pre
         F.round(F.min(score), 6).alias("min_score"),
         F.round(F.max(score), 6).alias("max_score"),
     )
+
+
+# -- F15 / F16 / F17 ----------------------------------------------------------------
+
+def density_histogram(df: DataFrame, score: str, cap_p: float = 0.995, bins: int = 80) -> DataFrame:
+    """Scores <= their p99.5 in ``bins`` equal-width bins over [min, max]; density = count / (n * width)."""
+    cap = exact_percentiles(df, score, [cap_p])[0]
+    kept = df.filter(F.col(score) <= F.lit(cap))
+    st = kept.agg(F.min(score).alias("mn"), F.max(score).alias("mx"), F.count(F.lit(1)).alias("n"))
+    w = (F.col("mx") - F.col("mn")) / bins
+    b = F.when(w > 0, F.least(F.lit(bins), F.floor((F.col(score) - F.col("mn")) / w).cast("int") + 1)).otherwise(1)
+    c = kept.crossJoin(F.broadcast(st)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    return c.crossJoin(F.broadcast(st)).select(
+        "bin",
+        F.round(F.col("mn") + (F.col("bin") - 1) * w, 6).alias("lo"),
+        F.round(F.when(w > 0, F.col("k") / (F.col("n") * w)), 6).alias("density"),
+    )
+
+
+def kde_grid(df: DataFrame, score: str, cap_p: float = 0.995, points: int = 500, factor: float = 0.3,
+             prebins: int = 2048) -> DataFrame:
+    """Gaussian KDE (bandwidth = factor x sample std) of scores <= p99.5 on ``points`` grid points in [0, cap].
+
+    Scores are first pre-binned to ``prebins`` equal-width bins (one shuffle of at
+    most ``prebins`` rows); the kernel sum runs over bin centres weighted by
+    counts, so the work no longer grows with the rows.
+    """
+    cap = exact_percentiles(df, score, [cap_p])[0]
+    kept = df.filter(F.col(score) <= F.lit(cap))
+    st = kept.agg(F.min(score).alias("mn"), F.max(score).alias("mx"), F.count(F.lit(1)).alias("n"),
+                  F.stddev_samp(score).alias("sd"))
+    width = (F.col("mx") - F.col("mn")) / prebins
+    pb = F.when(width > 0, F.least(F.lit(prebins - 1), F.floor((F.col(score) - F.col("mn")) / width).cast("int"))).otherwise(0)
+    centres = kept.crossJoin(F.broadcast(st)).groupBy(pb.alias("pb")).agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(st)).select(
+        (F.col("mn") + (F.col("pb") + 0.5) * width).alias("c"), "k", "n", (F.col("sd") * factor).alias("h")
+    )
+    spark = df.sparkSession
+    grid = spark.range(points).select(F.col("id").cast("int").alias("g"), (F.col("id") * F.lit(cap / (points - 1))).alias("x"))
+    kern = F.exp(-0.5 * ((F.col("x") - F.col("c")) / F.col("h")) ** 2) / (F.col("h") * F.lit(float(np.sqrt(2 * np.pi))))
+    return grid.crossJoin(F.broadcast(centres)).groupBy("g", "x").agg(
+        F.sum(F.col("k") * kern).alias("s"), F.first("n").alias("n")
+    ).select("g", F.round("x", 6).alias("x"), F.round(F.col("s") / F.col("n"), 6).alias("density"))
+
+
+def best_by_metric(sweep: DataFrame, key: str = "percentile") -> DataFrame:
+    """Per metric the sweep row that is best (max; min for fpr / fnr), ties -> smallest key."""
+    rows = []
+    for m, lower in [("f1_score", False), ("f2_score", False), ("recall", False), ("precision", False),
+                     ("accuracy", False), ("fpr", True)]:
+        order = F.struct((F.col(m) if lower else -F.col(m)).alias("v"), F.col(key).alias("k"))
+        rows.append(sweep.filter(F.col(m).isNotNull()).agg(
+            F.lit(m).alias("metric"), F.min_by(key, order).alias(key), F.min_by(m, order).alias("value")
+        ))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def composite_rank(results: DataFrame, config: str, experiment: str = "experiment") -> DataFrame:
+    """Rank configs per experiment on f1 / recall / roc_auc (high is good) and fpr (low is good); ties share
+    the lowest rank; composite = mean rank (lower is better)."""
+    from pyspark.sql import Window
+
+    ranks = []
+    for m, desc in [("f1_score", True), ("recall", True), ("roc_auc", True), ("fpr", False)]:
+        w = Window.partitionBy(experiment).orderBy(F.col(m).desc() if desc else F.col(m).asc())
+        ranks.append(F.rank().over(w).alias(f"rank_{m}"))
+    r = results.select(experiment, config, *ranks)
+    return r.select(experiment, config, "rank_f1_score", "rank_recall", "rank_roc_auc", "rank_fpr",
+                    ((F.col("rank_f1_score") + F.col("rank_recall") + F.col("rank_roc_auc") + F.col("rank_fpr")) / 4.0).alias("composite"))

@@ -313,3 +313,92 @@ QUERIES = {
     "f14_error_by_cell": (q_error_by_cell, SQL_ERROR_BY_CELL),
     "d12_threshold_candidates": (q_threshold_candidates, SQL_THRESHOLD_CANDIDATES),
 }
+
+
+# -- F15 - F17 -------------------------------------------------------------------------
+
+def q_density_histogram(spark, sf):
+    val, _ = _split(spark, sf)
+    return E.density_histogram(val, "score", 0.995, 80)
+
+
+_CAP = """cap AS (SELECT quantile_cont(score, 0.995) AS cap FROM scores WHERE split = 'val'),
+kept AS (SELECT score FROM scores, cap WHERE split = 'val' AND score <= cap)"""
+
+SQL_DENSITY_HISTOGRAM = with_views("""
+SELECT CAST(b AS INTEGER) AS bin, round(mn + (b - 1) * ((mx - mn) / 80), 6) AS lo,
+       round(CASE WHEN (mx - mn) / 80 > 0 THEN k / (n * ((mx - mn) / 80)) END, 6) AS density
+FROM (SELECT CASE WHEN (mx - mn) / 80 > 0 THEN least(80, CAST(floor((score - mn) / ((mx - mn) / 80)) AS INTEGER) + 1) ELSE 1 END AS b,
+             count(*) AS k
+      FROM kept, (SELECT min(score) AS mn, max(score) AS mx FROM kept) s0 GROUP BY 1) c,
+     (SELECT min(score) AS mn, max(score) AS mx, count(*) AS n FROM kept) st""", SCORES, _CAP)
+
+
+def q_kde(spark, sf):
+    val, _ = _split(spark, sf)
+    return E.kde_grid(val, "score", 0.995, 500, 0.3, 2048)
+
+
+SQL_KDE = with_views("""
+SELECT CAST(g AS INTEGER) AS g, round(x, 6) AS x, round(sum(k * exp(-0.5 * ((x - c) / h) * ((x - c) / h)) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density
+FROM (SELECT range AS g, range * (cap / 499) AS x FROM range(500), cap) grid,
+     (SELECT mn + (pb + 0.5) * ((mx - mn) / 2048) AS c, k, n, sd * 0.3 AS h
+      FROM (SELECT CASE WHEN (mx - mn) / 2048 > 0 THEN least(2047, CAST(floor((score - mn) / ((mx - mn) / 2048)) AS INTEGER)) ELSE 0 END AS pb,
+                   count(*) AS k
+            FROM kept, (SELECT min(score) AS mn, max(score) AS mx FROM kept) s0 GROUP BY 1) b,
+           (SELECT min(score) AS mn, max(score) AS mx, count(*) AS n, stddev_samp(score) AS sd FROM kept) st) centres
+GROUP BY g, x""", SCORES, _CAP)
+
+
+def q_best_by_metric(spark, sf):
+    val, test = _split(spark, sf)
+    return E.best_by_metric(E.threshold_sweep(val, test))
+
+
+SQL_BEST_BY_METRIC = with_views(" UNION ALL ".join(
+    f"SELECT '{m}' AS metric, arg_min(percentile, ({'' if lower else '-'}{m}, percentile)) AS percentile, "
+    f"arg_min({m}, ({'' if lower else '-'}{m}, percentile)) AS value FROM sweep WHERE {m} IS NOT NULL"
+    for m, lower in [("f1_score", False), ("f2_score", False), ("recall", False), ("precision", False), ("accuracy", False), ("fpr", True)]
+), SCORES, _CURVE, _SWEEP)
+
+
+def q_tradeoff(spark, sf):
+    """F16: recall and FPR change from P99 to P90, in percentage points."""
+    val, test = _split(spark, sf)
+    sw = E.threshold_sweep(val, test)
+    a = sw.filter(F.col("percentile") == 90.0).select(F.col("recall").alias("r90"), F.col("fpr").alias("f90"))
+    b = sw.filter(F.col("percentile") == 99.0).select(F.col("recall").alias("r99"), F.col("fpr").alias("f99"))
+    return a.crossJoin(b).select(
+        F.round((F.col("r90") - F.col("r99")) * 100, 4).alias("recall_gain_pts"),
+        F.round((F.col("f90") - F.col("f99")) * 100, 4).alias("fpr_cost_pts"),
+    )
+
+
+SQL_TRADEOFF = with_views("""
+SELECT round((a.recall - b.recall) * 100, 4) AS recall_gain_pts, round((a.fpr - b.fpr) * 100, 4) AS fpr_cost_pts
+FROM (SELECT * FROM sweep WHERE percentile = 90.0) a, (SELECT * FROM sweep WHERE percentile = 99.0) b""", SCORES, _CURVE, _SWEEP)
+
+
+def q_composite_rank(spark, sf):
+    val, test = _split(spark, sf)
+    sw = E.threshold_sweep(val, test).withColumn("experiment", F.lit("percentile_sweep"))
+    return E.composite_rank(sw, "percentile")
+
+
+SQL_COMPOSITE_RANK = with_views("""
+SELECT experiment, percentile, rank_f1_score, rank_recall, rank_roc_auc, rank_fpr,
+       (rank_f1_score + rank_recall + rank_roc_auc + rank_fpr) / 4.0 AS composite
+FROM (SELECT 'percentile_sweep' AS experiment, percentile,
+             CAST(rank() OVER (ORDER BY f1_score DESC) AS INTEGER) AS rank_f1_score,
+             CAST(rank() OVER (ORDER BY recall DESC) AS INTEGER) AS rank_recall,
+             CAST(rank() OVER (ORDER BY roc_auc DESC) AS INTEGER) AS rank_roc_auc,
+             CAST(rank() OVER (ORDER BY fpr ASC) AS INTEGER) AS rank_fpr FROM sweep) r""", SCORES, _CURVE, _SWEEP)
+
+
+QUERIES.update({
+    "f15_density_histogram": (q_density_histogram, SQL_DENSITY_HISTOGRAM),
+    "f15_kde": (q_kde, SQL_KDE),
+    "f16_best_by_metric": (q_best_by_metric, SQL_BEST_BY_METRIC),
+    "f16_tradeoff": (q_tradeoff, SQL_TRADEOFF),
+    "f17_composite_rank": (q_composite_rank, SQL_COMPOSITE_RANK),
+})

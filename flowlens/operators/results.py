@@ -172,8 +172,8 @@ def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, pre
     truth = resolve_truth(rows)
     j = p.join(truth, ["upload_id", "row_index"], "left")
     return j.select(
-        "run_id",
         (F.col("row_index") + 1).alias("flow_no"),
+        "run_id",
         "row_index",
         "reconstruction_error",
         "threshold",

@@ -156,3 +156,42 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         paths = build_store_from_rows(spark, store_rows_source(spark, sf_dir), nation, STORE_THETA, root)
         _STORE_CACHE[key] = paths
     return {name: spark.read.parquet(p) for name, p in paths.items()}
+
+
+# ---------------------------------------------------------------------------
+# CSV flow files derived from lineitem (one folder per source, header quirks)
+# ---------------------------------------------------------------------------
+
+# fixed values: written header names (leading / trailing spaces on purpose)
+CSV_HEADER = [" Quantity", "Price ", " Discount ", "Tax", "Line", "Label"]
+CSV_EXTRA_SOURCE = "src_2000"   # gets an extra column
+CSV_SHORT_SOURCE = "src_2001"   # lacks the Line column
+
+_CSV_CACHE: dict[tuple[str, str], str] = {}
+
+
+def flow_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write the flows as CSV once per session: ``<root>/source=<src>/part-*.csv``.
+
+    Rows are range-partitioned and sorted by (source, order key) before the
+    write, so sorted part-file names within a source folder follow the order
+    key: file order is reproducible from the table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _CSV_CACHE.get(key)
+    if root:
+        return root
+    root = scratch_dir(spark, "flow_csv", unique=True)
+    f = flows(spark, sf_dir)
+    cols = [F.col(c).alias(h) for c, h in zip(["quantity", "price", "discount", "tax", "line", "label"], CSV_HEADER)]
+    base = f.select(F.col("source_file").alias("source"), *ORDER_KEY, *cols)
+    groups = [
+        (base.filter(~F.col("source").isin(CSV_EXTRA_SOURCE, CSV_SHORT_SOURCE)), []),
+        (base.filter(F.col("source") == CSV_EXTRA_SOURCE), [(F.col("l_linenumber") * 10).alias("Extra")]),
+        (base.filter(F.col("source") == CSV_SHORT_SOURCE).drop("Line"), []),
+    ]
+    for g, extra in groups:
+        out = g.select("*", *extra).repartitionByRange(4, "source", *ORDER_KEY).sortWithinPartitions("source", *ORDER_KEY)
+        out.drop(*ORDER_KEY).write.mode("append").option("header", True).partitionBy("source").csv(root)
+    _CSV_CACHE[key] = root
+    return root

@@ -11,6 +11,7 @@ MODULES = [
     "flowlens.plans.q_prep",
     "flowlens.plans.q_score",
     "flowlens.plans.q_fit",
+    "flowlens.plans.q_ingest",
 ]
 
 

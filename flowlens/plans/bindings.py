@@ -195,3 +195,20 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
         out.drop(*ORDER_KEY).write.mode("append").option("header", True).partitionBy("source").csv(root)
     _CSV_CACHE[key] = root
     return root
+
+
+_ARRIVALS_CACHE: dict[tuple[str, str], str] = {}
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """events landed as CSV files, one folder per day (``day=YYYY-MM-DD``), written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _ARRIVALS_CACHE.get(key)
+    if root:
+        return root
+    root = scratch_dir(spark, "arrivals", unique=True)
+    ev = table(spark, sf_dir, "events")
+    (ev.select(F.to_date("ts").cast("string").alias("day"), "event_id", "ts", "user_id", "event_type", "value")
+     .repartition("day").write.option("header", True).partitionBy("day").csv(root))
+    _ARRIVALS_CACHE[key] = root
+    return root

@@ -12,6 +12,7 @@ MODULES = [
     "flowlens.plans.q_score",
     "flowlens.plans.q_fit",
     "flowlens.plans.q_ingest",
+    "flowlens.plans.q_stream",
 ]
 
 

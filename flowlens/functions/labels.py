@@ -71,7 +71,7 @@ def compare_cell(pred: Column | str, truth: Column | str) -> Column:
 def truth_key(payload_json: Column | str) -> Column:
     """First payload key (stored order) whose trimmed casefold is a truth key; NULL if none."""
     keys = F.json_object_keys(_c(payload_json))
-    return F.element_at(F.filter(keys, lambda k: F.lower(F.trim(k)).isin(*TRUTH_KEYS)), 1)
+    return F.try_element_at(F.filter(keys, lambda k: F.lower(F.trim(k)).isin(*TRUTH_KEYS)), F.lit(1))
 
 
 def truth_value(payload_json: Column | str) -> Column:

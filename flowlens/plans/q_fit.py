@@ -75,11 +75,11 @@ def q_epoch_history(spark, sf):
         (F.col("value") / 100.0).alias("loss"), F.least(F.lit(1.0), F.dayofmonth("ts") / 10.0).alias("beta"),
     )
     h = FT.epoch_history(batches)
-    return h.select("run_id", "epoch", F.round("train_loss", 6).alias("train_loss"), "n_batches", F.round("beta", 6).alias("beta"))
+    return h.select("run_id", "epoch", F.round("train_loss", 9).alias("train_loss"), "n_batches", F.round("beta", 6).alias("beta"))
 
 
 SQL_EPOCH_HISTORY = """
-SELECT run_id, epoch, round(avg(bm), 6) AS train_loss, CAST(count(*) AS BIGINT) AS n_batches, round(max(beta), 6) AS beta
+SELECT run_id, epoch, round(avg(bm), 9) AS train_loss, CAST(count(*) AS BIGINT) AS n_batches, round(max(beta), 6) AS beta
 FROM (SELECT event_type AS run_id, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch,
              avg(value / 100.0) AS bm, any_value(least(1.0, dayofmonth(ts) / 10.0)) AS beta
       FROM events GROUP BY ALL) b

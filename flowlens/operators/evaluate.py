@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.metrics import confusion_sums, metric_columns, r6, ratio_or_null
 from flowlens.operators.ordering import ordered_scan
-from flowlens.operators.quantiles import exact_percentiles
+from flowlens.operators.quantiles import exact_percentiles, grouped_percentiles
 
 # fixed values: sweep percentiles of the validation scores
 SWEEP_PERCENTILES = [90.0, 92.0, 93.0, 94.0, 95.0, 96.0, 97.0, 97.5, 98.0, 99.0]
@@ -191,13 +191,16 @@ def false_negatives(df: DataFrame, key: str, score: str = "score", truth: str =
 def per_label_metrics(df: DataFrame, label: str = "label", score: str = "score",
                       truth: str = "truth", pred: str = "prediction") -> DataFrame:
     """Per label: support, tp/fn/fp/tn, recall / fpr (NULL on empty denominators), mean and median score."""
-    g = df.groupBy(label).agg(
+    null_key = "\u0000"
+    keyed = df.withColumn("_lk", F.coalesce(F.col(label).cast("string"), F.lit(null_key)))
+    med = grouped_percentiles(keyed, score, "_lk", [0.5])
+    med_df = df.sparkSession.createDataFrame([(k, v) for (k, _), v in med.items()], "_lk string, median_score double")
+    g = keyed.groupBy(label, "_lk").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(truth).cast("long")).alias("n_attack"),
         *confusion_sums(truth, pred),
         F.avg(score).alias("mean_score"),
-        F.percentile(score, 0.5).alias("median_score"),
-    )
+    ).join(F.broadcast(med_df), "_lk", "left")
     return g.select(
         label,
         "n",

@@ -3,10 +3,11 @@
 E1 is data-parallel local SGD: the training rows stay in their partitions
 (checkpointed once); every epoch is one ``mapInArrow`` job in which each task
 runs minibatch Adam on its own rows starting from the broadcast parameters
-and returns one row (row count, parameter vector, loss sums).  The driver
-averages the parameter vectors weighted by rows -- its input is one row per
-partition, never the data.  Validation is a second ``mapInArrow`` job that
-returns per-partition sums.
+and emits its parameter vector as rows (position, value x rows).  A
+``groupBy(position)`` aggregation averages the vectors weighted by rows, so the
+driver receives one row per parameter -- the size of the model, independent
+of the data and of the number of partitions.  Validation is a second
+``mapInArrow`` job that returns per-partition sums.
 
 E2 (early-stopping replay), F18 (best epoch and neighbours) and F20 (history
 audit) are window programs over an epoch-history table partitioned by run.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.quantiles import exact_percentiles
 from flowlens.operators.score import forward
 
 # ---------------------------------------------------------------------------
@@ -162,8 +164,10 @@ def beta_for_epoch(epoch: int, start: float = 0.0, end: float = 1.0, warmup: int
 # Distributed local SGD
 # ---------------------------------------------------------------------------
 
-TRAIN_SCHEMA = ("n long, n_batches long, sum_loss double, sum_recon double, sum_kl double, "
-                "params array<double>, m array<double>, v array<double>")
+# one row per parameter (pos >= 0, values pre-multiplied by the partition's row count)
+# plus one statistics row (pos = -1) per partition
+TRAIN_SCHEMA = ("pos int, wp double, wm double, wv double, n long, n_batches long, "
+                "sum_loss double, sum_recon double, sum_kl double")
 EVAL_SCHEMA = "n long, n_batches long, sum_loss double, sum_recon double, sum_kl double"
 
 
@@ -209,13 +213,22 @@ def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0
             vh = v / (1 - b2**t)
             p = p - lr * mh / (np.sqrt(vh) + 1e-8)
             sl, sr, sk, nb = sl + loss, sr + recon, sk + kl, nb + 1
-        yield pa.RecordBatch.from_pylist([{
-            "n": int(len(x_all)), "n_batches": nb, "sum_loss": sl, "sum_recon": sr, "sum_kl": sk,
-            "params": p.tolist(), "m": m.tolist(), "v": v.tolist(),
-        }], schema=pa.schema([("n", pa.int64()), ("n_batches", pa.int64()), ("sum_loss", pa.float64()),
-                              ("sum_recon", pa.float64()), ("sum_kl", pa.float64()),
-                              ("params", pa.list_(pa.float64())), ("m", pa.list_(pa.float64())),
-                              ("v", pa.list_(pa.float64()))]))
+        n = float(len(x_all))
+        k = len(p)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(-1, k, dtype=np.int32)),
+                pa.array(np.concatenate([[np.nan], p * n])),
+                pa.array(np.concatenate([[np.nan], m * n])),
+                pa.array(np.concatenate([[np.nan], v * n])),
+                pa.array(np.full(k + 1, len(x_all), dtype=np.int64)),
+                pa.array(np.concatenate([[nb], np.zeros(k)]).astype(np.int64)),
+                pa.array(np.concatenate([[sl], np.zeros(k)])),
+                pa.array(np.concatenate([[sr], np.zeros(k)])),
+                pa.array(np.concatenate([[sk], np.zeros(k)])),
+            ],
+            names=["pos", "wp", "wm", "wv", "n", "n_batches", "sum_loss", "sum_recon", "sum_kl"],
+        )
 
     return run
 
@@ -271,13 +284,20 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
     for epoch in range(1, cfg["epochs"] + 1):
         t0 = time.time()
         beta = beta_for_epoch(epoch, cfg["beta_start"], cfg["beta_end"], cfg["warmup"], cfg["schedule"])
-        parts = tr.mapInArrow(_train_fn(model, vec, m, v, step, beta, cfg, seed * 1000 + epoch, "_x"), TRAIN_SCHEMA).collect()
-        total = sum(r["n"] for r in parts)
-        vec = sum(np.asarray(r["params"]) * r["n"] for r in parts) / total
-        m = sum(np.asarray(r["m"]) * r["n"] for r in parts) / total
-        v = sum(np.asarray(r["v"]) * r["n"] for r in parts) / total
-        nb = sum(r["n_batches"] for r in parts)
-        step += max(r["n_batches"] for r in parts)
+        out = tr.mapInArrow(_train_fn(model, vec, m, v, step, beta, cfg, seed * 1000 + epoch, "_x"), TRAIN_SCHEMA)
+        # parameter averaging as a distributed aggregation: one row per parameter reaches the driver
+        agg = out.groupBy("pos").agg(
+            (F.sum("wp") / F.sum("n")).alias("p"), (F.sum("wm") / F.sum("n")).alias("m"), (F.sum("wv") / F.sum("n")).alias("v"),
+            F.sum("n_batches").alias("nb"), F.max("n_batches").alias("max_nb"), F.sum("sum_loss").alias("sl"),
+            F.sum("sum_recon").alias("sr"), F.sum("sum_kl").alias("sk"),
+        ).collect()
+        stats = next(r for r in agg if r["pos"] == -1)
+        rows_p = sorted((r for r in agg if r["pos"] >= 0), key=lambda r: r["pos"])
+        vec = np.array([r["p"] for r in rows_p])
+        m = np.array([r["m"] for r in rows_p])
+        v = np.array([r["v"] for r in rows_p])
+        nb = stats["nb"] or 1
+        step += int(stats["max_nb"] or 0)
         model = unflatten(vec, model)
         ev = va.mapInArrow(_eval_fn(model, beta, cfg["batch_size"], "_x", cfg.get("free_bits")), EVAL_SCHEMA).agg(
             F.sum("n_batches").alias("nb"), F.sum("sum_loss").alias("l"), F.sum("sum_recon").alias("r"), F.sum("sum_kl").alias("k")
@@ -285,8 +305,7 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
         vnb = ev["nb"] or 1
         rec = {
             "epoch": epoch, "beta": beta,
-            "train_loss": sum(r["sum_loss"] for r in parts) / nb, "train_recon": sum(r["sum_recon"] for r in parts) / nb,
-            "train_kl": sum(r["sum_kl"] for r in parts) / nb,
+            "train_loss": stats["sl"] / nb, "train_recon": stats["sr"] / nb, "train_kl": stats["sk"] / nb,
             "val_loss": (ev["l"] or 0.0) / vnb, "val_recon": (ev["r"] or 0.0) / vnb, "val_kl": (ev["k"] or 0.0) / vnb,
         }
         stop = False
@@ -393,8 +412,9 @@ def collapse_stats(scored: DataFrame, latent: int, x: str = "x") -> DataFrame:
         F.avg(F.aggregate("logvar", F.lit(0.0), lambda a, b: a + b) / latent).alias("logvar_mean"),
         F.avg("reconstruction_error").alias("mse_model"),
         F.avg(F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b) / F.size(x)).alias("mse_zero"),
-        F.percentile("reconstruction_error", pct).alias("err_pct"),
     )
+    ep = exact_percentiles(scored, "reconstruction_error", pct)
+    base = base.withColumn("err_pct", F.array(*[F.lit(v).cast("double") for v in ep]))
     m = mu_all.agg(F.stddev_samp("m").alias("mu_std"), F.max(F.abs("m")).alias("mu_max_abs"))
     return base.crossJoin(m).select(
         F.round("mu_std", 6).alias("mu_std"),

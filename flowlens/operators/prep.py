@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import coerce_numeric, finite_or_null
 from flowlens.functions.labels import binary_label
-from flowlens.operators.quantiles import order_statistics
+from flowlens.operators.quantiles import order_statistics, percentile_columns
 
 # fixed values: zero-variance and near-constant columns dropped before training
 CONSTANT_COLS = [
@@ -104,8 +104,10 @@ def train_val_split(df: DataFrame, key_cols: Sequence[str | Column], seed: int =
 # -- C6 / C7 / C8 / C10 -----------------------------------------------------------
 
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row: linear-interpolated median of every column on the training rows."""
-    return train.agg(*[F.percentile(q(c), 0.5).alias(c) for c in cols])
+    """One row: linear-interpolated median of every column on the training rows (exact, bracketed)."""
+    med = percentile_columns(train, cols, [0.5])
+    schema = ", ".join(f"`{c}` double" for c in cols)
+    return train.sparkSession.createDataFrame([tuple(med[(c, 0.5)] for c in cols)], schema)
 
 
 def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -183,7 +185,10 @@ def sample_report(sample: DataFrame, targets: DataFrame, label: str, n: int) ->
 def mixed_batch(df: DataFrame, quotas: DataFrame, label: str, seed: int, key_cols: Sequence[str | Column]) -> DataFrame:
     """Per-label quotas (label, quota) applied with one windowed pass; broadcast quota table."""
     w = Window.partitionBy(label).orderBy(hash_key(key_cols, seed), *[c for c in key_cols if isinstance(c, str)])
-    ranked = df.join(F.broadcast(quotas), label).withColumn("_rn", F.row_number().over(w))
+    # a literal bound first (plans as WindowGroupLimit: at most max-quota rows per label leave each task),
+    # then the per-label quota from the broadcast table
+    top = quotas.agg(F.max("quota")).first()[0] or 0
+    ranked = df.join(F.broadcast(quotas), label).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
     return ranked.filter(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
 
 

@@ -2,9 +2,9 @@
 
 Every profile is one (or two) aggregation passes over the table with one
 expression per column, followed by an ``unpivot`` of the single result row --
-never one job per column.  Percentiles use Spark's exact ``percentile``
-aggregate (partial aggregation; its buffer grows with the distinct values of a
-column, see README "scale notes").
+never one job per column.  Percentiles of many columns are computed together
+by the bracketed exact routine of ``operators.quantiles`` (unpivot to
+(column, value), one set of passes for all columns).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import finite_or_null
+from flowlens.operators.quantiles import grouped_percentiles, percentile_columns
 
 INF = float("inf")
 
@@ -138,12 +139,17 @@ def describe_extended(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.stddev_samp(x).alias(f"std__{c}"),
             F.min(x).alias(f"min__{c}"),
             F.max(x).alias(f"max__{c}"),
-            F.percentile(x, [p for _, p in DESCRIBE_PCTS]).alias(f"pct__{c}"),
             F.skewness(x).alias(f"g1__{c}"),
             F.kurtosis(x).alias(f"g2__{c}"),
             F.sum((F.abs(F.col(f"`{c}`").cast("double")) == F.lit(INF)).cast("long")).alias(f"ninf__{c}"),
         ]
-    long = _wide_to_long(df.agg(*exprs), cols, ["count", "mean", "std", "min", "max", "pct", "g1", "g2", "ninf"])
+    long = _wide_to_long(df.agg(*exprs), cols, ["count", "mean", "std", "min", "max", "g1", "g2", "ninf"])
+    finite = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) for c in cols])
+    pv = percentile_columns(finite, cols, [p for _, p in DESCRIBE_PCTS])
+    pct = df.sparkSession.createDataFrame(
+        [(c, [pv[(c, p)] for _, p in DESCRIBE_PCTS]) for c in cols], "feature string, pct array<double>"
+    )
+    long = long.join(F.broadcast(pct), "feature")
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))
@@ -165,11 +171,11 @@ def describe_extended(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def clipped_histogram(df: DataFrame, cols: Sequence[str], bins: int = 20,
                       lo_p: float = 0.01, hi_p: float = 0.99) -> DataFrame:
     """Per column: clip at p1/p99, then equal-width bins; counts per bin (zero bins omitted)."""
-    q = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), [lo_p, hi_p]).alias(f"q__{c}") for c in cols])
+    q = percentile_columns(df, cols, [lo_p, hi_p])
     long_vals = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])).alias("s")
     ).select("s.*").filter(F.col("v").isNotNull())
-    bounds = _wide_to_long(q, cols, ["q"]).select("feature", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    bounds = df.sparkSession.createDataFrame([(c, q[(c, lo_p)], q[(c, hi_p)]) for c in cols], "feature string, lo double, hi double")
     return _bin(long_vals.join(F.broadcast(bounds), "feature"), ["feature"], bins)
 
 
@@ -186,9 +192,10 @@ def _bin(df: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
 
 def clipped_by_label(df: DataFrame, col: str, label: str = "label", bins: int = 20) -> DataFrame:
     """One feature per label: clip at the label's own p1/p99, equal-width bins."""
-    q = df.groupBy(label).agg(F.percentile(F.col(col).cast("double"), [0.01, 0.99]).alias("q"))
-    bounds = q.select(label, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    vals = df.select(label, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    q = grouped_percentiles(df, col, label, [0.01, 0.99])
+    labels = sorted({k for k, _ in q})
+    bounds = df.sparkSession.createDataFrame([(k, q[(k, 0.01)], q[(k, 0.99)]) for k in labels], f"{label} string, lo double, hi double")
+    vals = df.select(F.col(label).cast("string").alias(label), F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     return _bin(vals.join(F.broadcast(bounds), label), [label], bins)
 
 

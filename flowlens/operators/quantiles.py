@@ -1,18 +1,25 @@
 """Exact linear-interpolated percentiles that scale (numpy ``percentile`` semantics).
 
-Spark's ``percentile`` is exact but keeps every distinct value of the column
-in one aggregation buffer; at 100 TB that is one task holding the whole
-column.  ``exact_percentiles`` instead
-
-1. counts the rows,
-2. brackets every target rank with ``approx_percentile`` (a mergeable sketch,
-   partial aggregation on every executor) and counts the rows below and
-   inside each bracket -- one pass for all fractions, repeated on the
-   brackets until each holds at most ``max_inside`` rows,
-3. reads the two order statistics around each rank from its bracket with one
-   windowed pass partitioned by bracket (each partition is bounded).
-
-Only a handful of scalars reach the driver.
+Spark's ``percentile`` is exact but keeps every distinct value of a group in
+one aggregation buffer; at 100 TB that is one task holding a whole column.
+Here every target rank is found by bracketing:
+
+1. count the non-null values per group;
+2. while a bracket holds more than ``max_inside`` rows: tag each row with the
+   brackets that contain it (a broadcast join on the group plus a range
+   condition -- brackets are narrow, so a row matches few of them), compute a
+   1,001-point ``approx_percentile`` grid per bracket (a mergeable sketch with
+   partial aggregation), narrow each bracket around its target rank and count
+   the rows below / inside the new bracket in one more pass;
+3. tag the rows with their final brackets and number them inside each bracket
+   with a window partitioned by bracket (every partition is bounded by
+   ``max_inside``); keep only the wanted ranks.
+
+A group whose checked count is at most ``max_inside`` skips the bracketing
+and uses Spark's exact ``percentile`` (bounded buffer).  Only a handful of
+scalars per (group, fraction) reach the driver.  Groups are
+expected to be few (columns of a table, labels); for millions of groups use a
+per-group aggregate instead.
 """
 
 from __future__ import annotations
@@ -23,138 +30,193 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY = 100_000
 MAX_INSIDE = 2_000_000
+GRID = [i / 1000 for i in range(1001)]
 
 
-def exact_percentiles(
-    df: DataFrame,
-    col: str,
-    fractions: Sequence[float],
-    max_inside: int = MAX_INSIDE,
-    accuracy: int = ACCURACY,
-) -> list[float | None]:
-    """Percentiles at ``fractions`` (0..1) of the non-null values of ``col``."""
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    m = len(fractions)
-    if n == 0 or m == 0:
-        return [None] * m
-    ranks = [(n - 1) * float(p) for p in fractions]
-    k_lo = [math.floor(r) for r in ranks]
-    k_hi = [math.ceil(r) for r in ranks]
-    stats = _order_statistics(values, n, sorted(set(k_lo) | set(k_hi)), max_inside, accuracy)
-    return [stats[a] + (stats[b] - stats[a]) * (r - a) for a, b, r in zip(k_lo, k_hi, ranks)]
+def _brackets_frame(spark, rows):
+    return spark.createDataFrame(rows, "_g string, _t int, _lo double, _hi double")
 
 
-def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int = MAX_INSIDE,
-                     accuracy: int = ACCURACY) -> dict[int, float]:
-    """Exact k-th smallest values (0-based ranks ``ks``) of the non-null values of ``col``."""
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    ks = [k for k in ks if 0 <= k < n]
-    if not ks:
-        return {}
-    return _order_statistics(values, n, sorted(set(ks)), max_inside, accuracy)
-
-
-def _order_statistics(values: DataFrame, n: int, ks: Sequence[int], max_inside: int,
-                      accuracy: int) -> dict[int, float]:
-    m = len(ks)
-    ranks = [float(k) for k in ks]
-    k_lo = list(ks)
-    k_hi = list(ks)
-    lo = [None] * m  # None = unbounded
-    hi = [None] * m
-    below = [0] * m
-    inside = [n] * m
-    eps = 2.0 / accuracy
-
-    def in_bracket(i):
-        cond = F.lit(True)
-        if lo[i] is not None:
-            cond = cond & (F.col("v") >= F.lit(lo[i]))
-        if hi[i] is not None:
-            cond = cond & (F.col("v") <= F.lit(hi[i]))
-        return cond
-
-    for _ in range(6):
-        todo = [i for i in range(m) if inside[i] > max_inside]
+def _tag(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """values (_g, v) x brackets (_g, _t, _lo, _hi) -> (_t, v) for every bracket containing v."""
+    return values.join(F.broadcast(brackets), "_g").filter(
+        (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
+    ).select("_t", "v")
+
+
+def _values(df: DataFrame, value: str, group: str | None) -> DataFrame:
+    g = F.col(group).cast("string") if group else F.lit("")
+    # NaN is missing (it would sort above +Inf and fall outside every bracket)
+    return df.select(g.alias("_g"), F.col(value).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan("v") & F.col("_g").isNotNull()
+    )
+
+
+def _counts(values: DataFrame) -> dict:
+    return {r["_g"]: r["n"] for r in values.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def grouped_order_statistics(
+    df: DataFrame, value: str, group: str | None, wanted: dict, max_inside: int = MAX_INSIDE,
+    accuracy: int = ACCURACY, counts: dict | None = None,
+) -> dict:
+    """``wanted``: {group_key: [0-based ranks]} -> {(group_key, rank): value}.
+
+    Group keys are compared as strings (NULL groups are skipped)."""
+    spark = df.sparkSession
+    values = _values(df, value, group)
+    counts = counts if counts is not None else _counts(values)
+    tasks = []
+    for key, ks in wanted.items():
+        n = counts.get(key, 0)
+        for k in sorted(set(ks)):
+            if 0 <= k < n:
+                tasks.append({"g": key, "k": k, "lo": -math.inf, "hi": math.inf, "below": 0, "inside": n})
+    for _ in range(8):
+        todo = [i for i, t in enumerate(tasks) if t["inside"] > max_inside]
         if not todo:
             break
-        # approx percentile of each bracket on its own rows (NULLs are ignored)
-        rel = {
-            i: (
-                max(0.0, (k_lo[i] - below[i]) / max(inside[i] - 1, 1) - eps),
-                min(1.0, (k_hi[i] - below[i]) / max(inside[i] - 1, 1) + eps),
-            )
-            for i in todo
+        # distinct current brackets: ranks of one group start from the same bracket
+        cur: dict[tuple, int] = {}
+        for i in todo:
+            t = tasks[i]
+            t["cb"] = cur.setdefault((t["g"], t["lo"], t["hi"]), len(cur))
+        br = _brackets_frame(spark, [(key[0], b, key[1], key[2]) for key, b in cur.items()])
+        tagged = _tag(values, br)
+        grids = {
+            r["_t"]: r["q"] for r in tagged.groupBy("_t").agg(F.percentile_approx("v", GRID, accuracy).alias("q")).collect()
         }
-        approx = values.agg(
-            *[
-                F.percentile_approx(F.when(in_bracket(i), F.col("v")), list(rel[i]), accuracy).alias(f"a{i}")
-                for i in todo
-            ]
-        ).first()
-        bounds = {i: approx[f"a{i}"] for i in todo}
-        counts = values.agg(
-            *[
-                F.sum(F.when(in_bracket(i) & (F.col("v") < bounds[i][0]), 1).otherwise(0)).alias(f"b{i}")
-                for i in todo
-            ],
-            *[
-                F.sum(F.when((F.col("v") >= bounds[i][0]) & (F.col("v") <= bounds[i][1]), 1).otherwise(0)).alias(
-                    f"c{i}"
-                )
-                for i in todo
-            ],
-        ).first()
-        progressed = False
+        proposal = {}
         for i in todo:
-            nb = below[i] + int(counts[f"b{i}"] or 0)
-            ni = int(counts[f"c{i}"] or 0)
-            if nb <= k_lo[i] and k_hi[i] < nb + ni and ni < inside[i]:
-                lo[i], hi[i], below[i], inside[i] = bounds[i][0], bounds[i][1], nb, ni
-                progressed = True
-            else:
-                eps *= 4  # sketch missed the rank: widen and retry
-        if not progressed and eps > 0.5:
-            break
-
-    # one pass: tag every value with the (distinct) brackets containing it, rank inside each
-    uniq: list[tuple] = []
-    bid = []
-    for i in range(m):
-        key = (lo[i], hi[i], below[i])
-        if key not in uniq:
-            uniq.append(key)
-        bid.append(uniq.index(key))
-    ulo = [u[0] for u in uniq]
-    uhi = [u[1] for u in uniq]
-    tags = F.filter(F.array(*[F.lit(j) for j in range(len(uniq))]), lambda j: _bracket_expr(j, ulo, uhi))
-    tagged = values.select("v", F.explode(tags).alias("q"))
-    wanted: dict[int, set[int]] = {}
-    for i in range(m):
-        wanted.setdefault(bid[i], set()).update({k_lo[i] - below[i], k_hi[i] - below[i]})
-    wanted_map = F.create_map(
-        *[x for j, ks in wanted.items() for x in (F.lit(j), F.array(*[F.lit(k) for k in sorted(ks)]))]
-    )
-    w = Window.partitionBy("q").orderBy("v")
+            t = tasks[i]
+            rel = (t["k"] - t["below"]) / max(t["inside"] - 1, 1)
+            a = max(0, math.floor(rel * 1000) - 2)
+            b = min(1000, math.ceil(rel * 1000) + 2)
+            proposal[i] = (float(grids[t["cb"]][a]), float(grids[t["cb"]][b]))
+        # exact counts below / inside every proposal from one small histogram per bracket:
+        # lt = #boundaries < v, le = #boundaries <= v (no row is multiplied)
+        bnds: dict[int, list] = {}
+        for i in todo:
+            bnds.setdefault(tasks[i]["cb"], set()).update(proposal[i])
+        bnds = {b: sorted(v) for b, v in bnds.items()}
+        bdf = spark.createDataFrame([(b, v) for b, v in bnds.items()], "_t int, _bs array<double>")
+        hist = tagged.join(F.broadcast(bdf), "_t").select(
+            "_t",
+            F.size(F.filter("_bs", lambda x: x < F.col("v"))).alias("lt"),
+            F.size(F.filter("_bs", lambda x: x <= F.col("v"))).alias("le"),
+        ).groupBy("_t", "lt", "le").agg(F.count(F.lit(1)).alias("c")).collect()
+        by_b: dict[int, list] = {}
+        for r in hist:
+            by_b.setdefault(r["_t"], []).append((r["lt"], r["le"], r["c"]))
+        for i in todo:
+            t = tasks[i]
+            lo, hi = proposal[i]
+            a_idx, h_idx = bnds[t["cb"]].index(lo), bnds[t["cb"]].index(hi)
+            cells = by_b.get(t["cb"], [])
+            below = t["below"] + sum(c for lt, le, c in cells if le <= a_idx)
+            ins = sum(c for lt, le, c in cells if le >= a_idx + 1 and lt <= h_idx)
+            if below <= t["k"] < below + ins and ins < t["inside"]:
+                t["lo"], t["hi"] = proposal[i]
+                t["below"], t["inside"] = below, ins
+            else:  # the sketch missed the rank: keep the wider (still exact) bracket
+                t["inside"] = min(t["inside"], max_inside)
+    if not tasks:
+        return {}
+    # final pass: number the rows inside each distinct bracket
+    uniq: dict[tuple, int] = {}
+    for t in tasks:
+        t["b"] = uniq.setdefault((t["g"], t["lo"], t["hi"]), len(uniq))
+    br = _brackets_frame(spark, [(key[0], b, key[1], key[2]) for key, b in uniq.items()])
+    wanted_rows = spark.createDataFrame(sorted({(t["b"], t["k"] - t["below"]) for t in tasks}), "_t int, rk int")
+    w = Window.partitionBy("_t").orderBy("v")
     picked = (
-        tagged.withColumn("rk", F.row_number().over(w) - 1)
-        .filter(F.array_contains(wanted_map[F.col("q")], F.col("rk")))
-        .collect()
+        _tag(values, br).withColumn("rk", F.row_number().over(w) - 1)
+        .join(F.broadcast(wanted_rows), ["_t", "rk"]).select("_t", "rk", "v").collect()
     )
-    got: dict[tuple[int, int], float] = {(r["q"], r["rk"]): r["v"] for r in picked}
-    return {ks[i]: got[(bid[i], k_lo[i] - below[i])] for i in range(m)}
+    got = {(r["_t"], r["rk"]): r["v"] for r in picked}
+    return {(t["g"], t["k"]): got[(t["b"], t["k"] - t["below"])] for t in tasks}
+
+
+def grouped_percentiles(df: DataFrame, value: str, group: str | None, fractions: Sequence[float],
+                        groups: Sequence[str] | None = None, max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY) -> dict:
+    """{(group_key, fraction): percentile} for every group (or the given ones); None for empty groups.
+
+    A group whose count is at most ``max_inside`` uses Spark's exact ``percentile``
+    aggregate directly (its buffer is then bounded by the checked count); larger
+    groups go through the bracketed order statistics.
+    """
+    values = _values(df, value, group)
+    counts = _counts(values)
+    keys = list(groups) if groups is not None else list(counts)
+    out: dict = {(key, p): None for key in keys for p in fractions}
+    small = [k for k in keys if 0 < counts.get(k, 0) <= max_inside]
+    big = [k for k in keys if counts.get(k, 0) > max_inside]
+    if small:
+        fr = [float(p) for p in fractions]
+        for r in values.filter(F.col("_g").isin(small)).groupBy("_g").agg(F.percentile("v", fr).alias("q")).collect():
+            for p, q in zip(fractions, r["q"]):
+                out[(r["_g"], p)] = q
+    if big:
+        wanted: dict = {}
+        plan = {}
+        for key in big:
+            n = counts[key]
+            for p in fractions:
+                r = (n - 1) * float(p)
+                lo, hi = math.floor(r), math.ceil(r)
+                plan[(key, p)] = (lo, hi, r)
+                wanted.setdefault(key, []).extend([lo, hi])
+        stats = grouped_order_statistics(df, value, group, wanted, counts=counts, max_inside=max_inside, accuracy=accuracy)
+        for (key, p), (lo, hi, r) in plan.items():
+            a, b = stats[(key, lo)], stats[(key, hi)]
+            out[(key, p)] = a + (b - a) * (r - lo)
+    return out
+
+
+def exact_percentiles(df: DataFrame, col: str, fractions: Sequence[float], max_inside: int = MAX_INSIDE,
+                      accuracy: int = ACCURACY) -> list[float | None]:
+    """Percentiles at ``fractions`` (0..1) of the non-null values of ``col``."""
+    res = grouped_percentiles(df, col, None, fractions, groups=[""], max_inside=max_inside, accuracy=accuracy)
+    return [res[("", p)] for p in fractions]
 
 
-def _bracket_expr(i_col, lo, hi):
-    """Column predicate: value v inside bracket number ``i_col`` (lambda variable)."""
-    cond = F.lit(True)
-    lo_arr = F.array(*[F.lit(x if x is not None else -math.inf).cast("double") for x in lo])
-    hi_arr = F.array(*[F.lit(x if x is not None else math.inf).cast("double") for x in hi])
-    return cond & (F.col("v") >= F.element_at(lo_arr, i_col + 1)) & (F.col("v") <= F.element_at(hi_arr, i_col + 1))
+def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int = MAX_INSIDE,
+                     accuracy: int = ACCURACY) -> dict[int, float]:
+    """Exact k-th smallest values (0-based ranks ``ks``) of the non-null values of ``col``."""
+    res = grouped_order_statistics(df, col, None, {"": list(ks)}, max_inside=max_inside, accuracy=accuracy)
+    return {k: v for (_, k), v in res.items()}
+
+
+def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column name, value as double) rows for the given columns."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols
+    ])).alias("s")).select("s._col", "s._v")
+
+
+def percentile_columns(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
+                       max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY) -> dict:
+    """{(column, fraction): percentile} for many columns at once.
+
+    When every column's (checked) non-null, non-NaN count is at most
+    ``max_inside``, one wide aggregation with Spark's exact ``percentile`` does
+    all columns in a single pass (bounded buffers); otherwise the columns are
+    unpivoted to (column, value) and bracketed together.
+    """
+    def clean(c):
+        v = F.col(f"`{c}`").cast("double")
+        return F.when(~F.isnan(v), v)
+
+    counts = df.agg(*[F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if all(counts[f"n{i}"] <= max_inside for i in range(len(cols))):
+        fr = [float(p) for p in fractions]
+        row = df.agg(*[F.percentile(clean(c), fr).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return {(c, p): (row[f"q{i}"][j] if counts[f"n{i}"] else None)
+                for i, c in enumerate(cols) for j, p in enumerate(fractions)}
+    return grouped_percentiles(unpivot_values(df, cols), "_v", "_col", fractions, groups=list(cols),
+                               max_inside=max_inside, accuracy=accuracy)
 
 
 def percentile_row(df: DataFrame, col: str, fractions: Sequence[float], names: Sequence[str]) -> DataFrame:

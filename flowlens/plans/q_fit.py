@@ -184,6 +184,25 @@ def q_vae_fit(spark, sf):
     return hist.select("epoch", "beta", "train_loss", "train_recon", "train_kl", "val_loss", "val_recon", "val_kl", "is_best")
 
 
+FLOW_FIT = {"epochs": 3, "warmup": 30, "patience": 10, "batch_size": 1024}  # the reference batch size
+
+
+def q_vae_fit_flows(spark, sf):
+    """E1 on the prepared flow features (train split, imputed and scaled on train only), the reference
+    architecture [128, 64] -> 16; history with training throughput in rows per second."""
+    from flowlens.plans.q_prep import FEATS, KEY, _medians
+
+    s, med = _medians(spark, sf)
+    imp = P.impute(s, med, FEATS, KEY + ["split"])
+    scaler = P.fit_scaler(imp.filter(F.col("split") == "train"), FEATS)
+    x = P.scale(imp, scaler, FEATS, ["split"]).withColumn("x", F.array(*FEATS))
+    tr, va = x.filter(F.col("split") == "train"), x.filter(F.col("split") == "val")
+    n = tr.count()
+    _model, hist = FT.vae_fit(tr, va, "x", [128, 64], 16, seed=7, **FLOW_FIT)
+    return hist.select("epoch", "train_loss", "val_loss", "val_recon", "seconds",
+                       (F.lit(n) / F.col("seconds")).alias("rows_per_second"))
+
+
 def q_config_sweep(spark, sf):
     """Several widths / latent sizes on the same checkpointed data; one result row per config."""
     tr, va = _vector_splits(spark, sf)
@@ -240,6 +259,7 @@ def q_collapse_verdict(spark, sf):
 
 QUERIES = {
     "e1_vae_fit": (q_vae_fit, None),
+    "e1_vae_fit_flows": (q_vae_fit_flows, None),
     "e2_replay_early_stop": (q_replay, SQL_REPLAY),
     "e3_epoch_history": (q_epoch_history, SQL_EPOCH_HISTORY),
     "e4_config_sweep": (q_config_sweep, None),

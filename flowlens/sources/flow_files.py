@@ -1,8 +1,8 @@
 """Multi-file CSV flow sources (A1-A4) and the file-order row index.
 
-Files are read in sorted path order.  Every file's header is read on its own
-(one small ``limit(1)`` job per file: the CSV reader would otherwise apply the
-first file's header to all files), header names are stripped and made unique
+Files are read in sorted path order.  Every file's header line is read on its
+own through the Hadoop FileSystem API (the CSV reader would otherwise apply
+the first file's header to all files), header names are stripped and made unique
 pandas-style, files with the same header are read together by one
 ``spark.read.csv`` with an all-string schema, and the groups are unioned by
 name (missing columns -> NULL).  Each row carries its file path, the byte
@@ -60,12 +60,19 @@ def normalise_headers(names: Sequence[str]) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Raw header cells of one file (first line, CSV-parsed, BOM removed)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    """Raw header cells of one file: its first line read through the Hadoop FileSystem
+    (no Spark job, works on any cluster filesystem), CSV-parsed, BOM removed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    if line is None:
         return []
-    line = first[0][0].lstrip("\ufeff")
-    return next(csv.reader(io.StringIO(line)))
+    return next(csv.reader(io.StringIO(line.lstrip("\ufeff"))))
 
 
 def read_csv_with_order(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:

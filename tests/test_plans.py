@@ -33,3 +33,11 @@ def test_top_anomalies_uses_group_limit(spark):
     st = B.store(spark, SF)
     plan = _plan(R.top_anomalies(st["predictions"], st["runs"], 100))
     assert "WindowGroupLimit" in plan
+
+
+def test_mixed_batch_uses_group_limit(spark):
+    from flowlens.operators import prep as P
+
+    f = B.flows(spark, SF)
+    quotas = spark.createDataFrame([("BENIGN", 5), ("ATK_A", 2)], "label string, quota int")
+    assert "WindowGroupLimit" in _plan(P.mixed_batch(f, quotas, "label", 42, ["l_orderkey", "l_linenumber"]))

@@ -24,3 +24,21 @@ def test_order_statistics_and_nulls(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "x double")
     assert exact_percentiles(df, "x", [0.5]) == [None]
+
+
+def test_grouped_and_column_percentiles(spark):
+    from flowlens.operators.quantiles import grouped_percentiles, percentile_columns
+
+    rng = np.random.default_rng(11)
+    a = np.round(rng.normal(size=3000), 2)
+    b = np.round(rng.exponential(size=3000), 2)
+    df = spark.createDataFrame([(float(x), float(y), "g1" if i % 3 else "g2") for i, (x, y) in enumerate(zip(a, b))],
+                               "a double, b double, g string")
+    got = percentile_columns(df, ["a", "b"], [0.05, 0.5, 0.95], max_inside=200, accuracy=500)
+    for c, arr in (("a", a), ("b", b)):
+        for p in (0.05, 0.5, 0.95):
+            assert abs(got[(c, p)] - np.percentile(arr, p * 100)) < 1e-9
+    per = grouped_percentiles(df, "a", "g", [0.5], max_inside=150, accuracy=300)
+    idx = np.arange(3000)
+    assert abs(per[("g2", 0.5)] - np.percentile(a[idx % 3 == 0], 50)) < 1e-9
+    assert abs(per[("g1", 0.5)] - np.percentile(a[idx % 3 != 0], 50)) < 1e-9

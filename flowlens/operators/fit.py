@@ -271,7 +271,11 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
     """
     cfg = dict(DEFAULTS, **cfg_over)
     spark = train.sparkSession
-    tr = train.select(F.col(feature).cast("array<double>").alias("_x")).checkpoint(eager=True)
+    tr = train.select(F.col(feature).cast("array<double>").alias("_x"))
+    cores = spark.sparkContext.defaultParallelism
+    if tr.rdd.getNumPartitions() < cores:  # local SGD needs every core to hold a share of the rows
+        tr = tr.repartition(cores)
+    tr = tr.checkpoint(eager=True)
     va = val.select(F.col(feature).cast("array<double>").alias("_x")).checkpoint(eager=True)
     in_dim = len(tr.first()["_x"])
     model = init_vae(in_dim, hidden, latent, seed)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import results as R
 from flowlens.plans import bindings as B
 from flowlens.plans.views_sql import STORE, with_views
+from flowlens.session import broadcast_if_small
 from flowlens.sources import result_store as S
 
 PAGE, PAGE_SIZE = 2, 2
@@ -125,7 +126,7 @@ CROSS JOIN (SELECT CAST(count(run_id) AS BIGINT) AS analyzed_uploads,
 def q_overview_histogram(spark, sf):
     st = _st(spark, sf)
     lr = R.latest_runs(st["runs"]).select("run_id")
-    p = st["predictions"].join(F.broadcast(lr), "run_id", "left_semi").withColumn("_all", F.lit(1))
+    p = st["predictions"].join(broadcast_if_small(lr), "run_id", "left_semi").withColumn("_all", F.lit(1))
     return R.histogram(p, ["_all"]).drop("_all")
 
 
@@ -400,3 +401,46 @@ QUERIES = {
     "a14_save_run_check": (q_save_run_check, SQL_SAVE_RUN_CHECK),
     "a15_table_constraints": (q_table_constraints, SQL_TABLE_CONSTRAINTS),
 }
+
+
+def q_compare_sparse_truth(spark, sf):
+    """G12 + G15 on sparse ground truth: documents scored by length (theta = p90), truth = toxic where
+    labelled; compare cells (N/A without truth) and the summary texts."""
+    from flowlens.functions.labels import compare_cell
+    from flowlens.operators.quantiles import exact_percentiles
+
+    t = B.truth_sparse(spark, sf)
+    theta = exact_percentiles(t, "score", [0.9])[0]
+    cells = t.withColumn("prediction", (F.col("score") > F.lit(theta)).cast("int")).withColumn(
+        "compare_result", compare_cell("prediction", "truth")
+    ).withColumn("run_id", F.lit(1))
+    return R.export_summary(cells).drop("run_id").crossJoin(
+        cells.groupBy().agg(F.sum((F.col("compare_result") == "N/A").cast("long")).alias("n_na"))
+    )
+
+
+SQL_COMPARE_SPARSE_TRUTH = """
+WITH t AS (SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS score, l.toxic AS truth FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+th AS (SELECT quantile_cont(score, 0.9) AS theta FROM t),
+c AS (SELECT CASE WHEN truth IS NULL THEN 'N/A'
+                  WHEN score > theta AND truth = 1 THEN 'TP' WHEN score > theta AND truth = 0 THEN 'FP'
+                  WHEN score <= theta AND truth = 0 THEN 'TN' WHEN score <= theta AND truth = 1 THEN 'FN' ELSE 'N/A' END AS cr
+      FROM t, th),
+s AS (SELECT CAST(count(*) AS BIGINT) AS total_exported, sum(CASE WHEN cr = 'TP' THEN 1 ELSE 0 END) AS TP,
+             sum(CASE WHEN cr = 'FP' THEN 1 ELSE 0 END) AS FP, sum(CASE WHEN cr = 'TN' THEN 1 ELSE 0 END) AS TN,
+             sum(CASE WHEN cr = 'FN' THEN 1 ELSE 0 END) AS FN, CAST(sum(CASE WHEN cr = 'N/A' THEN 1 ELSE 0 END) AS BIGINT) AS n_na FROM c)
+SELECT total_exported, CASE WHEN TP + FP + TN + FN > 0 THEN 'true' ELSE 'false' END AS has_ground_truth,
+       CASE WHEN TP + FP + TN + FN > 0 THEN CAST(TP AS VARCHAR) ELSE 'N/A' END AS tp,
+       CASE WHEN TP + FP + TN + FN > 0 THEN CAST(FP AS VARCHAR) ELSE 'N/A' END AS fp,
+       CASE WHEN TP + FP + TN + FN > 0 THEN CAST(TN AS VARCHAR) ELSE 'N/A' END AS tn,
+       CASE WHEN TP + FP + TN + FN > 0 THEN CAST(FN AS VARCHAR) ELSE 'N/A' END AS fn,
+       CASE WHEN TP + TN + FP + FN = 0 THEN 'N/A' ELSE printf('%.6f', (TP + TN) * 1.0 / (TP + TN + FP + FN)) END AS accuracy,
+       CASE WHEN TP + FP = 0 THEN 'N/A' ELSE printf('%.6f', TP * 1.0 / (TP + FP)) END AS precision,
+       CASE WHEN TP + FN = 0 THEN 'N/A' ELSE printf('%.6f', TP * 1.0 / (TP + FN)) END AS recall,
+       CASE WHEN TP + FP = 0 OR TP + FN = 0 OR TP = 0 THEN 'N/A'
+            ELSE printf('%.6f', 2.0 * (TP * 1.0 / (TP + FP)) * (TP * 1.0 / (TP + FN))
+                                / ((TP * 1.0 / (TP + FP)) + (TP * 1.0 / (TP + FN)))) END AS f1_score,
+       n_na
+FROM s"""
+
+QUERIES["g15_compare_sparse_truth"] = (q_compare_sparse_truth, SQL_COMPARE_SPARSE_TRUTH)

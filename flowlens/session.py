@@ -65,3 +65,15 @@ def scratch_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"
     return path
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint only behind a checked row count (one small counting job);
+    above the bound the planner / AQE choose the join strategy."""
+    from pyspark.sql import functions as F
+
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

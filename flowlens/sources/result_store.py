@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordering import ordered_scan
+from flowlens.session import broadcast_if_small
 
 
 class StoreError(RuntimeError):
@@ -175,7 +176,7 @@ def delete_upload(store: dict[str, DataFrame], victims: DataFrame) -> dict[str,
     found = store["uploads"].join(victims, "upload_id", "left_semi").count()
     if found == 0:
         raise StoreError("upload not found")
-    v = F.broadcast(victims.select("upload_id").distinct())
+    v = broadcast_if_small(victims.select("upload_id").distinct())
     return {name: df.join(v, "upload_id", "left_anti") for name, df in store.items()}
 
 

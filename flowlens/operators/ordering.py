@@ -5,8 +5,8 @@
 task.  ``ordered_scan`` instead
 
 1. range-partitions on (group, order) into ``n`` balanced partitions and pins
-   the partition id as a column (checkpointed, so the ids survive recomputation
-   and executor loss),
+   the partition id as a column (written once to the shared scratch folder, so
+   the ids survive recomputation and executor loss),
 2. numbers rows / accumulates sums inside each (partition, group) slice -- a
    slice is at most one range partition, so this shuffle is balanced,
 3. adds, per slice, the totals of the same group in earlier partitions.  Only
@@ -25,6 +25,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import scratch_dir
+
 PID = "_pid"
 
 
@@ -54,7 +56,11 @@ def ordered_scan(
 
     parted = df.repartitionByRange(n, *sort_keys).withColumn(PID, F.spark_partition_id())
     if checkpoint:
-        parted = parted.checkpoint(eager=True)
+        # pin the partition ids: one job writes the range-partitioned rows (with their id) to the
+        # shared scratch folder; both branches below read the same ids back
+        path = scratch_dir(df.sparkSession, "ordered_scan", unique=True)
+        parted.write.parquet(path)
+        parted = df.sparkSession.read.parquet(path)
 
     # step 2: inside (partition, group) slices; balanced by construction
     slice_w = Window.partitionBy(PID, *group_cols).orderBy(*order_cols)

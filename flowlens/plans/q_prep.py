@@ -10,6 +10,7 @@ from flowlens.operators import prep as P
 from flowlens.plans import bindings as B
 from flowlens.plans.q_profile import BENIGN_SOURCE, SPLIT_KEY, split_sql
 from flowlens.plans.views_sql import FLOWS, with_views
+from flowlens.session import scratch_dir
 
 FEATS = ["quantity", "price", "discount", "tax", "line", "qty_num"]
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -19,13 +20,27 @@ SAMPLE_N = 50
 SEED = 42
 
 
+_SPLIT_CACHE: dict = {}
+
+
 def split_flows(spark, sf):
-    """flows_dirty with coerced qty_num and the split column (train / val / test)."""
-    d = B.flows_dirty(spark, sf).withColumn("qty_num", coerce_numeric("qty_text"))
-    d = d.withColumn("binary_label", binary_label("label"))
-    s = P.source_split(d, "source_file", BENIGN_SOURCE)
-    tv = P.train_val_split(s.filter(F.col("split") == "train_val").drop("split"), SPLIT_KEY, SEED, 0.2)
-    return tv.unionByName(s.filter(F.col("split") == "test"))
+    """flows_dirty with coerced qty_num and the split column (train / val / test).
+
+    Written once per session to the shared scratch folder: medians, scaler,
+    scaling and the split reports all read this table instead of re-running
+    the source scan and the split for every job.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    path = _SPLIT_CACHE.get(key)
+    if path is None:
+        d = B.flows_dirty(spark, sf).withColumn("qty_num", coerce_numeric("qty_text"))
+        d = d.withColumn("binary_label", binary_label("label"))
+        s = P.source_split(d, "source_file", BENIGN_SOURCE)
+        tv = P.train_val_split(s.filter(F.col("split") == "train_val").drop("split"), SPLIT_KEY, SEED, 0.2)
+        path = scratch_dir(spark, "split_flows", unique=True)
+        tv.unionByName(s.filter(F.col("split") == "test")).write.parquet(path)
+        _SPLIT_CACHE[key] = path
+    return spark.read.parquet(path)
 
 
 # split_flows over flows_dirty + qty_num (same split rule as q_profile.split_sql)

@@ -133,22 +133,18 @@ def threshold_sweep(
     """
     spark = val.sparkSession
     thetas = exact_percentiles(val, score, [p / 100.0 for p in percentiles])
+    exceed = sum((F.col(score) > F.lit(t)).cast("int") for t in sorted(thetas))
+    # a row is predicted anomalous for threshold i iff it exceeds at least need_i = #{j: t_j <= t_i} thresholds
+    need = {t: r + 1 for r, t in enumerate(sorted(thetas))}
     th = spark.createDataFrame(
-        [(i, float(p), float(t)) for i, (p, t) in enumerate(zip(percentiles, thetas))],
-        "i int, percentile double, threshold double",
+        [(i, float(p), float(t), need[t]) for i, (p, t) in enumerate(zip(percentiles, thetas))],
+        "i int, percentile double, threshold double, need int",
     )
-    exceed = sum((F.col(score) > F.lit(t)).cast("int") for t in sorted(thetas))
-    sorted_rank = {t: r for r, t in enumerate(sorted(thetas))}
     buckets = test.filter(F.col(truth).isNotNull()).groupBy(exceed.alias("b")).agg(
         F.sum(F.col(truth).cast("long")).alias("pos"), F.sum((1 - F.col(truth)).cast("long")).alias("neg")
     )
-    rank_of = spark.createDataFrame(
-        [(i, sorted_rank[t] + 1) for i, t in enumerate(thetas)], "i int, need int"
-    )
-    # a row is predicted anomalous for threshold i iff it exceeds >= need_i thresholds
     per = (
-        th.join(rank_of, "i")
-        .crossJoin(F.broadcast(buckets))
+        th.crossJoin(F.broadcast(buckets))
         .groupBy("i", "percentile", "threshold")
         .agg(
             F.sum(F.when(F.col("b") >= F.col("need"), F.col("pos")).otherwise(0)).cast("long").alias("tp"),

@@ -38,19 +38,23 @@ def fold_text(x: Column) -> Column:
     return F.collate(F.lower(F.trim(x)), "UNICODE_CI_AI")
 
 
-def normalise_truth(value: Column | str) -> Column:
-    """Ground-truth text -> 0/1/NULL.
+def normalise_truth(value: Column | str, is_text: Column | None = None) -> Column:
+    """Ground-truth value -> 0/1/NULL.
 
-    NULL or blank -> NULL; folded text in NORMAL_TEXTS -> 0; anything else -> 1
-    (so "0.0" -> 1 and "2" -> 1).  Booleans/numbers arrive as their JSON text
-    (true/false, 0/1).
+    NULL or blank -> NULL; booleans -> 0/1; a JSON number equal to 0 or 1 -> 0 / 1
+    (so 0.0 -> 0); otherwise the folded text: one of NORMAL_TEXTS -> 0, anything
+    else -> 1 (so the text "0.0" -> 1 and the number 2 -> 1).  ``is_text`` tells
+    whether the raw JSON token was a quoted string (None: treat as text).
     """
     v = _c(value).cast("string")
     folded = fold_text(v)
+    num = F.when(~is_text, v.try_cast("double")) if is_text is not None else F.lit(None).cast("double")
     return (
         F.when(v.isNull() | (F.trim(v) == ""), F.lit(None).cast("int"))
         .when(folded == "false", F.lit(0))
         .when(folded == "true", F.lit(1))
+        .when(num == 0.0, F.lit(0))
+        .when(num == 1.0, F.lit(1))
         .when(folded.isin(*NORMAL_TEXTS), F.lit(0))
         .otherwise(F.lit(1))
     )
@@ -80,3 +84,12 @@ def truth_value(payload_json: Column | str) -> Column:
     entries = F.from_json(p, "map<string,string>")
     key = truth_key(p)
     return F.when(key.isNotNull(), F.try_element_at(entries, key))
+
+
+def truth_is_text(payload_json: Column | str) -> Column:
+    """Whether the value under the resolved truth key is a quoted JSON string."""
+    p = _c(payload_json)
+    key = truth_key(p)
+    pattern = F.concat(F.lit('"\\Q'), key, F.lit('\\E"\\s*:\\s*("?)'))
+    # the pattern depends on the row's key, so call the SQL function (column-valued regex)
+    return F.when(key.isNotNull(), F.call_function("regexp_extract", p, pattern, F.lit(1)) == F.lit('"'))

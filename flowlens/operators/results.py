@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.labels import compare_cell, normalise_truth, severity, truth_value
+from flowlens.functions.labels import compare_cell, normalise_truth, severity, truth_is_text, truth_value
 from flowlens.operators.ordering import ordered_scan
 
 HISTOGRAM_BINS = 30
@@ -158,7 +158,9 @@ def global_flows(predictions: DataFrame, runs: DataFrame, uploads: DataFrame, pr
 def resolve_truth(rows: DataFrame) -> DataFrame:
     """Per stored row: actual_label (raw text under the first truth key) and actual_binary."""
     v = truth_value("payload")
-    return rows.select("upload_id", "row_index", v.alias("actual_label"), normalise_truth(v).alias("actual_binary"))
+    return rows.select(
+        "upload_id", "row_index", v.alias("actual_label"), normalise_truth(v, truth_is_text("payload")).alias("actual_binary")
+    )
 
 
 def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, prediction: str = "all") -> DataFrame:

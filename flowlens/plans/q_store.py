@@ -193,10 +193,13 @@ _TRUTH_SQL = """truth AS (
          CASE WHEN actual_label IS NULL OR trim(actual_label) = '' THEN NULL
               WHEN lower(strip_accents(trim(actual_label))) = 'false' THEN 0
               WHEN lower(strip_accents(trim(actual_label))) = 'true' THEN 1
+              WHEN jt <> 'VARCHAR' AND TRY_CAST(actual_label AS DOUBLE) = 0 THEN 0
+              WHEN jt <> 'VARCHAR' AND TRY_CAST(actual_label AS DOUBLE) = 1 THEN 1
               WHEN lower(strip_accents(trim(actual_label))) IN ('0', 'benign', 'normal', 'binh thuong') THEN 0
               ELSE 1 END AS actual_binary
   FROM (SELECT upload_id, row_index,
-               CASE WHEN tk IS NOT NULL THEN json_extract_string(payload, '$."' || tk || '"') END AS actual_label
+               CASE WHEN tk IS NOT NULL THEN json_extract_string(payload, '$."' || tk || '"') END AS actual_label,
+               CASE WHEN tk IS NOT NULL THEN json_type(payload, '$."' || tk || '"') END AS jt
         FROM (SELECT upload_id, row_index, payload,
                      list_filter(json_keys(payload), lambda k: lower(trim(k)) IN ('label', 'actual_label', 'true_label', 'binary_label'))[1] AS tk
               FROM rows_t) a) b)"""

@@ -35,6 +35,15 @@ def test_severity_boundaries(spark):
     assert got == ["low", "medium", "medium", "high", "high", "critical", "low"]
 
 
+def test_truth_json_number_versus_text(spark):
+    from flowlens.functions.labels import truth_is_text
+
+    payloads = ['{"Label": 0.0}', '{"Label": "0.0"}', '{"Label": 2}', '{"Label": true}', '{"Label": 1.0}', '{"x": 1}']
+    df = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    got = [r[0] for r in df.select(normalise_truth(truth_value("payload"), truth_is_text("payload"))).collect()]
+    assert got == [0, 1, 1, 1, 1, None]
+
+
 def test_compare_cell(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 1), (1, None)], "p int, t int")
     got = [r[0] for r in df.select(compare_cell("p", "t")).collect()]

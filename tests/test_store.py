@@ -67,3 +67,33 @@ def test_register_upload_guards_and_rows(spark, tmp_path):
     empty.write_text("name,value\n")
     with pytest.raises(S.StoreError):
         S.register_upload(spark, str(empty), 3, str(tmp_path / "store3"))
+
+
+def test_overview_and_activity_without_runs(spark):
+    uploads = spark.createDataFrame([(5, "a.csv", 3, 2, None)], "upload_id long, filename string, row_count long, col_count int, created_at timestamp_ntz")
+    runs = spark.createDataFrame([], RUNS)
+    o = R.overview(uploads, runs).first()
+    assert (o["total_uploads"], o["total_uploaded_flows"], o["analyzed_uploads"], o["anomaly_rate"]) == (1, 3, 0, 0.0)
+    act = R.latest_activity(uploads, runs).first()
+    assert act["upload_id"] == 5 and act["run_id"] is None
+    assert R.find_run(uploads, runs).first()["status"] == "no_run"
+    pending = R.list_uploads(uploads, runs, "pending", 1, 20).first()
+    assert pending["status"] == "pending" and pending["anomaly_count"] == 0
+
+
+def test_export_summary_without_ground_truth(spark):
+    exp = spark.createDataFrame([(1, "N/A"), (1, "N/A")], "run_id long, compare_result string")
+    s = R.export_summary(exp).first()
+    assert s["has_ground_truth"] == "false" and s["tp"] == "N/A"
+    assert s["accuracy"] == "N/A" and s["f1_score"] == "N/A"
+
+
+def test_histogram_empty_run_gives_no_rows(spark):
+    df = spark.createDataFrame([], "run_id long, reconstruction_error double, prediction int")
+    assert R.histogram(df, ["run_id"]).count() == 0
+
+
+def test_severity_counts_keep_zero_levels(spark):
+    preds = spark.createDataFrame([(2, 10, 0, 3.5, 1)], "run_id long, upload_id long, row_index long, reconstruction_error double, prediction int")
+    got = {r["severity"]: r["n"] for r in R.severity_counts(preds, _runs(spark)).filter("run_id = 2").collect()}
+    assert got == {"critical": 1, "high": 0, "medium": 0, "low": 0}

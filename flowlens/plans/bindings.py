@@ -66,9 +66,28 @@ def flows_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_quantity", "l_discount", "l_tax", "l_returnflag")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows: score = value, truth = error event, split val/test by time."""
+def is_validation() -> "F.Column":
+    """Validation rows: before the cut and not an error (NULLs are not validation)."""
+    return (F.col("ts") < F.lit(VALIDATION_CUT).cast("timestamp_ntz")) & (F.col("event_type") != "error")
+
+
+def is_test() -> "F.Column":
+    """The complement of ``is_validation`` written with plain comparisons, so it reaches the Parquet scan."""
+    return (
+        (F.col("ts") >= F.lit(VALIDATION_CUT).cast("timestamp_ntz")) | (F.col("event_type") == "error")
+        | F.col("ts").isNull() | F.col("event_type").isNull()
+    )
+
+
+def scores(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    """Scored rows: score = value, truth = error event, split val/test by time.
+
+    With ``split`` the rows are filtered on the base columns first (pushed to the scan)."""
     ev = table(spark, sf_dir, "events")
+    if split == "val":
+        ev = ev.filter(is_validation())
+    elif split == "test":
+        ev = ev.filter(is_test())
     is_err = F.col("event_type") == "error"
     return ev.select(
         "event_id",
@@ -77,9 +96,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("score"),
         is_err.cast("int").alias("truth"),
         F.col("event_type").alias("label"),
-        F.when((F.col("ts") < F.lit(VALIDATION_CUT).cast("timestamp_ntz")) & ~is_err, F.lit("val"))
-        .otherwise(F.lit("test"))
-        .alias("split"),
+        F.when(F.coalesce(is_validation(), F.lit(False)), F.lit("val")).otherwise(F.lit("test")).alias("split"),
     )
 
 

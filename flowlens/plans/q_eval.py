@@ -15,8 +15,7 @@ CANDIDATE_THETAS = [50.0, 100.0, 150.0, 200.0, 250.0]  # fixed values: D12 candi
 
 
 def _split(spark, sf):
-    s = B.scores(spark, sf)
-    return s.filter(F.col("split") == "val"), s.filter(F.col("split") == "test")
+    return B.scores(spark, sf, "val"), B.scores(spark, sf, "test")
 
 
 def _scored_test(spark, sf):

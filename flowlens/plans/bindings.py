@@ -208,7 +208,8 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
         (base.filter(F.col("source") == CSV_SHORT_SOURCE).drop("Line"), []),
     ]
     for g, extra in groups:
-        out = g.select("*", *extra).repartitionByRange(4, "source", *ORDER_KEY).sortWithinPartitions("source", *ORDER_KEY)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = g.select("*", *extra).repartitionByRange(n, "source", *ORDER_KEY).sortWithinPartitions("source", *ORDER_KEY)
         out.drop(*ORDER_KEY).write.mode("append").option("header", True).partitionBy("source").csv(root)
     _CSV_CACHE[key] = root
     return root
@@ -225,7 +226,9 @@ def arrivals(spark: SparkSession, sf_dir: str) -> str:
         return root
     root = scratch_dir(spark, "arrivals", unique=True)
     ev = table(spark, sf_dir, "events")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range-partitioned on (day, event_id): a large day is split over several tasks and files
     (ev.select(F.to_date("ts").cast("string").alias("day"), "event_id", "ts", "user_id", "event_type", "value")
-     .repartition("day").write.option("header", True).partitionBy("day").csv(root))
+     .repartitionByRange(n, "day", "event_id").write.option("header", True).partitionBy("day").csv(root))
     _ARRIVALS_CACHE[key] = root
     return root

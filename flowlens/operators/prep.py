@@ -66,6 +66,10 @@ def dedupe_keep_first(df: DataFrame, cols: Sequence[str], order_cols: Sequence[s
     hot group of copies before the shuffle; no sort, no window.  Grouping treats
     NULLs as equal (missing equals missing).
     """
+    order_cols = list(order_cols)
+    if len(order_cols) == 1 and dict(df.dtypes)[order_cols[0]] in ("bigint", "int", "double", "timestamp", "timestamp_ntz"):
+        # a single fixed-width order key (e.g. the file-order row index): hash aggregation
+        return df.groupBy(*[q(c) for c in cols]).agg(F.min(q(order_cols[0])).alias(order_cols[0]))
     first = df.groupBy(*[q(c) for c in cols]).agg(F.min(F.struct(*[q(c) for c in order_cols])).alias("_first"))
     return first.select(*[q(c) for c in cols], *[F.col(f"_first.`{c}`").alias(c) for c in order_cols])
 

@@ -49,6 +49,24 @@ SELECT source, CAST(row_number() OVER (ORDER BY source, l_shipdate, l_orderkey,
 FROM csv_rows"""
 
 
+def q_dedupe_file_order(spark, sf):
+    """C2 as in the cleaning pipeline: read the CSV files (A1), index rows in file order (A13), keep the
+    first row of every group of equal (Quantity, Discount, Tax, Label) -- a hash aggregation of min(row_index)."""
+    from flowlens.operators import prep as P
+
+    _, df, _ = _read(spark, sf)
+    idx = FF.with_row_index(df)
+    feats = idx.select("row_index", *[coerce_numeric(F.col(c)).alias(c.lower()) for c in ["Quantity", "Discount", "Tax"]],
+                       F.col("Label").alias("label"))
+    return P.dedupe_keep_first(feats, ["quantity", "discount", "tax", "label"], ["row_index"])
+
+
+SQL_DEDUPE_FILE_ORDER = "WITH " + _CSV_ROWS + """, idx AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY source, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1
+                 AS BIGINT) AS row_index FROM csv_rows)
+SELECT quantity, discount, tax, label, min(row_index) AS row_index FROM idx GROUP BY quantity, discount, tax, label"""
+
+
 def q_file_profile(spark, sf):
     """A3: rows and columns per source folder; one consistency flag and the total."""
     root, df, _ = _read(spark, sf)
@@ -171,6 +189,7 @@ def q_export_csv(spark, sf):
 QUERIES = {
     "a1_read_flows": (q_read_flows, SQL_READ_FLOWS),
     "a3_file_profile": (q_file_profile, SQL_FILE_PROFILE),
+    "c2_dedupe_file_order": (q_dedupe_file_order, SQL_DEDUPE_FILE_ORDER),
     "a4_schema_diff": (q_schema_diff, SQL_SCHEMA_DIFF),
     "a7_json_payload": (q_json_payload, SQL_JSON_PAYLOAD),
     "a8_register_upload": (q_register_upload, None),

@@ -53,6 +53,28 @@ def tiny_sql_views() -> str:
     ])
 
 
+def net_sql_views(model: dict, src: str, inputs: list[str], keep: list[str], prefix: str) -> list[str]:
+    """CTEs computing a (one-hidden-layer) rule-weight VAE over ``inputs`` of view ``src``;
+    the last CTE ``<prefix>_out`` has ``keep`` columns plus recon_error."""
+    (w, b), = model["enc"]
+    wm, bm = model["mu"]
+    (wd, bd), = model["dec"]
+    wo, bo = model["out"]
+    hs = [f"{prefix}_h{i}" for i in range(w.shape[0])]
+    mus = [f"{prefix}_m{i}" for i in range(wm.shape[0])]
+    gs = [f"{prefix}_g{i}" for i in range(wd.shape[0])]
+    ys = [f"{prefix}_y{i}" for i in range(len(inputs))]
+    cols = ", ".join(keep + inputs)
+    return [
+        f"{prefix}_1 AS (SELECT {cols}, " + ", ".join(f"greatest({_lin(w, b, inputs, i)}, 0.0) AS {hs[i]}" for i in range(len(hs))) + f" FROM {src})",
+        f"{prefix}_2 AS (SELECT *, " + ", ".join(f"{_lin(wm, bm, hs, i)} AS {mus[i]}" for i in range(len(mus))) + f" FROM {prefix}_1)",
+        f"{prefix}_3 AS (SELECT *, " + ", ".join(f"greatest({_lin(wd, bd, mus, i)}, 0.0) AS {gs[i]}" for i in range(len(gs))) + f" FROM {prefix}_2)",
+        f"{prefix}_4 AS (SELECT *, " + ", ".join(f"{_lin(wo, bo, gs, i)} AS {ys[i]}" for i in range(len(ys))) + f" FROM {prefix}_3)",
+        f"{prefix}_out AS (SELECT {', '.join(keep)}, (" + " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(inputs, ys))
+        + f") / {float(len(inputs))!r} AS recon_error FROM {prefix}_4)",
+    ]
+
+
 def _tiny_scored(spark, sf, latent=False, xhat=False):
     v = B.vectors(spark, sf).withColumn("x4", F.slice("x", 1, 4))
     return S.vae_score(v, TINY, "x4", ["vec_id", "label", "x4"], latent=latent, xhat=xhat)
@@ -190,11 +212,26 @@ def q_score_upload(spark, sf):
     )
 
 
+def _score_upload_sql() -> str:
+    from flowlens.plans.q_prep import PREP_VIEWS, _IMPUTED_SQL, _MED_SQL, _SCALER_SQL
+
+    scaled = "scaled AS (SELECT i.split, " + ", ".join(f"(i.{c} - m_{c}) / s_{c} AS {c}" for c in FEATS) + " FROM imputed i CROSS JOIN scaler)"
+    views = [*PREP_VIEWS, _MED_SQL, _IMPUTED_SQL, _SCALER_SQL, scaled, *net_sql_views(FLOW_NET, "scaled", list(FEATS), ["split"], "fn")]
+    return "WITH " + ",\n".join(views) + """,
+th AS (SELECT quantile_cont(recon_error, 0.99) AS theta FROM fn_out WHERE split = 'val'),
+p AS (SELECT CAST(recon_error > theta AS INTEGER) AS prediction, theta FROM fn_out, th WHERE split = 'test')
+SELECT CAST(count(*) AS BIGINT) AS total_flows, CAST(sum(prediction) AS BIGINT) AS anomaly_count,
+       CAST(count(*) - sum(prediction) AS BIGINT) AS normal_count,
+       round(CASE WHEN count(*) > 0 THEN sum(prediction) * 1.0 / count(*) ELSE 0.0 END, 6) AS anomaly_rate,
+       round(any_value(theta), 6) AS threshold
+FROM p"""
+
+
 QUERIES = {
     "d1_vae_score": (q_vae_score, SQL_VAE_SCORE),
     "d2_latent": (q_latent, SQL_LATENT),
     "d3_build_scores": (q_build_scores, SQL_BUILD_SCORES),
-    "d7_score_upload": (q_score_upload, None),
+    "d7_score_upload": (q_score_upload, _score_upload_sql()),
     "d8_residual_topk": (q_residual_topk, SQL_RESIDUAL_TOPK),
     "d9_unit_contributions": (q_unit_contributions, SQL_UNIT_CONTRIBUTIONS),
     "d10_activation_stats": (q_activation_stats, _act_sql()),

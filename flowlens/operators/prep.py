@@ -74,12 +74,21 @@ def dedupe_keep_first(df: DataFrame, cols: Sequence[str], order_cols: Sequence[s
     return first.select(*[q(c) for c in cols], *[F.col(f"_first.`{c}`").alias(c) for c in order_cols])
 
 
-def source_split(df: DataFrame, source: str, benign_source: str, label: str = "label", benign: str = "BENIGN") -> DataFrame:
-    """Benign source -> train_val, everything else -> test; raises if the benign source holds attacks."""
-    bad = df.filter((q(source) == benign_source) & ~q(label).eqNullSafe(F.lit(benign))).limit(1).count()
-    if bad:
+def source_split(df: DataFrame, source: str, benign_source: str, label: str = "label", benign: str = "BENIGN",
+                 with_count: bool = False):
+    """Benign source -> train_val, everything else -> test; raises if the benign source holds attacks.
+
+    The check and the train_val row count are one aggregation; ``with_count``
+    returns (frame, train_val rows)."""
+    in_bs = q(source) == benign_source
+    chk = df.agg(
+        F.sum((in_bs & ~q(label).eqNullSafe(F.lit(benign))).cast("long")).alias("bad"),
+        F.sum(in_bs.cast("long")).alias("n"),
+    ).first()
+    if chk["bad"]:
         raise PrepError("benign source contains non-benign labels")
-    return df.withColumn("split", F.when(q(source) == benign_source, "train_val").otherwise("test"))
+    out = df.withColumn("split", F.when(in_bs, "train_val").otherwise("test"))
+    return (out, int(chk["n"] or 0)) if with_count else out
 
 
 def hash_key(cols: Sequence[str | Column], seed: int) -> Column:
@@ -90,18 +99,19 @@ def hash_key(cols: Sequence[str | Column], seed: int) -> Column:
 
 
 def train_val_split(df: DataFrame, key_cols: Sequence[str | Column], seed: int = 42, val_fraction: float = 0.2,
-                    split_col: str = "split") -> DataFrame:
+                    split_col: str = "split", n: int | None = None) -> DataFrame:
     """val = the ceil(val_fraction * n) rows with the smallest key hash; train = the rest.
 
     The cut is the exact k-th smallest hash (distributed order statistic), so
-    no global sort or window is needed.
+    no global sort or window is needed.  ``n`` (the row count) may be passed
+    when the caller already has it.
     """
     h = df.withColumn("_h", hash_key(key_cols, seed))
-    n = h.count()
+    n = h.count() if n is None else n
     k = math.ceil(val_fraction * n)
     if k == 0:
         return h.withColumn(split_col, F.lit("train")).drop("_h")
-    cut = order_statistics(h, "_h", [k - 1])[k - 1]
+    cut = order_statistics(h, "_h", [k - 1], counts={"": n})[k - 1]
     return h.withColumn(split_col, F.when(F.col("_h") <= F.lit(cut), "val").otherwise("train")).drop("_h")
 
 

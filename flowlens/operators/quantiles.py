@@ -183,9 +183,10 @@ def exact_percentiles(df: DataFrame, col: str, fractions: Sequence[float], max_i
 
 
 def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int = MAX_INSIDE,
-                     accuracy: int = ACCURACY) -> dict[int, float]:
-    """Exact k-th smallest values (0-based ranks ``ks``) of the non-null values of ``col``."""
-    res = grouped_order_statistics(df, col, None, {"": list(ks)}, max_inside=max_inside, accuracy=accuracy)
+                     accuracy: int = ACCURACY, counts: dict | None = None) -> dict[int, float]:
+    """Exact k-th smallest values (0-based ranks ``ks``) of the non-null values of ``col``
+    (``counts={"": n}`` may pass a known non-null count)."""
+    res = grouped_order_statistics(df, col, None, {"": list(ks)}, max_inside=max_inside, accuracy=accuracy, counts=counts)
     return {k: v for (_, k), v in res.items()}
 
 

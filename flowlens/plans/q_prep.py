@@ -35,8 +35,8 @@ def split_flows(spark, sf):
     if path is None:
         d = B.flows_dirty(spark, sf).withColumn("qty_num", coerce_numeric("qty_text"))
         d = d.withColumn("binary_label", binary_label("label"))
-        s = P.source_split(d, "source_file", BENIGN_SOURCE)
-        tv = P.train_val_split(s.filter(F.col("split") == "train_val").drop("split"), SPLIT_KEY, SEED, 0.2)
+        s, n_tv = P.source_split(d, "source_file", BENIGN_SOURCE, with_count=True)
+        tv = P.train_val_split(s.filter(F.col("split") == "train_val").drop("split"), SPLIT_KEY, SEED, 0.2, n=n_tv)
         path = scratch_dir(spark, "split_flows", unique=True)
         tv.unionByName(s.filter(F.col("split") == "test")).write.parquet(path)
         _SPLIT_CACHE[key] = path

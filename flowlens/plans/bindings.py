@@ -185,6 +185,12 @@ CSV_EXTRA_SOURCE = "src_2000"   # gets an extra column
 CSV_SHORT_SOURCE = "src_2001"   # lacks the Line column
 
 _CSV_CACHE: dict[tuple[str, str], str] = {}
+ROWS_PER_FILE = 1_000_000
+
+
+def _files_for(df: DataFrame) -> int:
+    """Number of output partitions so files hold about ROWS_PER_FILE rows (grows with the data)."""
+    return max(1, -(-df.count() // ROWS_PER_FILE))
 
 
 def flow_files(spark: SparkSession, sf_dir: str) -> str:
@@ -208,7 +214,7 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
         (base.filter(F.col("source") == CSV_SHORT_SOURCE).drop("Line"), []),
     ]
     for g, extra in groups:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = _files_for(g)
         out = g.select("*", *extra).repartitionByRange(n, "source", *ORDER_KEY).sortWithinPartitions("source", *ORDER_KEY)
         out.drop(*ORDER_KEY).write.mode("append").option("header", True).partitionBy("source").csv(root)
     _CSV_CACHE[key] = root
@@ -226,7 +232,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> str:
         return root
     root = scratch_dir(spark, "arrivals", unique=True)
     ev = table(spark, sf_dir, "events")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _files_for(ev)
     # range-partitioned on (day, event_id): a large day is split over several tasks and files
     (ev.select(F.to_date("ts").cast("string").alias("day"), "event_id", "ts", "user_id", "event_type", "value")
      .repartitionByRange(n, "day", "event_id").write.option("header", True).partitionBy("day").csv(root))

@@ -213,7 +213,7 @@ def unit_contributions(df: DataFrame, x: str, weights: Sequence[float], k: int =
 
 
 def activation_stats(df: DataFrame, x: str, w: np.ndarray, b: np.ndarray) -> DataFrame:
-    """First-layer ReLU activations: active (> 0) and zero unit counts, strongest unit."""
+    """First-layer ReLU activations: active (> 0) and zero unit counts, strongest unit, top-5 units."""
     units = []
     for u in range(w.shape[0]):
         wu = F.array(*[F.lit(float(v)) for v in w[u]])
@@ -221,14 +221,16 @@ def activation_stats(df: DataFrame, x: str, w: np.ndarray, b: np.ndarray) -> Dat
         units.append(F.greatest(pre, F.lit(0.0)))
     acts = F.array(*units)
     tagged = F.transform(acts, lambda a, i: F.struct(a.alias("a"), i.alias("i")))
-    best = F.array_sort(tagged, lambda p, q_: F.when(p["a"] > q_["a"], -1).when(p["a"] < q_["a"], 1)
-                        .otherwise(F.when(p["i"] < q_["i"], -1).when(p["i"] > q_["i"], 1).otherwise(0)))[0]
+    ranked = F.array_sort(tagged, lambda p, q_: F.when(p["a"] > q_["a"], -1).when(p["a"] < q_["a"], 1)
+                          .otherwise(F.when(p["i"] < q_["i"], -1).when(p["i"] > q_["i"], 1).otherwise(0)))
+    best = ranked[0]
     return df.select(
         *[c for c in df.columns if c != x],
         F.size(F.filter(acts, lambda a: a > 0)).alias("n_active"),
         F.size(F.filter(acts, lambda a: a <= 0)).alias("n_zero"),
         best["i"].alias("top_unit"),
         r6(best["a"]).alias("top_activation"),
+        F.transform(F.slice(ranked, 1, 5), lambda s: s["i"]).alias("top5_units"),
     )
 
 

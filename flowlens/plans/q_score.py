@@ -165,10 +165,11 @@ def _act_sql() -> str:
         units.append(f"greatest(list_sum(list_transform(range(1, 65), lambda j: CAST(embedding[j] AS DOUBLE) * {wl}[j])) + {_lit(WIDE_B[u])}, 0.0)")
     return """
 WITH a AS (SELECT vec_id, [""" + ", ".join(units) + """] AS acts FROM embeddings),
-b AS (SELECT vec_id, acts, list_sort(list_transform(range(1, 9), lambda i: {'a': acts[i], 'k': -(i - 1)}), 'DESC')[1] AS best FROM a)
+b AS (SELECT vec_id, acts, list_sort(list_transform(range(1, 9), lambda i: {'a': acts[i], 'k': -(i - 1)}), 'DESC') AS srt FROM a)
 SELECT vec_id, CAST(len(list_filter(acts, lambda v: v > 0)) AS INTEGER) AS n_active,
        CAST(len(list_filter(acts, lambda v: v <= 0)) AS INTEGER) AS n_zero,
-       CAST(-best.k AS INTEGER) AS top_unit, round(best.a, 6) AS top_activation FROM b"""
+       CAST(-srt[1].k AS INTEGER) AS top_unit, round(srt[1].a, 6) AS top_activation,
+       list_transform(srt[1:5], lambda s: CAST(-s.k AS INTEGER)) AS top5_units FROM b"""
 
 
 def q_vector_distance(spark, sf):

@@ -38,6 +38,15 @@ def label_distribution(df: DataFrame, label: str = "label", benign: str = "BENIG
     )
 
 
+def label_totals(df: DataFrame, label: str = "label", benign: str = "BENIGN") -> DataFrame:
+    """Totals: benign rows, attack rows (NULL label counts as attack), distinct labels."""
+    return df.agg(
+        F.sum(F.col(label).eqNullSafe(F.lit(benign)).cast("long")).alias("n_benign"),
+        F.sum((~F.col(label).eqNullSafe(F.lit(benign))).cast("long")).alias("n_attack"),
+        F.countDistinct(label).alias("n_labels"),
+    )
+
+
 def label_by_source(df: DataFrame, source: str = "source_file", label: str = "label") -> DataFrame:
     return df.groupBy(source, label).agg(F.count(F.lit(1)).alias("n"))
 

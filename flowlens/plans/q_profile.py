@@ -41,6 +41,17 @@ SELECT label, CAST(count(*) AS BIGINT) AS n, round(count(*) * 100.0 / (SELECT co
 FROM flows GROUP BY label""", FLOWS)
 
 
+def q_label_totals(spark, sf):
+    return PR.label_totals(B.flows(spark, sf))
+
+
+SQL_LABEL_TOTALS = with_views("""
+SELECT CAST(sum(CASE WHEN label IS NOT DISTINCT FROM 'BENIGN' THEN 1 ELSE 0 END) AS BIGINT) AS n_benign,
+       CAST(sum(CASE WHEN label IS NOT DISTINCT FROM 'BENIGN' THEN 0 ELSE 1 END) AS BIGINT) AS n_attack,
+       CAST(count(DISTINCT label) AS BIGINT) AS n_labels
+FROM flows""", FLOWS)
+
+
 def q_label_by_source(spark, sf):
     return PR.label_by_source(B.flows(spark, sf))
 
@@ -246,6 +257,7 @@ FROM split_flows GROUP BY split""", SPLIT_SQL)
 
 QUERIES = {
     "b1_label_distribution": (q_label_distribution, SQL_LABEL_DISTRIBUTION),
+    "b1_label_totals": (q_label_totals, SQL_LABEL_TOTALS),
     "b2_label_by_source": (q_label_by_source, SQL_LABEL_BY_SOURCE),
     "b3_null_profile": (q_null_profile, SQL_NULL_PROFILE),
     "b4_inf_profile": (q_inf_profile, SQL_INF_PROFILE),

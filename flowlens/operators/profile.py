@@ -89,6 +89,22 @@ def duplicate_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def duplicate_members_sample(df: DataFrame, cols: Sequence[str], groups: int, seed: int = 42) -> DataFrame:
+    """All member rows of ``groups`` duplicated value combinations, picked by a seeded hash order
+    (a sampling operator: the limit is on groups, every member of a picked group is returned)."""
+    from flowlens.operators.prep import hash_key
+
+    dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
+    picked = dup.withColumn("_h", hash_key(list(cols), seed)).orderBy("_h", *cols).limit(groups).select(
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(cols)]
+    )
+    cond = None
+    for i, c in enumerate(cols):  # missing equals missing, as in the duplicate count
+        e = F.col(c).eqNullSafe(F.col(f"_p{i}"))
+        cond = e if cond is None else cond & e
+    return df.join(F.broadcast(picked), cond, "left_semi")
+
+
 def constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: distinct non-null count <= 1 (min == max, or no value at all)."""
     agg = df.agg(

@@ -10,6 +10,7 @@ from flowlens.operators import prep as P
 from flowlens.operators import profile as PR
 from flowlens.plans import bindings as B
 from flowlens.plans.views_sql import FLOWS, FLOWS_DIRTY, with_views
+from flowlens.sources.tables import table
 
 PROFILE_COLS = ["quantity", "price", "discount", "tax", "line", "qty_num", "const_col", "sparse_col"]
 DUP_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
@@ -93,6 +94,21 @@ SELECT CAST(sum(k) AS BIGINT) AS n_rows, CAST(sum(k - 1) AS BIGINT) AS n_duplica
 FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag) g"""
 
 
+def q_duplicate_sample(spark, sf):
+    """B5 sample: every member row of 5 duplicated (quantity, discount, tax, returnflag) groups."""
+    li = table(spark, sf, "lineitem")
+    return PR.duplicate_members_sample(li, DUP_COLS, 5, 42).select(*DUP_COLS, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+SQL_DUPLICATE_SAMPLE = """
+WITH g AS (SELECT l_quantity, l_discount, l_tax, l_returnflag FROM lineitem GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT * FROM g ORDER BY CAST(('0x' || substr(md5(concat_ws('|', CAST(l_quantity AS VARCHAR), CAST(l_discount AS VARCHAR),
+                                   CAST(l_tax AS VARCHAR), l_returnflag, '42')), 1, 15)) AS BIGINT),
+                               l_quantity, l_discount, l_tax, l_returnflag LIMIT 5)
+SELECT l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
+FROM lineitem l SEMI JOIN p USING (l_quantity, l_discount, l_tax, l_returnflag)"""
+
+
 def q_constant_columns(spark, sf):
     return PR.constant_columns(profiled(spark, sf), PROFILE_COLS)
 
@@ -262,6 +278,7 @@ QUERIES = {
     "b3_null_profile": (q_null_profile, SQL_NULL_PROFILE),
     "b4_inf_profile": (q_inf_profile, SQL_INF_PROFILE),
     "b5_duplicate_profile": (q_duplicate_profile, SQL_DUPLICATE_PROFILE),
+    "b5_duplicate_sample": (q_duplicate_sample, SQL_DUPLICATE_SAMPLE),
     "b6_constant_columns": (q_constant_columns, SQL_CONSTANT_COLUMNS),
     "b7_near_constant": (q_near_constant, SQL_NEAR_CONSTANT),
     "b8_describe_extended": (q_describe, SQL_DESCRIBE),

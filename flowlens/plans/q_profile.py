@@ -236,6 +236,20 @@ FROM consts c LEFT JOIN near n ON c.feature = n.feature LEFT JOIN infs i ON c.fe
 )
 
 
+TEXT_COLS = ["qty_text", "label", "source_file"]
+
+
+def q_non_numeric_samples(spark, sf):
+    """B13 (non-numeric part): text columns with their distinct count and three sample values."""
+    return PR.non_numeric_samples(profiled(spark, sf), TEXT_COLS, 3)
+
+
+SQL_NON_NUMERIC_SAMPLES = with_views("SELECT feature, CAST(count(*) AS BIGINT) AS n_distinct, "
+                                     "list(value ORDER BY value)[1:3] AS sample_values FROM (" + _union([
+    f"SELECT DISTINCT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM profiled WHERE {c} IS NOT NULL" for c in TEXT_COLS
+]) + ") GROUP BY feature", PROFILED_SQL)
+
+
 def q_class_balance(spark, sf):
     f = B.flows(spark, sf).withColumn("binary_label", binary_label("label"))
     s = P.source_split(f, "source_file", BENIGN_SOURCE)
@@ -287,5 +301,6 @@ QUERIES = {
     "b11_correlation": (q_correlation, SQL_CORRELATION),
     "b12_quality_gates": (q_quality_gates, _gates_sql()),
     "b13_candidate_features": (q_candidate_features, SQL_CANDIDATE_FEATURES),
+    "b13_non_numeric_samples": (q_non_numeric_samples, SQL_NON_NUMERIC_SAMPLES),
     "b14_class_balance": (q_class_balance, SQL_CLASS_BALANCE),
 }

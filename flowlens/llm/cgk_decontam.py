@@ -174,10 +174,12 @@ class ItemIndex:
         n_words = int(ends[-1]) if len(ends) else 0
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         for k, at in sorted(self.candidates(ids, n_words)):
+            doc = int(np.searchsorted(ends, at, "right"))
+            if k in out[doc] and not out[doc][k][1]:
+                continue  # an earlier occurrence without edits is the best already
             item_id, item = self.items[k]
             m = len(item)
             allowed = self._allowed(m)
-            doc = int(np.searchsorted(ends, at, "right"))
             lo = max(int(begins[doc]), at - allowed)
             hi = min(int(ends[doc]), at + m + 2 * allowed)
             edits, end = edit_distance_within(item, ids[lo:hi].tolist())
@@ -201,7 +203,7 @@ def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]], p: C
         return index.vocabulary.get(bare, 1) if bare else -1
 
     memo = Memo(number)
-    for batch in slices(batches, 64):
+    for batch in slices(batches, 512):
         parts = []
         for data in as_bytes(batch):
             words = data.split()

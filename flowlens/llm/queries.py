@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import line_windows, minmax_dedup, quality_ftrl
+from flowlens.llm import cgk_decontam, line_windows, minmax_dedup, mix_budget, quality_ftrl
 from flowlens.llm.common import documents
 
 
@@ -13,6 +13,11 @@ def op2_quality_ftrl(spark, sf_dir):
     return quality_ftrl.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_mix_budget(spark, sf_dir):
+    """Words taken of every document so that the sources meet their targets."""
+    return mix_budget.mix(documents(spark, sf_dir))
+
+
 def op4_line_windows(spark, sf_dir):
     """Every document without later occurrences of repeated three-line windows."""
     out = line_windows.drop_repeated_windows(documents(spark, sf_dir))
@@ -24,6 +29,11 @@ def op6_minmax(spark, sf_dir):
     return minmax_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_cgk(spark, sf_dir):
+    """Documents that hold a benchmark item, with the best match of each."""
+    return cgk_decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 _BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 OP4_SQL = f"""
 WITH rows AS (
@@ -64,6 +74,8 @@ FROM rows r LEFT JOIN kept k ON k.key = r.key LEFT JOIN counts c ON c.key = r.ke
 
 QUERIES = {
     "op2_quality_ftrl": (op2_quality_ftrl, None),
+    "op3_mix_budget": (op3_mix_budget, None),
     "op4_line_windows": (op4_line_windows, OP4_SQL),
     "op6_minmax": (op6_minmax, None),
+    "op7_cgk": (op7_cgk, None),
 }

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.llm import cgk_decontam, line_windows, minmax_dedup, mix_budget, quality_ftrl
+from flowlens.llm import (
+    cgk_decontam,
+    crf_rules,
+    lexicon_toxicity,
+    line_windows,
+    minmax_dedup,
+    mix_budget,
+    ppm_langid,
+    quality_ftrl,
+    secret_dfa,
+)
 from flowlens.llm.common import documents
 
 
@@ -24,6 +34,11 @@ def op4_line_windows(spark, sf_dir):
     return out.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
+def op5_ppm(spark, sf_dir):
+    """Language of every document by the shortest PPM code."""
+    return ppm_langid.identify(documents(spark, sf_dir))
+
+
 def op6_minmax(spark, sf_dir):
     """Near-duplicate group of every document by min-max hashing."""
     return minmax_dedup.near_duplicates(documents(spark, sf_dir))
@@ -34,6 +49,21 @@ def op7_cgk(spark, sf_dir):
     return cgk_decontam.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op8_lexicon(spark, sf_dir):
+    """Toxicity score of every document by the weighted lexicon."""
+    return lexicon_toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op9_crf_rules(spark, sf_dir):
+    """Quality rules of every document with line labels of the CRF."""
+    return crf_rules.judge(documents(spark, sf_dir))
+
+
+def op10_secret_dfa(spark, sf_dir):
+    """Secrets in every document, found by the combined automaton."""
+    return secret_dfa.find_secrets(documents(spark, sf_dir))
+
+
 _BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 OP4_SQL = f"""
 WITH rows AS (
@@ -76,6 +106,10 @@ QUERIES = {
     "op2_quality_ftrl": (op2_quality_ftrl, None),
     "op3_mix_budget": (op3_mix_budget, None),
     "op4_line_windows": (op4_line_windows, OP4_SQL),
+    "op5_ppm": (op5_ppm, None),
     "op6_minmax": (op6_minmax, None),
     "op7_cgk": (op7_cgk, None),
+    "op8_lexicon": (op8_lexicon, None),
+    "op9_crf_rules": (op9_crf_rules, None),
+    "op10_secret_dfa": (op10_secret_dfa, None),
 }

@@ -13,11 +13,17 @@ from flowlens.llm import (
     mix_budget,
     ppm_langid,
     quality_ftrl,
+    run_index,
     secret_dfa,
 )
 from flowlens.llm.common import documents
 
 
+def op1_run_index(spark, sf_dir):
+    """Bytes of every document in repeated 200-byte strings, by run-length indexes."""
+    return run_index.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_quality_ftrl(spark, sf_dir):
     """Quality score of every document by the FTRL-trained hashed n-gram classifier."""
     return quality_ftrl.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
@@ -103,6 +109,7 @@ FROM rows r LEFT JOIN kept k ON k.key = r.key LEFT JOIN counts c ON c.key = r.ke
 """
 
 QUERIES = {
+    "op1_run_index": (op1_run_index, None),
     "op2_quality_ftrl": (op2_quality_ftrl, None),
     "op3_mix_budget": (op3_mix_budget, None),
     "op4_line_windows": (op4_line_windows, OP4_SQL),

@@ -19,9 +19,9 @@ The index
     byte before in the text, so the matching statistics of all positions are
     streamed in text order from the sampled run ends; a position with a statistic
     of ``length`` or more starts a repeated window.  An anchor with more than
-    ``group_classes`` classes (a passage in very many surroundings) does not fit a
-    bounded index; the windows of its classes are counted by their hashes instead, which
-    is exact and combines before the shuffle.
+    ``group_classes`` classes (a passage in very many surroundings) is split over
+    several indexes of that size; the windows that are alone in theirs are matched across
+    the indexes by the counts of their hashes.
 
 * null and empty texts and texts shorter than ``length``: nothing removed
 * repeated rows repeat each other: texts of ``length`` bytes or more are removed completely
@@ -51,6 +51,7 @@ class RunIndexParams:
     group_classes: int = 1024
 
 
+PACK = 7  # symbols of 9 bits in one sort key
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -186,34 +187,39 @@ class RunLengthIndex:
         self.runs = len(border) + 1
         # sampled run ends: both sides of a border know their common prefix
         self.run_first, self.run_last = order[border], order[border - 1]
-        self.sample = self._common(levels, self.run_last, self.run_first)
+        self.sample = self._common(t, levels, self.run_last, self.run_first)
         self.outer = order[[0, -1]]
 
     @staticmethod
     def _ranks(t: np.ndarray) -> list[np.ndarray]:
-        """Ranks of the prefixes of 1, 2, 4, ... symbols until all suffixes differ."""
-        levels, step = [t], 1
+        """Ranks of the prefixes of PACK, 2 PACK, 4 PACK, ... symbols until all suffixes differ."""
+        padded = np.concatenate([t + 1, np.zeros(PACK, np.int64)])  # 0: beyond the end
+        key = np.zeros(len(t), np.int64)
+        for k in range(PACK):
+            key = key << 9 | padded[k : k + len(t)]
+        levels, step = [], PACK
         while True:
-            rank = levels[-1]
-            ahead = np.zeros(len(t), np.int64)
-            ahead[: max(0, len(t) - step)] = rank[step:] + 1
-            key = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys get equal ranks, so their order is of no account
+            sorted_ = key[order]
             new = np.empty(len(t), np.int64)
-            new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+            new[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
             levels.append(new)
-            if new[order[-1]] == len(t) - 1:
+            most = int(new[order[-1]])
+            if most == len(t) - 1:
                 return levels
+            key = new * (most + 2)
+            key[: max(0, len(t) - step)] += new[step:] + 1
             step *= 2
 
     @staticmethod
-    def _common(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _common(t: np.ndarray, levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefix of suffix pairs, from the ranks of doubling prefixes."""
-        n, got = len(levels[0]), np.zeros(len(a), np.int64)
-        for k in range(len(levels) - 1, -1, -1):
+        n, got = len(t), np.zeros(len(a), np.int64)
+        steps = [(rank, PACK << k) for k, rank in reversed(list(enumerate(levels)))]
+        for rank, step in steps + [(t, 1)] * (PACK - 1):
             x, y = np.minimum(a + got, n - 1), np.minimum(b + got, n - 1)
-            same = (levels[k][x] == levels[k][y]) & (a + got < n) & (b + got < n)
-            got += same << k
+            going = (rank[x] == rank[y]) & (a + got < n) & (b + got < n)
+            got += going * step  # a pair that differs at a symbol differs there at every later step
         return got
 
     def matching_statistics(self) -> np.ndarray:
@@ -239,46 +245,47 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def index_matches(classes: DataFrame, p: RunIndexParams) -> DataFrame:
-    """Covered (key, start, end) of the single classes of every bucket, by its run-length index."""
+    """(key, start, end, anchor, window, open) from the run-length index of every bucket.
+
+    Rows without ``window`` are covered spans of single classes.  Buckets of a
+    split anchor also give their distinct windows by hash: ``open`` where the
+    window is alone in its bucket.
+    """
+    names = ["key", "start", "end", "anchor", "window", "open"]
+    powers = _Powers(_BASE2, 4 * p.index_bytes)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("kind", "ascending")])
         texts = table.column("body").to_pylist()
         index = RunLengthIndex(texts)
         long = index.matching_statistics() >= p.length
-        out: list[tuple[int, int, int]] = []
-        at = 0
-        for text, key, place, n in zip(texts, table.column("key").to_pylist(), table.column("place").to_pylist(),
-                                       table.column("n").to_pylist(), strict=True):
+        split = table.column("split")[0].as_py()
+        if split:
+            grown = powers if len(long) <= 4 * p.index_bytes else _Powers(_BASE2, len(long))
+            prefix = grown.prefix(np.frombuffer(b"\0".join([*texts, b""]), np.uint8))
+        seen: set[int] = set()
+        out, at = [], 0
+        rows = zip(texts, *(table.column(c).to_pylist() for c in ("key", "place", "n", "anchor")), strict=True)
+        for text, key, place, n, anchor in rows:
+            first, own = place >> 8, long[at : at + len(text)]
             if n == 1:
-                first = place >> 8
-                out += [(key, first + a, first + b - 1 + p.length) for a, b in _runs(long[at : at + len(text)])]
+                out += [(key, first + a, first + b - 1 + p.length, None, None, None) for a, b in _runs(own)]
+            if split:
+                start = np.arange(len(text) - p.length + 1)
+                window = mix64(grown.of(prefix, at + start, at + start + p.length)).view(np.int64).tolist()
+                for s, h in zip(start.tolist(), window, strict=True):
+                    if n == 1 and not own[s]:
+                        out.append((key, first + s, first + s + p.length, anchor, h, True))
+                    elif h not in seen:
+                        seen.add(h)
+                        out.append((None, None, None, anchor, h, False))
             at += len(text) + 1
-        columns = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(("key", "start", "end"), columns, strict=True)})
-
-    return classes.groupBy("bucket").applyInArrow(run, "key long, start long, end long")
-
-
-def counted_matches(classes: DataFrame, p: RunIndexParams) -> DataFrame:
-    """The same for anchors with very many classes: windows counted by hash."""
-
-    def run(batches):
-        powers = _Powers(_BASE2, 2 * p.length)
-        for batch in slices(batches):
-            for anchor, key, place, n, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "place", "n", "body")), strict=True):
-                start = np.arange(len(body) - p.length + 1)
-                h = mix64(powers.of(powers.prefix(np.frombuffer(body, np.uint8)), start, start + p.length)).view(np.int64)
-                same = np.full(len(h), 1, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(same * anchor), pa.array(h), pa.array(same * key), pa.array((place >> 8) + start), pa.array(same * n)],
-                    ["anchor", "window", "key", "start", "n"])
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = [pa.int64()] * 5 + [pa.bool_()]
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
-    wins = materialise(classes.select("anchor", "key", "place", "n", "body").mapInArrow(
-        run, "anchor long, window long, key long, start long, n long"))
-    often = materialise(wins.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1"))
-    return wins.filter("n = 1").join(often, ["anchor", "window"]).select(
-        "key", "start", (F.col("start") + p.length).alias("end"))
+    return classes.groupBy("bucket").applyInArrow(
+        run, "key long, start long, end long, anchor long, window long, open boolean")
 
 
 def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
@@ -320,13 +327,19 @@ def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
     cut = materialise(texts.select("key", "packed", "segments").mapInArrow(
         bodies, "anchor long, kind long, n long, kinds long, key long, place long, body binary")
         .dropDuplicates(["anchor", "kind"]))
-    small = cut.filter(F.col("kinds") <= p.group_classes)
-    size = small.agg(F.sum(F.length("body"))).first()[0] or 0
+    size = cut.agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(1, -(-int(size) // p.index_bytes))
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
-    by_index = index_matches(small.select("anchor", "kind", "n", "key", "place", "body", bucket.alias("bucket")), p)
-    by_count = counted_matches(cut.filter(F.col("kinds") > p.group_classes), p)
-    return whole.unionByName(by_index).unionByName(by_count)
+    block = F.pmod(F.col("kind"), F.ceil(F.col("kinds") / F.lit(p.group_classes)))
+    split = F.col("kinds") > p.group_classes
+    bucket = F.when(split, F.xxhash64("anchor", block)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    found = materialise(index_matches(
+        cut.select("anchor", "kind", "n", "key", "place", "body", split.alias("split"),
+                   F.struct(split.alias("split"), bucket.alias("number")).alias("bucket")), p))
+    windows = found.filter("window IS NOT NULL")
+    several = materialise(windows.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1"))
+    across = windows.filter("open").join(several, ["anchor", "window"])
+    within = found.filter("window IS NULL")
+    return whole.unionByName(within.select("key", "start", "end")).unionByName(across.select("key", "start", "end"))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -20,8 +20,8 @@ The index
     streamed in text order from the sampled run ends; a position with a statistic
     of ``length`` or more starts a repeated window.  An anchor with more than
     ``group_classes`` classes (a passage in very many surroundings) is split over
-    several indexes of that size; the windows that are alone in theirs are matched across
-    the indexes by the counts of their hashes.
+    several indexes of that size; windows that are alone in theirs are matched across the
+    indexes by counting hashes, first of what ``step`` neighbouring windows have in common.
 
 * null and empty texts and texts shorter than ``length``: nothing removed
 * repeated rows repeat each other: texts of ``length`` bytes or more are removed completely
@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,9 @@ class RunIndexParams:
     length: int = 200
     gram: int = 48
     piece: int = 1 << 20  # bytes worked on at once
-    index_bytes: int = 1 << 20
-    group_classes: int = 1024
+    index_bytes: int = 1 << 19
+    group_classes: int = 2048
+    step: int = 16  # windows matched at once across the indexes of one anchor
 
 
 PACK = 7  # symbols of 9 bits in one sort key
@@ -107,7 +109,7 @@ class Cutter:
             yield group
 
     def cut(self, group: list[tuple[int, int, bytes]]):
-        """Arrays (text number, first window, windows, anchor, class) of a group of parts."""
+        """Arrays (text number, place, anchor, class) of a group of parts."""
         p, w = self.p, self.p.length - self.p.gram + 1
         x = np.frombuffer(b"".join(part for *_, part in group), np.uint8)
         ends = np.cumsum([len(part) for *_, part in group])
@@ -130,7 +132,8 @@ class Cutter:
         number = np.array([k for k, *_ in group])[part]
         base = np.array([a for _, a, _ in group])[part]
         begin = np.concatenate([[0], ends[:-1]])[part]
-        return number, base + first - begin, count, gram[anchor_at[new]].view(np.int64), kind.view(np.int64)
+        place = (base + first - begin) << 16 | (anchor_at[new] - first) << 8 | (count - 1)
+        return number, place, gram[anchor_at[new]].view(np.int64), kind.view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,16 +141,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, p: RunIndexParams) -> DataFrame:
-    """(anchor, kind, key, place): place is first window * 256 + windows - 1."""
+    """(anchor, kind, key, place); ``place`` holds the first window (from bit 16), the
+    anchor's offset in it (8 bits) and the number of windows less one (8 bits)."""
 
     def run(batches):
         cutter = Cutter(p)
         for batch in slices(batches):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for group in cutter.pieces(as_bytes(batch)):
-                number, first, count, anchor, kind = cutter.cut(group)
+                number, place, anchor, kind = cutter.cut(group)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(kind), pa.array(keys[number]), pa.array(first * 256 + count - 1)],
+                    [pa.array(anchor), pa.array(kind), pa.array(keys[number]), pa.array(place)],
                     ["anchor", "kind", "key", "place"])
 
     return _keyed(docs).mapInArrow(run, "anchor long, kind long, key long, place long")
@@ -245,47 +249,72 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def index_matches(classes: DataFrame, p: RunIndexParams) -> DataFrame:
-    """(key, start, end, anchor, window, open) from the run-length index of every bucket.
+    """(key, start, end, anchor, core, body, open) from the run-length index of every bucket.
 
-    Rows without ``window`` are covered spans of single classes.  Buckets of a
-    split anchor also give their distinct windows by hash: ``open`` where the
-    window is alone in its bucket.
+    Rows without ``core`` are covered spans of single classes.  Buckets of a
+    split anchor also give their distinct groups of ``step`` neighbouring windows
+    (counted from the anchor): ``core`` is the hash of what those windows have in
+    common, ``open`` says that one of them is alone in its bucket.
     """
-    names = ["key", "start", "end", "anchor", "window", "open"]
-    powers = _Powers(_BASE2, 4 * p.index_bytes)
+    names = ["key", "start", "end", "anchor", "core", "body", "open"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("kind", "ascending")])
         texts = table.column("body").to_pylist()
-        index = RunLengthIndex(texts)
-        long = index.matching_statistics() >= p.length
+        long = RunLengthIndex(texts).matching_statistics() >= p.length
         split = table.column("split")[0].as_py()
-        if split:
-            grown = powers if len(long) <= 4 * p.index_bytes else _Powers(_BASE2, len(long))
-            prefix = grown.prefix(np.frombuffer(b"\0".join([*texts, b""]), np.uint8))
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         out, at = [], 0
         rows = zip(texts, *(table.column(c).to_pylist() for c in ("key", "place", "n", "anchor")), strict=True)
         for text, key, place, n, anchor in rows:
-            first, own = place >> 8, long[at : at + len(text)]
+            first, own = place >> 16, long[at : at + len(text)]
             if n == 1:
-                out += [(key, first + a, first + b - 1 + p.length, None, None, None) for a, b in _runs(own)]
-            if split:
-                start = np.arange(len(text) - p.length + 1)
-                window = mix64(grown.of(prefix, at + start, at + start + p.length)).view(np.int64).tolist()
-                for s, h in zip(start.tolist(), window, strict=True):
-                    if n == 1 and not own[s]:
-                        out.append((key, first + s, first + s + p.length, anchor, h, True))
-                    elif h not in seen:
-                        seen.add(h)
-                        out.append((None, None, None, anchor, h, False))
+                out += [(key, first + a, first + b - 1 + p.length, None, None, None, None) for a, b in _runs(own)]
+            offset, last = place >> 8 & 255, place & 255
+            for start in range(offset % p.step - p.step, last + 1, p.step) if split else ():
+                x, y = max(start, 0), min(start + p.step - 1, last)
+                if y < x:
+                    continue
+                alone = n == 1 and not own[x : y + 1].all()
+                body = text[x : y + p.length]
+                core = xxhash.xxh3_64_intdigest(text[start + p.step - 1 : start + p.length], offset - start + 256)
+                known = body + bytes([x - start])
+                if alone or known not in seen:
+                    seen.add(known)
+                    core = core - (1 << 64) if core >> 63 else core
+                    out.append((key, first + x, first + y + p.length, anchor, core, body, alone))
             at += len(text) + 1
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64()] * 5 + [pa.bool_()]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
         return pa.table({c: pa.array(list(v), k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
     return classes.groupBy("bucket").applyInArrow(
-        run, "key long, start long, end long, anchor long, window long, open boolean")
+        run, "key long, start long, end long, anchor long, core long, body binary, open boolean")
+
+
+def matches_across(groups: DataFrame, p: RunIndexParams) -> DataFrame:
+    """Covered (key, start, end) of windows that repeat in several indexes of one anchor."""
+
+    def run(batches):
+        powers = _Powers(_BASE2, 2 * p.length)
+        for batch in slices(batches):
+            for anchor, key, first, alone, body in zip(
+                    *(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "open", "body")), strict=True):
+                start = np.arange(len(body) - p.length + 1)
+                prefix = powers.prefix(np.frombuffer(body, np.uint8))
+                h = mix64(powers.of(prefix, start, start + p.length)).view(np.int64)
+                same = np.ones(len(h), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same * anchor), pa.array(h), pa.array(same * key), pa.array(first + start),
+                     pa.array(np.full(len(h), alone))], ["anchor", "window", "key", "start", "open"])
+
+    # groups whose common part is nowhere else hold no repeated window
+    several = materialise(groups.groupBy("anchor", "core").agg(F.count("*").alias("times")).filter("times > 1"))
+    wins = materialise(groups.join(several, ["anchor", "core"]).select("anchor", "key", "start", "open", "body")
+                       .mapInArrow(run, "anchor long, window long, key long, start long, open boolean"))
+    often = materialise(wins.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1"))
+    return wins.filter("open").join(often, ["anchor", "window"]).select(
+        "key", "start", (F.col("start") + p.length).alias("end"))
 
 
 def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
@@ -296,10 +325,11 @@ def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
     classes = materialise(
         found.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("r"))
         .select("anchor", "kind", "n", "r.*"))
-    last = (F.col("place") % 256) + F.floor(F.col("place") / 256)
+    first = F.shiftright("place", 16)
+    last = first + F.col("place").bitwiseAND(255)
     whole = (
         found.join(classes.filter("n > 1").select("anchor", "kind"), ["anchor", "kind"])
-        .select("key", F.floor(F.col("place") / 256).alias("start"), (last + p.length).alias("end"))
+        .select("key", first.alias("start"), (last + p.length).alias("end"))
     )
     mixed = materialise(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     open_ = classes.join(mixed, "anchor")
@@ -312,7 +342,7 @@ def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
                                            batch.column("segments").to_pylist(), strict=True):
                 text = unpack(data)
                 for s in segments:
-                    first = s["place"] >> 8
+                    first = s["place"] >> 16
                     rows.append((s["anchor"], s["kind"], s["n"], s["kinds"], key, s["place"],
                                  text[first : first + (s["place"] & 255) + p.length]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -335,11 +365,8 @@ def covered_spans(docs: DataFrame, p: RunIndexParams) -> DataFrame:
     found = materialise(index_matches(
         cut.select("anchor", "kind", "n", "key", "place", "body", split.alias("split"),
                    F.struct(split.alias("split"), bucket.alias("number")).alias("bucket")), p))
-    windows = found.filter("window IS NOT NULL")
-    several = materialise(windows.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1"))
-    across = windows.filter("open").join(several, ["anchor", "window"])
-    within = found.filter("window IS NULL")
-    return whole.unionByName(within.select("key", "start", "end")).unionByName(across.select("key", "start", "end"))
+    within = found.filter("core IS NULL").select("key", "start", "end")
+    return whole.unionByName(within).unionByName(matches_across(found.filter("core IS NOT NULL"), p))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -10,8 +10,8 @@ pair at the threshold 0.8 shares a band with probability
 
 Documents with the same word sequence are one node, so copies never multiply.
 In every band bucket all nodes are first compared with the node of the most
-bucket neighbours (a star, linear in the bucket); then, exactly for the rest, all
-pairs of a bucket that are still in different components are compared.  Links
+bucket neighbours (a star, linear in the bucket); the buckets whose members are
+then still in different components are compared exactly, in bounded blocks.  Links
 are confirmed on whole shingle sets, so every proposed pair is either confirmed,
 refuted or already inside one component.
 
@@ -44,6 +44,8 @@ class MinMaxParams:
     bands: int = 20
     rows: int = 4
     seed: int = 7
+    block_shingles: int = 200_000  # of a block in the exact comparison
+    block_nodes: int = 1024
 
 
 def _word_hash(word: bytes) -> int:
@@ -154,6 +156,62 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def block_links(nodes: list[bytes], sets: list[np.ndarray], labels: list[bytes], blocks: list[int],
+                percent: int, columns: int = 4096) -> list[tuple[bytes, bytes]]:
+    """Links between documents of different labels: of two blocks against each
+    other, or of one block in itself.  Shared shingles are counted exactly, by matrix
+    products over the shingles that occur twice, a bounded number of columns at a time."""
+    order = sorted(range(len(nodes)), key=lambda k: (blocks[k], nodes[k]))
+    split = sum(b == blocks[order[0]] for b in blocks) if order else 0
+    left, right = (order[:split], order[split:]) if split < len(order) else (order, order)
+    place = np.concatenate([np.full(len(sets[k]), r) for r, k in enumerate(order)])
+    _, column, times = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    renumber = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    place, column = place[use], renumber[column[use]]
+    by_column = np.argsort(column, kind="stable")
+    place, column = place[by_column], column[by_column]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, [at, at + columns])
+        member = np.zeros((len(order), columns), np.float32)
+        member[place[lo:hi], column[lo:hi] - at] = 1
+        same += member[: len(left)] @ member[len(order) - len(right) :].T
+    size = np.array([len(sets[k]) for k in range(len(nodes))], np.float64)
+    union = size[left][:, None] + size[right][None, :] - same
+    name = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    label = np.array([name[x] for x in labels])
+    hit = (100.0 * same >= percent * union) & (label[left][:, None] != label[right][None, :])
+    return [(nodes[left[x]], nodes[right[y]]) for x, y in zip(*np.nonzero(hit), strict=True)]
+
+
+def compare_in_blocks(members: DataFrame, texts: DataFrame, p: MinMaxParams) -> DataFrame:
+    """Links (a, b) between members (bucket, node, n, label) of one bucket and different labels.
+
+    A bucket is cut into blocks of bounded size and every two blocks are compared
+    in one task; no pair of documents is a row unless it is a link.
+    """
+    cuts = members.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.sum("n") / F.lit(p.block_shingles)), F.ceil(F.count("*") / F.lit(p.block_nodes))).alias("blocks"))
+    dealt = (
+        members.join(cuts, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                "block", "node", "label")
+        .join(texts, "node")
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack, memo = zstandard.ZstdDecompressor().decompress, Memo(_word_hash)
+        sets = [shingle_set(unpack(x).split(), p.shingle, memo) for x in table.column("packed").to_pylist()]
+        node, label, block = (table.column(c).to_pylist() for c in ("node", "label", "block"))
+        links = block_links(node, sets, label, block, p.percent) if len(set(label)) > 1 else []
+        return pa.table({c: pa.array([x[k] for x in links], pa.binary()) for k, c in enumerate("ab")})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def _sizes_fit(p: MinMaxParams, x: str, y: str):
     """J <= min / max of the sizes, so other pairs can't be links."""
     return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
@@ -188,13 +246,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
         .filter("lo <> hi").select("bucket")
     )
     rest = materialise(placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "n", "label"))
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    again = (
-        rest.withColumnsRenamed({"node": "a", "n": "na", "label": "la"}).join(other, "bucket")
-        .filter((F.col("la") < F.col("lb")) & _sizes_fit(p, "na", "nb")).select("a", "b").distinct()
-    )
-    tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialise(confirm(materialise(again.join(tried, ["a", "b"], "left_anti")), texts, p))
+    more = materialise(compare_in_blocks(rest, texts, p))
     labels = connected_components(links.unionByName(more))
 
     least = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -11,7 +11,7 @@ remains of its budget is fitted on the table of its exact document lengths: a
 proportional share of every length, a greedy pass for what that leaves beyond
 ``window`` words, then a bounded-knapsack dynamic program over the sums up to the
 remaining budget (a bitset; the first length to reach a sum is kept for the way
-back).  The answer is a count per length; documents of a length are chosen in a
+back), for which up to half a ``window`` of the share is dealt anew.  The answer is a count per length; documents of a length are chosen in a
 seeded order.
 
 A hot (source, length) is ranked in ``BUCKETS`` hash buckets: whole buckets are
@@ -78,9 +78,15 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     left = budget - int((sizes * take).sum())
     order = np.argsort(-sizes, kind="stable")
     for k in order:
+        if left <= window + int(sizes[order[0]]):
+            break  # the short lengths are kept for the exact fit
         more = min(int(counts[k] - take[k]), max(0, left - window) // int(sizes[k]))
         take[k] += more
         left -= more * int(sizes[k])
+    for k in order:  # room for the exact fit: some of the proportional share is dealt anew
+        back = min(int(take[k]), -(-max(0, window // 2 - left) // int(sizes[k])))
+        take[k] -= back
+        left += back * int(sizes[k])
     mask, reached, by = (1 << (left + 1)) - 1, 1, {}
     for k in order:
         if reached >> left & 1:

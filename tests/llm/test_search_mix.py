@@ -32,7 +32,7 @@ def test_fit_counts_is_nearest_from_below():
 
 
 def test_fit_counts_beyond_the_window():
-    sizes, counts = np.array([3, 7, 1000, 1001]), np.array([400, 5, 900, 800])
+    sizes, counts = np.array([3, 7, 1000, 1001]), np.array([1500, 5, 900, 800])
     take = mix_budget.fit_counts(sizes, counts, 777_777, window=4000)
     assert 0 <= 777_777 - (sizes * take).sum() < 3
 

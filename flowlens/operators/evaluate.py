@@ -98,11 +98,11 @@ def auc_ap(df: DataFrame, score: str = "score", truth: str = "truth") -> DataFra
     agg = c.agg(
         F.sum("pos").alias("P"),
         F.sum("neg").alias("N"),
-        F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("auc_num"),
-        F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("ap_num"),
+        F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("auc_num"),
+        F.sum(F.col("pos").cast("double") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("ap_num"),
     )
     return agg.select(
-        F.round(ratio_or_null(F.col("auc_num"), F.col("P") * F.col("N")), 6).alias("roc_auc"),
+        F.round(ratio_or_null(F.col("auc_num"), F.col("P").cast("double") * F.col("N").cast("double")), 6).alias("roc_auc"),
         F.round(F.when(F.col("N") > 0, ratio_or_null(F.col("ap_num"), F.col("P"))), 6).alias("pr_auc"),
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import finite_or_null
-from flowlens.operators.quantiles import MAX_INSIDE, grouped_percentiles, percentile_columns
+from flowlens.operators.quantiles import grouped_percentiles, percentile_columns
 
 INF = float("inf")
 
@@ -169,18 +169,13 @@ def describe_extended(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.sum((F.abs(F.col(f"`{c}`").cast("double")) == F.lit(INF)).cast("long")).alias(f"ninf__{c}"),
         ]
     fr = [p for _, p in DESCRIBE_PCTS]
-    if df.count() <= MAX_INSIDE:
-        # every column's count is bounded by the checked row count: exact percentiles in the same pass
-        exprs += [F.percentile(finite_or_null(F.col(f"`{c}`")), fr).alias(f"pct__{c}") for c in cols]
-        long = _wide_to_long(df.agg(*exprs), cols, ["count", "mean", "std", "min", "max", "g1", "g2", "ninf", "pct"])
-    else:
-        long = _wide_to_long(df.agg(*exprs), cols, ["count", "mean", "std", "min", "max", "g1", "g2", "ninf"])
-        finite = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) for c in cols])
-        pv = percentile_columns(finite, cols, fr)
-        pct = df.sparkSession.createDataFrame(
-            [(c, [pv[(c, p)] for p in fr]) for c in cols], "feature string, pct array<double>"
-        )
-        long = long.join(F.broadcast(pct), "feature")
+    long = _wide_to_long(df.agg(*exprs), cols, ["count", "mean", "std", "min", "max", "g1", "g2", "ninf"])
+    finite = df.select(*[finite_or_null(F.col(f"`{c}`")).alias(c) for c in cols])
+    pv = percentile_columns(finite, cols, fr)
+    pct = df.sparkSession.createDataFrame(
+        [(c, [pv[(c, p)] for p in fr]) for c in cols], "feature string, pct array<double>"
+    )
+    long = long.join(F.broadcast(pct), "feature")  # one row per column
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3)))

@@ -5,21 +5,19 @@ one aggregation buffer; at 100 TB that is one task holding a whole column.
 Here every target rank is found by bracketing:
 
 1. count the non-null values per group;
-2. while a bracket holds more than ``max_inside`` rows: tag each row with the
-   brackets that contain it (a broadcast join on the group plus a range
-   condition -- brackets are narrow, so a row matches few of them), compute a
-   1,001-point ``approx_percentile`` grid per bracket (a mergeable sketch with
-   partial aggregation), narrow each bracket around its target rank and count
-   the rows below / inside the new bracket in one more pass;
-3. tag the rows with their final brackets and number them inside each bracket
-   with a window partitioned by bracket (every partition is bounded by
-   ``max_inside``); keep only the wanted ranks.
-
-A group whose checked count is at most ``max_inside`` skips the bracketing
-and uses Spark's exact ``percentile`` (bounded buffer).  Only a handful of
-scalars per (group, fraction) reach the driver.  Groups are
-expected to be few (columns of a table, labels); for millions of groups use a
-per-group aggregate instead.
+2. while a bracket holds more than ``max_inside`` rows and more than one value:
+   tag each row with the brackets that contain it (a broadcast join on the
+   group plus a range condition), compute a 1,001-point ``approx_percentile``
+   grid per bracket (a mergeable sketch with partial aggregation), propose a
+   narrow bracket around the target rank and count the rows below / inside it
+   in one more pass.  The counts are exact, so the rank is known to be left of,
+   inside or right of the proposal and the bracket always shrinks;
+3. count the distinct values of every bracket (ties collapse before the
+   shuffle) and run over them; a bracket of one value needs no pass.
+
+The same path serves every size.  Only a handful of scalars per (group,
+fraction) reach the driver.  Groups are expected to be few (columns of a table,
+labels); for millions of groups use a per-group aggregate instead.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
-MAX_INSIDE = 2_000_000
+MAX_INSIDE = 100_000
 GRID = [i / 1000 for i in range(1001)]
 
 
@@ -74,8 +72,9 @@ def grouped_order_statistics(
         for k in sorted(set(ks)):
             if 0 <= k < n:
                 tasks.append({"g": key, "k": k, "lo": -math.inf, "hi": math.inf, "below": 0, "inside": n})
-    for _ in range(8):
-        todo = [i for i, t in enumerate(tasks) if t["inside"] > max_inside]
+    while True:
+        # a bracket of one value is the answer, however many rows tie
+        todo = [i for i, t in enumerate(tasks) if t["inside"] > max_inside and t["lo"] < t["hi"]]
         if not todo:
             break
         # distinct current brackets: ranks of one group start from the same bracket
@@ -91,10 +90,12 @@ def grouped_order_statistics(
         proposal = {}
         for i in todo:
             t = tasks[i]
-            rel = (t["k"] - t["below"]) / max(t["inside"] - 1, 1)
-            a = max(0, math.floor(rel * 1000) - 2)
-            b = min(1000, math.ceil(rel * 1000) + 2)
-            proposal[i] = (float(grids[t["cb"]][a]), float(grids[t["cb"]][b]))
+            grid = grids[t["cb"]]
+            rel = (t["k"] - t["below"]) / max(t["inside"] - 1, 1) * 1000
+            lo, hi = float(grid[max(0, math.floor(rel) - 2)]), float(grid[min(1000, math.ceil(rel) + 2)])
+            if (lo, hi) == (t["lo"], t["hi"]):  # no narrower: single out one of its values
+                lo = hi = float(grid[round(rel)])
+            proposal[i] = (lo, hi)
         # exact counts below / inside every proposal from one small histogram per bracket:
         # lt = #boundaries < v, le = #boundaries <= v (no row is multiplied)
         bnds: dict[int, list] = {}
@@ -115,63 +116,64 @@ def grouped_order_statistics(
             lo, hi = proposal[i]
             a_idx, h_idx = bnds[t["cb"]].index(lo), bnds[t["cb"]].index(hi)
             cells = by_b.get(t["cb"], [])
-            below = t["below"] + sum(c for lt, le, c in cells if le <= a_idx)
+            left = sum(c for lt, le, c in cells if le <= a_idx)
             ins = sum(c for lt, le, c in cells if le >= a_idx + 1 and lt <= h_idx)
-            if below <= t["k"] < below + ins and ins < t["inside"]:
-                t["lo"], t["hi"] = proposal[i]
-                t["below"], t["inside"] = below, ins
-            else:  # the sketch missed the rank: keep the wider (still exact) bracket
-                t["inside"] = min(t["inside"], max_inside)
+            k = t["k"] - t["below"]
+            if k < left:  # the rank is left of the proposal
+                t["hi"], t["inside"] = math.nextafter(lo, -math.inf), left
+            elif k < left + ins:
+                t["lo"], t["hi"], t["below"], t["inside"] = lo, hi, t["below"] + left, ins
+            else:  # or right of it
+                t["lo"], t["below"], t["inside"] = (
+                    math.nextafter(hi, math.inf), t["below"] + left + ins, t["inside"] - left - ins)
     if not tasks:
         return {}
-    # final pass: number the rows inside each distinct bracket
+    # final pass: the distinct values of every open bracket with their counts
     uniq: dict[tuple, int] = {}
     for t in tasks:
-        t["b"] = uniq.setdefault((t["g"], t["lo"], t["hi"]), len(uniq))
-    br = _brackets_frame(spark, [(key[0], b, key[1], key[2]) for key, b in uniq.items()])
-    wanted_rows = spark.createDataFrame(sorted({(t["b"], t["k"] - t["below"]) for t in tasks}), "_t int, rk int")
-    w = Window.partitionBy("_t").orderBy("v")
-    picked = (
-        _tag(values, br).withColumn("rk", F.row_number().over(w) - 1)
-        .join(F.broadcast(wanted_rows), ["_t", "rk"]).select("_t", "rk", "v").collect()
-    )
-    got = {(r["_t"], r["rk"]): r["v"] for r in picked}
-    return {(t["g"], t["k"]): got[(t["b"], t["k"] - t["below"])] for t in tasks}
+        if t["lo"] < t["hi"]:
+            t["b"] = uniq.setdefault((t["g"], t["lo"], t["hi"]), len(uniq))
+    got = {}
+    if uniq:
+        br = _brackets_frame(spark, [(key[0], b, key[1], key[2]) for key, b in uniq.items()])
+        rows = sorted({(t["b"], t["k"] - t["below"]) for t in tasks if "b" in t})
+        wanted_rows = spark.createDataFrame(rows, "_t int, rk long")
+        picked = (
+            _ranked(_tag(values, br)).join(F.broadcast(wanted_rows), "_t")
+            .filter((F.col("rk") >= F.col("_upto") - F.col("_c")) & (F.col("rk") < F.col("_upto")))
+            .select("_t", "rk", "v").collect()
+        )
+        got = {(r["_t"], r["rk"]): r["v"] for r in picked}
+    return {(t["g"], t["k"]): got[(t["b"], t["k"] - t["below"])] if "b" in t else t["lo"] for t in tasks}
+
+
+def _ranked(tagged: DataFrame) -> DataFrame:
+    """(_t, v, _c, _upto): distinct values per bracket (ties collapse before the shuffle),
+    their counts and running counts; a bracket holds at most ``max_inside`` rows."""
+    w = Window.partitionBy("_t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return tagged.groupBy("_t", "v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(w))
 
 
 def grouped_percentiles(df: DataFrame, value: str, group: str | None, fractions: Sequence[float],
                         groups: Sequence[str] | None = None, max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY) -> dict:
-    """{(group_key, fraction): percentile} for every group (or the given ones); None for empty groups.
-
-    A group whose count is at most ``max_inside`` uses Spark's exact ``percentile``
-    aggregate directly (its buffer is then bounded by the checked count); larger
-    groups go through the bracketed order statistics.
-    """
+    """{(group_key, fraction): percentile} for every group (or the given ones); None for empty groups."""
     values = _values(df, value, group)
     counts = _counts(values)
     keys = list(groups) if groups is not None else list(counts)
     out: dict = {(key, p): None for key in keys for p in fractions}
-    small = [k for k in keys if 0 < counts.get(k, 0) <= max_inside]
-    big = [k for k in keys if counts.get(k, 0) > max_inside]
-    if small:
-        fr = [float(p) for p in fractions]
-        for r in values.filter(F.col("_g").isin(small)).groupBy("_g").agg(F.percentile("v", fr).alias("q")).collect():
-            for p, q in zip(fractions, r["q"]):
-                out[(r["_g"], p)] = q
-    if big:
-        wanted: dict = {}
-        plan = {}
-        for key in big:
-            n = counts[key]
-            for p in fractions:
-                r = (n - 1) * float(p)
-                lo, hi = math.floor(r), math.ceil(r)
-                plan[(key, p)] = (lo, hi, r)
-                wanted.setdefault(key, []).extend([lo, hi])
-        stats = grouped_order_statistics(df, value, group, wanted, counts=counts, max_inside=max_inside, accuracy=accuracy)
-        for (key, p), (lo, hi, r) in plan.items():
-            a, b = stats[(key, lo)], stats[(key, hi)]
-            out[(key, p)] = a + (b - a) * (r - lo)
+    wanted: dict = {}
+    plan = {}
+    for key in keys:
+        n = counts.get(key, 0)
+        for p in fractions if n else ():
+            r = (n - 1) * float(p)
+            lo, hi = math.floor(r), math.ceil(r)
+            plan[(key, p)] = (lo, hi, r)
+            wanted.setdefault(key, []).extend([lo, hi])
+    stats = grouped_order_statistics(df, value, group, wanted, counts=counts, max_inside=max_inside, accuracy=accuracy)
+    for (key, p), (lo, hi, r) in plan.items():
+        a, b = stats[(key, lo)], stats[(key, hi)]
+        out[(key, p)] = a if a == b else a + (b - a) * (r - lo)
     return out
 
 
@@ -199,23 +201,8 @@ def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def percentile_columns(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
                        max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY) -> dict:
-    """{(column, fraction): percentile} for many columns at once.
-
-    When every column's (checked) non-null, non-NaN count is at most
-    ``max_inside``, one wide aggregation with Spark's exact ``percentile`` does
-    all columns in a single pass (bounded buffers); otherwise the columns are
-    unpivoted to (column, value) and bracketed together.
-    """
-    def clean(c):
-        v = F.col(f"`{c}`").cast("double")
-        return F.when(~F.isnan(v), v)
-
-    counts = df.agg(*[F.count(clean(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if all(counts[f"n{i}"] <= max_inside for i in range(len(cols))):
-        fr = [float(p) for p in fractions]
-        row = df.agg(*[F.percentile(clean(c), fr).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {(c, p): (row[f"q{i}"][j] if counts[f"n{i}"] else None)
-                for i, c in enumerate(cols) for j, p in enumerate(fractions)}
+    """{(column, fraction): percentile} for many columns at once, as (column, value)
+    rows that are aggregated where they are read."""
     return grouped_percentiles(unpivot_values(df, cols), "_v", "_col", fractions, groups=list(cols),
                                max_inside=max_inside, accuracy=accuracy)
 

@@ -29,11 +29,26 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def find_run(uploads: DataFrame, runs: DataFrame, run_id: Column | None = None) -> DataFrame:
-    """Per upload: the requested (or latest) run, or status no_run."""
-    lr = latest_runs(runs).select("upload_id", "run_id", "threshold")
-    return uploads.select("upload_id").join(lr, "upload_id", "left").select(
-        "upload_id", "run_id", F.when(F.col("run_id").isNull(), "no_run").otherwise("ok").alias("status")
+def find_run(uploads: DataFrame, runs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(upload_id, run_id, status) of the requested or else the latest run.
+
+    ``wanted``: (upload_id, run_id) requests, a null run_id meaning the latest;
+    None asks for the latest run of every upload.  A run counts only under its
+    own upload.  Status ``ok``, ``no_run`` or ``no_upload``.
+    """
+    if wanted is None:
+        wanted = uploads.select("upload_id", F.lit(None).cast("long").alias("run_id"))
+    latest = latest_runs(runs).select("upload_id", F.col("run_id").alias("_latest"))
+    own = runs.select("upload_id", "run_id", F.lit(True).alias("_own"))
+    known = uploads.select("upload_id", F.lit(True).alias("_known"))
+    asked = (
+        wanted.select("upload_id", "run_id").join(known, "upload_id", "left")
+        .join(latest, "upload_id", "left").join(own, ["upload_id", "run_id"], "left")
+    )
+    found = F.when(F.col("run_id").isNull(), F.col("_latest")).when(F.col("_own"), F.col("run_id"))
+    return asked.select(
+        "upload_id", found.alias("run_id"),
+        F.when(F.col("_known").isNull(), "no_upload").when(found.isNull(), "no_run").otherwise("ok").alias("status"),
     )
 
 

@@ -16,7 +16,8 @@ from flowlens.plans import bindings as B
 from flowlens.plans.q_prep import FEATS, KEY, _medians
 from flowlens.operators.quantiles import exact_percentiles
 
-TINY = S.rule_vae(4, [3], 2)
+WIDTH = 64  # components of an embedding, all scored
+TINY = S.rule_vae(WIDTH, [3], 2)
 WIDE_W, WIDE_B = S.rule_layer(8, 64, 0)
 ALPHA = 0.05
 
@@ -30,9 +31,9 @@ def _lin(w, b, inputs, i):
 
 
 def tiny_sql_views() -> str:
-    """CTE ``tiny`` over embeddings: vec_id, label, x0..x3, mu0..1, lv0..1, y0..3 (the network in SQL)."""
+    """CTE ``tiny`` over embeddings: vec_id, label, x0.., mu0..1, lv0..1, y0.. (the network in SQL)."""
     m = TINY
-    xs = [f"x{i}" for i in range(4)]
+    xs = [f"x{i}" for i in range(WIDTH)]
     w, b = m["enc"][0]
     hs = [f"h{i}" for i in range(w.shape[0])]
     wm, bm = m["mu"]
@@ -42,13 +43,13 @@ def tiny_sql_views() -> str:
     wo, bo = m["out"]
     mus = [f"mu{i}" for i in range(wm.shape[0])]
     return ",\n".join([
-        "tv AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4)) + " FROM embeddings)",
+        "tv AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(WIDTH)) + " FROM embeddings)",
         "t1 AS (SELECT *, " + ", ".join(f"greatest({_lin(w, b, xs, i)}, 0.0) AS {hs[i]}" for i in range(len(hs))) + " FROM tv)",
         "t2 AS (SELECT *, " + ", ".join(f"{_lin(wm, bm, hs, i)} AS mu{i}" for i in range(len(mus)))
         + ", " + ", ".join(f"{_lin(wl, bl, hs, i)} AS lv{i}" for i in range(len(mus))) + " FROM t1)",
         "t3 AS (SELECT *, " + ", ".join(f"greatest({_lin(wd, bd, mus, i)}, 0.0) AS {gs[i]}" for i in range(len(gs))) + " FROM t2)",
-        "t4 AS (SELECT *, " + ", ".join(f"{_lin(wo, bo, gs, i)} AS y{i}" for i in range(4)) + " FROM t3)",
-        "tiny AS (SELECT *, (" + " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(4)) + ") / 4.0 AS recon_error, "
+        "t4 AS (SELECT *, " + ", ".join(f"{_lin(wo, bo, gs, i)} AS y{i}" for i in range(WIDTH)) + " FROM t3)",
+        "tiny AS (SELECT *, (" + " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(WIDTH)) + ") / " + f"{float(WIDTH)!r}" + " AS recon_error, "
         "-0.5 * (" + " + ".join(f"(1.0 + lv{i} - mu{i} * mu{i} - exp(lv{i}))" for i in range(len(mus))) + ") AS kl FROM t4)",
     ])
 
@@ -76,8 +77,7 @@ def net_sql_views(model: dict, src: str, inputs: list[str], keep: list[str], pre
 
 
 def _tiny_scored(spark, sf, latent=False, xhat=False):
-    v = B.vectors(spark, sf).withColumn("x4", F.slice("x", 1, 4))
-    return S.vae_score(v, TINY, "x4", ["vec_id", "label", "x4"], latent=latent, xhat=xhat)
+    return S.vae_score(B.vectors(spark, sf), TINY, "x", ["vec_id", "label", "x"], latent=latent, xhat=xhat)
 
 
 def q_vae_score(spark, sf):
@@ -120,7 +120,7 @@ SELECT vec_id, round((recon_error - mr) / sr + 0.05 * (kl - mk) / sk, 6) AS scor
 def q_residual_topk(spark, sf):
     s = _tiny_scored(spark, sf, xhat=True)
     theta = exact_percentiles(s.filter(F.col("label") == 0), "reconstruction_error", [0.99])[0]
-    r = S.residual_topk(s, "x4", "x_hat", theta, 2)
+    r = S.residual_topk(s, "x", "x_hat", theta, 2)
     return r.select(
         "vec_id", F.round("margin", 6).alias("margin"),
         F.col("_top")[0]["i"].alias("top1_feature"), F.round(F.col("_top")[0]["r"], 6).alias("top1_residual"),
@@ -131,7 +131,7 @@ def q_residual_topk(spark, sf):
 SQL_RESIDUAL_TOPK = "WITH " + tiny_sql_views() + """,
 th AS (SELECT quantile_cont(recon_error, 0.99) AS theta FROM tiny WHERE label = 0),
 rs AS (SELECT vec_id, recon_error - theta AS margin,
-              list_sort([""" + ", ".join(f"{{'r': abs(x{i} - y{i}), 'k': {-i}}}" for i in range(4)) + """], 'DESC') AS srt
+              list_sort([""" + ", ".join(f"{{'r': abs(x{i} - y{i}), 'k': {-i}}}" for i in range(WIDTH)) + """], 'DESC') AS srt
        FROM tiny CROSS JOIN th)
 SELECT vec_id, round(margin, 6) AS margin, CAST(-srt[1].k AS INTEGER) AS top1_feature, round(srt[1].r, 6) AS top1_residual,
        CAST(-srt[2].k AS INTEGER) AS top2_feature, round(srt[2].r, 6) AS top2_residual FROM rs"""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from flowlens.operators import results as R
 from flowlens.plans import bindings as B
 from flowlens.plans.views_sql import STORE, with_views
-from flowlens.session import broadcast_if_small
 from flowlens.sources import result_store as S
 
 PAGE, PAGE_SIZE = 2, 2
@@ -38,6 +37,32 @@ def q_find_run(spark, sf):
     return R.find_run(st["uploads"], st["runs"])
 
 
+def q_find_given_run(spark, sf):
+    """G2 with requests: every run under its own upload and under the next one, the latest, and an unknown upload."""
+    st = _st(spark, sf)
+    own = st["runs"].select("upload_id", "run_id")
+    wanted = (
+        own.unionByName(own.select((F.col("upload_id") + 1).alias("upload_id"), "run_id"))
+        .unionByName(st["uploads"].select("upload_id", F.lit(None).cast("long").alias("run_id")))
+    )
+    return R.find_run(st["uploads"], st["runs"], wanted)
+
+
+SQL_FIND_GIVEN_RUN = with_views("""
+, wanted AS (
+  SELECT upload_id, run_id FROM runs UNION ALL SELECT upload_id + 1, run_id FROM runs
+  UNION ALL SELECT upload_id, NULL FROM uploads
+), found AS (
+  SELECT w.upload_id, CASE WHEN w.run_id IS NULL THEN l.run_id ELSE r.run_id END AS run_id,
+         u.upload_id IS NOT NULL AS known
+  FROM wanted w LEFT JOIN latest l ON l.upload_id = w.upload_id
+  LEFT JOIN runs r ON r.upload_id = w.upload_id AND r.run_id = w.run_id
+  LEFT JOIN uploads u ON u.upload_id = w.upload_id
+)
+SELECT upload_id, run_id, CASE WHEN NOT known THEN 'no_upload' WHEN run_id IS NULL THEN 'no_run' ELSE 'ok' END AS status
+FROM found""", STORE, _LATEST)
+
+
 SQL_FIND_RUN = with_views("""
 SELECT u.upload_id, l.run_id, CASE WHEN l.run_id IS NULL THEN 'no_run' ELSE 'ok' END AS status
 FROM uploads u LEFT JOIN latest l ON u.upload_id = l.upload_id""", STORE, _LATEST)
@@ -126,7 +151,7 @@ CROSS JOIN (SELECT CAST(count(run_id) AS BIGINT) AS analyzed_uploads,
 def q_overview_histogram(spark, sf):
     st = _st(spark, sf)
     lr = R.latest_runs(st["runs"]).select("run_id")
-    p = st["predictions"].join(broadcast_if_small(lr), "run_id", "left_semi").withColumn("_all", F.lit(1))
+    p = st["predictions"].join(lr, "run_id", "left_semi").withColumn("_all", F.lit(1))
     return R.histogram(p, ["_all"]).drop("_all")
 
 
@@ -384,6 +409,7 @@ SELECT * FROM (
 QUERIES = {
     "g1_latest_runs": (q_latest_runs, SQL_LATEST_RUNS),
     "g2_find_run": (q_find_run, SQL_FIND_RUN),
+    "g2_find_given_run": (q_find_given_run, SQL_FIND_GIVEN_RUN),
     "g3_results_page": (q_results_page, SQL_RESULTS_PAGE),
     "g4_top_anomalies": (q_top_anomalies, SQL_TOP_ANOMALIES),
     "g5_histogram30": (q_histogram30, SQL_HISTOGRAM30),

@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # unset: local runs and tests only
         configured = tempfile.mkdtemp(prefix="flowlens-ckpt-")
     sc.setCheckpointDir(configured)
@@ -66,14 +68,3 @@ def scratch_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
         path = f"{path}/{uuid.uuid4().hex}"
     return path
 
-
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint only behind a checked row count (one small counting job);
-    above the bound the planner / AQE choose the join strategy."""
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

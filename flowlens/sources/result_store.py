@@ -17,11 +17,13 @@ metadata table never sees a partial upload or run.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordering import ordered_scan
-from flowlens.session import broadcast_if_small
 
 
 class StoreError(RuntimeError):
@@ -171,12 +173,12 @@ def delete_upload(store: dict[str, DataFrame], victims: DataFrame) -> dict[str,
     """Remove uploads and, by cascade, their rows, runs and predictions (left-anti joins).
 
     Raises when none of the victims exists.  Write the result back with
-    ``commit_tables`` (dynamic partition overwrite on a partitioned store).
+    ``commit_tables`` and read it with ``read_committed``.
     """
     found = store["uploads"].join(victims, "upload_id", "left_semi").count()
     if found == 0:
         raise StoreError("upload not found")
-    v = broadcast_if_small(victims.select("upload_id").distinct())
+    v = victims.select("upload_id").distinct()
     return {name: df.join(v, "upload_id", "left_anti") for name, df in store.items()}
 
 
@@ -238,5 +240,37 @@ def constraint_violations(store: dict[str, DataFrame]) -> DataFrame:
 
 
 def commit_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write a new version of every table under ``root`` (readers switch after all are written)."""
-    return {name: _write(df, f"{root}/{name}") for name, df in tables.items()}
+    """Write every table to a new version folder, then add the version to the log.
+
+    The log entry is the only switch: until it is written readers see the
+    former version, whose files are never touched, and a failed attempt leaves
+    an unreferenced folder.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    last = committed_version(spark, root)
+    version = f"{root}/version={uuid.uuid4().hex}"
+    paths = {}
+    for name, df in tables.items():
+        paths[name] = f"{version}/{name}"
+        df.write.parquet(paths[name])
+    entry = [((last["seq"] if last else 0) + 1, version, sorted(tables))]
+    spark.createDataFrame(entry, "seq long, path string, tables array<string>").coalesce(1).write.mode("append").parquet(f"{root}/log")
+    return paths
+
+
+def committed_version(spark, root: str):
+    """The newest log entry, or None before the first commit."""
+    try:
+        return spark.read.parquet(f"{root}/log").orderBy(F.col("seq").desc(), "path").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def read_committed(spark, root: str) -> dict[str, DataFrame]:
+    """The tables of the newest committed version."""
+    last = committed_version(spark, root)
+    if last is None:
+        raise StoreError(f"nothing committed under {root}")
+    return {name: spark.read.parquet(f"{last['path']}/{name}") for name in last["tables"]}

@@ -87,3 +87,12 @@ def test_histogram_value_at_max_goes_to_last_bin(spark):
     df = spark.createDataFrame([(1, 0.0, 0), (1, 3.0, 1)], "run_id int, reconstruction_error double, prediction int")
     rows = {r["bucket"]: r for r in R.histogram(df, ["run_id"]).collect()}
     assert rows[30]["anomaly"] == 1 and rows[1]["normal"] == 1
+
+
+def test_auc_of_billions(spark, monkeypatch):
+    from flowlens.operators import evaluate as EV
+
+    groups = spark.createDataFrame([(0.9, 4_000_000_000, 0), (0.1, 0, 4_000_000_000)], "score double, pos long, neg long")
+    monkeypatch.setattr(EV, "score_groups", lambda *a: groups)
+    r = EV.auc_ap(groups).first()
+    assert (r["roc_auc"], r["pr_auc"]) == (1.0, 1.0)

@@ -42,3 +42,35 @@ def test_grouped_and_column_percentiles(spark):
     idx = np.arange(3000)
     assert abs(per[("g2", 0.5)] - np.percentile(a[idx % 3 == 0], 50)) < 1e-9
     assert abs(per[("g1", 0.5)] - np.percentile(a[idx % 3 != 0], 50)) < 1e-9
+
+
+def test_ties_never_reach_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import quantiles as Q
+
+    # 90 % zeros: the final window sees distinct values only
+    df = spark.range(20000).select(F.when(F.col("id") % 10 != 0, 0.0).otherwise(F.col("id") * 1.0).alias("x"))
+    seen, ranked = [], Q._ranked
+
+    def spy(tagged):
+        out = ranked(tagged)
+        seen.append(max([r["n"] for r in out.groupBy("_t").count().withColumnRenamed("count", "n").collect()], default=0))
+        return out
+
+    Q._ranked = spy
+    try:
+        got = exact_percentiles(df, "x", [0.0, 0.25, 0.5, 0.9, 0.95, 1.0], max_inside=500, accuracy=1000)
+    finally:
+        Q._ranked = ranked
+    vals = np.array([0.0 if i % 10 else float(i) for i in range(20000)])
+    assert np.allclose(got, np.percentile(vals, [0, 25, 50, 90, 95, 100]))
+    assert all(n <= 500 for n in seen)
+
+
+def test_two_values_narrow(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(F.when(F.col("id") < 2500, -1.0).otherwise(float("inf")).alias("x"))
+    assert order_statistics(df, "x", [0, 2499, 2500, 4999], max_inside=10) == {
+        0: -1.0, 2499: -1.0, 2500: float("inf"), 4999: float("inf")}

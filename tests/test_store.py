@@ -97,3 +97,29 @@ def test_severity_counts_keep_zero_levels(spark):
     preds = spark.createDataFrame([(2, 10, 0, 3.5, 1)], "run_id long, upload_id long, row_index long, reconstruction_error double, prediction int")
     got = {r["severity"]: r["n"] for r in R.severity_counts(preds, _runs(spark)).filter("run_id = 2").collect()}
     assert got == {"critical": 1, "high": 0, "medium": 0, "low": 0}
+
+
+def test_find_run_by_id_and_status(spark):
+    runs = _runs(spark)
+    up = runs.first()["upload_id"]
+    ids = sorted(r["run_id"] for r in runs.filter(f"upload_id = {up}").collect())
+    uploads = spark.createDataFrame([(up,), (777,)], "upload_id long")
+    asked = [(up, i) for i in ids] + [(up, None), (up, 999), (777, None), (888, None), (888, ids[0])]
+    got = [(r["upload_id"], r["run_id"], r["status"]) for r in
+           R.find_run(uploads, runs, spark.createDataFrame(asked, "upload_id long, run_id long")).collect()]
+    assert {(up, i, "ok") for i in ids} | {(up, None, "no_run"), (777, None, "no_run"), (888, None, "no_upload")} == set(got)
+    assert len(got) == len(asked) and sum(s == "ok" for *_, s in got) == len(ids) + 1
+
+
+def test_commit_keeps_the_old_version_until_the_switch(spark, tmp_path):
+    root = str(tmp_path / "store")
+    with pytest.raises(S.StoreError):
+        S.read_committed(spark, root)
+    S.commit_tables({"rows": spark.range(5).toDF("upload_id")}, root)
+    rows = S.read_committed(spark, root)["rows"]
+    S.commit_tables({"rows": rows.filter("upload_id > 2")}, root)  # reads what it replaces
+    assert S.read_committed(spark, root)["rows"].count() == 2
+    bad = rows.selectExpr("raise_error('stop') AS upload_id")
+    with pytest.raises(Exception, match="stop"):
+        S.commit_tables({"rows": bad}, root)
+    assert S.read_committed(spark, root)["rows"].count() == 2

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Memo, as_bytes, mix64, slices
+from flowlens.llm.common import as_bytes, mix64, slices
 
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -88,6 +88,7 @@ class ItemIndex:
             if len(words) >= p.min_words:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
                 self.items.append((item_id, ids))
+        self.words = [frozenset(ids) for _, ids in self.items]
         #: 0 stands beyond the end, 1 for any word that no item has
         size = len(self.vocabulary) + 2
         self.pairs = np.zeros(1 << 20, bool)
@@ -182,7 +183,10 @@ class ItemIndex:
             allowed = self._allowed(m)
             lo = max(int(begins[doc]), at - allowed)
             hi = min(int(ends[doc]), at + m + 2 * allowed)
-            edits, end = edit_distance_within(item, ids[lo:hi].tolist())
+            near = ids[lo:hi].tolist()
+            if sum(map(self.words[k].__contains__, near)) < m - allowed:
+                continue  # fewer common words than any match has
+            edits, end = edit_distance_within(item, near)
             if edits <= allowed:
                 best = out[doc].get(k)
                 if best is None or (edits, lo + end) < (best[1], best[3]):
@@ -198,16 +202,11 @@ def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]], p: C
     index = ItemIndex(items, p)
     pad = np.zeros(p.longest_walk + 2, np.int64)
 
-    def number(word: bytes) -> int:
-        bare = word.lower().strip(EDGE)
-        return index.vocabulary.get(bare, 1) if bare else -1
-
-    memo = Memo(number)
+    number = index.vocabulary | {b"": -1}  # nothing but punctuation is no word
     for batch in slices(batches, 512):
         parts = []
         for data in as_bytes(batch):
-            words = data.split()
-            ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+            ids = np.array([number.get(w.strip(EDGE), 1) for w in data.lower().split()], np.int64)
             parts.append(ids[ids >= 0])
         ends = np.cumsum([len(x) for x in parts])
         yield batch, index.matches(np.concatenate([*parts, pad]), ends)

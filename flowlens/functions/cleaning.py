@@ -1,13 +1,16 @@
 """Cleaning expressions: numeric coercion, JSON-safe payloads, canonical labels.
 
-All are column expressions: they fuse into the scan's whole-stage codegen and
-never shuffle.
+All are column expressions and never shuffle; all but the compatibility folding
+of labels (Spark has no built-in for it; callers apply it to the distinct
+labels) fuse into the scan's whole-stage codegen.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,9 +90,19 @@ def json_safe_payload(columns: Sequence[tuple[str, str]] | Sequence[str], dtypes
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+def _compatibility_fold(x: Column) -> Column:
+    """Unicode NFKD (full-width letters, ligatures, no-break spaces become plain ones)."""
+
+    @F.pandas_udf("string")
+    def nfkd(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
+
+    return nfkd(x)
+
+
 def normalise_label_text(x: Column | str) -> Column:
-    """Drop BOM, U+FFFD -> space, en/em dash and minus -> '-', squeeze spaces, trim, lower."""
-    t = F.regexp_replace(_c(x).cast("string"), "\ufeff", "")
+    """NFKD, drop BOM, U+FFFD -> space, en/em dash and minus -> '-', squeeze spaces, trim, lower."""
+    t = F.regexp_replace(_compatibility_fold(_c(x).cast("string")), "\ufeff", "")
     t = F.regexp_replace(t, "\ufffd", " ")
     t = F.regexp_replace(t, "[\u2013\u2014\u2212]", "-")
     t = F.regexp_replace(t, r"\s+", " ")

@@ -8,6 +8,7 @@ window, never a per-threshold pass over the rows.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 import numpy as np
@@ -56,9 +57,23 @@ def score_stats(df: DataFrame, score: str = "score") -> DataFrame:
 # -- D4 / F3 / F4 ---------------------------------------------------------------
 
 def classify(df: DataFrame, theta: float | Column, score: str = "score", out: str = "prediction") -> DataFrame:
-    """prediction = score > theta (strict)."""
-    t = theta if isinstance(theta, Column) else F.lit(float(theta))
-    return df.withColumn(out, (F.col(score) > t).cast("int"))
+    """prediction = score > theta (strict).
+
+    A NaN or infinite score, or a threshold that is not finite and above 0, is
+    an error; a null score has a null prediction.
+    """
+    s, inf = F.col(score).cast("double"), F.lit(math.inf)
+    if isinstance(theta, Column):
+        t = theta.cast("double")
+        bad_theta = t.isNull() | F.isnan(t) | (t <= 0) | (t == inf)
+        t = F.when(bad_theta, F.raise_error(F.lit("threshold must be finite and above 0"))).otherwise(t)
+    elif not (math.isfinite(theta) and theta > 0):
+        raise ValueError(f"threshold must be finite and above 0: {theta}")
+    else:
+        t = F.lit(float(theta))
+    bad = F.isnan(s) | (F.abs(s) == inf)
+    verdict = F.when(bad, F.raise_error(F.lit("score is not finite"))).otherwise((s > t).cast("int"))
+    return df.withColumn(out, verdict)
 
 
 def confusion(df: DataFrame, truth: str = "truth", pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -163,8 +178,18 @@ def threshold_sweep(
     )
 
 
-def select_threshold(sweep: DataFrame, strategy: str, max_fpr: float = 0.07) -> DataFrame:
-    """Pick one sweep row: max F2 (or recall) among fpr <= max_fpr; fallback lowest fpr."""
+def select_threshold(sweep: DataFrame, strategy: str, max_fpr: float = 0.07, val: DataFrame | None = None,
+                     percentile: float = 99.0, score: str = "score") -> DataFrame:
+    """Pick one sweep row: max F2 (or recall) among fpr <= max_fpr; fallback lowest fpr.
+
+    ``fixed_percentile`` takes that percentile of the scores of ``val`` instead.
+    """
+    if strategy == "fixed_percentile":
+        if val is None:
+            raise ValueError("fixed_percentile needs the validation scores")
+        row = (percentile_threshold(val, percentile, score), float(percentile), strategy)
+        chosen = val.sparkSession.createDataFrame([row], "threshold double, percentile double, strategy string")
+        return chosen.withColumn("threshold", F.round("threshold", 6))
     if strategy == "max_f2_under_fpr":
         order = [F.col("f2_score").desc(), F.col("recall").desc(), F.col("fpr").asc()]
     elif strategy == "max_recall_under_fpr":
@@ -180,8 +205,10 @@ def select_threshold(sweep: DataFrame, strategy: str, max_fpr: float = 0.07) ->
 
 # -- F10 / F11 / F12 / F13 / F14 ----------------------------------------------------
 
-def false_negatives(df: DataFrame, key: str, score: str = "score", truth: str = "truth", pred: str = "prediction"):
-    return df.filter((F.col(truth) == 1) & (F.col(pred) == 0)).select(key, score)
+def false_negatives(df: DataFrame, key: str, score: str = "score", truth: str = "truth", pred: str = "prediction",
+                    parts: Sequence[str] = ()) -> DataFrame:
+    """Missed attacks: key, score and the ``parts`` of the score (reconstruction, KL)."""
+    return df.filter((F.col(truth) == 1) & (F.col(pred) == 0)).select(key, score, *parts)
 
 
 def per_label_metrics(df: DataFrame, label: str = "label", score: str = "score",

@@ -389,6 +389,20 @@ def best_epoch_neighbours(history: DataFrame, best: DataFrame, k: int = 5, run:
     )
 
 
+def best_vs_final(history: DataFrame, best: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run: losses at the best and the final epoch, final - best, and val - train gap at both."""
+    at = {"best": F.col("epoch") == F.col("best_epoch"), "final": F.col("epoch") == F.col("final_epoch")}
+    g = history.join(best.select(run, "best_epoch", "final_epoch"), run).groupBy(run, "best_epoch", "final_epoch").agg(
+        *[F.max(F.when(cond, F.col(f"{part}_loss"))).alias(f"{k}_{part}_loss")
+          for k, cond in at.items() for part in ("train", "val")]
+    )
+    return g.select(
+        "*",
+        *[(F.col(f"final_{part}_loss") - F.col(f"best_{part}_loss")).alias(f"delta_{part}_loss") for part in ("train", "val")],
+        *[(F.col(f"{k}_val_loss") - F.col(f"{k}_train_loss")).alias(f"{k}_gap") for k in at],
+    )
+
+
 def history_audit(history: DataFrame, best: DataFrame, warmup: int, patience: int, run: str = "run_id") -> DataFrame:
     """Stored best vs argmin(val_loss) (first on ties), epoch count and a status."""
     g = history.groupBy(run).agg(

@@ -160,6 +160,27 @@ def assert_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return agg.select(F.explode(F.array(*s)).alias("s")).select("s.*")
 
 
+def matrix_checks(df: DataFrame, cols: Sequence[str], expected: int, split: str = "split", label: str = "label",
+                  benign: str = "BENIGN") -> DataFrame:
+    """(check, n_bad): non-finite cells, missing or surplus features, attacks in train / val (one pass)."""
+    cells = [finite_or_null(q(c)).isNull().cast("long") for c in cols]
+    attack = F.coalesce(F.col(label) != benign, F.lit(True)) & F.col(split).isin("train", "val")
+    agg = df.agg(
+        F.coalesce(F.sum(sum(cells, F.lit(0).cast("long"))), F.lit(0)).alias("non_finite_cells"),
+        F.lit(abs(len(cols) - expected)).cast("long").alias("feature_count"),
+        F.coalesce(F.sum(attack.cast("long")), F.lit(0)).alias("attacks_in_train_val"),
+    )
+    s = [F.struct(F.lit(c).alias("check"), F.col(c).alias("n_bad")) for c in agg.columns]
+    return agg.select(F.explode(F.array(*s)).alias("s")).select("s.*")
+
+
+def require_clean(checks: DataFrame) -> None:
+    """Raise if a row of ``matrix_checks`` (three rows) counts a violation."""
+    bad = {r["check"]: r["n_bad"] for r in checks.filter("n_bad > 0").collect()}
+    if bad:
+        raise ValueError(f"feature matrix is not clean: {bad}")
+
+
 def min_max_scale(df: DataFrame, ref: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(x - min) / (max - min) with min/max from ``ref``; a range <= 1e-8 divides by 1."""
     mm = ref.agg(*[x for c in cols for x in (F.min(q(c)).alias(f"_mn_{c}"), F.max(q(c)).alias(f"_mx_{c}"))])

@@ -170,25 +170,42 @@ def global_flows(predictions: DataFrame, runs: DataFrame, uploads: DataFrame, pr
     ).limit(size)
 
 
-def resolve_truth(rows: DataFrame) -> DataFrame:
+def resolve_truth(rows: DataFrame, *extra: Column) -> DataFrame:
     """Per stored row: actual_label (raw text under the first truth key) and actual_binary."""
     v = truth_value("payload")
     return rows.select(
-        "upload_id", "row_index", v.alias("actual_label"), normalise_truth(v, truth_is_text("payload")).alias("actual_binary")
+        "upload_id", "row_index", v.alias("actual_label"), normalise_truth(v, truth_is_text("payload")).alias("actual_binary"),
+        *extra,
     )
 
 
-def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, prediction: str = "all") -> DataFrame:
-    """Export rows for every latest run, with labels, severity, truth and compare cell."""
+def has_source_file(rows: DataFrame) -> bool:
+    """Whether any stored payload names its source file (stops at the first one)."""
+    return bool(rows.filter(F.get_json_object("payload", "$._source_file").isNotNull()).take(1))
+
+
+def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, prediction: str = "all",
+                   sort: str | None = None, source_file: bool = False) -> DataFrame:
+    """Export rows for every latest run, with labels, severity, truth and compare cell.
+
+    ``sort``: ``idx``, ``err_desc`` or ``err_asc`` inside a run (ties by row_index), a
+    range-partitioned sort; None leaves the order open.  ``source_file`` adds
+    ``original_source_file`` (empty where a payload has none).
+    """
+    error = F.col("reconstruction_error")
+    orders = {"idx": [], "err_desc": [error.desc()], "err_asc": [error.asc()]}
+    if sort is not None and sort not in orders:
+        raise ValueError(f"unsupported sort {sort}")
     lr = latest_runs(runs).select("run_id", "threshold")
     p = predictions.join(lr, "run_id")
     if prediction == "anomaly":
         p = p.filter(F.col("prediction") == 1)
     elif prediction == "normal":
         p = p.filter(F.col("prediction") == 0)
-    truth = resolve_truth(rows)
+    named = F.get_json_object("payload", "$._source_file").alias("_source_file")
+    truth = resolve_truth(rows, *([named] if source_file else []))
     j = p.join(truth, ["upload_id", "row_index"], "left")
-    return j.select(
+    out = j.select(
         (F.col("row_index") + 1).alias("flow_no"),
         "run_id",
         "row_index",
@@ -201,7 +218,9 @@ def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, pre
         F.coalesce("actual_label", F.lit("N/A")).alias("actual_label"),
         F.coalesce(F.col("actual_binary").cast("string"), F.lit("N/A")).alias("actual_binary"),
         compare_cell("prediction", "actual_binary").alias("compare_result"),
+        *([F.coalesce("_source_file", F.lit("")).alias("original_source_file")] if source_file else []),
     )
+    return out if sort is None else out.orderBy("run_id", *orders[sort], "row_index")
 
 
 def _fmt_ratio(num: Column, den: Column) -> Column:

@@ -185,7 +185,7 @@ def q_select_threshold(spark, sf):
     sweep = E.threshold_sweep(val, test)
     return E.select_threshold(sweep, "max_f2_under_fpr", 0.07).unionByName(
         E.select_threshold(sweep, "max_recall_under_fpr", 0.07)
-    )
+    ).unionByName(E.select_threshold(sweep, "fixed_percentile", val=val, percentile=THETA_P))
 
 
 SQL_SELECT_THRESHOLD = with_views("""
@@ -195,7 +195,9 @@ SELECT * FROM (
 UNION ALL
 SELECT * FROM (
   SELECT threshold, percentile, 'max_recall_under_fpr' AS strategy FROM pool
-  ORDER BY recall DESC, f2_score DESC, fpr ASC LIMIT 1)""",
+  ORDER BY recall DESC, f2_score DESC, fpr ASC LIMIT 1)
+UNION ALL
+SELECT round(quantile_cont(score, 0.99), 6), CAST(99.0 AS DOUBLE), 'fixed_percentile' FROM scores WHERE split = 'val'""",
     SCORES, _CURVE, _SWEEP,
     """pool AS (
   SELECT * FROM sweep WHERE fpr <= 0.07

@@ -101,6 +101,26 @@ FROM history h JOIN replay r ON h.run_id = r.run_id
 WHERE h.epoch >= greatest(1, r.best_epoch - 5) AND h.epoch <= least(r.final_epoch, r.best_epoch + 5)"""
 
 
+_BEST_FINAL = ["best_train_loss", "best_val_loss", "final_train_loss", "final_val_loss", "delta_train_loss",
+               "delta_val_loss", "best_gap", "final_gap"]
+
+
+def q_best_vs_final(spark, sf):
+    h = history(spark, sf)
+    out = FT.best_vs_final(h, FT.replay_early_stop(h, WARMUP, PATIENCE))
+    return out.select("run_id", "best_epoch", "final_epoch", *[F.round(c, 6).alias(c) for c in _BEST_FINAL])
+
+
+SQL_BEST_VS_FINAL = "WITH " + REPLAY_SQL + """
+SELECT r.run_id, r.best_epoch, r.final_epoch,
+       round(b.train_loss, 6) AS best_train_loss, round(b.val_loss, 6) AS best_val_loss,
+       round(f.train_loss, 6) AS final_train_loss, round(f.val_loss, 6) AS final_val_loss,
+       round(f.train_loss - b.train_loss, 6) AS delta_train_loss, round(f.val_loss - b.val_loss, 6) AS delta_val_loss,
+       round(b.val_loss - b.train_loss, 6) AS best_gap, round(f.val_loss - f.train_loss, 6) AS final_gap
+FROM replay r JOIN history b ON b.run_id = r.run_id AND b.epoch = r.best_epoch
+JOIN history f ON f.run_id = r.run_id AND f.epoch = r.final_epoch"""
+
+
 def q_history_audit(spark, sf):
     h = history(spark, sf)
     return FT.history_audit(h, FT.replay_early_stop(h, WARMUP, PATIENCE), WARMUP, PATIENCE)
@@ -258,5 +278,6 @@ QUERIES = {
     "e5_collapse_verdict": (q_collapse_verdict, None),
     "f18_best_epoch": (q_best_epoch, SQL_BEST_EPOCH),
     "f19_selected_epochs": (q_selected_epochs, SQL_SELECTED_EPOCHS),
+    "f18_best_vs_final": (q_best_vs_final, SQL_BEST_VS_FINAL),
     "f20_history_audit": (q_history_audit, SQL_HISTORY_AUDIT),
 }

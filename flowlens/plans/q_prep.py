@@ -214,6 +214,22 @@ def q_assert_finite(spark, sf):
     return P.assert_finite(P.scale(imp, scaler, FEATS), FEATS)
 
 
+def q_matrix_checks(spark, sf):
+    imp, scaler = _scaled(spark, sf)
+    return P.matrix_checks(P.scale(imp, scaler, FEATS, ["split", "label"]), FEATS, len(FEATS))
+
+
+SQL_MATRIX_CHECKS = with_views(
+    "SELECT 'non_finite_cells' AS \"check\", CAST(sum("
+    + " + ".join(f"CASE WHEN isfinite((i.{c} - m_{c}) / s_{c}) THEN 0 ELSE 1 END" for c in FEATS)
+    + ") AS BIGINT) AS n_bad FROM imputed i CROSS JOIN scaler"
+    " UNION ALL SELECT 'feature_count', CAST(0 AS BIGINT)"
+    " UNION ALL SELECT 'attacks_in_train_val', CAST(count(*) AS BIGINT) FROM imputed"
+    " WHERE split IN ('train', 'val') AND label IS DISTINCT FROM 'BENIGN'",
+    *PREP_VIEWS, _MED_SQL, _IMPUTED_SQL, _SCALER_SQL,
+)
+
+
 SQL_ASSERT_FINITE = with_views(
     " UNION ALL ".join(
         f"SELECT '{c}' AS feature, CAST(sum(CASE WHEN isfinite((i.{c} - m_{c}) / s_{c}) THEN 0 ELSE 1 END) AS BIGINT) AS n_bad "
@@ -333,6 +349,7 @@ QUERIES = {
     "c7_fit_scaler": (q_fit_scaler, SQL_FIT_SCALER),
     "c7_scale": (q_scale, SQL_SCALE),
     "c8_assert_finite": (q_assert_finite, SQL_ASSERT_FINITE),
+    "c8_matrix_checks": (q_matrix_checks, SQL_MATRIX_CHECKS),
     "c9_fixed_batch": (q_fixed_batch, SQL_FIXED_BATCH),
     "c10_min_max_scale": (q_min_max_scale, SQL_MIN_MAX_SCALE),
     "c11_canonical_label": (q_canonical_label, SQL_CANONICAL_LABEL),

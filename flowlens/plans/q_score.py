@@ -117,6 +117,27 @@ st AS (SELECT avg(recon_error) AS mr, CASE WHEN stddev_pop(recon_error) > 0 THEN
 SELECT vec_id, round((recon_error - mr) / sr + 0.05 * (kl - mk) / sk, 6) AS score FROM tiny CROSS JOIN st"""
 
 
+def q_false_negative_parts(spark, sf):
+    s = _tiny_scored(spark, sf, latent=True)
+    val = s.filter(F.col("label") == 0)
+    scored = S.build_scores(val, s, "recon_kl", ALPHA).withColumn("truth", (F.col("label") != 0).cast("int"))
+    # a standardised score is centred on 0, so its threshold may be negative: no error-scale guard here
+    theta = E.percentile_threshold(scored.filter("truth = 0"), 90.0)
+    missed = E.false_negatives(scored.withColumn("prediction", (F.col("score") > theta).cast("int")), "vec_id",
+                               parts=["reconstruction_error", "kl"])
+    return missed.select("vec_id", *[F.round(c, 6).alias(c) for c in ("score", "reconstruction_error", "kl")])
+
+
+SQL_FALSE_NEGATIVE_PARTS = "WITH " + tiny_sql_views() + """,
+st AS (SELECT avg(recon_error) AS mr, CASE WHEN stddev_pop(recon_error) > 0 THEN stddev_pop(recon_error) ELSE 1.0 END AS sr,
+              avg(kl) AS mk, CASE WHEN stddev_pop(kl) > 0 THEN stddev_pop(kl) ELSE 1.0 END AS sk
+       FROM tiny WHERE label = 0),
+sc AS (SELECT vec_id, label, recon_error, kl, (recon_error - mr) / sr + 0.05 * (kl - mk) / sk AS score FROM tiny CROSS JOIN st),
+th AS (SELECT quantile_cont(score, 0.9) AS theta FROM sc WHERE label = 0)
+SELECT vec_id, round(score, 6) AS score, round(recon_error, 6) AS reconstruction_error, round(kl, 6) AS kl
+FROM sc CROSS JOIN th WHERE label <> 0 AND score <= theta"""
+
+
 def q_residual_topk(spark, sf):
     s = _tiny_scored(spark, sf, xhat=True)
     theta = exact_percentiles(s.filter(F.col("label") == 0), "reconstruction_error", [0.99])[0]
@@ -232,6 +253,7 @@ QUERIES = {
     "d1_vae_score": (q_vae_score, SQL_VAE_SCORE),
     "d2_latent": (q_latent, SQL_LATENT),
     "d3_build_scores": (q_build_scores, SQL_BUILD_SCORES),
+    "f10_false_negative_parts": (q_false_negative_parts, SQL_FALSE_NEGATIVE_PARTS),
     "d7_score_upload": (q_score_upload, _score_upload_sql()),
     "d8_residual_topk": (q_residual_topk, SQL_RESIDUAL_TOPK),
     "d9_unit_contributions": (q_unit_contributions, SQL_UNIT_CONTRIBUTIONS),

@@ -68,6 +68,7 @@ def test_truth_key_resolution(spark):
         ("Web Attack \ufffd Brute Force", "Web Attack - Brute Force"), ("Web Attack \u2013 XSS", "Web Attack - XSS"),
         ("Web Attack - Sql Injection", "Web Attack - Sql Injection"), ("\ufeffHeartbleed", "Heartbleed"),
         ("Infiltration", "Infiltration"), ("something else", None),
+        ("\uff24\uff24\uff4f\uff33", "DDoS"), ("Web\u00a0Attack \u2212 XSS", "Web Attack - XSS"), (None, None),
     ],
 )
 def test_canonical_label(spark, raw, expected):

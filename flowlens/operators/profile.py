@@ -9,8 +9,11 @@ by the bracketed exact routine of ``operators.quantiles`` (unpivot to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,36 +228,77 @@ def clipped_by_label(df: DataFrame, col: str, label: str = "label", bins: int =
     return _bin(vals.join(F.broadcast(bounds), label), [label], bins)
 
 
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy", "bad"]
+
+
+def _pair_moments(shift: np.ndarray, scale: np.ndarray):
+    """Arrow batches -> one row of pairwise-complete moments per column pair and partition.
+
+    Values are shifted and scaled by the global mean and deviation, so the sums
+    don't cancel; ``bad`` counts non-finite cells.
+    """
+    k = len(shift)
+    left, right = np.triu_indices(k, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, bad, s1, s2, s12 = (np.zeros((k, k)) for _ in range(5))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            have = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            wild = have & ~np.isfinite(x)
+            x = np.where(have & ~wild, (x - shift) / scale, 0.0)
+            m = have.astype(np.float64)
+            n, bad = n + m.T @ m, bad + wild.T.astype(np.float64) @ m
+            s1, s2, s12 = s1 + x.T @ m, s2 + (x * x).T @ m, s12 + x.T @ x
+            for i in range(k):  # spread of column i over the rows that column j has
+                both = have & have[:, i : i + 1]
+                low[i] = np.minimum(low[i], np.where(both, x[:, i : i + 1], np.inf).min(axis=0))
+                high[i] = np.maximum(high[i], np.where(both, x[:, i : i + 1], -np.inf).max(axis=0))
+        at, ta = (left, right), (right, left)
+        values = [n[at], s1[at], s1[ta], s2[at], s2[ta], s12[at], bad[at] + bad[ta], low[at], high[at], low[ta], high[ta]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *[pa.array(v, pa.float64()) for v in values]],
+            ["i", "j", *_SUMS, "lox", "hix", "loy", "hiy"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], top: int = 40) -> DataFrame:
     """Pearson correlation with pairwise-complete rows, over the ``top`` highest-variance columns.
 
-    Pass 1: sample variance per column (selection) and, per pair, min/max of
-    both sides over the pairwise-complete rows; pass 2: ``corr`` only for pairs
-    where both sides vary (a constant side gives NULL instead of a division by zero).
+    Pass 1: mean and sample variance per column (selection); pass 2: one row of
+    moments per pair and partition, merged by ``groupBy``.  The plan grows with the
+    columns, not with the pairs.  A side that is constant over the pair's rows,
+    or a non-finite cell, gives NULL.
     """
-    both = lambda a, b, x: F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), x)
-    allpairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    first = df.agg(
-        *[F.var_samp(F.col(f"`{c}`").cast("double")).alias(c) for c in cols],
-        *[x for a, b in allpairs for x in (
-            (F.min(both(a, b, F.col(f"`{a}`").cast("double"))) < F.max(both(a, b, F.col(f"`{a}`").cast("double")))).alias(f"va|{a}|{b}"),
-            (F.min(both(a, b, F.col(f"`{b}`").cast("double"))) < F.max(both(a, b, F.col(f"`{b}`").cast("double")))).alias(f"vb|{a}|{b}"),
-        )],
-    ).first()
-    keep = sorted([c for c in cols if first[c] is not None], key=lambda c: -first[c])[:top]
-    keep = [c for c in cols if c in keep]  # stable column order
-    pairs = [(a, b) for i, a in enumerate(keep) for b in keep[i + 1:]]
-    if not pairs:
+    first = df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{k}|{c}")
+                     for c in cols for k, f in (("v", F.var_samp), ("m", F.avg))]).first()
+    variance = {c: first[f"v|{c}"] for c in cols if first[f"v|{c}"] is not None}
+    ranked = sorted(variance, key=lambda c: -variance[c] if np.isfinite(variance[c]) else np.inf)[:top]
+    keep = [c for c in cols if c in ranked]  # stable column order
+    if len(keep) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    varies = {(a, b): bool(first[f"va|{a}|{b}"]) and bool(first[f"vb|{a}|{b}"]) for a, b in pairs}
-    agg = df.agg(*[
-        (F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")) if varies[(a, b)]
-         else F.lit(None).cast("double")).alias(f"{a}|{b}")
-        for a, b in pairs
-    ])
-    s = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs]
-    out = agg.select(F.explode(F.array(*s)).alias("s")).select("s.*")
-    return out.select("col_a", "col_b", F.round(F.when(~F.isnan("corr"), F.col("corr")), 6).alias("corr"))
+    spread = np.array([variance[c] for c in keep])
+    usable = np.isfinite(spread) & (spread > 0)
+    shift = np.where(usable, np.array([first[f"m|{c}"] for c in keep], dtype=np.float64), 0.0)
+    scale = np.sqrt(np.where(usable, spread, 1.0))
+    fields = ", ".join(f"{c} double" for c in [*_SUMS, "lox", "hix", "loy", "hiy"])
+    moments = (
+        df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(keep)])
+        .mapInArrow(_pair_moments(shift, scale), f"i int, j int, {fields}")
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.min(c).alias(c) for c in ("lox", "loy")],
+             *[F.max(c).alias(c) for c in ("hix", "hiy")])
+    )
+    vx, vy = (F.col("n") * F.col(f"s{a}{a}") - F.col(f"s{a}") * F.col(f"s{a}") for a in "xy")
+    varies = (F.col("bad") == 0) & (F.col("lox") < F.col("hix")) & (F.col("loy") < F.col("hiy")) & (vx > 0) & (vy > 0)
+    corr = F.when(varies, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy)))
+    names = F.array(*map(F.lit, keep))
+    return moments.select(F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"),
+                          F.round(corr, 6).alias("corr"))
 
 
 def quality_gates(df: DataFrame, cols: Sequence[str], source: str, label: str, benign_source: str,

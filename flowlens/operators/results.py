@@ -67,13 +67,14 @@ def page_by_group(df: DataFrame, group: str, order: list[Column], page: int, siz
 
 
 def results_page(predictions: DataFrame, rows: DataFrame, runs: DataFrame, page: int, size: int) -> DataFrame:
-    """Page of every latest run: predictions join rows, ordered by row_index."""
+    """Page of every latest run, ordered by row_index: predictions are paged first and only
+    the rows of the page meet their payload (every prediction has its row: A14 checks it)."""
     if not 1 <= size <= 100 or page < 1:
         raise ValueError("page >= 1 and 1 <= size <= 100")
     lr = latest_runs(runs).select("run_id", "threshold")
     p = predictions.join(lr, "run_id", "left_semi")
-    items = p.join(rows, ["upload_id", "row_index"], "inner")
-    return page_by_group(items, "run_id", [F.col("row_index")], page, size)
+    paged = page_by_group(p, "run_id", [F.col("row_index")], page, size)
+    return paged.join(rows, ["upload_id", "row_index"], "inner")
 
 
 def top_anomalies(predictions: DataFrame, runs: DataFrame, k: int = 100) -> DataFrame:

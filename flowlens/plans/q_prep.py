@@ -11,6 +11,7 @@ from flowlens.plans import bindings as B
 from flowlens.plans.q_profile import BENIGN_SOURCE, SPLIT_KEY, split_sql
 from flowlens.plans.views_sql import FLOWS, with_views
 from flowlens.session import scratch_dir
+from flowlens.sources.tables import table
 
 FEATS = ["quantity", "price", "discount", "tax", "line", "qty_num"]
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -278,6 +279,36 @@ SQL_CANONICAL_LABEL = with_views(
     "FROM flows GROUP BY label", FLOWS,
 )
 
+# fixed values: raw label spellings as found in files and their canonical names
+RAW_LABELS = [
+    ("BENIGN ", "BENIGN"), ("\ufeffHeartbleed", "Heartbleed"), ("DoS  Hulk", "DoS Hulk"),
+    ("DoS Slowhttptest", "DoS Slowhttptest"), ("dos slowloris", "DoS slowloris"), ("DoS GoldenEye", "DoS GoldenEye"),
+    ("\uff24\uff24\uff4f\uff33", "DDoS"), ("Infiltration", "Infiltration"), ("Bot", "Bot"), ("PortScan", "PortScan"),
+    ("FTP-Patator", "FTP-Patator"), ("SSH\u2013Patator", "SSH-Patator"),
+    ("Web Attack \ufffd Brute Force", "Web Attack - Brute Force"), ("Web Attack \u2014 XSS", "Web Attack - XSS"),
+    ("Web Attack - Sql Injection", "Web Attack - Sql Injection"), ("robot", None), (None, None),
+]
+
+
+def q_canonical_rules(spark, sf):
+    """Every order line gets one of the raw spellings by its order key; their distinct values are mapped."""
+    raw = F.element_at(F.array(*[F.lit(r).cast("string") for r, _ in RAW_LABELS]),
+                       (F.col("l_orderkey") % len(RAW_LABELS) + 1).cast("int"))
+    counts = table(spark, sf, "lineitem").select(raw.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("label", canonical_label("label").alias("canonical"), "n")
+
+
+def _text(x):
+    return "CAST(NULL AS VARCHAR)" if x is None else f"'{x}'"
+
+
+SQL_CANONICAL_RULES = (
+    "WITH names(k, label, canonical) AS (VALUES "
+    + ", ".join(f"({k}, {_text(r)}, {_text(c)})" for k, (r, c) in enumerate(RAW_LABELS))
+    + f") SELECT label, canonical, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN names ON l_orderkey % {len(RAW_LABELS)} = k "
+    "GROUP BY ALL"
+)
+
 _HASH_SQL = ("CAST(('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
              "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '42')), 1, 15)) AS BIGINT)")
 
@@ -353,6 +384,7 @@ QUERIES = {
     "c9_fixed_batch": (q_fixed_batch, SQL_FIXED_BATCH),
     "c10_min_max_scale": (q_min_max_scale, SQL_MIN_MAX_SCALE),
     "c11_canonical_label": (q_canonical_label, SQL_CANONICAL_LABEL),
+    "c11_canonical_rules": (q_canonical_rules, SQL_CANONICAL_RULES),
     "c12_sample_per_label": (q_sample_per_label, SQL_SAMPLE_PER_LABEL),
     "c12_sample_report": (q_sample_report, SQL_SAMPLE_REPORT),
     "c13_mixed_batch": (q_mixed_batch, SQL_MIXED_BATCH),

@@ -1,7 +1,8 @@
 """VAE fitting as a Spark job and training-history analytics.
 
-E1 is data-parallel local SGD: the training rows stay in their partitions
-(checkpointed once); every epoch is one ``mapInArrow`` job in which each task
+E1 is data-parallel local SGD: the training rows are dealt to shards of a given
+size by a hash of the row and checkpointed once, so the fitted model does
+not depend on the cluster's cores; every epoch is one ``mapInArrow`` job in which each task
 runs minibatch Adam on its own rows starting from the broadcast parameters
 and emits its parameter vector as rows (position, value x rows).  A
 ``groupBy(position)`` aggregation averages the vectors weighted by rows, so the
@@ -180,6 +181,27 @@ def _batches_of(rb_iter, feature: str):
         yield flat.reshape(rb.num_rows, -1)
 
 
+def _buffers(batches, feature: str, rows: int, rng):
+    """The rows in blocks of about ``rows``, shuffled inside a block."""
+    held, n = [], 0
+    for x in _batches_of(batches, feature):
+        held.append(x)
+        n += len(x)
+        if n >= rows:
+            block = np.concatenate(held)
+            yield block[rng.permutation(n)]
+            held, n = [], 0
+    if held:
+        block = np.concatenate(held)
+        yield block[rng.permutation(n)]
+
+
+def _minibatches(batches, feature: str, cfg: dict, rng):
+    for block in _buffers(batches, feature, cfg["buffer_rows"], rng):
+        for at in range(0, len(block), cfg["batch_size"]):
+            yield block[at:at + cfg["batch_size"]]
+
+
 def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0: int, beta: float, cfg: dict,
               seed: int, feature: str):
     def run(batches):
@@ -187,17 +209,12 @@ def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0
 
         pid = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, pid])
-        xs = list(_batches_of(batches, feature))
-        if not xs:
-            return
-        x_all = np.concatenate(xs)
-        x_all = x_all[rng.permutation(len(x_all))]
         p, m, v, t = vec.copy(), m0.copy(), v0.copy(), step0
-        b1, b2, lr, wd, clip, bs = 0.9, 0.999, cfg["lr"], cfg["weight_decay"], cfg["clip"], cfg["batch_size"]
+        b1, b2, lr, wd, clip = 0.9, 0.999, cfg["lr"], cfg["weight_decay"], cfg["clip"]
         sl = sr = sk = 0.0
-        nb = 0
-        for s in range(0, len(x_all), bs):
-            xb = x_all[s:s + bs]
+        nb = rows = 0
+        for xb in _minibatches(batches, feature, cfg, rng):
+            rows += len(xb)
             model = unflatten(p, like)
             eps = rng.standard_normal((len(xb), model["mu"][0].shape[0]))
             loss, recon, kl, g = loss_and_grad(model, xb, eps, beta, cfg.get("free_bits"))
@@ -213,7 +230,9 @@ def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0
             vh = v / (1 - b2**t)
             p = p - lr * mh / (np.sqrt(vh) + 1e-8)
             sl, sr, sk, nb = sl + loss, sr + recon, sk + kl, nb + 1
-        n = float(len(x_all))
+        if not rows:
+            return
+        n = float(rows)
         k = len(p)
         yield pa.RecordBatch.from_arrays(
             [
@@ -221,7 +240,7 @@ def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0
                 pa.array(np.concatenate([[np.nan], p * n])),
                 pa.array(np.concatenate([[np.nan], m * n])),
                 pa.array(np.concatenate([[np.nan], v * n])),
-                pa.array(np.full(k + 1, len(x_all), dtype=np.int64)),
+                pa.array(np.full(k + 1, rows, dtype=np.int64)),
                 pa.array(np.concatenate([[nb], np.zeros(k)]).astype(np.int64)),
                 pa.array(np.concatenate([[sl], np.zeros(k)])),
                 pa.array(np.concatenate([[sr], np.zeros(k)])),
@@ -258,25 +277,39 @@ def _eval_fn(model: dict, beta: float, batch_size: int, feature: str, free_bits:
 DEFAULTS = {
     "lr": 1e-3, "weight_decay": 1e-5, "clip": 5.0, "batch_size": 1024, "epochs": 100,
     "beta_start": 0.0, "beta_end": 1.0, "warmup": 30, "schedule": "linear", "patience": 10, "free_bits": None,
+    "buffer_rows": 65536,  # rows that a training task holds and shuffles at a time
 }
+SHARD_ROWS = 8192  # rows of a local-SGD shard
+
+
+def training_rows(df: DataFrame, feature: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``feature`` as ``_x``, dealt by a hash of the row to one partition per ``shard_rows`` rows, in hash order,
+    checkpointed."""
+    x = df.select(F.col(feature).cast("array<double>").alias("_x"))
+    shards = max(1, -(-x.count() // shard_rows))
+    return x.repartition(shards, F.xxhash64("_x")).sortWithinPartitions(F.xxhash64("_x")).checkpoint(eager=True)
 
 
 def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int], latent: int,
-            seed: int = 42, **cfg_over) -> tuple[dict, DataFrame]:
+            seed: int = 42, shard_rows: int = SHARD_ROWS, **cfg_over) -> tuple[dict, DataFrame]:
     """Fit a VAE on ``train[feature]`` (array<double>); returns (best model, epoch history DataFrame).
 
+    ``shard_rows`` sets how many local-SGD shards there are: by the rows, whatever the cores.
+    """
+    return fit_prepared(training_rows(train, feature, shard_rows), training_rows(val, feature, shard_rows), hidden, latent,
+                        seed, **cfg_over)
+
+
+def fit_prepared(tr: DataFrame, va: DataFrame, hidden: Sequence[int], latent: int, seed: int = 42,
+                 **cfg_over) -> tuple[dict, DataFrame]:
+    """``vae_fit`` on frames that ``training_rows`` made, so that several fits share them.
+
     Early stopping follows the warm-up rule of E2: during warm-up the best
     checkpoint tracks validation reconstruction; at warm-up + 1 it resets to
     the validation total; afterwards patience counts on the validation total.
     """
     cfg = dict(DEFAULTS, **cfg_over)
-    spark = train.sparkSession
-    tr = train.select(F.col(feature).cast("array<double>").alias("_x"))
-    cores = spark.sparkContext.defaultParallelism
-    if tr.rdd.getNumPartitions() < cores:  # local SGD needs every core to hold a share of the rows
-        tr = tr.repartition(cores)
-    tr = tr.checkpoint(eager=True)
-    va = val.select(F.col(feature).cast("array<double>").alias("_x")).checkpoint(eager=True)
+    spark = tr.sparkSession
     in_dim = len(tr.first()["_x"])
     model = init_vae(in_dim, hidden, latent, seed)
     vec = flatten(model)
@@ -292,7 +325,7 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
         # parameter averaging as a distributed aggregation: one row per parameter reaches the driver
         agg = out.groupBy("pos").agg(
             (F.sum("wp") / F.sum("n")).alias("p"), (F.sum("wm") / F.sum("n")).alias("m"), (F.sum("wv") / F.sum("n")).alias("v"),
-            F.sum("n_batches").alias("nb"), F.max("n_batches").alias("max_nb"), F.sum("sum_loss").alias("sl"),
+            F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.max("n_batches").alias("max_nb"), F.sum("sum_loss").alias("sl"),
             F.sum("sum_recon").alias("sr"), F.sum("sum_kl").alias("sk"),
         ).collect()
         stats = next(r for r in agg if r["pos"] == -1)
@@ -304,11 +337,11 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
         step += int(stats["max_nb"] or 0)
         model = unflatten(vec, model)
         ev = va.mapInArrow(_eval_fn(model, beta, cfg["batch_size"], "_x", cfg.get("free_bits")), EVAL_SCHEMA).agg(
-            F.sum("n_batches").alias("nb"), F.sum("sum_loss").alias("l"), F.sum("sum_recon").alias("r"), F.sum("sum_kl").alias("k")
+            F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.sum("sum_loss").alias("l"), F.sum("sum_recon").alias("r"), F.sum("sum_kl").alias("k")
         ).first()
         vnb = ev["nb"] or 1
         rec = {
-            "epoch": epoch, "beta": beta,
+            "epoch": epoch, "beta": beta, "n_train": int(stats["n"]), "n_val": int(ev["n"] or 0),
             "train_loss": stats["sl"] / nb, "train_recon": stats["sr"] / nb, "train_kl": stats["sk"] / nb,
             "val_loss": (ev["l"] or 0.0) / vnb, "val_recon": (ev["r"] or 0.0) / vnb, "val_kl": (ev["k"] or 0.0) / vnb,
         }
@@ -330,7 +363,7 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
             break
     for r in rows:
         r["is_best"] = r["epoch"] == best_epoch
-    hist = spark.createDataFrame(rows, "epoch int, beta double, train_loss double, train_recon double, train_kl double, "
+    hist = spark.createDataFrame(rows, "epoch int, beta double, n_train long, n_val long, train_loss double, train_recon double, train_kl double, "
                                        "val_loss double, val_recon double, val_kl double, seconds double, is_best boolean")
     return unflatten(best_vec, model), hist
 

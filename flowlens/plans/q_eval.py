@@ -337,17 +337,15 @@ FROM (SELECT CASE WHEN (mx - mn) / 80 > 0 THEN least(80, CAST(floor((score - mn)
 
 def q_kde(spark, sf):
     val, _ = _split(spark, sf)
-    return E.kde_grid(val, "score", 0.995, 500, 0.3, 2048)
+    return E.kde_grid(val, "score", 0.995, 500, 0.3)
 
 
 SQL_KDE = with_views("""
-SELECT CAST(g AS INTEGER) AS g, round(x, 6) AS x, round(sum(k * exp(-0.5 * ((x - c) / h) * ((x - c) / h)) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density
+SELECT CAST(g AS INTEGER) AS g, round(x, 6) AS x,
+       round(sum(exp(-0.5 * ((x - score) / h) * ((x - score) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density
 FROM (SELECT range AS g, range * (cap / 499) AS x FROM range(500), cap) grid,
-     (SELECT mn + (pb + 0.5) * ((mx - mn) / 2048) AS c, k, n, sd * 0.3 AS h
-      FROM (SELECT CASE WHEN (mx - mn) / 2048 > 0 THEN least(2047, CAST(floor((score - mn) / ((mx - mn) / 2048)) AS INTEGER)) ELSE 0 END AS pb,
-                   count(*) AS k
-            FROM kept, (SELECT min(score) AS mn, max(score) AS mx FROM kept) s0 GROUP BY 1) b,
-           (SELECT min(score) AS mn, max(score) AS mx, count(*) AS n, stddev_samp(score) AS sd FROM kept) st) centres
+     (SELECT k.score, st.n, st.h
+      FROM kept k, (SELECT count(*) AS n, stddev_samp(score) * 0.3 AS h FROM kept) st) points
 GROUP BY g, x""", SCORES, _CAP)
 
 

@@ -8,14 +8,20 @@ IEEE operations, identical in both engines).  Replay parameters for this
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import fit as FT
 from flowlens.operators import prep as P
 from flowlens.operators import score as S
 from flowlens.plans import bindings as B
+from flowlens.plans.q_prep import FEATS, KEY, PREP_VIEWS, _medians
 from flowlens.plans.q_score import TINY, WIDTH, tiny_sql_views
+from flowlens.plans.views_sql import with_views
 from flowlens.sources.tables import table
 
 WARMUP, PATIENCE = 10, 5
@@ -197,42 +203,80 @@ def _vector_splits(spark, sf):
 FIT_CFG = {"epochs": 4, "warmup": 2, "patience": 10, "batch_size": 256}
 
 
+def _epoch_facts(model, hist):
+    """What does not depend on the random draws of a fit: rows, annealing weight, size, and that every loss is finite."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in METRICS[:6]]
+    return hist.select("epoch", F.round("beta", 6).alias("beta"), "n_train", "n_val",
+                       F.lit(FT.n_params(model)).cast("long").alias("n_params"), reduce(and_, finite).alias("losses_finite"))
+
+
+def _size_sql(inputs: int, hidden: list[int], latent: int) -> int:
+    """Parameters of a network: encoder, two latent heads, mirrored decoder."""
+    down, up = [inputs, *hidden], [latent, *hidden[::-1], inputs]
+    dense = [*zip(down, down[1:]), (hidden[-1], latent), (hidden[-1], latent), *zip(up, up[1:])]
+    return sum((i + 1) * o for i, o in dense)
+
+
+_VECTOR_COUNTS = """vector_counts AS (
+  SELECT count(*) - CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_train,
+         CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_val, max(len(embedding)) AS width
+  FROM embeddings WHERE label = 0)"""
+
+
 def q_vae_fit(spark, sf):
-    """E1 + E3: fit on benign vectors (full width) by local SGD; the epoch history."""
+    """E1 + E3: fit on benign vectors (full width) by local SGD; the facts of every epoch."""
     tr, va = _vector_splits(spark, sf)
-    _model, hist = FT.vae_fit(tr, va, "x", [16, 8], 4, seed=7, **FIT_CFG)
-    return hist.select("epoch", "beta", "train_loss", "train_recon", "train_kl", "val_loss", "val_recon", "val_kl", "is_best")
+    return _epoch_facts(*FT.vae_fit(tr, va, "x", [16, 8], 4, seed=7, **FIT_CFG))
+
+
+SQL_VAE_FIT = f"""WITH {_VECTOR_COUNTS}
+SELECT CAST(e AS INTEGER) AS epoch, round(least(1.0, e / 2.0), 6) AS beta, n_train, n_val,
+       CAST({_size_sql(WIDTH, [16, 8], 4)} AS BIGINT) AS n_params, true AS losses_finite
+FROM vector_counts, range(1, 5) t(e)"""
 
 
 FLOW_FIT = {"epochs": 3, "warmup": 30, "patience": 10, "batch_size": 1024}  # the reference batch size
 
 
-def q_vae_fit_flows(spark, sf):
+def fit_flows(spark, sf):
     """E1 on the prepared flow features (train split, imputed and scaled on train only), the reference
-    architecture [128, 64] -> 16; history with training throughput in rows per second."""
-    from flowlens.plans.q_prep import FEATS, KEY, _medians
-
+    architecture [128, 64] -> 16; the model and its history with seconds per epoch."""
     s, med = _medians(spark, sf)
     imp = P.impute(s, med, FEATS, KEY + ["split"])
     scaler = P.fit_scaler(imp.filter(F.col("split") == "train"), FEATS)
     x = P.scale(imp, scaler, FEATS, ["split"]).withColumn("x", F.array(*FEATS))
     tr, va = x.filter(F.col("split") == "train"), x.filter(F.col("split") == "val")
-    n = tr.count()
-    _model, hist = FT.vae_fit(tr, va, "x", [128, 64], 16, seed=7, **FLOW_FIT)
-    return hist.select("epoch", "train_loss", "val_loss", "val_recon", "seconds",
-                       (F.lit(n) / F.col("seconds")).alias("rows_per_second"))
+    return FT.vae_fit(tr, va, "x", [128, 64], 16, seed=7, **FLOW_FIT)
+
+
+def q_vae_fit_flows(spark, sf):
+    """E1 on the flow features; the facts of every epoch."""
+    return _epoch_facts(*fit_flows(spark, sf))
+
+
+SQL_VAE_FIT_FLOWS = with_views(f"""
+SELECT CAST(e AS INTEGER) AS epoch, round(e / 30.0, 6) AS beta, n_train, n_val,
+       CAST({_size_sql(len(FEATS), [128, 64], 16)} AS BIGINT) AS n_params, true AS losses_finite
+FROM (SELECT CAST(count(*) FILTER (split = 'train') AS BIGINT) AS n_train,
+             CAST(count(*) FILTER (split = 'val') AS BIGINT) AS n_val FROM split_flows) c, range(1, 4) t(e)""", *PREP_VIEWS)
+
+SWEEP = [([16, 8], 4), ([8], 2), ([32, 16], 8)]
 
 
 def q_config_sweep(spark, sf):
-    """Several widths / latent sizes on the same checkpointed data; one result row per config."""
-    tr, va = _vector_splits(spark, sf)
-    rows = []
-    for hidden, latent in [([16, 8], 4), ([8], 2), ([32, 16], 8)]:
-        model, hist = FT.vae_fit(tr, va, "x", hidden, latent, seed=7, **dict(FIT_CFG, epochs=2))
-        best = hist.filter("is_best").first()
-        tot = hist.agg(F.sum("seconds")).first()[0]
-        rows.append((str(hidden), latent, FT.n_params(model), int(best["epoch"]), float(best["val_loss"]), float(tot)))
-    return spark.createDataFrame(rows, "hidden string, latent int, n_params int, best_epoch int, best_val_loss double, seconds double")
+    """Several widths / latent sizes on the same checkpointed rows; size, rows and epochs per config."""
+    tr, va = (FT.training_rows(x, "x") for x in _vector_splits(spark, sf))
+    parts = []
+    for hidden, latent in SWEEP:
+        facts = _epoch_facts(*FT.fit_prepared(tr, va, hidden, latent, seed=7, **dict(FIT_CFG, epochs=2)))
+        parts.append(facts.groupBy(F.lit(str(hidden)).alias("hidden"), F.lit(latent).alias("latent"), "n_params", "n_train", "n_val").agg(
+            F.max("epoch").alias("epochs"), F.min("losses_finite").alias("losses_finite")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+SQL_CONFIG_SWEEP = f"WITH {_VECTOR_COUNTS}\n" + " UNION ALL ".join(
+    f"SELECT '{hidden}' AS hidden, {latent} AS latent, CAST({_size_sql(WIDTH, hidden, latent)} AS BIGINT) AS n_params, "
+    "n_train, n_val, 2 AS epochs, true AS losses_finite FROM vector_counts" for hidden, latent in SWEEP)
 
 
 def q_collapse_stats(spark, sf):
@@ -269,11 +313,11 @@ def q_collapse_verdict(spark, sf):
 
 
 QUERIES = {
-    "e1_vae_fit": (q_vae_fit, None),
-    "e1_vae_fit_flows": (q_vae_fit_flows, None),
+    "e1_vae_fit": (q_vae_fit, SQL_VAE_FIT),
+    "e1_vae_fit_flows": (q_vae_fit_flows, SQL_VAE_FIT_FLOWS),
     "e2_replay_early_stop": (q_replay, SQL_REPLAY),
     "e3_epoch_history": (q_epoch_history, SQL_EPOCH_HISTORY),
-    "e4_config_sweep": (q_config_sweep, None),
+    "e4_config_sweep": (q_config_sweep, SQL_CONFIG_SWEEP),
     "e5_collapse_stats": (q_collapse_stats, SQL_COLLAPSE_STATS),
     "e5_collapse_verdict": (q_collapse_verdict, None),
     "f18_best_epoch": (q_best_epoch, SQL_BEST_EPOCH),

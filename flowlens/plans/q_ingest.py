@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.cleaning import coerce_numeric, json_safe_payload
 from flowlens.plans import bindings as B
 from flowlens.plans.q_prep import FEATS, KEY, PREP_VIEWS, split_flows
-from flowlens.plans.views_sql import FLOWS, with_views
+from flowlens.plans.views_sql import FLOWS, SCORES, with_views
 from flowlens.session import scratch_dir
 from flowlens.sources import artifacts as AR
 from flowlens.sources import export as EX
@@ -200,7 +200,15 @@ FROM split_flows""", *PREP_VIEWS)
 def q_table_fingerprint(spark, sf):
     """Order-independent fingerprint of the scored table plus the run manifest."""
     s = B.scores(spark, sf)
-    return AR.table_fingerprint(s.select("event_id", "score"), extra={"percentile": 99.0})
+    micros = F.round(F.col("score") * 1_000_000).cast("long").alias("score")
+    return AR.table_fingerprint(s.select("event_id", micros), extra={"percentile": 99.0})
+
+
+SQL_TABLE_FINGERPRINT = with_views("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || coalesce(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), '\\N')), 1, 15) AS BIGINT)) AS VARCHAR)
+         AS fingerprint, CAST(99.0 AS DOUBLE) AS percentile
+FROM scores""", SCORES)
 
 
 def q_export_csv(spark, sf):
@@ -233,6 +241,6 @@ QUERIES = {
     "a8_register_upload": (q_register_upload, SQL_REGISTER_UPLOAD),
     "a10_write_splits": (q_write_splits, SQL_WRITE_SPLITS),
     "a11_prep_metadata": (q_prep_metadata, SQL_PREP_METADATA),
-    "a16_table_fingerprint": (q_table_fingerprint, None),
+    "a16_table_fingerprint": (q_table_fingerprint, SQL_TABLE_FINGERPRINT),
     "a17_export_csv": (q_export_csv, SQL_EXPORT_CSV),
 }

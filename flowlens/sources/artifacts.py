@@ -47,8 +47,12 @@ def prep_metadata(df: DataFrame, dropped: Sequence[str], impute: str = "median",
 
 
 def table_fingerprint(df: DataFrame, extra: dict | None = None) -> DataFrame:
-    """Order-independent fingerprint: exact sum of per-row xxhash64 (as decimal, no overflow) and the count."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    """Order-independent fingerprint: the count and the exact sum of 60 bits of each row's md5 (as decimal).
+
+    A row's text is its columns cast to string, NULL as ``\\N``, joined by ``|``.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     out = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("fingerprint"))
     for k, v in (extra or {}).items():
         out = out.withColumn(k, F.lit(v))

@@ -96,3 +96,16 @@ def test_auc_of_billions(spark, monkeypatch):
     monkeypatch.setattr(EV, "score_groups", lambda *a: groups)
     r = EV.auc_ap(groups).first()
     assert (r["roc_auc"], r["pr_auc"]) == (1.0, 1.0)
+
+
+def test_kde_uses_every_score(spark):
+    v = np.random.default_rng(5).gamma(2.0, 3.0, 500)
+    got = E.kde_grid(spark.createDataFrame([(float(x),) for x in v], "score double").repartition(4), "score", points=50).orderBy("g").collect()
+    cap = np.percentile(v, 99.5)
+    k = v[v <= cap]
+    h = 0.3 * k.std(ddof=1)
+    grid = np.arange(50) * cap / 49
+    want = np.exp(-0.5 * ((grid[:, None] - k) / h) ** 2).sum(1) / (len(k) * h * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose([r["density"] for r in got], want, atol=2e-6)
+    same = E.kde_grid(spark.createDataFrame([(1.0,), (1.0,)], "score double"), "score", points=5).collect()
+    assert len(same) == 5 and all(r["density"] is None for r in same)

@@ -42,6 +42,15 @@ def test_local_sgd_reduces_loss(spark):
     assert sum(r["is_best"] for r in h) == 1
 
 
+def test_fit_does_not_depend_on_the_input_partitions(spark):
+    rows = [(np.random.default_rng(i).normal(size=3).tolist(),) for i in range(300)]
+    fits = [FT.vae_fit(d, d, "x", [4], 2, seed=3, shard_rows=100, epochs=2, batch_size=32, buffer_rows=64)
+            for d in (spark.createDataFrame(rows, "x array<double>").repartition(n) for n in (1, 5))]
+    a, b = (h.orderBy("epoch").collect() for _, h in fits)
+    assert [r["n_train"] for r in a] == [300, 300] == [r["n_train"] for r in b]
+    np.testing.assert_allclose([r["val_loss"] for r in a], [r["val_loss"] for r in b], rtol=1e-9)
+
+
 def test_replay_rule(spark):
     # warm-up 3, patience 2: best by val_recon in warm-up, reset at epoch 4, stop after 2 non-improving epochs
     rows = [("r", e, vl, vr, 0.0) for e, vl, vr in [

@@ -10,7 +10,6 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW_ROWS_ONLY = {"e1_vae_fit", "e4_config_sweep"}
 
 
 def _norm(v):
@@ -46,7 +45,7 @@ def test_query_matches_oracle(spark, con, name):
     assert _rows(df.columns, srows) == _rows(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW_ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_query_runs(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
 

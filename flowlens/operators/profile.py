@@ -302,8 +302,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], top: int = 40) -> Dat
 
 
 def quality_gates(df: DataFrame, cols: Sequence[str], source: str, label: str, benign_source: str,
-                  expected_files: int, benign: str = "BENIGN") -> DataFrame:
-    """One row per gate: (gate, value, pass)."""
+                  expected_files: int, benign: str = "BENIGN", file_columns: DataFrame | None = None) -> DataFrame:
+    """One row per gate: (gate, value, pass).  ``file_columns`` (one row per file with ``n_cols``) adds the
+    gate that every file has the same number of columns."""
     is_benign = F.col(label) == benign
     in_bs = F.col(source) == benign_source
     a = df.agg(
@@ -325,6 +326,9 @@ def quality_gates(df: DataFrame, cols: Sequence[str], source: str, label: str, b
         ("benign_source_nulls", F.col("bs_nulls").cast("double"), F.lit(True)),
         ("benign_source_infs", F.col("bs_infs").cast("double"), F.lit(True)),
     ]
+    if file_columns is not None:
+        a = a.crossJoin(file_columns.agg(F.countDistinct("n_cols").alias("n_widths")))
+        gates.append(("same_column_count", F.col("n_widths").cast("double"), F.col("n_widths") <= 1))
     s = [F.struct(F.lit(g).alias("gate"), v.alias("value"), p.alias("passed")) for g, v, p in gates]
     return a.select(F.explode(F.array(*s)).alias("s")).select("s.*")
 

@@ -70,11 +70,7 @@ SELECT quantity, discount, tax, label, min(row_index) AS row_index FROM idx GROU
 def q_normalise_headers(spark, sf):
     """A2: each source folder's raw header cells and their stripped, de-duplicated names."""
     root = B.flow_files(spark, sf)
-    rows = []
-    for p in FF.list_csv_files(spark, root):
-        raw = FF.read_header(spark, p)
-        rows.append((p, raw, FF.normalise_headers(raw)))
-    df = spark.createDataFrame(rows, "_file string, raw array<string>, names array<string>")
+    df = FF.read_headers(spark, FF.list_csv_files(spark, root))
     return df.groupBy(_source_of("_file").alias("source")).agg(F.first("raw").alias("raw"), F.first("names").alias("names"))
 
 
@@ -142,26 +138,29 @@ SQL_JSON_PAYLOAD = with_views(
 
 
 def q_register_upload(spark, sf):
-    """Register the benign source's CSV files as one upload per file; metadata rows (sha256 of the bytes)."""
+    """Register every CSV file as one upload; per source folder the rows that metadata and store hold."""
     root = B.flow_files(spark, sf)
     store = scratch_dir(spark, "uploads", unique=True)
-    paths = [p for p in FF.list_csv_files(spark, root) if "source=src_1995/" in p]
-    for i, p in enumerate(paths):
-        RS.register_upload(spark, p, 9_000_000 + i, store)
-    up = spark.read.parquet(f"{store}/uploads")
+    paths = FF.list_csv_files(spark, root)
+    up = RS.register_uploads(spark, {p: 9_000_000 + i for i, p in enumerate(paths)}, store)
     rows = spark.read.parquet(f"{store}/rows").groupBy("upload_id").agg(
         F.count(F.lit(1)).alias("stored_rows"), F.max("row_index").alias("max_row_index")
     )
-    return up.join(rows, "upload_id").select(
-        "upload_id", "row_count", "col_count", "stored_rows", "max_row_index", (F.length("file_sha256") == 64).alias("has_sha256")
+    return up.join(rows, "upload_id").groupBy(_source_of("path").alias("source")).agg(
+        F.sum("row_count").alias("row_count"), F.max("columns").alias("columns"), F.max("col_count").alias("col_count"),
+        F.sum("stored_rows").alias("stored_rows"),
+        F.min((F.col("max_row_index") == F.col("stored_rows") - 1) & (F.length("file_sha256") == 64)).alias("complete"),
     )
 
 
-# one file per source folder while a source holds fewer than ROWS_PER_FILE rows (all test scale factors)
 SQL_REGISTER_UPLOAD = with_views("""
-SELECT CAST(9000000 AS BIGINT) AS upload_id, CAST(count(*) AS BIGINT) AS row_count, 6 AS col_count,
-       CAST(count(*) AS BIGINT) AS stored_rows, CAST(count(*) - 1 AS BIGINT) AS max_row_index, true AS has_sha256
-FROM flows WHERE source_file = 'src_1995'""", FLOWS)
+SELECT source_file AS source, CAST(count(*) AS BIGINT) AS row_count,
+       CASE WHEN source_file = 'src_2000' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label', 'Extra']
+            WHEN source_file = 'src_2001' THEN ['Quantity', 'Price', 'Discount', 'Tax', 'Label']
+            ELSE ['Quantity', 'Price', 'Discount', 'Tax', 'Line', 'Label'] END AS columns,
+       CASE WHEN source_file = 'src_2000' THEN 7 WHEN source_file = 'src_2001' THEN 5 ELSE 6 END AS col_count,
+       CAST(count(*) AS BIGINT) AS stored_rows, true AS complete
+FROM flows GROUP BY source_file""", FLOWS)
 
 
 def q_write_splits(spark, sf):

@@ -10,6 +10,7 @@ from flowlens.operators import prep as P
 from flowlens.operators import profile as PR
 from flowlens.plans import bindings as B
 from flowlens.plans.views_sql import FLOWS, FLOWS_DIRTY, with_views
+from flowlens.sources import flow_files as FF
 from flowlens.sources.tables import table
 
 PROFILE_COLS = ["quantity", "price", "discount", "tax", "line", "qty_num", "const_col", "sparse_col"]
@@ -192,7 +193,9 @@ SQL_CORRELATION = with_views(_union([
 
 
 def q_quality_gates(spark, sf):
-    return PR.quality_gates(profiled(spark, sf), PROFILE_COLS, "source_file", "label", BENIGN_SOURCE, EXPECTED_FILES)
+    heads = FF.read_headers(spark, FF.list_csv_files(spark, B.flow_files(spark, sf)))
+    return PR.quality_gates(profiled(spark, sf), PROFILE_COLS, "source_file", "label", BENIGN_SOURCE, EXPECTED_FILES,
+                            file_columns=heads.select(F.size("names").alias("n_cols")))
 
 
 def _gates_sql() -> str:
@@ -208,7 +211,9 @@ UNION ALL SELECT 'benign_in_many_files', CAST(count(DISTINCT CASE WHEN label = '
                  count(DISTINCT CASE WHEN label = 'BENIGN' THEN source_file END) > 1 FROM profiled
 UNION ALL SELECT 'no_all_null_column', CAST({allnull} AS DOUBLE), {allnull} = 0 FROM profiled
 UNION ALL SELECT 'benign_source_nulls', CAST(sum(CASE WHEN source_file = 'src_1995' THEN {nulls} ELSE 0 END) AS DOUBLE), true FROM profiled
-UNION ALL SELECT 'benign_source_infs', CAST(sum(CASE WHEN source_file = 'src_1995' THEN {infs} ELSE 0 END) AS DOUBLE), true FROM profiled""",
+UNION ALL SELECT 'benign_source_infs', CAST(sum(CASE WHEN source_file = 'src_1995' THEN {infs} ELSE 0 END) AS DOUBLE), true FROM profiled
+UNION ALL SELECT 'same_column_count', CAST(count(DISTINCT width) AS DOUBLE), count(DISTINCT width) <= 1
+          FROM (SELECT CASE source_file WHEN 'src_2000' THEN 7 WHEN 'src_2001' THEN 5 ELSE 6 END AS width FROM profiled) w""",
         PROFILED_SQL)
 
 

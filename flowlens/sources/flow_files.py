@@ -1,22 +1,21 @@
 """Multi-file CSV flow sources (A1-A4) and the file-order row index.
 
-Files are read in sorted path order.  Every file's header line is read on its
-own through the Hadoop FileSystem API (the CSV reader would otherwise apply
-the first file's header to all files), header names are stripped and made unique
-pandas-style, files with the same header are read together by one
-``spark.read.csv`` with an all-string schema, and the groups are unioned by
-name (missing columns -> NULL).  Each row carries its file path, the byte
-offset of its split and a position inside the split, which together give the
-original file order without a global sort.
+Files are read in sorted path order.  One text scan finds every file's header
+line (the CSV reader would otherwise apply the first file's header to all
+files); header names are stripped and made unique by column expressions, files
+with the same header are read together by one ``spark.read.csv`` with an
+all-string schema, and the groups are unioned by name (missing columns -> NULL).
+Each row carries its file path, the byte offset of its split and a position
+inside the split, which together give the original file order without a global
+sort.
 """
 
 from __future__ import annotations
 
-import csv
-import io
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,74 +37,78 @@ def list_csv_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
-def normalise_headers(names: Sequence[str]) -> list[str]:
-    """Strip names; a repeated name gets ``.1``, ``.2`` ... (pandas style)."""
-    seen: dict[str, int] = {}
-    out = []
-    for raw in names:
-        n = raw.strip()
-        if n in seen:
-            k = seen[n]
-            cand = f"{n}.{k}"
-            while cand in seen:
-                k += 1
-                cand = f"{n}.{k}"
-            seen[n] = k + 1
-            seen[cand] = 1
-            out.append(cand)
-        else:
-            seen[n] = 1
-            out.append(n)
-    return out
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as ``_metadata.file_path`` gives it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Raw header cells of one file: its first line read through the Hadoop FileSystem
-    (no Spark job, works on any cluster filesystem), CSV-parsed, BOM removed."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    if line is None:
-        return []
-    return next(csv.reader(io.StringIO(line.lstrip("\ufeff"))))
+def header_cells(line: Column) -> Column:
+    """Raw cells of a CSV header line: quotes resolved, byte order mark removed."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "^\ufeff", "")),
+                                 F.lit(r',(?:"(?:[^"]|"")*"|[^,]*)'), F.lit(0))
+    bare = F.transform(cells, lambda c: F.substr(c, F.lit(2)))
+    return F.transform(bare, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(
+        F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def read_csv_with_order(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Union of the files (all-string columns) with order columns _file, _block, _pos and _source_file."""
-    headers = {p: read_header(spark, p) for p in paths}
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(headers[p]), []).append(p)
-    frames = []
-    all_cols: list[str] = []
-    for raw, files in groups.items():
-        names = normalise_headers(raw)
-        for n in names:
-            if n not in all_cols:
-                all_cols.append(n)
+def normalise_headers(raw: Column) -> Column:
+    """Stripped names; a repeated name gets the first free suffix of ``.1``, ``.2`` ..."""
+    def add(names: Column, cell: Column) -> Column:
+        base = F.regexp_replace(cell, r"^\s+|\s+$", "")
+        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda k: F.concat(base, F.lit("."), k.cast("string")))
+        free = F.filter(tries, lambda t: ~F.array_contains(names, t))
+        return F.array_append(names, F.when(F.array_contains(names, base), F.element_at(free, 1)).otherwise(base))
+
+    return F.aggregate(raw, F.array().cast("array<string>"), add)
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """A2: one row per file that has a first line: _file, raw cells, normalised names.
+
+    One distributed text scan; the first line of a file is the one at the
+    smallest position of the split that starts at byte 0.  Empty files have no row.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"), "value")
+    first = lines.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_pos").alias("line"))
+    raw = first.select("_file", header_cells(F.col("line")).alias("raw"))
+    return raw.select("_file", "raw", normalise_headers(F.col("raw")).alias("names"))
+
+
+def csv_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+    """The files as one all-string frame per distinct header, in order of the first path that has it.
+
+    Columns: the normalised names and _file, _source_file, _block, _pos.  The
+    driver receives the headers and the paths, which the readers list anyway.
+    """
+    groups = read_headers(spark, paths).groupBy("names").agg(F.array_sort(F.collect_list("_file")).alias("files")).collect()
+    out = []
+    for g in sorted(groups, key=lambda g: g["files"][0]):
+        names = g["names"]
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
         df = (
             spark.read.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-            .schema(schema).csv(list(files))
+            .schema(schema).csv(g["files"])
         )
-        frames.append(df.select(
+        out.append((names, df.select(
             *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_name").alias("_source_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"),
-        ))
-    if not frames:
+        )))
+    return out
+
+
+def read_csv_with_order(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Union of the files (all-string columns) with order columns _file, _block, _pos and _source_file."""
+    groups = csv_groups(spark, paths) if paths else []
+    if not groups:
         raise ValueError("no CSV files")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out, all_cols
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for _, df in groups])
+    return out, list(dict.fromkeys(n for names, _ in groups for n in names))
 
 
 def read_flows(spark: SparkSession, root_or_paths: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -121,19 +124,21 @@ def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] =
 
 def file_profile(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> DataFrame:
     """A3: rows and header columns per file, and whether all files have the same column count."""
-    cols = spark.createDataFrame([(p, len(read_header(spark, p))) for p in paths], "_file string, n_cols int")
+    files = spark.createDataFrame([(qualified(spark, p),) for p in paths], "_file string")
+    cols = files.join(read_headers(spark, paths).select("_file", F.size("names").alias("n_cols")), "_file", "left")
     rows = df.groupBy("_file").agg(F.count(F.lit(1)).alias("n_rows"))
-    j = cols.join(rows, "_file", "left").select("_file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_cols")
+    j = cols.join(rows, "_file", "left").select(
+        "_file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_cols", F.lit(0)).alias("n_cols"))
     consistent = j.agg((F.countDistinct("n_cols") == 1).alias("consistent"), F.sum("n_rows").alias("total_rows"))
     return j.crossJoin(consistent)
 
 
 def schema_diff(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """A4: each file's stripped header against the first file's: missing and extra names."""
-    heads = [(p, [h.strip() for h in read_header(spark, p)]) for p in paths]
-    df = spark.createDataFrame(heads, "_file string, header array<string>")
-    ref = df.orderBy("_file").limit(1).select(F.col("header").alias("ref"))
-    return df.crossJoin(ref).select(
+    heads = read_headers(spark, paths).select(
+        "_file", F.transform("raw", lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")).alias("header"))
+    ref = heads.agg(F.min_by("header", "_file").alias("ref"))
+    return heads.crossJoin(F.broadcast(ref)).select(
         "_file",
         (F.col("header") == F.col("ref")).alias("same"),
         F.array_sort(F.array_except("ref", "header")).alias("missing"),

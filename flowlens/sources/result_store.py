@@ -18,6 +18,7 @@ metadata table never sees a partial upload or run.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -111,42 +112,52 @@ def build_store_from_rows(
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024  # fixed value: upload size cap
 
 
-def register_upload(spark: SparkSession, path: str, upload_id: int, root: str) -> int:
-    """Store one CSV file as an upload: rows first, metadata last.
+def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) -> DataFrame:
+    """Store CSV files (path -> upload id) as uploads, in a fixed number of jobs; returns their metadata.
 
-    Rejects non-.csv names, files over 100 MB and header-only files.  The
-    sha256 of the raw bytes is computed by the ``binaryFile`` source on an
-    executor; the rows are JSON payloads with a dense row index in file order.
+    Every file is checked before anything is stored: .csv name, at most 100 MB
+    (by its length, without reading it), at least one row.  Rows and then metadata
+    replace the folders of their upload ids, so an upload without metadata is not
+    published and another attempt under its id leaves no rows twice.
     """
     from flowlens.functions.cleaning import json_safe_payload
-    from flowlens.sources.flow_files import read_csv_with_order
+    from flowlens.sources.flow_files import csv_groups, qualified, read_headers
 
-    if not path.lower().endswith(".csv"):
+    ids = {qualified(spark, p): i for p, i in uploads.items()}
+    paths = list(ids)
+    if not all(p.lower().endswith(".csv") for p in paths):
         raise StoreError("only .csv files are accepted")
-    meta = (
-        spark.read.format("binaryFile").load(path)
-        .select(F.sha2("content", 256).alias("file_sha256"), "length", "path")
-        .first()
-    )
-    if meta is None:
-        raise StoreError("file not found")
-    if meta["length"] > MAX_UPLOAD_BYTES:
+    if spark.read.format("binaryFile").load(paths).select("length").filter(F.col("length") > MAX_UPLOAD_BYTES).count():
         raise StoreError("file larger than 100 MB")
-    df, columns = read_csv_with_order(spark, [path])
-    indexed = ordered_scan(df, order_cols=["_file", "_pos"], index_col="row_index")
-    rows = indexed.select(
-        F.lit(upload_id).cast("long").alias("upload_id"), "row_index", json_safe_payload(columns).alias("payload")
-    )
-    rows.write.mode("append").parquet(f"{root}/rows")
-    n = spark.read.parquet(f"{root}/rows").filter(F.col("upload_id") == upload_id).count()
-    if n == 0:
+    parts = [df.select("_file", "_block", "_pos", json_safe_payload(names).alias("payload"))
+             for names, df in csv_groups(spark, paths)]
+    if not parts:
         raise StoreError("empty CSV (header only)")
-    upload = spark.createDataFrame(
-        [(upload_id, path.rsplit("/", 1)[-1], n, len(columns), meta["file_sha256"])],
-        "upload_id long, filename string, row_count long, col_count int, file_sha256 string",
-    ).withColumn("created_at", F.localtimestamp().cast("timestamp_ntz"))
-    upload.write.mode("append").parquet(f"{root}/uploads")
-    return n
+    indexed = ordered_scan(reduce(DataFrame.unionByName, parts), order_cols=["_block", "_pos"], group_cols=["_file"],
+                           index_col="row_index")
+    counts = indexed.groupBy("_file").agg(F.count(F.lit(1)).alias("row_count"))
+    if counts.count() < len(paths):
+        raise StoreError("empty CSV (header only)")
+    named = spark.createDataFrame(list(ids.items()), "_file string, upload_id long")
+
+    def replace(df: DataFrame, table: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{root}/{table}")
+
+    replace(indexed.join(named, "_file").select("upload_id", "row_index", "payload"), "rows")
+    digests = spark.read.format("binaryFile").load(paths).select(
+        F.col("path").alias("_file"), F.sha2("content", 256).alias("file_sha256"))
+    columns = read_headers(spark, paths).select("_file", F.col("names").alias("columns"))
+    meta = named.join(counts, "_file").join(columns, "_file").join(digests, "_file").select(
+        "upload_id", F.element_at(F.split("_file", "/"), -1).alias("filename"), F.col("_file").alias("path"), "row_count",
+        F.size("columns").alias("col_count"), "columns", "file_sha256",
+        F.localtimestamp().cast("timestamp_ntz").alias("created_at"))
+    replace(meta, "uploads")
+    return spark.read.parquet(f"{root}/uploads").filter(F.col("upload_id").isin(list(ids.values())))
+
+
+def register_upload(spark: SparkSession, path: str, upload_id: int, root: str) -> int:
+    """Store one CSV file as an upload; returns its number of rows."""
+    return register_uploads(spark, {path: upload_id}, root).first()["row_count"]
 
 
 # ---------------------------------------------------------------------------

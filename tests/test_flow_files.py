@@ -3,9 +3,17 @@
 from flowlens.sources import flow_files as FF
 
 
-def test_normalise_headers_duplicates():
-    assert FF.normalise_headers([" Fwd Header Length", "Fwd Header Length ", "x", "x"]) == [
-        "Fwd Header Length", "Fwd Header Length.1", "x", "x.1"]
+def test_normalise_headers_duplicates(spark, tmp_path):
+    cases = {
+        "a.csv": (' Fwd Header Length,Fwd Header Length ,x,x', ["Fwd Header Length", "Fwd Header Length.1", "x", "x.1"]),
+        "b.csv": ('\ufeffa,a.1,a,"b, ""c""",,a', ["a", "a.1", "a.2", 'b, "c"', "", "a.3"]),
+        "c.csv": (',z,z.1,z,z.1', ["", "z", "z.1", "z.2", "z.1.1"]),
+    }
+    for name, (line, _) in cases.items():
+        (tmp_path / name).write_text(line + "\n" + "1\n" * 50, encoding="utf-8")
+    (tmp_path / "d.csv").write_text("")
+    heads = FF.read_headers(spark, FF.list_csv_files(spark, str(tmp_path))).collect()
+    assert {h["_file"].rsplit("/", 1)[-1]: h["names"] for h in heads} == {n: names for n, (_, names) in cases.items()}
 
 
 def test_read_flows_union_and_order(spark, tmp_path):

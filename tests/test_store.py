@@ -1,5 +1,7 @@
 """Result store: latest runs, pages, deletes, uploads and run validation."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,23 @@ def test_register_upload_guards_and_rows(spark, tmp_path):
         S.register_upload(spark, str(empty), 3, str(tmp_path / "store3"))
 
 
+def test_register_uploads_again_replaces_and_rejects_before_storing(spark, tmp_path):
+    a, b, empty = (tmp_path / n for n in ("a.csv", "b.csv", "empty.csv"))
+    a.write_text("x , y\n1,2\n3,4\n")
+    b.write_text("x\n5\n")
+    empty.write_text("x\n")
+    root = str(tmp_path / "store")
+    with pytest.raises(S.StoreError):
+        S.register_uploads(spark, {str(a): 1, str(empty): 2}, root)
+    assert not (tmp_path / "store").exists()
+    for _ in range(2):
+        up = {r["upload_id"]: r for r in S.register_uploads(spark, {str(a): 1, str(b): 2}, root).collect()}
+    assert (up[1]["columns"], up[1]["row_count"], up[2]["columns"]) == (["x", "y"], 2, ["x"])
+    rows = spark.read.parquet(root + "/rows").orderBy("upload_id", "row_index").collect()
+    assert [(r["upload_id"], r["row_index"]) for r in rows] == [(1, 0), (1, 1), (2, 0)]
+    assert json.loads(rows[2]["payload"]) == {"x": "5"}
+
+
 def test_overview_and_activity_without_runs(spark):
     uploads = spark.createDataFrame([(5, "a.csv", 3, 2, None)], "upload_id long, filename string, row_count long, col_count int, created_at timestamp_ntz")
     runs = spark.createDataFrame([], RUNS)

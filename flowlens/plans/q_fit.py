@@ -8,6 +8,7 @@ IEEE operations, identical in both engines).  Replay parameters for this
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import and_
 
@@ -20,7 +21,7 @@ from flowlens.operators import prep as P
 from flowlens.operators import score as S
 from flowlens.plans import bindings as B
 from flowlens.plans.q_prep import FEATS, KEY, PREP_VIEWS, _medians
-from flowlens.plans.q_score import TINY, WIDTH, tiny_sql_views
+from flowlens.plans.q_score import TINY, WIDTH, _lin, tiny_sql_views
 from flowlens.plans.views_sql import with_views
 from flowlens.sources.tables import table
 
@@ -302,14 +303,48 @@ SELECT round((SELECT stddev_samp(m) FROM (SELECT mu0 AS m FROM tiny UNION ALL SE
 FROM zeroed""")
 
 
+PAIRS = 1000  # fixed value: pairs of latent codes
+
+
+def _uniform(name: str, k: int) -> float:
+    """A number in (0, 1) from 60 bits of an md5, so that SQL can draw the same one."""
+    return (int(hashlib.md5(f"42|{name}|{k}".encode()).hexdigest()[:15], 16) + 0.5) / 2.0**60
+
+
+def _normal_codes(n: int) -> np.ndarray:
+    """``n`` codes of two independent standard normal numbers (Box-Muller)."""
+    u, v = (np.array([_uniform(name, k) for k in range(n)]) for name in "ab")
+    r = np.sqrt(-2.0 * np.log(u))
+    return np.stack([r * np.cos(2.0 * np.pi * v), r * np.sin(2.0 * np.pi * v)], axis=1)
+
+
 def q_collapse_verdict(spark, sf):
     """E5 verdict: mu spread and decoder sensitivity on 1,000 pairs of codes drawn from N(0, I)."""
     s = S.vae_score(B.vectors(spark, sf), TINY, "x", ["vec_id"], latent=True)
     mu_std = s.select(F.explode("mu").alias("m")).agg(F.stddev_samp("m")).first()[0] or 0.0
-    codes = np.random.default_rng(42).normal(size=(2, 1000, 2))
-    diff = float(np.abs(S.forward_decoder(TINY, codes[0]) - S.forward_decoder(TINY, codes[1])).mean())
+    codes = _normal_codes(2 * PAIRS)
+    diff = float(np.abs(S.forward_decoder(TINY, codes[::2]) - S.forward_decoder(TINY, codes[1::2])).mean())
     verdict = FT.collapse_verdict(mu_std, diff)
-    return spark.createDataFrame([(float(mu_std), diff, verdict)], "mu_std double, decoder_diff double, verdict string")
+    return spark.createDataFrame([(round(float(mu_std), 6), round(diff, 6), verdict)],
+                                 "mu_std double, decoder_diff double, verdict string")
+
+
+def _verdict_sql() -> str:
+    (wd, bd), (wo, bo) = TINY["dec"][0], TINY["out"]
+    gs = [f"g{i}" for i in range(wd.shape[0])]
+    u, v = (f"(CAST(CAST('0x' || substr(md5('42|{name}|' || k), 1, 15) AS BIGINT) AS DOUBLE) + 0.5) / 1152921504606846976.0"
+            for name in "ab")
+    return "WITH " + tiny_sql_views() + f""",
+codes AS (SELECT k, sqrt(-2.0 * ln({u})) * cos(2.0 * pi() * ({v})) AS z0, sqrt(-2.0 * ln({u})) * sin(2.0 * pi() * ({v})) AS z1
+          FROM range({2 * PAIRS}) t(k)),
+hid AS (SELECT k, {", ".join(f"greatest({_lin(wd, bd, ['z0', 'z1'], i)}, 0.0) AS {g}" for i, g in enumerate(gs))} FROM codes),
+dec AS (SELECT k, {", ".join(f"{_lin(wo, bo, gs, i)} AS d{i}" for i in range(WIDTH))} FROM hid),
+v AS (SELECT (SELECT stddev_samp(m) FROM (SELECT mu0 AS m FROM tiny UNION ALL SELECT mu1 FROM tiny)) AS mu_std,
+             (SELECT avg(({" + ".join(f"abs(a.d{i} - b.d{i})" for i in range(WIDTH))}) / {float(WIDTH)!r})
+              FROM dec a JOIN dec b ON b.k = a.k + 1 WHERE a.k % 2 = 0) AS diff)
+SELECT round(mu_std, 6) AS mu_std, round(diff, 6) AS decoder_diff,
+       CASE WHEN mu_std < 1e-3 AND diff < 1e-3 THEN 'COLLAPSED' WHEN mu_std > 1e-2 AND diff > 1e-2 THEN 'OK' ELSE 'WARNING' END AS verdict
+FROM v"""
 
 
 QUERIES = {
@@ -319,7 +354,7 @@ QUERIES = {
     "e3_epoch_history": (q_epoch_history, SQL_EPOCH_HISTORY),
     "e4_config_sweep": (q_config_sweep, SQL_CONFIG_SWEEP),
     "e5_collapse_stats": (q_collapse_stats, SQL_COLLAPSE_STATS),
-    "e5_collapse_verdict": (q_collapse_verdict, None),
+    "e5_collapse_verdict": (q_collapse_verdict, _verdict_sql()),
     "f18_best_epoch": (q_best_epoch, SQL_BEST_EPOCH),
     "f19_selected_epochs": (q_selected_epochs, SQL_SELECTED_EPOCHS),
     "f18_best_vs_final": (q_best_vs_final, SQL_BEST_VS_FINAL),

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from flowlens.llm import cgk_decontam, line_windows, minmax_dedup, mix_budget, quality_ftrl
 from flowlens.llm.common import documents, materialise
 
+#: Four words are the contract of the query op6_minmax alone.
+NEAR = minmax_dedup.MinMaxParams(shingle=5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (fitted on the labelled ones) does not reject."""
@@ -33,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    kept = minmax_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each near-duplicate group (five-word sets, 0.8): the one with the smallest doc_id."""
+    kept = minmax_dedup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(materialise(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
 
 

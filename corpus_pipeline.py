@@ -36,9 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word sets, 0.8): the one with the smallest doc_id."""
-    kept = minmax_dedup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(materialise(kept), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each near-duplicate group (five-word sets, 0.8): the one with the smallest doc_id."""
+    return minmax_dedup.one_of_each_group(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

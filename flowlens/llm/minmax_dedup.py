@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import Memo, as_bytes, materialise, mix64, slices
+from flowlens.llm.common import Memo, as_bytes, materialise, mix64, row_key, slices
 from flowlens.llm.components import connected_components
 
 
@@ -94,8 +94,8 @@ def _node(words: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(words)).digest()
 
 
-def signatures(docs: DataFrame, p: MinMaxParams) -> DataFrame:
-    """(doc_id, node, n_shingles, bands): node is null for an empty set."""
+def signatures(docs: DataFrame, p: MinMaxParams, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(carried columns, node, n_shingles, bands): node is null for an empty set."""
     mul, add = permutations(p)
 
     def run(batches):
@@ -109,13 +109,13 @@ def signatures(docs: DataFrame, p: MinMaxParams) -> DataFrame:
                 sizes.append(len(sh))
                 bands.append(band_keys(min_max_signature(sh, mul, add), p) if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                [*(batch.column(c) for c in carried), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n_shingles", "bands"])
+                [*carried, "node", "n_shingles", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, node binary, n_shingles long, bands array<long>")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    return docs.select(*carried, "text").mapInArrow(
+        run, f"{kinds}node binary, n_shingles long, bands array<long>")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -217,10 +217,8 @@ def _sizes_fit(p: MinMaxParams, x: str, y: str):
     return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
 
 
-def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
-    p = params
-    rows = materialise(signatures(docs, p))
+def node_labels(rows: DataFrame, docs: DataFrame, p: MinMaxParams) -> DataFrame:
+    """(node, label) of the nodes with a link; ``rows`` are the written signatures of ``docs``."""
     nodes = rows.filter("node IS NOT NULL").dropDuplicates(["node"])
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = materialise(entries.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
@@ -247,8 +245,13 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     )
     rest = materialise(placed.join(open_buckets, "bucket", "left_semi").select("bucket", "node", "n", "label"))
     more = materialise(compare_in_blocks(rest, texts, p))
-    labels = connected_components(links.unionByName(more))
+    return connected_components(links.unionByName(more))
+
 
+def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row."""
+    rows = materialise(signatures(docs, params))
+    labels = node_labels(rows, docs, params)
     least = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_group = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -257,3 +260,28 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     group = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
+    """The rows of ``docs`` (all columns), one of each group: the one with the smallest doc_id,
+    null last, then the least hash of the row.
+
+    Rows equal in all columns are one document, also those without a word, which
+    are linked with no other row.  Neither an id nor a null id stands for several rows.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")
+    key = F.unhex(F.md5(F.concat(row_key(F.col("doc_id"), F.col("text")), F.encode(rest, "UTF-8"))))
+    rows = materialise(signatures(docs.select("doc_id", "text", key.alias("key")), params, ("doc_id", "key")))
+    labels = node_labels(rows, docs, params)
+    one = rows.groupBy("key", "doc_id", "node").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "copies")
+    least = one.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("least"))
+    grouped = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_group = grouped.groupBy("label").agg(F.min("least").alias("least")).select("least.key", "least.copies")
+    kept = materialise(of_group.unionByName(one.filter("node IS NULL").select("key", "copies")))
+
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    once = keyed.join(kept.filter("copies = 1"), "key", "left_semi")
+    more = keyed.join(kept.filter("copies > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(more).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -10,11 +10,16 @@ a window that equals an item on all positions of one table is a candidate, and
 every candidate is confirmed by the exact word edit distance of the item to the
 best substring around the window (semi-global alignment).
 
-Windows start at every word and are of item size: items fall in length classes,
-and a class embeds as many words as its shortest item has.  Before a window is
-embedded, a condition every match fulfils is tested: a word edit spoils at most
-two of the pairs of neighbours in a window, so of w - 1 pairs at least w - 1 - 2k
-are pairs of neighbours of some item, k = (1 - similarity) * (words of the item).
+An item is cut into segments of at most half as many words as a walk has steps
+(a step moves on by half a word); they cover the whole item, the last one flush
+with its end, and each proposes the item at its offset, so edits that are bunched
+in one place leave other segments whole.  Windows start at every word and are of
+segment size: segments fall in length classes, and a class embeds as many words as
+its shortest segment has.  Before a window is embedded, a condition is tested that
+some segment of every match fulfils: of d disjoint segments with k = (1 - similarity) *
+(words of the item) edits in all, one has at most k / d, and a word edit spoils at
+most two of the pairs of neighbours in a window, so of its w - 1 pairs at least
+w - 1 - 2 * (k / d) are pairs of neighbours of some item.
 
 The benchmark is used in blocks of ``block`` items, each a bounded table in the
 task closure; every block is a map over all documents, without a shuffle.
@@ -91,42 +96,52 @@ class ItemIndex:
         self.words = [frozenset(ids) for _, ids in self.items]
         #: 0 stands beyond the end, 1 for any word that no item has
         size = len(self.vocabulary) + 2
-        self.pairs = np.zeros(1 << 20, bool)
+        self.pairs = np.zeros(1 << max(20, (16 * sum(len(ids) for _, ids in self.items)).bit_length()), bool)
         for _, ids in self.items:
             self.pairs[self._pair(np.array(ids[:-1]), np.array(ids[1:]))] = True
         rng = np.random.default_rng(p.seed)
         self.moves = rng.integers(0, 2, (p.walks, p.longest_walk, size), np.uint8)
         self.classes = []
         low = p.min_words
-        longest = max([len(ids) for _, ids in self.items], default=0)
+        sizes = [self._segment(len(ids)) for _, ids in self.items]
+        longest = max(sizes, default=0)
         while low <= longest:
             high = max(low + 1, int(low * p.class_ratio))
-            own = [k for k, (_, ids) in enumerate(self.items) if low <= len(ids) < high]
+            own = [k for k, words in enumerate(sizes) if low <= words < high]
             if own:
-                self.classes.append(self._class(own, rng))
+                self.classes.append(self._class(own, min(sizes[k] for k in own), rng))
             low = high
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return ((left * 0x9E3779B1 + right * 0x85EBCA6B) >> 7) & (len(self.pairs) - 1)
 
-    def _class(self, own: list[int], rng) -> dict:
+    def _segment(self, words: int) -> int:
+        """Words of the segments of an item, as many as fit a walk."""
+        return words // max(1, min(-(-2 * words // self.p.longest_walk), words // self.p.min_words))
+
+    def _class(self, own: list[int], words: int, rng) -> dict:
         p = self.p
-        words = min(len(self.items[k][1]) for k in own)
         steps = min(2 * words, p.longest_walk)
         samples = np.sort(rng.permuted(np.tile(np.arange(steps), (p.walks, p.tables, 1)), axis=2)[:, :, : p.bits], axis=2)
-        edits = max(self._allowed(len(self.items[k][1])) for k in own)
+        size = {k: len(self.items[k][1]) for k in own}
+        edits = max(self._allowed(m) // (m // words) for m in size.values())
         c = {"words": words, "steps": steps, "samples": samples, "least": max(1, words - 1 - 2 * edits)}
-        pad = max(len(self.items[k][1]) for k in own) + steps + 1
-        flat = np.zeros((len(own), pad), np.int64)
-        for r, k in enumerate(own):
-            flat[r, : len(self.items[k][1])] = self.items[k][1]
-        starts = np.arange(len(own)) * pad
+        flat, starts, number, offset = [], [], [], []
+        at = 0
+        for k in own:
+            for o in range(0, size[k], words):
+                offset.append(min(o, size[k] - words))
+                starts.append(at + offset[-1])
+                number.append(k)
+            flat += [self.items[k][1], [0] * (steps + 1)]
+            at += size[k] + steps + 1
+        number, offset = np.array(number), np.array(offset)
         tables = []
-        for keys in self._keys(flat.ravel(), starts, c):
+        for keys in self._keys(np.concatenate(flat).astype(np.int64), np.array(starts), c):
             order = np.argsort(keys, kind="stable")
             filled = np.zeros(1 << 16, bool)
             filled[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-            tables.append((filled, keys[order], np.array(own)[order]))
+            tables.append((filled, keys[order], number[order], offset[order]))
         c["tables"] = tables
         return c
 
@@ -149,9 +164,10 @@ class ItemIndex:
                     at += moves[step][word]
             yield from keys
 
-    def candidates(self, ids: np.ndarray, n_words: int) -> set[tuple[int, int]]:
-        """(item number, window start) pairs that share a table entry; ``ids`` is padded."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item number, document, likely start) of the windows that share a table entry; ``ids`` is padded."""
+        found: set[tuple[int, int, int]] = set()
+        n_words = int(ends[-1]) if len(ends) else 0
         good = (ids[:-1] > 1) & (ids[1:] > 1)
         good &= self.pairs[self._pair(ids[:-1], ids[1:])]
         known = np.concatenate([[0], np.cumsum(good)])
@@ -160,22 +176,26 @@ class ItemIndex:
             starts = np.flatnonzero(known[until] - known[:n_words] >= c["least"])
             if not len(starts):
                 continue
-            for (filled, keys, own), mine in zip(c["tables"], self._keys(ids, starts, c), strict=True):
-                hit = np.flatnonzero(filled[(mine & np.uint64(0xFFFF)).astype(np.int64)])
-                if not len(hit):
-                    continue
-                lo, hi = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
-                for h, x, y in zip(hit, lo, hi, strict=True):
-                    found.update((int(own[k]), int(starts[h])) for k in range(x, y))
+            for table, mine in zip(c["tables"], self._keys(ids, starts, c), strict=True):
+                found.update(self._shared(table, mine, starts, ends))
         return found
 
+    @staticmethod
+    def _shared(table: tuple, mine: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        filled, keys, number, offset = table
+        hit = np.flatnonzero(filled[(mine & np.uint64(0xFFFF)).astype(np.int64)])
+        lo, hi = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
+        times = hi - lo
+        entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        at = np.repeat(starts[hit], times)
+        doc = np.searchsorted(ends, at, "right")
+        return zip(number[entry].tolist(), doc.tolist(), (at - offset[entry]).tolist(), strict=True)
+
     def matches(self, ids: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         """Per document of the concatenated, padded ``ids``: (item_id, edits, item words, end word)."""
         out: list[dict] = [{} for _ in ends]
-        n_words = int(ends[-1]) if len(ends) else 0
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        for k, at in sorted(self.candidates(ids, n_words)):
-            doc = int(np.searchsorted(ends, at, "right"))
+        for k, doc, at in sorted(self.candidates(ids, ends)):
             if k in out[doc] and not out[doc][k][1]:
                 continue  # an earlier occurrence without edits is the best already
             item_id, item = self.items[k]

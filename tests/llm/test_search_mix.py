@@ -118,6 +118,25 @@ def test_contamination_recall_and_precision(spark, docs_of, block):
     assert cgk_decontam.contaminated(docs_of(rows), none).count() == 0
 
 
+@pytest.mark.parametrize("where", ["start", "middle", "end", "spread"])
+def test_contamination_of_long_items(spark, docs_of, where):
+    rnd = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(100 + 20 * k))) for k in range(16)]
+    rows = []
+    for k, text in items:
+        words = text.split()
+        m, edits = len(words), len(words) // 5
+        first = {"start": 0, "middle": (m - edits) // 2, "end": m - edits}.get(where)
+        for j in sorted(rnd.sample(range(m), edits) if first is None else range(first, first + edits), reverse=True):
+            words[j:j + 1] = rnd.choice([["edited"], ["edited", words[j]], []])
+        around = [rnd.choice(vocabulary) for _ in range(60)]
+        rows.append((k, " ".join(around[:30] + words + around[30:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in cgk_decontam.contaminated(docs_of(rows), bench).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 ASSIGN = re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
                     "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 

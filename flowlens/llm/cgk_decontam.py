@@ -25,7 +25,10 @@ The benchmark is used in blocks of ``block`` items, each a bounded table in the
 task closure; every block is a map over all documents, without a shuffle.
 
 * null or empty texts, items or an empty table: no match
-* items of fewer than ``min_words`` words are left out (any text would match them)
+* items of fewer than ``min_words`` words are found without walks, all of them: an item
+  with k allowed edits is cut into k + 1 parts, one of which every match holds unchanged
+* every item with a word is reported; a document goes only for items of at least
+  ``drop_words`` words (fewer, which match verbatim only, are ordinary phrases)
 * repeated documents match alike; repeated item texts match under every item_id
 """
 
@@ -48,7 +51,8 @@ EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 @dataclass(frozen=True)
 class CgkParams:
     similarity: float = 0.8  # 1 - edits / words of the item
-    min_words: int = 8
+    min_words: int = 8  # of the items that are embedded
+    drop_words: int = 4  # of the items that make a document go
     walks: int = 8
     tables: int = 4  # per walk
     bits: int = 3  # sampled positions per table
@@ -90,14 +94,14 @@ class ItemIndex:
         self.p, self.vocabulary, self.items = p, {}, []
         for item_id, data in items:
             words = tokens(data)
-            if len(words) >= p.min_words:
+            if words:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
                 self.items.append((item_id, ids))
         self.words = [frozenset(ids) for _, ids in self.items]
         #: 0 stands beyond the end, 1 for any word that no item has
         size = len(self.vocabulary) + 2
         self.pairs = np.zeros(1 << max(20, (16 * sum(len(ids) for _, ids in self.items)).bit_length()), bool)
-        for _, ids in self.items:
+        for ids in (ids for _, ids in self.items if len(ids) >= p.min_words):
             self.pairs[self._pair(np.array(ids[:-1]), np.array(ids[1:]))] = True
         rng = np.random.default_rng(p.seed)
         self.moves = rng.integers(0, 2, (p.walks, p.longest_walk, size), np.uint8)
@@ -111,6 +115,7 @@ class ItemIndex:
             if own:
                 self.classes.append(self._class(own, min(sizes[k] for k in own), rng))
             low = high
+        self.parts = self._parts([k for k, words in enumerate(sizes) if words < p.min_words])
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return ((left * 0x9E3779B1 + right * 0x85EBCA6B) >> 7) & (len(self.pairs) - 1)
@@ -119,6 +124,37 @@ class ItemIndex:
         """Words of the segments of an item, as many as fit a walk."""
         return words // max(1, min(-(-2 * words // self.p.longest_walk), words // self.p.min_words))
 
+    def _parts(self, own: list[int]) -> list[tuple[int, bool, tuple]]:
+        """(words, verbatim, table) of the parts of short items, by their length and
+        by whether the part is the whole item."""
+        kinds: dict[tuple[int, bool], list[tuple[int, int, list[int]]]] = {}
+        for k in own:
+            ids = self.items[k][1]
+            n = min(self._allowed(len(ids)) + 1, len(ids))
+            cuts = [len(ids) * i // n for i in range(n + 1)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                kinds.setdefault((hi - lo, n == 1), []).append((k, lo, ids[lo:hi]))
+        return [
+            (words, verbatim, self._table(self._joined(np.array([x for *_, x in parts]).T),
+                                          np.array([k for k, *_ in parts]), np.array([o for _, o, _ in parts])))
+            for (words, verbatim), parts in sorted(kinds.items())
+        ]
+
+    @staticmethod
+    def _joined(columns) -> np.ndarray:
+        """Keys of word sequences, given as one array for every place."""
+        key = np.full(len(columns[0]), len(columns), np.uint64)
+        for word in columns:
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64))
+        return key
+
+    @staticmethod
+    def _table(keys: np.ndarray, number: np.ndarray, offset: np.ndarray) -> tuple:
+        order = np.argsort(keys, kind="stable")
+        filled = np.zeros(1 << 16, bool)
+        filled[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        return filled, keys[order], number[order], offset[order]
+
     def _class(self, own: list[int], words: int, rng) -> dict:
         p = self.p
         steps = min(2 * words, p.longest_walk)
@@ -136,13 +172,8 @@ class ItemIndex:
             flat += [self.items[k][1], [0] * (steps + 1)]
             at += size[k] + steps + 1
         number, offset = np.array(number), np.array(offset)
-        tables = []
-        for keys in self._keys(np.concatenate(flat).astype(np.int64), np.array(starts), c):
-            order = np.argsort(keys, kind="stable")
-            filled = np.zeros(1 << 16, bool)
-            filled[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-            tables.append((filled, keys[order], number[order], offset[order]))
-        c["tables"] = tables
+        ids = np.concatenate(flat).astype(np.int64)
+        c["tables"] = [self._table(keys, number, offset) for keys in self._keys(ids, np.array(starts), c)]
         return c
 
     def _allowed(self, words: int) -> int:
@@ -177,19 +208,26 @@ class ItemIndex:
             if not len(starts):
                 continue
             for table, mine in zip(c["tables"], self._keys(ids, starts, c), strict=True):
-                found.update(self._shared(table, mine, starts, ends))
+                found.update(zip(*(x.tolist() for x in self._shared(table, mine, starts, ends)), strict=True))
+        for words, verbatim, table in self.parts:
+            mine = self._joined([ids[i : n_words + i] for i in range(words)])
+            number, doc, at = self._shared(table, mine, np.arange(n_words), ends)
+            if verbatim:  # the first occurrence in a document is the best already
+                first = np.unique(number * len(ends) + doc, return_index=True)[1]
+                number, doc, at = number[first], doc[first], at[first]
+            found.update(zip(number.tolist(), doc.tolist(), at.tolist(), strict=True))
         return found
 
     @staticmethod
-    def _shared(table: tuple, mine: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def _shared(table: tuple, mine: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
+        """Item numbers, documents and likely starts, ordered by the place of the window."""
         filled, keys, number, offset = table
         hit = np.flatnonzero(filled[(mine & np.uint64(0xFFFF)).astype(np.int64)])
         lo, hi = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
         times = hi - lo
         entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
         at = np.repeat(starts[hit], times)
-        doc = np.searchsorted(ends, at, "right")
-        return zip(number[entry].tolist(), doc.tolist(), (at - offset[entry]).tolist(), strict=True)
+        return number[entry], np.searchsorted(ends, at, "right"), at - offset[entry]
 
     def matches(self, ids: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         """Per document of the concatenated, padded ``ids``: (item_id, edits, item words, end word)."""
@@ -272,12 +310,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: CgkParams = CgkP
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: CgkParams = CgkParams()) -> DataFrame:
-    """The rows of ``docs`` (all columns) in which no item of the benchmark is found."""
+    """The rows of ``docs`` (all columns) in which no item of ``drop_words`` words or more is found."""
     for items in item_blocks(benchmark, params):
 
         def run(batches, items=items):
             for batch, found in scan(batches, items, params):
-                yield batch.filter(pa.array([not m for m in found], pa.bool_()))
+                yield batch.filter(pa.array([all(m[2] < params.drop_words for m in ms) for ms in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

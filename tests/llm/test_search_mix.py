@@ -137,6 +137,28 @@ def test_contamination_of_long_items(spark, docs_of, where):
     assert got == {(k, k) for k, _ in items}
 
 
+@pytest.mark.parametrize("block", [5, 1000])
+def test_short_items_are_found_by_brute_force(spark, docs_of, block):
+    rnd = random.Random(12)
+    items = [(k, " ".join(rnd.choice("abcde") for _ in range(1 + k % 7))) for k in range(42)] + [(50, "What is it?")]
+    rows = [(100 + k, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(14)))) for k in range(150)]
+    rows += [(1, "Tell: what IS it"), (2, "what is"), (3, "it what"), (None, "what is it"), (4, None)]
+    bench = spark.createDataFrame(items + [(51, ""), (52, "?!"), (53, None)], "item_id long, text string")
+    p = cgk_decontam.CgkParams(block=block)
+    want, clean = set(), []
+    for d, t in rows:
+        words = cgk_decontam.tokens((t or "").encode())
+        found = [(i, _distance(x, words), len(x)) for i, x in ((i, cgk_decontam.tokens(y.encode())) for i, y in items)]
+        found = [f for f in found if f[1] <= f[2] * 0.2 + 1e-9]
+        want |= {(d, *f) for f in found}
+        clean += [] if any(m >= 4 for *_, m in found) else [d]
+    out = cgk_decontam.contaminated(docs_of(rows), bench, p).collect()
+    assert len(out) == len(want) and {(r.doc_id, r.item_id, r.edits, r.item_words) for r in out} == want
+    got = cgk_decontam.drop_contaminated(docs_of(rows), bench, p).collect()
+    assert sorted((r.doc_id or -1) for r in got) == sorted((d or -1) for d in clean)
+    assert {1, None} <= {r.doc_id for r in got}  # an item of three words is reported only
+
+
 ASSIGN = re.compile("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
                     "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 

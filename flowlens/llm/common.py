@@ -104,12 +104,18 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, remainder: int, bo
     return ids.select("doc_id", "label", order.alias("ord")).orderBy("ord", "doc_id").limit(bound)
 
 
+def one_text_per_id(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, text): of rows (doc_id, text, ..) one for each doc_id, the one with the least text hash.
+    ``columns`` hold doc_id and what depends on it alone; a hot id is combined before the shuffle."""
+    return rows.groupBy(*columns).agg(F.min_by("text", F.md5("text")).alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int,
                     bound: int) -> DataFrame:
-    """The documents of ``labelled_ids``: (ord, doc_id, label, text).
+    """The documents of ``labelled_ids``, one row for each id: (ord, doc_id, label, text).
 
     The id list holds at most ``bound`` rows, which is what makes it safe to
     broadcast; the texts themselves stay distributed.
     """
     ids = labelled_ids(labels, label, modulus, remainder, bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("ord", "doc_id", "label", "text")
+    return one_text_per_id(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "ord", "doc_id", "label")

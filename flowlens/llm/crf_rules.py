@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import as_bytes, slices
+from flowlens.llm.common import as_bytes, one_text_per_id, slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, p: CrfParams = CrfParams()) -> Chain:
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     ids = ids.withColumn("ord", F.xxhash64(F.lit("crf"), "doc_id")).orderBy("ord", "doc_id").limit(p.max_train)
     # max_train ids: small enough to broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("ord", "text")
+    sample = one_text_per_id(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "ord", "doc_id").drop("doc_id")
 
     def run(batches):
         texts = [t for b in slices(batches) for t in as_bytes(b)]

@@ -145,7 +145,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, params: LexiconParams = LexiconParams()) -> ToxicityModel:
     p = params
-    sample = materialise(labelled_sample(docs, labels, "toxic", 5, 0, p.max_train))
+    # dealt again, so that the terms of the chosen texts are counted in many tasks
+    sample = materialise(labelled_sample(docs, labels, "toxic", 5, 0, p.max_train).repartition(-(-p.max_train // 256)))
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:

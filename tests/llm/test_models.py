@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from flowlens.llm import crf_rules, lexicon_toxicity, ppm_langid, quality_ftrl
+from flowlens.llm.common import labelled_sample
 
 from .conftest import EDGE
 
@@ -141,3 +142,19 @@ def test_rules_counts_and_verdicts(docs_of):
     assert out[6].word_chars == 5
     assert crf_rules.repeated_words([b"a"] * 4) == 4 and crf_rules.repeated_words([b"a"] * 3) == 0
     assert crf_rules.judge(docs_of([])).count() == 0
+
+
+def test_a_repeated_id_is_one_training_document(docs_of, labels_of):
+    rows = [(i, f"text {i} of many") for i in range(30)] + [(7, f"other {i % 9}") for i in range(60)] + [(8, None), (8, None)]
+    labels = labels_of([(i, i % 2, 0) for i in range(30)])
+    got = labelled_sample(docs_of(rows), labels, "quality", 3, 1, 20).collect()
+    again = labelled_sample(docs_of(rows[::-1]), labels, "quality", 3, 1, 20).collect()
+    ids = [r.doc_id for r in got]
+    assert len(ids) == len(set(ids)) <= 20 and sorted(got) == sorted(again)
+    assert all((r.doc_id, r.text) in rows for r in got)
+
+    line = "The river walks along the green stone house."
+    rows = [(i, line + f"\n* menu | {i} | login") for i in range(12)]
+    chain = crf_rules.fit(docs_of(rows))
+    more = crf_rules.fit(docs_of(rows + [(3, rows[3][1])] * 40))
+    assert np.array_equal(chain.emit, more.emit) and np.array_equal(chain.move, more.move)

@@ -11,10 +11,13 @@ from flowlens.llm import (
     line_windows,
     minmax_dedup,
     mix_budget,
+    periodic_runs,
     ppm_langid,
     quality_ftrl,
     run_index,
     secret_dfa,
+    spelling_grams,
+    winnowing,
 )
 from flowlens.llm.common import documents
 
@@ -70,6 +73,22 @@ def op10_secret_dfa(spark, sf_dir):
     return secret_dfa.find_secrets(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of every document, some of them altered to hold long ones."""
+    altered = periodic_runs.with_periods(documents(spark, sf_dir))
+    return periodic_runs.digests(periodic_runs.periodic_runs(altered))
+
+
+def op12_winnowing(spark, sf_dir):
+    """Winnowed fingerprint of every document and of its edited text, and how alike they are."""
+    return winnowing.compared(documents(spark, sf_dir))
+
+
+def op13_spelling_grams(spark, sf_dir):
+    """Every frequent word with its usual spelling, by variable-length grams."""
+    return spelling_grams.spelling_groups(documents(spark, sf_dir))
+
+
 _BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 OP4_SQL = f"""
 WITH rows AS (
@@ -119,4 +138,7 @@ QUERIES = {
     "op8_lexicon": (op8_lexicon, None),
     "op9_crf_rules": (op9_crf_rules, None),
     "op10_secret_dfa": (op10_secret_dfa, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_winnowing": (op12_winnowing, None),
+    "op13_spelling_grams": (op13_spelling_grams, None),
 }

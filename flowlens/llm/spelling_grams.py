@@ -20,7 +20,8 @@ or replaced code point parts them.  Their search:
    (affected + 1) rarest grams, with all that tie in the order.  Lists are keyed by gram
    and place, from the start for words of equal or neighbouring length, from the end
    for neighbouring length; they are joined by Spark, and the edit distance is
-   a condition of that join, so only near pairs leave it.
+   a condition of that join (after a comparison of letter sets, of which one edit
+   changes two bits at most), so only near pairs leave it.
 
 The form of a word is its most frequent near word (ties: the smallest in code-point
 order) if that is at least ``ratio`` times as frequent; counts at least double along
@@ -85,9 +86,11 @@ def gram_dictionary(vocab: DataFrame, p: GramParams = GramParams()) -> dict[str,
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     positions = vocab.agg(F.sum(F.length("word") + 3 - p.min_gram)).first()[0] or 0
     least = max(p.list_size, ceil(positions / p.max_entries))
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.length("word") + 3 - q), lambda i, q=q: F.substring(F.col("s"), i, F.lit(q)))
-        for q in range(p.min_gram, p.max_gram + 1)]))
+
+    def of_length(q: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("s") - q + 1), lambda i: F.substring(F.col("s"), i, F.lit(q)))
+
+    grams = F.flatten(F.array(*[of_length(q) for q in range(p.min_gram, p.max_gram + 1)]))
     rows = vocab.select("word", marked.alias("s")).select(F.explode(grams).alias("gram"))
     counts = rows.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > least)
     return {r["gram"]: r["n"] for r in counts.toLocalIterator()}
@@ -126,8 +129,18 @@ def merged_lists(grams: list[tuple[int, str]], length: int, known: dict[str, int
     return [(at, g) for n, g, at in order if (n, g) <= last]
 
 
+def letters(word: str) -> int:
+    """64 bits that stand for the first two occurrences of each letter; one edit changes at most two of them."""
+    bits, seen = 0, {}
+    for c in word:
+        k = seen[c] = seen.get(c, -1) + 1
+        if k < 2:
+            bits |= 1 << (2 * ord(c) + k) % 64
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def postings(vocab: DataFrame, known: dict[str, int], p: GramParams = GramParams()) -> DataFrame:
-    """(gram, side, place, word, n, size): entries of the lists that are to be merged.
+    """(gram, side, place, word, n, size, letters): entries of the lists that are to be merged.
     side 0: place from the start, 1: from the end."""
     shared = vocab.sparkSession.sparkContext.broadcast(known)  # bounded, see gram_dictionary
 
@@ -135,34 +148,37 @@ def postings(vocab: DataFrame, known: dict[str, int], p: GramParams = GramParams
         for batch in batches:
             words, counts = batch.column("word").to_pylist(), batch.column("n").to_numpy(zero_copy_only=False)
             for low in range(0, len(words), 2048):
-                row, gram, place, end, size = [], [], [], [], []
+                row, gram, place, end, size, sets = [], [], [], [], [], []
                 for k in range(low, min(low + 2048, len(words))):
-                    word = words[k]
+                    word, bits = words[k], letters(words[k])
                     for at, g in merged_lists(decompose(word, shared.value, p), len(word), shared.value):
                         row.append(k)
                         gram.append(g)
                         place.append(at)
                         end.append(len(word) - at)
                         size.append(len(word))
+                        sets.append(bits)
                 of = np.array(row, np.int64)
                 for side, where in ((0, place), (1, end)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(gram, pa.string()), pa.array(np.full(len(row), side, np.int32)),
                          pa.array(where, pa.int32()), batch.column("word").take(pa.array(of)), pa.array(counts[of]),
-                         pa.array(size, pa.int32())], ["gram", "side", "place", "word", "n", "size"])
+                         pa.array(size, pa.int32()), pa.array(sets, pa.int64())],
+                        ["gram", "side", "place", "word", "n", "size", "letters"])
 
-    return vocab.select("word", "n").mapInArrow(run, "gram string, side int, place int, word string, n bigint, size int")
+    return vocab.select("word", "n").mapInArrow(
+        run, "gram string, side int, place int, word string, n bigint, size int, letters bigint")
 
 
 def near_words(vocab: DataFrame, p: GramParams = GramParams()) -> DataFrame:
     """(word, near, n, near_n): all pairs of near words of a written vocabulary, in both directions."""
     lists = postings(vocab, gram_dictionary(vocab, p), p)
-    lists = lists.select(F.xxhash64("gram", "side", "place").alias("key"), "side", "word", "n", "size")
+    lists = lists.select(F.xxhash64("gram", "side", "place").alias("key"), "side", "word", "n", "size", "letters")
     a, b = lists.alias("a"), lists.alias("b")
     apart = F.abs(F.col("a.size") - F.col("b.size"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word"))
-                   & (F.col("a.side") == F.col("b.side")) & (apart <= 1) & (apart >= F.col("a.side"))
-                   & (F.levenshtein("a.word", "b.word", 1) == 1))
+    changed = F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (apart <= 1) & (apart >= F.col("a.side")) & (changed <= 2)
+                   & (F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
     one = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("near"),
                        F.col("a.n").alias("n"), F.col("b.n").alias("near_n")).distinct()
     one = materialise(one)

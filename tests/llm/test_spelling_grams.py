@@ -87,6 +87,7 @@ def test_near_words_share_a_merged_list(word, at, letter, kind, known):
     def keys(w, grams):
         return {(g, 0, k) for k, g in grams} | {(g, 1, len(w) - k) for k, g in grams}
 
+    assert ((m.letters(word) ^ m.letters(other)) & (2**64 - 1)).bit_count() <= 2
     a, b = m.decompose(word, known, p), m.decompose(other, known, p)
     assert keys(word, m.merged_lists(a, len(word), known)) & keys(other, m.merged_lists(b, len(other), known))
     there = keys(other, b)
@@ -100,6 +101,14 @@ def test_dictionary_is_bounded(spark):
     assert known and max(Counter(map(len, known)).values()) < 30
 
 
+def test_dictionary_counts(spark):
+    words = [w for _, text in corpus() for w in text.lower().split() if len(w) >= 5]
+    words = sorted(set(words))
+    vocab = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    counts = Counter(f"^{w}$"[k : k + q] for w in words for q in (2, 3, 4, 5) for k in range(len(w) + 3 - q))
+    assert m.gram_dictionary(vocab, m.GramParams(list_size=4)) == {g: n for g, n in counts.items() if n > 4}
+
+
 def test_nothing_near_and_empty(docs_of):
     got = [tuple(r) for r in m.spelling_groups(docs_of([(1, "abcdef " * 5 + "zzzzz " * 3)])).collect()]
     assert sorted(got) == [("abcdef", None, "abcdef", 5, 0, None), ("zzzzz", None, "zzzzz", 3, 0, None)]

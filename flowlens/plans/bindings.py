@@ -161,8 +161,8 @@ def store_rows_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORE_CACHE: dict[tuple[str, str], dict[str, str]] = {}
 
 
-def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Materialise the store tables once per session under the shared scratch folder."""
+def store_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The store tables, materialised once per session under the shared scratch folder: table -> folder."""
     from flowlens.sources.result_store import build_store_from_rows
 
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -172,7 +172,12 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         nation = table(spark, sf_dir, "nation")
         paths = build_store_from_rows(spark, store_rows_source(spark, sf_dir), nation, STORE_THETA, root)
         _STORE_CACHE[key] = paths
-    return {name: spark.read.parquet(p) for name, p in paths.items()}
+    return paths
+
+
+def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The store tables as frames."""
+    return {name: spark.read.parquet(p) for name, p in store_paths(spark, sf_dir).items()}
 
 
 # ---------------------------------------------------------------------------

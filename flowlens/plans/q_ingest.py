@@ -143,7 +143,7 @@ def q_register_upload(spark, sf):
     store = scratch_dir(spark, "uploads", unique=True)
     paths = FF.list_csv_files(spark, root)
     up = RS.register_uploads(spark, {p: 9_000_000 + i for i, p in enumerate(paths)}, store)
-    rows = spark.read.parquet(f"{store}/rows").groupBy("upload_id").agg(
+    rows = RS.read_committed(spark, store)["rows"].groupBy("upload_id").agg(
         F.count(F.lit(1)).alias("stored_rows"), F.max("row_index").alias("max_row_index")
     )
     return up.join(rows, "upload_id").groupBy(_source_of("path").alias("source")).agg(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators import results as R
 from flowlens.plans import bindings as B
 from flowlens.plans.views_sql import STORE, with_views
+from flowlens.session import scratch_dir
 from flowlens.sources import result_store as S
+from flowlens.sources.commits import CommitConflict, CommitLog
 
 PAGE, PAGE_SIZE = 2, 2
 
@@ -363,6 +367,31 @@ def q_delete_upload(spark, sf):
     return S.table_counts(kept)
 
 
+def q_delete_committed(spark, sf):
+    """A12 on a committed store: the largest upload and all uploads without rows are deleted by one
+    manifest; per table what is left and the ends of the ids, read back from the store."""
+    log = CommitLog(spark, scratch_dir(spark, "committed", unique=True))
+    log.commit("load", adopt=B.store_paths(spark, sf))
+    uploads = log.read()["uploads"]
+    largest = uploads.orderBy(F.col("row_count").desc(), F.col("upload_id").desc()).first()["upload_id"]
+    # the uploads that come from the nation table: as many as it has rows
+    empty = [r["upload_id"] for r in uploads.filter("row_count = 0").select("upload_id").collect()]
+    S.delete_committed(spark, log.root, [largest, *empty], txn="delete")
+    S.delete_committed(spark, log.root, [largest, *empty], txn="delete")  # a retry changes nothing
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"), F.min("upload_id").alias("first_id"),
+                    F.max("upload_id").alias("last_id")) for name, df in S.read_committed(spark, log.root).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+SQL_DELETE_COMMITTED = with_views("""
+SELECT table_name, CAST(count(*) AS BIGINT) AS n, min(upload_id) AS first_id, max(upload_id) AS last_id FROM (
+  SELECT 'uploads' AS table_name, upload_id FROM uploads UNION ALL SELECT 'rows', upload_id FROM rows_t
+  UNION ALL SELECT 'runs', upload_id FROM runs UNION ALL SELECT 'predictions', upload_id FROM predictions) t
+WHERE upload_id NOT IN (SELECT upload_id FROM victim) GROUP BY table_name""", STORE,
+    """victim AS ((SELECT upload_id FROM uploads ORDER BY row_count DESC, upload_id DESC LIMIT 1)
+  UNION ALL SELECT upload_id FROM uploads WHERE row_count = 0)""")
+
+
 SQL_DELETE_UPLOAD = with_views("""
 SELECT * FROM (
   SELECT 'uploads' AS table_name, CAST(count(*) AS BIGINT) AS n FROM uploads WHERE upload_id NOT IN (SELECT upload_id FROM victim)
@@ -388,6 +417,49 @@ FROM runs r LEFT JOIN (
   GROUP BY p.run_id) c ON r.run_id = c.run_id""", STORE)
 
 
+def q_save_run(spark, sf):
+    """The latest run of the upload with most runs is saved into a committed store that holds all other
+    runs.  The first attempt fails after its predictions are written, the second saves it, a third
+    changes nothing and a writer that started from the former version loses.  What readers see
+    of the upload's runs, and the outcome of every attempt."""
+    st = _st(spark, sf)
+    upload = st["runs"].groupBy("upload_id").count().orderBy(F.col("count").desc(), "upload_id").first()["upload_id"]
+    run_id = st["runs"].filter(F.col("upload_id") == upload).agg(F.max("run_id")).first()[0]
+    mine = F.col("run_id") == run_id
+    log = CommitLog(spark, scratch_dir(spark, "committed", unique=True))
+    log.commit("load", replace={"runs": st["runs"].filter(~mine), "predictions": st["predictions"].filter(~mine)})
+    base = log.snapshot()
+    preds, run = st["predictions"].filter(mine), st["runs"].filter(mine)
+    rows = st["rows"].filter(F.col("upload_id") == upload)
+    broken = run.withColumn("threshold", F.raise_error(F.lit("writer lost")).cast("double"))
+    outcomes = []
+    for run_row, txn, start in ((broken, None, base), (run, None, base), (run, None, None), (run, "late writer", base)):
+        try:
+            seq = S.save_run(preds, run_row, rows, log.root, txn, start).seq
+            outcomes.append(f"version {seq}")
+        except CommitConflict:
+            outcomes.append("conflict")
+        except Exception as e:
+            if "writer lost" not in str(e):
+                raise
+            outcomes.append("failed")
+    got = S.read_committed(spark, log.root)
+    counts = got["predictions"].filter(F.col("upload_id") == upload).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_results"), F.sum("prediction").cast("long").alias("n_anomaly"),
+        F.max("row_index").alias("last_row"))
+    return got["runs"].filter(F.col("upload_id") == upload).join(counts, "run_id", "left").select(
+        "run_id", "upload_id", "total_flows", "anomaly_count", "n_results", "n_anomaly", "last_row",
+        F.when(mine, F.lit(", ".join(outcomes))).alias("outcomes"))
+
+
+SQL_SAVE_RUN = with_views("""
+SELECT r.run_id, r.upload_id, r.total_flows, r.anomaly_count, CAST(c.n AS BIGINT) AS n_results, CAST(c.a AS BIGINT) AS n_anomaly, c.m AS last_row,
+       CASE WHEN r.run_id = max(r.run_id) OVER () THEN 'failed, version 2, version 2, conflict' END AS outcomes
+FROM runs r JOIN (SELECT run_id, count(*) AS n, sum(prediction) AS a, max(row_index) AS m FROM predictions GROUP BY run_id) c
+  ON r.run_id = c.run_id
+WHERE r.upload_id = (SELECT upload_id FROM runs GROUP BY upload_id ORDER BY count(*) DESC, upload_id LIMIT 1)""", STORE)
+
+
 def q_table_constraints(spark, sf):
     """Violation counts of the store constraints (all zero on a healthy store)."""
     st = _st(spark, sf)
@@ -427,6 +499,8 @@ QUERIES = {
     "g18_row_timeline": (q_row_timeline, SQL_ROW_TIMELINE),
     "a9_load_upload": (q_load_upload, SQL_LOAD_UPLOAD),
     "a12_delete_upload": (q_delete_upload, SQL_DELETE_UPLOAD),
+    "a12_delete_committed": (q_delete_committed, SQL_DELETE_COMMITTED),
+    "a14_save_run": (q_save_run, SQL_SAVE_RUN),
     "a14_save_run_check": (q_save_run_check, SQL_SAVE_RUN_CHECK),
     "a15_table_constraints": (q_table_constraints, SQL_TABLE_CONSTRAINTS),
 }

@@ -11,8 +11,7 @@ Store layout (one folder per table, on the shared filesystem):
 
 Row tables are written range-partitioned and sorted on (upload_id, row_index),
 so Parquet min/max statistics prune by upload without a directory per upload.
-Writes are ordered "rows first, metadata last": a reader that starts from the
-metadata table never sees a partial upload or run.
+Uploads, runs and deletions are published by one manifest each (``sources.commits``).
 """
 
 from __future__ import annotations
@@ -20,11 +19,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.ordering import ordered_scan
+from flowlens.sources.commits import CommitLog, Snapshot
 
 
 class StoreError(RuntimeError):
@@ -116,9 +115,9 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
     """Store CSV files (path -> upload id) as uploads, in a fixed number of jobs; returns their metadata.
 
     Every file is checked before anything is stored: .csv name, at most 100 MB
-    (by its length, without reading it), at least one row.  Rows and then metadata
-    replace the folders of their upload ids, so an upload without metadata is not
-    published and another attempt under its id leaves no rows twice.
+    (by its length, without reading it), at least one row.  Rows and metadata are
+    published in one commit, in which the ids' former rows and metadata go, so no failure
+    leaves new rows under old metadata.  ``read_committed`` gives the stored tables.
     """
     from flowlens.functions.cleaning import json_safe_payload
     from flowlens.sources.flow_files import csv_groups, qualified, read_headers
@@ -140,10 +139,6 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
         raise StoreError("empty CSV (header only)")
     named = spark.createDataFrame(list(ids.items()), "_file string, upload_id long")
 
-    def replace(df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{root}/{table}")
-
-    replace(indexed.join(named, "_file").select("upload_id", "row_index", "payload"), "rows")
     digests = spark.read.format("binaryFile").load(paths).select(
         F.col("path").alias("_file"), F.sha2("content", 256).alias("file_sha256"))
     columns = read_headers(spark, paths).select("_file", F.col("names").alias("columns"))
@@ -151,8 +146,11 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
         "upload_id", F.element_at(F.split("_file", "/"), -1).alias("filename"), F.col("_file").alias("path"), "row_count",
         F.size("columns").alias("col_count"), "columns", "file_sha256",
         F.localtimestamp().cast("timestamp_ntz").alias("created_at"))
-    replace(meta, "uploads")
-    return spark.read.parquet(f"{root}/uploads").filter(F.col("upload_id").isin(list(ids.values())))
+    stored = indexed.join(named, "_file").select("upload_id", "row_index", "payload")
+    keys = list(ids.values())
+    CommitLog(spark, root).commit(
+        f"register-{uuid.uuid4().hex}", append={"rows": stored, "uploads": meta}, drop_keys={"rows": keys, "uploads": keys})
+    return read_committed(spark, root)["uploads"].filter(F.col("upload_id").isin(keys))
 
 
 def register_upload(spark: SparkSession, path: str, upload_id: int, root: str) -> int:
@@ -183,8 +181,7 @@ def load_upload(rows: DataFrame, uploads: DataFrame, schema: str) -> DataFrame:
 def delete_upload(store: dict[str, DataFrame], victims: DataFrame) -> dict[str, DataFrame]:
     """Remove uploads and, by cascade, their rows, runs and predictions (left-anti joins).
 
-    Raises when none of the victims exists.  Write the result back with
-    ``commit_tables`` and read it with ``read_committed``.
+    Raises when none of the victims exists.  For a committed store see ``delete_committed``.
     """
     found = store["uploads"].join(victims, "upload_id", "left_semi").count()
     if found == 0:
@@ -193,6 +190,22 @@ def delete_upload(store: dict[str, DataFrame], victims: DataFrame) -> dict[str,
     return {name: df.join(v, "upload_id", "left_anti") for name, df in store.items()}
 
 
+def delete_committed(spark: SparkSession, root: str, upload_ids: list[int], txn: str | None = None) -> Snapshot:
+    """Delete uploads of a committed store and, by cascade, their rows, runs and predictions.
+
+    One manifest takes the ids out of all tables at once; no data file is read or
+    written, and readers of the former version are not disturbed.  An id that is not stored raises.
+    """
+    log = CommitLog(spark, root)
+    base, txn = log.snapshot(), txn or f"delete-{uuid.uuid4().hex}"
+    if log.committed(txn):
+        return base
+    stored = log.read(base)["uploads"].filter(F.col("upload_id").isin(*upload_ids)).select("upload_id").distinct().count()
+    if stored < len(set(upload_ids)):
+        raise StoreError("upload not found")
+    return log.commit(txn, drop_keys={t: list(upload_ids) for t in base.tables}, base=base)
+
+
 def table_counts(store: dict[str, DataFrame]) -> DataFrame:
     parts = [df.select(F.lit(name).alias("table_name")).groupBy("table_name").count() for name, df in store.items()]
     out = parts[0]
@@ -219,13 +232,31 @@ def validate_runs(predictions: DataFrame, runs: DataFrame, rows: DataFrame) -> D
     )
 
 
-def save_run(predictions_new: DataFrame, run_new: DataFrame, rows: DataFrame, root: str) -> None:
-    """Append one run: validate first, then predictions, then the run row (metadata last)."""
-    check = validate_runs(predictions_new, run_new, rows).filter(~F.col("valid")).count()
-    if check:
+def save_run(predictions_new: DataFrame, run_new: DataFrame, rows: DataFrame, root: str, txn: str | None = None,
+             base: Snapshot | None = None) -> Snapshot:
+    """Save one run: validate first, then predictions and run row in one commit.
+
+    ``txn`` (by default the run's id) names the attempt: a retry after a success writes
+    nothing, one after a failure writes everything, for nothing of the failed attempt is
+    visible.  A run id that another transaction saved is refused, and a writer that
+    lost the race for a version gets ``CommitConflict``.
+    """
+    spark = predictions_new.sparkSession
+    ids = [r["run_id"] for r in run_new.select("run_id").limit(2).collect()]
+    if len(ids) != 1:
+        raise StoreError("save_run takes exactly one run")
+    txn, log = txn or f"run-{ids[0]}", CommitLog(spark, root)
+    base = base if base is not None else log.snapshot()
+    if log.committed(txn):
+        return log.snapshot()
+    if validate_runs(predictions_new, run_new, rows).filter(~F.col("valid")).count():
         raise StoreError("run does not match its upload's rows; nothing written")
-    predictions_new.write.mode("append").parquet(f"{root}/predictions")
-    run_new.write.mode("append").parquet(f"{root}/runs")
+    if predictions_new.filter(~F.col("run_id").eqNullSafe(F.lit(ids[0]))).limit(1).count():
+        raise StoreError("predictions of another run; nothing written")
+    saved = log.read(base).get("runs")
+    if saved is not None and saved.filter(F.col("run_id") == ids[0]).limit(1).count():
+        raise StoreError(f"run {ids[0]} is saved already")
+    return log.commit(txn, append={"predictions": predictions_new, "runs": run_new}, base=base)
 
 
 def constraint_violations(store: dict[str, DataFrame]) -> DataFrame:
@@ -250,38 +281,17 @@ def constraint_violations(store: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def commit_tables(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write every table to a new version folder, then add the version to the log.
-
-    The log entry is the only switch: until it is written readers see the
-    former version, whose files are never touched, and a failed attempt leaves
-    an unreferenced folder.
-    """
+def commit_tables(tables: dict[str, DataFrame], root: str, txn: str | None = None, base: Snapshot | None = None) -> Snapshot:
+    """Replace the given tables in one commit; the others stay.  Readers see the former
+    version, whose files are never touched, until its manifest is published.  With ``base``
+    (the version the tables were derived from) a change by another writer raises ``CommitConflict``."""
     spark = next(iter(tables.values())).sparkSession
-    last = committed_version(spark, root)
-    version = f"{root}/version={uuid.uuid4().hex}"
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{version}/{name}"
-        df.write.parquet(paths[name])
-    entry = [((last["seq"] if last else 0) + 1, version, sorted(tables))]
-    spark.createDataFrame(entry, "seq long, path string, tables array<string>").coalesce(1).write.mode("append").parquet(f"{root}/log")
-    return paths
-
-
-def committed_version(spark, root: str):
-    """The newest log entry, or None before the first commit."""
-    try:
-        return spark.read.parquet(f"{root}/log").orderBy(F.col("seq").desc(), "path").first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    return CommitLog(spark, root).commit(txn or f"tables-{uuid.uuid4().hex}", replace=tables, base=base)
 
 
 def read_committed(spark, root: str) -> dict[str, DataFrame]:
     """The tables of the newest committed version."""
-    last = committed_version(spark, root)
-    if last is None:
+    tables = CommitLog(spark, root).read()
+    if not tables:
         raise StoreError(f"nothing committed under {root}")
-    return {name: spark.read.parquet(f"{last['path']}/{name}") for name in last["tables"]}
+    return tables

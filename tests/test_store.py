@@ -57,9 +57,9 @@ def test_register_upload_guards_and_rows(spark, tmp_path):
     good.write_text("name,value\nx,1\nx,1\n")
     n = S.register_upload(spark, str(good), 1, str(tmp_path / "store"))
     assert n == 2  # duplicates kept
-    rows = spark.read.parquet(str(tmp_path / "store" / "rows")).orderBy("row_index").collect()
+    rows = S.read_committed(spark, str(tmp_path / "store"))["rows"].orderBy("row_index").collect()
     assert [r["row_index"] for r in rows] == [0, 1]
-    up = spark.read.parquet(str(tmp_path / "store" / "uploads")).first()
+    up = S.read_committed(spark, str(tmp_path / "store"))["uploads"].first()
     assert up["row_count"] == 2 and up["col_count"] == 2 and len(up["file_sha256"]) == 64
     txt = tmp_path / "flows.txt"
     txt.write_text("a\n1\n")
@@ -83,7 +83,7 @@ def test_register_uploads_again_replaces_and_rejects_before_storing(spark, tmp_p
     for _ in range(2):
         up = {r["upload_id"]: r for r in S.register_uploads(spark, {str(a): 1, str(b): 2}, root).collect()}
     assert (up[1]["columns"], up[1]["row_count"], up[2]["columns"]) == (["x", "y"], 2, ["x"])
-    rows = spark.read.parquet(root + "/rows").orderBy("upload_id", "row_index").collect()
+    rows = S.read_committed(spark, root)["rows"].orderBy("upload_id", "row_index").collect()
     assert [(r["upload_id"], r["row_index"]) for r in rows] == [(1, 0), (1, 1), (2, 0)]
     assert json.loads(rows[2]["payload"]) == {"x": "5"}
 
@@ -142,3 +142,98 @@ def test_commit_keeps_the_old_version_until_the_switch(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         S.commit_tables({"rows": bad}, root)
     assert S.read_committed(spark, root)["rows"].count() == 2
+
+
+PREDS = "run_id long, upload_id long, row_index long, reconstruction_error double, prediction int"
+RUN = "run_id long, upload_id long, total_flows long"
+
+
+def _run(spark, run_id, n=2):
+    rows = spark.createDataFrame([(10, i, "{}") for i in range(n)], "upload_id long, row_index long, payload string")
+    preds = spark.createDataFrame([(run_id, 10, i, 0.1 * i, i % 2) for i in range(n)], PREDS)
+    return preds, spark.createDataFrame([(run_id, 10, n)], RUN), rows
+
+
+def _saved(spark, root):
+    t = S.read_committed(spark, root)
+    return t["predictions"].count(), t["runs"].count()
+
+
+def test_saving_a_run_twice_keeps_it_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    preds, run, rows = _run(spark, 7)
+    for _ in range(3):
+        S.save_run(preds, run, rows, root)
+    assert _saved(spark, root) == (2, 1)
+    with pytest.raises(S.StoreError, match="saved already"):
+        S.save_run(preds, run, rows, root, txn="another attempt")
+    S.save_run(*_run(spark, 8, 3), root)
+    assert _saved(spark, root) == (5, 2)
+
+
+def test_a_save_that_fails_half_way_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    S.save_run(*_run(spark, 1), root)
+    preds, run, rows = _run(spark, 7)
+    write = S.CommitLog._write
+
+    def dies(self, table, df):
+        if table == "runs":
+            raise OSError("executor lost")
+        return write(self, table, df)
+
+    monkeypatch.setattr(S.CommitLog, "_write", dies)
+    with pytest.raises(OSError):
+        S.save_run(preds, run, rows, root)
+    assert _saved(spark, root) == (2, 1)
+    monkeypatch.undo()
+    S.save_run(preds, run, rows, root)
+    assert _saved(spark, root) == (4, 2)
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from flowlens.sources.commits import CommitConflict, CommitLog
+
+    root = str(tmp_path / "store")
+    S.save_run(*_run(spark, 1), root)
+    base = CommitLog(spark, root).snapshot()
+    S.save_run(*_run(spark, 2), root, base=base)
+    with pytest.raises(CommitConflict):
+        S.save_run(*_run(spark, 3), root, base=base)
+    assert _saved(spark, root) == (4, 2)
+    S.save_run(*_run(spark, 3), root)  # from the newest version it goes through
+    assert _saved(spark, root) == (6, 3)
+    assert [r["seq"] for r in CommitLog(spark, root).history().orderBy("seq").collect()] == [1, 2, 3]
+    assert not [p for p in (tmp_path / "store" / "_commits").iterdir() if p.name.startswith(".draft")]
+
+
+def test_threads_race_for_one_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from flowlens.sources.commits import CommitConflict, CommitLog
+
+    root = str(tmp_path / "store")
+    log = CommitLog(spark, root)
+    base = log.commit("first", append={"t": spark.range(1)})
+
+    def write(k):
+        try:
+            return log.commit(f"w{k}", append={"t": spark.range(1)}, base=base).seq
+        except CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(write, range(6)))
+    assert sorted(got, key=str) == [2] + [None] * 5
+    assert log.read()["t"].count() == 2
+
+
+def test_old_versions_stay_readable_and_keys_leave(spark, tmp_path):
+    from flowlens.sources.commits import CommitLog
+
+    log = CommitLog(spark, str(tmp_path / "store"))
+    log.commit("a", append={"rows": spark.range(4).toDF("upload_id")})
+    log.commit("b", append={"rows": spark.createDataFrame([(2,)], "upload_id long")}, drop_keys={"rows": [2, 3]})
+    log.commit("b", append={"rows": spark.range(9).toDF("upload_id")})  # the same transaction again
+    assert sorted(r[0] for r in log.read()["rows"].collect()) == [0, 1, 2]
+    assert log.read(log.snapshot(1))["rows"].count() == 4

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import coerce_numeric, finite_or_null
 from flowlens.functions.labels import binary_label
-from flowlens.operators.quantiles import order_statistics, percentile_columns
+from flowlens.operators.quantiles import percentile_columns, radix_select
+from flowlens.session import scratch_dir
 
 # fixed values: zero-variance and near-constant columns dropped before training
 CONSTANT_COLS = [
@@ -100,19 +101,28 @@ def hash_key(cols: Sequence[str | Column], seed: int) -> Column:
 
 def train_val_split(df: DataFrame, key_cols: Sequence[str | Column], seed: int = 42, val_fraction: float = 0.2,
                     split_col: str = "split", n: int | None = None) -> DataFrame:
-    """val = the ceil(val_fraction * n) rows with the smallest key hash; train = the rest.
+    """val = exactly ceil(val_fraction * n) rows, those with the smallest key hash; train = the rest.
 
-    The cut is the exact k-th smallest hash (distributed order statistic), so
-    no global sort or window is needed.  ``n`` (the row count) may be passed
-    when the caller already has it.
+    The cut is the exact k-th smallest hash (radix selection on its digits), so no
+    global sort or window is needed.  If more rows tie at the cut than fit (equal keys, even
+    all of them), the first of them by their place in the scan are taken: the rows are
+    written once with that place, and the cut among the places is selected likewise.
+    ``n`` (the row count) may be passed when the caller already has it.
     """
     h = df.withColumn("_h", hash_key(key_cols, seed))
     n = h.count() if n is None else n
     k = math.ceil(val_fraction * n)
     if k == 0:
         return h.withColumn(split_col, F.lit("train")).drop("_h")
-    cut = order_statistics(h, "_h", [k - 1], counts={"": n})[k - 1]
-    return h.withColumn(split_col, F.when(F.col("_h") <= F.lit(cut), "val").otherwise("train")).drop("_h")
+    cut, below, ties = radix_select(h, "_h", k - 1)
+    val = F.col("_h") <= F.lit(cut)
+    if below + ties > k:
+        path = scratch_dir(df.sparkSession, "split", unique=True)
+        h.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+        h = df.sparkSession.read.schema(h.withColumn("_place", F.lit(0).cast("long")).schema).parquet(path)
+        last, _, _ = radix_select(h.filter(F.col("_h") == F.lit(cut)), "_place", k - below - 1)
+        val = (F.col("_h") < F.lit(cut)) | ((F.col("_h") == F.lit(cut)) & (F.col("_place") <= F.lit(last)))
+    return h.withColumn(split_col, F.when(val, "val").otherwise("train")).drop("_h", "_place")
 
 
 # -- C6 / C7 / C8 / C10 -----------------------------------------------------------

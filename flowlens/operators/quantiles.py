@@ -192,6 +192,44 @@ def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int
     return {k: v for (_, k), v in res.items()}
 
 
+DIGIT_BITS = 12
+
+
+def radix_select(df: DataFrame, col: str, k: int, few: int = MAX_INSIDE) -> tuple[int, int, int]:
+    """(value, rows below it, rows equal to it) of the k-th smallest (0-based) value of a long column.
+
+    Exact for all 64 bits.  Each round counts the rows by the next ``DIGIT_BITS`` bits among
+    those that share the prefix found so far (a map-side count, 4,096 rows to the driver);
+    once at most ``few`` rows share it their distinct values are ranked directly.
+    """
+    # flipped sign bit: unsigned order of the bits is the order of the values
+    bits = df.select(F.col(col).cast("long").alias("v")).filter("v IS NOT NULL").select(
+        "v", F.col("v").bitwiseXOR(F.lit(-(1 << 63))).alias("u"))
+    prefix, left, below, inside = 0, 64, 0, None
+
+    def sharing():
+        """The rows that share the prefix (a whole one is a signed long)."""
+        top = prefix - (1 << 64) if prefix >> 63 else prefix
+        return bits if left == 64 else bits.filter(F.shiftrightunsigned("u", left) == top)
+
+    while left and (inside is None or inside > few):
+        width = min(DIGIT_BITS, left)
+        digit = F.shiftrightunsigned("u", left - width).bitwiseAND(F.lit((1 << width) - 1))
+        counts = sorted((r["d"], r["n"]) for r in sharing().groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for d, n in counts:
+            if k < below + n:
+                prefix, inside, left = prefix << width | d, n, left - width
+                break
+            below += n
+        else:
+            raise ValueError(f"rank {k} of {below} rows")
+    for r in sorted(sharing().groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if k < below + r["n"]:
+            return r["v"], below, r["n"]
+        below += r["n"]
+    raise ValueError(f"rank {k} of {below} rows")
+
+
 def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column name, value as double) rows for the given columns."""
     return df.select(F.explode(F.array(*[

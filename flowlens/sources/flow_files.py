@@ -15,11 +15,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.operators.ordering import ordered_scan
+from flowlens.session import scratch_dir
 
 
 def list_csv_files(spark: SparkSession, root: str) -> list[str]:
@@ -117,9 +118,44 @@ def read_flows(spark: SparkSession, root_or_paths: str | Sequence[str]) -> tuple
     return read_csv_with_order(spark, paths)
 
 
-def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] = ()) -> DataFrame:
-    """Dense 0-based index in file order (file path, split offset, position), distributed."""
-    return ordered_scan(df, order_cols=["_file", "_block", "_pos"], group_cols=list(group), index_col=col)
+MAX_BLOCKS = 1_000_000  # of the broadcast offset table: about 40 MB
+
+
+def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] = (), max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """Dense 0-based index in file order (file path, split offset, position), without moving a row.
+
+    The first pass counts the rows of every block (a split of a file) and finds its first
+    position; running sums over that small table give each block its offset, and
+    a row's index is the offset plus its place in the block.  The table is broadcast up to
+    ``max_blocks`` blocks and joined by the planner beyond.  The reader's positions must be the
+    same in both passes: a row whose block or place the first pass did not see stops the
+    job with an error.  A frame from which rows were filtered has gaps in its positions
+    and is ranked by ``ordered_scan``, as is one that is not grouped by file or not at all.
+    """
+    group = list(group)
+    if group not in ([], ["_file"]):
+        return ordered_scan(df, order_cols=["_file", "_block", "_pos"], group_cols=group, index_col=col)
+    path = scratch_dir(df.sparkSession, "blocks", unique=True)
+    df.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to")).write.parquet(path)
+    blocks = df.sparkSession.read.parquet(path)
+    facts = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.max(F.col("_to") - F.col("_from") + 1 - F.col("_n")).alias("gaps")).first()
+    if facts["gaps"]:
+        return ordered_scan(df, order_cols=["_file", "_block", "_pos"], group_cols=group, index_col=col)
+    few = facts["blocks"] <= max_blocks
+    if few:
+        before = Window.partitionBy(*group).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_n").over(before), F.lit(0))  # one task, at most ``max_blocks`` rows
+        offsets = blocks.withColumn("_start", start)
+    else:
+        offsets = ordered_scan(blocks, order_cols=["_file", "_block"], group_cols=group, sums=["_n"]).withColumn(
+            "_start", F.col("cum__n") - F.col("_n"))
+    offsets = offsets.select(F.col("_file").alias("_of"), F.col("_block").alias("_ob"), "_n", "_from", "_start")
+    joined = df.join(F.broadcast(offsets) if few else offsets, (F.col("_file") == F.col("_of")) & (F.col("_block") == F.col("_ob")), "left")
+    place = F.col("_pos") - F.col("_from")
+    index = F.when((place >= 0) & (place < F.col("_n")), F.col("_start") + place).otherwise(
+        F.raise_error(F.lit("the files' splits changed between two passes; fix spark.sql.files.minPartitionNum")).cast("long"))
+    return joined.withColumn(col, index).drop("_of", "_ob", "_n", "_from", "_start")
 
 
 def file_profile(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> DataFrame:

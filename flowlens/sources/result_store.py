@@ -120,7 +120,7 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
     leaves new rows under old metadata.  ``read_committed`` gives the stored tables.
     """
     from flowlens.functions.cleaning import json_safe_payload
-    from flowlens.sources.flow_files import csv_groups, qualified, read_headers
+    from flowlens.sources.flow_files import csv_groups, qualified, read_headers, with_row_index
 
     ids = {qualified(spark, p): i for p, i in uploads.items()}
     paths = list(ids)
@@ -132,8 +132,7 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
              for names, df in csv_groups(spark, paths)]
     if not parts:
         raise StoreError("empty CSV (header only)")
-    indexed = ordered_scan(reduce(DataFrame.unionByName, parts), order_cols=["_block", "_pos"], group_cols=["_file"],
-                           index_col="row_index")
+    indexed = with_row_index(reduce(DataFrame.unionByName, parts), group=["_file"])
     counts = indexed.groupBy("_file").agg(F.count(F.lit(1)).alias("row_count"))
     if counts.count() < len(paths):
         raise StoreError("empty CSV (header only)")

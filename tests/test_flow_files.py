@@ -27,3 +27,31 @@ def test_read_flows_union_and_order(spark, tmp_path):
     assert [r["_source_file"] for r in idx][:2] == ["a.csv", "a.csv"]
     diff = {r["_file"].rsplit("/", 1)[-1]: (r["missing"], r["extra"]) for r in FF.schema_diff(spark, FF.list_csv_files(spark, str(tmp_path))).collect()}
     assert diff["b.csv"] == ([], ["extra"]) and diff["c.csv"] == (["a"], [])
+
+
+def test_row_index_counts_blocks_and_moves_no_row(spark, tmp_path):
+    """Several files of many splits, of two headers; also with more blocks than may be broadcast, and with gaps."""
+    import random
+
+    rng, want = random.Random(1), []
+    for k, header in enumerate(["a,b", "a,b", "b"]):
+        lines = [f"{'x' * rng.randint(1, 40)},{i}" if k < 2 else str(i) for i in range(500 + 300 * k)]
+        (tmp_path / f"f{k}.csv").write_text("\n".join([header, *lines]) + "\n")
+        want += [(f"f{k}.csv", str(i)) for i in range(len(lines))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        df, _ = FF.read_flows(spark, str(tmp_path))
+        assert df.select("_file", "_block").distinct().count() > 10
+        idx = FF.with_row_index(df)
+        plan = idx._jdf.queryExecution().executedPlan().toString()
+        rows_side = plan.split("FileScan csv")[0]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(_file" not in rows_side.split("BroadcastExchange")[0]
+        for got in (idx, FF.with_row_index(df, max_blocks=3)):
+            rows = sorted(got.select("row_index", "_source_file", "b").collect())
+            assert [tuple(r) for r in rows] == [(i, *w) for i, w in enumerate(want)]
+        per_file = FF.with_row_index(df, group=["_file"]).groupBy("_source_file").agg({"row_index": "max"}).collect()
+        assert sorted(map(tuple, per_file)) == [("f0.csv", 499), ("f1.csv", 799), ("f2.csv", 1099)]
+        odd = FF.with_row_index(df.filter("cast(b as int) % 3 = 1")).select("row_index").collect()
+        assert sorted(r[0] for r in odd) == list(range(len(odd)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

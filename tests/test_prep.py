@@ -25,6 +25,15 @@ def test_train_val_split_size(spark):
     assert s.filter("split = 'val'").select("k").exceptAll(again).count() == 0  # reproducible
 
 
+@pytest.mark.parametrize("keys", [[7] * 1000, [k // 100 for k in range(1000)], [None] * 300 + list(range(33))])
+def test_split_sizes_hold_for_repeated_keys(spark, keys):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(3)
+    s = P.train_val_split(df, ["k"], 42, 0.2)
+    rows = {r["i"]: r["split"] for r in s.select("i", "split").collect()}
+    assert len(rows) == len(keys) and sum(v == "val" for v in rows.values()) == math.ceil(0.2 * len(keys))
+    assert s.columns == ["k", "i", "split"]
+
+
 def test_impute_scale_zero_variance_and_missing_median(spark):
     train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0)], "a double, b double")
     med = P.fit_medians(train, ["a", "b"])

@@ -1,6 +1,7 @@
 """Exact percentiles (numpy linear semantics) with forced bracketing."""
 
 import numpy as np
+import pytest
 
 from flowlens.operators.quantiles import exact_percentiles, order_statistics
 
@@ -74,3 +75,19 @@ def test_two_values_narrow(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 2500, -1.0).otherwise(float("inf")).alias("x"))
     assert order_statistics(df, "x", [0, 2499, 2500, 4999], max_inside=10) == {
         0: -1.0, 2499: -1.0, 2500: float("inf"), 4999: float("inf")}
+
+
+def test_radix_select_is_exact_for_close_integers(spark):
+    import random
+
+    from flowlens.operators.quantiles import radix_select
+
+    rng = random.Random(4)
+    values = [2**59 + i for i in range(100)] + [-(2**63), 2**63 - 1, 0, -1] + [5] * 50 + [rng.randrange(-2**62, 2**62) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    order = sorted(values)
+    for k in (0, 1, 20, 120, 200, 301, len(values) - 1):
+        for few in (1000, 3):
+            assert radix_select(df, "v", k, few) == (order[k], sum(v < order[k] for v in values), values.count(order[k]))
+    with pytest.raises(ValueError):
+        radix_select(df, "v", len(values))

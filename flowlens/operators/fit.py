@@ -1,15 +1,21 @@
 """VAE fitting as a Spark job and training-history analytics.
 
-E1 is data-parallel local SGD: the training rows are dealt to shards of a given
-size by a hash of the row and checkpointed once, so the fitted model does
-not depend on the cluster's cores; every epoch is one ``mapInArrow`` job in which each task
-runs minibatch Adam on its own rows starting from the broadcast parameters
-and emits its parameter vector as rows (position, value x rows).  A
-``groupBy(position)`` aggregation averages the vectors weighted by rows, so the
-driver receives one row per parameter -- the size of the model, independent
-of the data and of the number of partitions.  Validation is a second
+E1 is data-parallel: the training rows are dealt to shards of a given size by a hash
+of the row (copies of one row are dealt out one by one) and checkpointed once, so
+the fitted model does not depend on the cluster's cores.  An epoch is one or more
+rounds; in a round every shard works on its next ``sync_batches`` minibatches from the
+shared parameters.  With ``sync="parameters"`` it takes Adam steps of its own and the
+parameter vectors are averaged, weighted by rows (local SGD); with ``sync="gradients"``
+the gradients are summed over all batches of the round and one step is taken, so a
+round that covers the epoch is a step with the full-batch gradient.  Either way a task
+emits its vector as rows (configuration, position, value) and ``groupBy(configuration,
+position)`` sums them, so the driver receives one row per parameter -- the size of the
+model, independent of the data and of the number of partitions.  Validation is a second
 ``mapInArrow`` job that returns per-partition sums.
 
+E4 fits several configurations at once: every round trains all of them on the rows that
+the task reads anyway, so the table is scanned once an epoch whatever their number.
+
 E2 (early-stopping replay), F18 (best epoch and neighbours) and F20 (history
 audit) are window programs over an epoch-history table partitioned by run.
 """
@@ -165,11 +171,15 @@ def beta_for_epoch(epoch: int, start: float = 0.0, end: float = 1.0, warmup: int
 # Distributed local SGD
 # ---------------------------------------------------------------------------
 
-# one row per parameter (pos >= 0, values pre-multiplied by the partition's row count)
-# plus one statistics row (pos = -1) per partition
-TRAIN_SCHEMA = ("pos int, wp double, wm double, wv double, n long, n_batches long, "
+class FitError(ValueError):
+    """The training table cannot be fitted."""
+
+
+# per configuration (cfg) and partition one row per parameter (pos >= 0; sync="parameters":
+# values times the partition's rows, sync="gradients": gradient sums) and one statistics row (pos = -1)
+TRAIN_SCHEMA = ("cfg int, pos int, wp double, wm double, wv double, n long, n_batches long, "
                 "sum_loss double, sum_recon double, sum_kl double")
-EVAL_SCHEMA = "n long, n_batches long, sum_loss double, sum_recon double, sum_kl double"
+EVAL_SCHEMA = "cfg int, n long, n_batches long, sum_loss double, sum_recon double, sum_kl double"
 
 
 def _batches_of(rb_iter, feature: str):
@@ -196,79 +206,97 @@ def _buffers(batches, feature: str, rows: int, rng):
         yield block[rng.permutation(n)]
 
 
-def _minibatches(batches, feature: str, cfg: dict, rng):
+def _minibatches(batches, feature: str, cfg: dict, rng, at: int, count: int | None):
+    """Minibatches ``at`` to ``at + count`` of a shard (to its end for None)."""
+    k = 0
     for block in _buffers(batches, feature, cfg["buffer_rows"], rng):
-        for at in range(0, len(block), cfg["batch_size"]):
-            yield block[at:at + cfg["batch_size"]]
+        for start in range(0, len(block), cfg["batch_size"]):
+            if k >= at and (count is None or k < at + count):
+                yield k, block[start:start + cfg["batch_size"]]
+            k += 1
+
+
+def adam_step(p, m, v, t: int, grad, cfg: dict):
+    """One Adam step with clipping and weight decay; returns (p, m, v)."""
+    b1, b2 = 0.9, 0.999
+    norm = np.sqrt((grad**2).sum())
+    if norm > cfg["clip"]:
+        grad = grad * (cfg["clip"] / (norm + 1e-6))
+    grad = grad + cfg["weight_decay"] * p
+    m = b1 * m + (1 - b1) * grad
+    v = b2 * v + (1 - b2) * grad * grad
+    return p - cfg["lr"] * (m / (1 - b1**t)) / (np.sqrt(v / (1 - b2**t)) + 1e-8), m, v
+
+
+def noise(seed: int, epoch: int, shard: int, batch: int, shape: tuple[int, int]) -> np.ndarray:
+    """The latent noise of a minibatch: the same whatever else is fitted beside it."""
+    return np.random.default_rng([seed, epoch, shard, batch]).standard_normal(shape)
+
 
+def _train_fn(states: dict[int, dict], epoch: int, cfg: dict, order_seed: int, at: int, feature: str):
+    """``states``: configuration number -> like, vec, m, v, step, beta, seed."""
 
-def _train_fn(like: dict, vec: np.ndarray, m0: np.ndarray, v0: np.ndarray, step0: int, beta: float, cfg: dict,
-              seed: int, feature: str):
     def run(batches):
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, pid])
-        p, m, v, t = vec.copy(), m0.copy(), v0.copy(), step0
-        b1, b2, lr, wd, clip = 0.9, 0.999, cfg["lr"], cfg["weight_decay"], cfg["clip"]
-        sl = sr = sk = 0.0
+        shard = TaskContext.get().partitionId()
+        rng = np.random.default_rng([order_seed * 1000 + epoch, shard])
+        local = {c: {**st, "sums": np.zeros(3), "grad": np.zeros_like(st["vec"])} for c, st in states.items()}
         nb = rows = 0
-        for xb in _minibatches(batches, feature, cfg, rng):
-            rows += len(xb)
-            model = unflatten(p, like)
-            eps = rng.standard_normal((len(xb), model["mu"][0].shape[0]))
-            loss, recon, kl, g = loss_and_grad(model, xb, eps, beta, cfg.get("free_bits"))
-            gv = flatten(g)
-            norm = np.sqrt((gv**2).sum())
-            if norm > clip:
-                gv = gv * (clip / (norm + 1e-6))
-            gv = gv + wd * p
-            t += 1
-            m = b1 * m + (1 - b1) * gv
-            v = b2 * v + (1 - b2) * gv * gv
-            mh = m / (1 - b1**t)
-            vh = v / (1 - b2**t)
-            p = p - lr * mh / (np.sqrt(vh) + 1e-8)
-            sl, sr, sk, nb = sl + loss, sr + recon, sk + kl, nb + 1
+        for k, xb in _minibatches(batches, feature, cfg, rng, at, cfg["sync_batches"]):
+            rows, nb = rows + len(xb), nb + 1
+            for st in local.values():
+                model = unflatten(st["vec"], st["like"])
+                eps = noise(st["seed"], epoch, shard, k, (len(xb), model["mu"][0].shape[0]))
+                *parts, g = loss_and_grad(model, xb, eps, st["beta"], cfg.get("free_bits"))
+                st["sums"] = st["sums"] + parts
+                if cfg["sync"] == "gradients":
+                    st["grad"] += flatten(g) * len(xb)
+                else:
+                    st["step"] += 1
+                    st["vec"], st["m"], st["v"] = adam_step(st["vec"], st["m"], st["v"], st["step"], flatten(g), cfg)
         if not rows:
             return
-        n = float(rows)
-        k = len(p)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(-1, k, dtype=np.int32)),
-                pa.array(np.concatenate([[np.nan], p * n])),
-                pa.array(np.concatenate([[np.nan], m * n])),
-                pa.array(np.concatenate([[np.nan], v * n])),
-                pa.array(np.full(k + 1, rows, dtype=np.int64)),
-                pa.array(np.concatenate([[nb], np.zeros(k)]).astype(np.int64)),
-                pa.array(np.concatenate([[sl], np.zeros(k)])),
-                pa.array(np.concatenate([[sr], np.zeros(k)])),
-                pa.array(np.concatenate([[sk], np.zeros(k)])),
-            ],
-            names=["pos", "wp", "wm", "wv", "n", "n_batches", "sum_loss", "sum_recon", "sum_kl"],
-        )
+        for c, st in local.items():
+            k = len(st["vec"])
+            vectors = (st["grad"], np.zeros(k), np.zeros(k)) if cfg["sync"] == "gradients" else [
+                st[name] * float(rows) for name in ("vec", "m", "v")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(k + 1, c, dtype=np.int32)),
+                    pa.array(np.arange(-1, k, dtype=np.int32)),
+                    *[pa.array(np.concatenate([[np.nan], x])) for x in vectors],
+                    pa.array(np.full(k + 1, rows, dtype=np.int64)),
+                    pa.array(np.concatenate([[nb], np.zeros(k)]).astype(np.int64)),
+                    *[pa.array(np.concatenate([[x], np.zeros(k)])) for x in st["sums"]],
+                ],
+                names=["cfg", "pos", "wp", "wm", "wv", "n", "n_batches", "sum_loss", "sum_recon", "sum_kl"],
+            )
 
     return run
 
 
-def _eval_fn(model: dict, beta: float, batch_size: int, feature: str, free_bits: float | None):
+def _eval_fn(models: dict[int, tuple[dict, float]], batch_size: int, feature: str, free_bits: float | None):
+    """``models``: configuration number -> (model, beta)."""
+
     def run(batches):
-        sl = sr = sk = 0.0
+        sums = {c: np.zeros(3) for c in models}
         nb = n = 0
         for x in _batches_of(batches, feature):
             for s in range(0, len(x), batch_size):
                 xb = x[s:s + batch_size]
-                out = forward(model, xb)
-                recon = float(((out["xhat"] - xb) ** 2).mean())
-                kl_dim = -0.5 * (1.0 + out["logvar"] - out["mu"] ** 2 - np.exp(out["logvar"]))
-                if free_bits is not None:
-                    kl_dim = np.maximum(kl_dim, free_bits)
-                kl = float(kl_dim.sum(axis=1).mean())
-                sl, sr, sk, nb, n = sl + recon + beta * kl, sr + recon, sk + kl, nb + 1, n + len(xb)
+                nb, n = nb + 1, n + len(xb)
+                for c, (model, beta) in models.items():
+                    out = forward(model, xb)
+                    recon = float(((out["xhat"] - xb) ** 2).mean())
+                    kl_dim = -0.5 * (1.0 + out["logvar"] - out["mu"] ** 2 - np.exp(out["logvar"]))
+                    if free_bits is not None:
+                        kl_dim = np.maximum(kl_dim, free_bits)
+                    kl = float(kl_dim.sum(axis=1).mean())
+                    sums[c] += (recon + beta * kl, recon, kl)
         yield pa.RecordBatch.from_pylist(
-            [{"n": n, "n_batches": nb, "sum_loss": sl, "sum_recon": sr, "sum_kl": sk}],
-            schema=pa.schema([("n", pa.int64()), ("n_batches", pa.int64()), ("sum_loss", pa.float64()),
+            [{"cfg": c, "n": n, "n_batches": nb, "sum_loss": s[0], "sum_recon": s[1], "sum_kl": s[2]} for c, s in sums.items()],
+            schema=pa.schema([("cfg", pa.int32()), ("n", pa.int64()), ("n_batches", pa.int64()), ("sum_loss", pa.float64()),
                               ("sum_recon", pa.float64()), ("sum_kl", pa.float64())]))
 
     return run
@@ -278,23 +306,37 @@ DEFAULTS = {
     "lr": 1e-3, "weight_decay": 1e-5, "clip": 5.0, "batch_size": 1024, "epochs": 100,
     "beta_start": 0.0, "beta_end": 1.0, "warmup": 30, "schedule": "linear", "patience": 10, "free_bits": None,
     "buffer_rows": 65536,  # rows that a training task holds and shuffles at a time
+    "sync": "parameters",  # or "gradients"
+    "sync_batches": None,  # minibatches of a shard between two synchronisations; None: the epoch
 }
 SHARD_ROWS = 8192  # rows of a local-SGD shard
 
 
 def training_rows(df: DataFrame, feature: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``feature`` as ``_x``, dealt by a hash of the row to one partition per ``shard_rows`` rows, in hash order,
-    checkpointed."""
-    x = df.select(F.col(feature).cast("array<double>").alias("_x"))
-    shards = max(1, -(-x.count() // shard_rows))
-    return x.repartition(shards, F.xxhash64("_x")).sortWithinPartitions(F.xxhash64("_x")).checkpoint(eager=True)
+    """``feature`` as ``_x``, dealt to one partition per ``shard_rows`` rows, in hash order, checkpointed.
+
+    Rows go by their hash.  A vector with more than ``shard_rows`` copies would fill a shard alone:
+    such vectors are counted (combined where they are read), and their copies are dealt
+    out by number.  Rows without a feature are left out.
+    """
+    x = df.select(F.col(feature).cast("array<double>").alias("_x")).filter("_x IS NOT NULL")
+    x = x.select("_x", F.xxhash64("_x").alias("_h"))
+    counts = x.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    facts = counts.agg(F.sum("_n"), F.sum(F.when(F.col("_n") > shard_rows, 1))).first()
+    shards = max(1, -(-(facts[0] or 0) // shard_rows))
+    if facts[1]:
+        hot = F.broadcast(counts.filter(F.col("_n") > shard_rows).select("_h"))  # fewer than there are shards
+        copies = x.join(hot, "_h", "left_semi").groupBy("_h", "_x").agg(F.count(F.lit(1)).alias("_n"))
+        dealt = copies.select("_x", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"), "_h")
+        x = x.join(hot, "_h", "left_anti").unionByName(dealt.select("_x", F.xxhash64("_h", "_k").alias("_h")))
+    return x.repartition(shards, "_h").sortWithinPartitions("_h").select("_x").checkpoint(eager=True)
 
 
 def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int], latent: int,
             seed: int = 42, shard_rows: int = SHARD_ROWS, **cfg_over) -> tuple[dict, DataFrame]:
     """Fit a VAE on ``train[feature]`` (array<double>); returns (best model, epoch history DataFrame).
 
-    ``shard_rows`` sets how many local-SGD shards there are: by the rows, whatever the cores.
+    ``shard_rows`` sets how many shards there are: by the rows, whatever the cores.
     """
     return fit_prepared(training_rows(train, feature, shard_rows), training_rows(val, feature, shard_rows), hidden, latent,
                         seed, **cfg_over)
@@ -302,70 +344,112 @@ def vae_fit(train: DataFrame, val: DataFrame, feature: str, hidden: Sequence[int
 
 def fit_prepared(tr: DataFrame, va: DataFrame, hidden: Sequence[int], latent: int, seed: int = 42,
                  **cfg_over) -> tuple[dict, DataFrame]:
-    """``vae_fit`` on frames that ``training_rows`` made, so that several fits share them.
-
-    Early stopping follows the warm-up rule of E2: during warm-up the best
-    checkpoint tracks validation reconstruction; at warm-up + 1 it resets to
-    the validation total; afterwards patience counts on the validation total.
+    """``vae_fit`` on frames that ``training_rows`` made, so that several fits share them."""
+    models, hist = fit_many(tr, va, {"fit": (hidden, latent)}, seed, **cfg_over)
+    return models["fit"], hist.drop("config")
+
+
+class _Run:
+    """One configuration under training and the early-stopping rule of E2: during warm-up the best
+    checkpoint tracks validation reconstruction; at warm-up + 1 it resets to the validation total;
+    afterwards patience counts on the validation total."""
+
+    def __init__(self, like: dict, seed: int):
+        self.like, self.seed, self.vec = like, seed, flatten(like)
+        self.m, self.v, self.step = np.zeros_like(self.vec), np.zeros_like(self.vec), 0
+        self.best, self.best_epoch, self.best_vec, self.no_improve = float("inf"), 0, self.vec.copy(), 0
+        self.rows, self.stopped = [], False
+
+    def state(self, beta: float) -> dict:
+        return {"like": self.like, "vec": self.vec, "m": self.m, "v": self.v, "step": self.step, "beta": beta, "seed": self.seed}
+
+    def advance(self, parts: list, cfg: dict) -> None:
+        stats = next(r for r in parts if r["pos"] == -1)
+        rows = sorted((r for r in parts if r["pos"] >= 0), key=lambda r: r["pos"])
+        if cfg["sync"] == "gradients":
+            self.step += 1
+            grad = np.array([r["p"] for r in rows])
+            self.vec, self.m, self.v = adam_step(self.vec, self.m, self.v, self.step, grad, cfg)
+        else:
+            self.vec, self.m, self.v = (np.array([r[k] for r in rows]) for k in ("p", "m", "v"))
+            self.step += int(stats["max_nb"])
+
+    def judge(self, rec: dict, cfg: dict) -> None:
+        """Without validation rows the training losses stand in."""
+        kind = "val" if rec["n_val"] else "train"
+        epoch, total, recon = rec["epoch"], rec[f"{kind}_loss"], rec[f"{kind}_recon"]
+        value = recon if epoch <= cfg["warmup"] else total
+        if epoch == cfg["warmup"] + 1 or value < self.best:
+            self.best, self.best_epoch, self.best_vec, self.no_improve = value, epoch, self.vec.copy(), 0
+        elif epoch > cfg["warmup"]:
+            self.no_improve += 1
+            self.stopped = self.no_improve >= cfg["patience"]
+        self.rows.append(rec)
+
+
+HISTORY = ("config string, epoch int, beta double, n_train long, n_val long, train_loss double, train_recon double, train_kl double, "
+           "val_loss double, val_recon double, val_kl double, seconds double, is_best boolean")
+
+
+def fit_many(tr: DataFrame, va: DataFrame, configs: dict[str, tuple[Sequence[int], int]], seed: int = 42,
+             **cfg_over) -> tuple[dict[str, dict], DataFrame]:
+    """Fit all ``configs`` (name -> (hidden widths, latent size)) together on frames that ``training_rows``
+    made: (name -> best model, history with a ``config`` column).
+
+    A configuration that stops early leaves the later rounds; ``seconds`` of an epoch is the
+    time of all that were fitted in it.  Each result is that of a fit of its own.  A
+    training table without rows raises ``FitError``.
     """
     cfg = dict(DEFAULTS, **cfg_over)
-    spark = tr.sparkSession
-    in_dim = len(tr.first()["_x"])
-    model = init_vae(in_dim, hidden, latent, seed)
-    vec = flatten(model)
-    m = np.zeros_like(vec)
-    v = np.zeros_like(vec)
-    step = 0
-    best, best_epoch, best_vec, no_improve = float("inf"), 0, vec.copy(), 0
-    rows = []
+    if cfg["sync"] not in ("parameters", "gradients"):
+        raise FitError(f"sync: {cfg['sync']}")
+    first = tr.first()
+    if first is None:
+        raise FitError("no training rows")
+    names = list(configs)
+    runs = {c: _Run(init_vae(len(first["_x"]), *configs[name], seed), seed) for c, name in enumerate(names)}
     for epoch in range(1, cfg["epochs"] + 1):
+        going = {c: r for c, r in runs.items() if not r.stopped}
+        if not going:
+            break
         t0 = time.time()
         beta = beta_for_epoch(epoch, cfg["beta_start"], cfg["beta_end"], cfg["warmup"], cfg["schedule"])
-        out = tr.mapInArrow(_train_fn(model, vec, m, v, step, beta, cfg, seed * 1000 + epoch, "_x"), TRAIN_SCHEMA)
-        # parameter averaging as a distributed aggregation: one row per parameter reaches the driver
-        agg = out.groupBy("pos").agg(
-            (F.sum("wp") / F.sum("n")).alias("p"), (F.sum("wm") / F.sum("n")).alias("m"), (F.sum("wv") / F.sum("n")).alias("v"),
-            F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.max("n_batches").alias("max_nb"), F.sum("sum_loss").alias("sl"),
-            F.sum("sum_recon").alias("sr"), F.sum("sum_kl").alias("sk"),
-        ).collect()
-        stats = next(r for r in agg if r["pos"] == -1)
-        rows_p = sorted((r for r in agg if r["pos"] >= 0), key=lambda r: r["pos"])
-        vec = np.array([r["p"] for r in rows_p])
-        m = np.array([r["m"] for r in rows_p])
-        v = np.array([r["v"] for r in rows_p])
-        nb = stats["nb"] or 1
-        step += int(stats["max_nb"] or 0)
-        model = unflatten(vec, model)
-        ev = va.mapInArrow(_eval_fn(model, beta, cfg["batch_size"], "_x", cfg.get("free_bits")), EVAL_SCHEMA).agg(
-            F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.sum("sum_loss").alias("l"), F.sum("sum_recon").alias("r"), F.sum("sum_kl").alias("k")
-        ).first()
-        vnb = ev["nb"] or 1
-        rec = {
-            "epoch": epoch, "beta": beta, "n_train": int(stats["n"]), "n_val": int(ev["n"] or 0),
-            "train_loss": stats["sl"] / nb, "train_recon": stats["sr"] / nb, "train_kl": stats["sk"] / nb,
-            "val_loss": (ev["l"] or 0.0) / vnb, "val_recon": (ev["r"] or 0.0) / vnb, "val_kl": (ev["k"] or 0.0) / vnb,
-        }
-        stop = False
-        if epoch == cfg["warmup"] + 1:
-            best, best_epoch, best_vec, no_improve = rec["val_loss"], epoch, vec.copy(), 0
-        elif epoch <= cfg["warmup"]:
-            if rec["val_recon"] < best:
-                best, best_epoch, best_vec, no_improve = rec["val_recon"], epoch, vec.copy(), 0
-        elif rec["val_loss"] < best:
-            best, best_epoch, best_vec, no_improve = rec["val_loss"], epoch, vec.copy(), 0
-        else:
-            no_improve += 1
-            stop = no_improve >= cfg["patience"]
-        rec["seconds"] = time.time() - t0
-        rec["is_best"] = False
-        rows.append(rec)
-        if stop:
-            break
-    for r in rows:
-        r["is_best"] = r["epoch"] == best_epoch
-    hist = spark.createDataFrame(rows, "epoch int, beta double, n_train long, n_val long, train_loss double, train_recon double, train_kl double, "
-                                       "val_loss double, val_recon double, val_kl double, seconds double, is_best boolean")
-    return unflatten(best_vec, model), hist
+        sums = {c: {"n": 0, "nb": 0, "sl": 0.0, "sr": 0.0, "sk": 0.0} for c in going}
+        at = 0
+        while True:
+            states = {c: r.state(beta) for c, r in going.items()}
+            out = tr.mapInArrow(_train_fn(states, epoch, cfg, seed, at, "_x"), TRAIN_SCHEMA)
+            agg = out.groupBy("cfg", "pos").agg(
+                (F.sum("wp") / F.sum("n")).alias("p"), (F.sum("wm") / F.sum("n")).alias("m"), (F.sum("wv") / F.sum("n")).alias("v"),
+                F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.max("n_batches").alias("max_nb"), F.sum("sum_loss").alias("sl"),
+                F.sum("sum_recon").alias("sr"), F.sum("sum_kl").alias("sk"),
+            ).collect()
+            if not agg:  # all shards are at their ends
+                break
+            for c, run in going.items():
+                parts = [r for r in agg if r["cfg"] == c]
+                run.advance(parts, cfg)
+                stats = next(r for r in parts if r["pos"] == -1)
+                sums[c] = {k: total + stats[k] for k, total in sums[c].items()}
+            if cfg["sync_batches"] is None:
+                break
+            at += cfg["sync_batches"]
+        models = {c: (unflatten(r.vec, r.like), beta) for c, r in going.items()}
+        evals = {r["cfg"]: r for r in va.mapInArrow(_eval_fn(models, cfg["batch_size"], "_x", cfg.get("free_bits")), EVAL_SCHEMA)
+                 .groupBy("cfg").agg(F.sum("n").alias("n"), F.sum("n_batches").alias("nb"), F.sum("sum_loss").alias("l"),
+                                     F.sum("sum_recon").alias("r"), F.sum("sum_kl").alias("k")).collect()}
+        for c, run in going.items():
+            st, ev = sums[c], evals.get(c)
+            vnb = ev["nb"] if ev else 0
+            run.judge({
+                "epoch": epoch, "beta": beta, "n_train": int(st["n"]), "n_val": int(ev["n"]) if vnb else 0,
+                "train_loss": st["sl"] / st["nb"], "train_recon": st["sr"] / st["nb"], "train_kl": st["sk"] / st["nb"],
+                **{f"val_{name}": ev[k] / vnb if vnb else None for name, k in (("loss", "l"), ("recon", "r"), ("kl", "k"))},
+                "seconds": time.time() - t0,
+            }, cfg)
+    rows = [{"config": names[c], **rec, "is_best": rec["epoch"] == run.best_epoch} for c, run in runs.items() for rec in run.rows]
+    hist = tr.sparkSession.createDataFrame(rows, HISTORY)
+    return {names[c]: unflatten(r.best_vec, r.like) for c, r in runs.items()}, hist
 
 
 # ---------------------------------------------------------------------------

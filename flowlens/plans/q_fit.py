@@ -211,6 +211,31 @@ def _epoch_facts(model, hist):
                        F.lit(FT.n_params(model)).cast("long").alias("n_params"), reduce(and_, finite).alias("losses_finite"))
 
 
+LOSSES = ["train_loss", "train_recon", "train_kl", "val_loss", "val_recon", "val_kl"]
+
+
+def q_vae_fit_losses(spark, sf):
+    """E1 + E3: the losses of every epoch of the same fit and the epoch whose weights were kept; beside it a
+    fit by synchronous gradient steps, one for each minibatch of the shards."""
+    tr, va = (FT.training_rows(x, "x") for x in _vector_splits(spark, sf))
+    kinds = {"averaged": {}, "gradients": {"sync": "gradients", "sync_batches": 1}}
+    parts = [FT.fit_prepared(tr, va, [16, 8], 4, seed=7, **FIT_CFG, **over)[1].withColumn("sync", F.lit(kind))
+             for kind, over in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).select("sync", "epoch", "beta", *LOSSES, "is_best")
+
+
+def q_sweep_results(spark, sf):
+    """All configurations fitted in one scan an epoch; size, epochs, best epoch and the losses there."""
+    tr, va = (FT.training_rows(x, "x") for x in _vector_splits(spark, sf))
+    models, hist = FT.fit_many(tr, va, {f"{h}-{z}": (h, z) for h, z in SWEEP}, seed=7, **dict(FIT_CFG, epochs=6))
+    sizes = spark.createDataFrame([(f"{h}-{z}", str(h), z, FT.n_params(models[f"{h}-{z}"])) for h, z in SWEEP],
+                                  "config string, hidden string, latent int, n_params long")
+    best = hist.groupBy("config").agg(
+        F.max("epoch").alias("final_epoch"), F.max_by("epoch", "is_best").alias("best_epoch"),
+        *[F.max(F.when(F.col("is_best"), F.col(c))).alias(f"best_{c}") for c in LOSSES], F.sum("seconds").alias("fit_seconds"))
+    return sizes.join(F.broadcast(best), "config").drop("config")
+
+
 def _size_sql(inputs: int, hidden: list[int], latent: int) -> int:
     """Parameters of a network: encoder, two latent heads, mirrored decoder."""
     down, up = [inputs, *hidden], [latent, *hidden[::-1], inputs]
@@ -265,11 +290,13 @@ SWEEP = [([16, 8], 4), ([8], 2), ([32, 16], 8)]
 
 
 def q_config_sweep(spark, sf):
-    """Several widths / latent sizes on the same checkpointed rows; size, rows and epochs per config."""
+    """Several widths / latent sizes fitted together on the same checkpointed rows; size, rows and epochs per config."""
     tr, va = (FT.training_rows(x, "x") for x in _vector_splits(spark, sf))
+    models, hist = FT.fit_many(tr, va, {f"{h}-{z}": (h, z) for h, z in SWEEP}, seed=7, **dict(FIT_CFG, epochs=2))
     parts = []
     for hidden, latent in SWEEP:
-        facts = _epoch_facts(*FT.fit_prepared(tr, va, hidden, latent, seed=7, **dict(FIT_CFG, epochs=2)))
+        name = f"{hidden}-{latent}"
+        facts = _epoch_facts(models[name], hist.filter(F.col("config") == name))
         parts.append(facts.groupBy(F.lit(str(hidden)).alias("hidden"), F.lit(latent).alias("latent"), "n_params", "n_train", "n_val").agg(
             F.max("epoch").alias("epochs"), F.min("losses_finite").alias("losses_finite")))
     return reduce(DataFrame.unionByName, parts)
@@ -349,10 +376,12 @@ FROM v"""
 
 QUERIES = {
     "e1_vae_fit": (q_vae_fit, SQL_VAE_FIT),
+    "e1_vae_fit_losses": (q_vae_fit_losses, None),
     "e1_vae_fit_flows": (q_vae_fit_flows, SQL_VAE_FIT_FLOWS),
     "e2_replay_early_stop": (q_replay, SQL_REPLAY),
     "e3_epoch_history": (q_epoch_history, SQL_EPOCH_HISTORY),
     "e4_config_sweep": (q_config_sweep, SQL_CONFIG_SWEEP),
+    "e4_sweep_results": (q_sweep_results, None),
     "e5_collapse_stats": (q_collapse_stats, SQL_COLLAPSE_STATS),
     "e5_collapse_verdict": (q_collapse_verdict, _verdict_sql()),
     "f18_best_epoch": (q_best_epoch, SQL_BEST_EPOCH),

@@ -201,11 +201,22 @@ def clipped_histogram(df: DataFrame, cols: Sequence[str], bins: int = 20,
                       lo_p: float = 0.01, hi_p: float = 0.99) -> DataFrame:
     """Per column: clip at p1/p99, then equal-width bins; counts per bin (zero bins omitted)."""
     q = percentile_columns(df, cols, [lo_p, hi_p])
-    long_vals = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])).alias("s")
-    ).select("s.*").filter(F.col("v").isNotNull())
+    # every column's bucket, counted in the scan stage as one small map of (feature, bucket)
+    cells = []
+    for c in cols:
+        lo, hi = q[(c, lo_p)], q[(c, hi_p)]
+        if lo is None:
+            continue
+        v = F.col(f"`{c}`").cast("double")
+        inside = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+        at = F.least(F.lit(bins), F.floor((inside - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int") + 1) if hi > lo else F.lit(1)
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("feature"), at.alias("bucket"))))
     bounds = df.sparkSession.createDataFrame([(c, q[(c, lo_p)], q[(c, hi_p)]) for c in cols], "feature string, lo double, hi double")
-    return _bin(long_vals.join(F.broadcast(bounds), "feature"), ["feature"], bins)
+    if not cells:
+        return bounds.filter("lo IS NOT NULL").select("feature", F.lit(1).alias("bucket"), F.lit(0).cast("long").alias("n"), "lo", "hi")
+    counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).groupBy("s.feature", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(bounds), "feature").select(  # one row per column
+        "feature", "bucket", "n", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def _bin(df: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
@@ -230,19 +230,116 @@ def radix_select(df: DataFrame, col: str, k: int, few: int = MAX_INSIDE) -> tupl
     raise ValueError(f"rank {k} of {below} rows")
 
 
-def unpivot_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column name, value as double) rows for the given columns."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols
-    ])).alias("s")).select("s._col", "s._v")
+def _inside(v: Column, lo: float, hi: float) -> Column:
+    """Whether ``v`` lies in [lo, hi]; an open end is no condition."""
+    low = F.lit(True) if lo == -math.inf else v >= F.lit(lo)
+    return low if hi == math.inf else low & (v <= F.lit(hi))
 
 
 def percentile_columns(df: DataFrame, cols: Sequence[str], fractions: Sequence[float],
                        max_inside: int = MAX_INSIDE, accuracy: int = ACCURACY) -> dict:
-    """{(column, fraction): percentile} for many columns at once, as (column, value)
-    rows that are aggregated where they are read."""
-    return grouped_percentiles(unpivot_values(df, cols), "_v", "_col", fractions, groups=list(cols),
-                               max_inside=max_inside, accuracy=accuracy)
+    """{(column, fraction): percentile} for many columns at once; None for a column without values.
+
+    Exact, in wide aggregates that never unpivot the table: one scan builds a mergeable KLL
+    sketch of every column, which proposes a bracket around each wanted rank; one scan counts
+    the rows below and inside all brackets; one scan emits the cells that lie in
+    a bracket, and their distinct values are ranked.  Brackets that still hold more than
+    ``max_inside`` cells of different values are sketched and counted again first.
+    """
+    size = int(min(65535, max(8, accuracy // 25)))
+    margin = 7.0 / size**0.97  # about three times the sketch's rank error
+    value = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in cols}
+    counts: dict[str, int] = {}
+    tasks: list[dict] = []
+    first = True
+    while True:
+        if first:
+            open_ = {(c, -math.inf, math.inf): [{"rel": float(p)} for p in fractions] for c in cols}
+        else:
+            open_ = {}
+            for t in tasks:
+                if t["inside"] > max_inside and t["lo"] < t["hi"]:
+                    t["rel"] = (t["k"] - t["below"]) / max(t["inside"] - 1, 1)
+                    open_.setdefault((t["c"], t["lo"], t["hi"]), []).append(t)
+        if not open_ or not fractions:
+            break
+        # scan 1: a sketch of every open bracket, read at the wanted ranks and a margin around them
+        asked, sketches = {}, []
+        for i, ((c, lo, hi), ts) in enumerate(open_.items()):
+            asked[i] = [x for t in ts for x in (max(0.0, t["rel"] - margin), t["rel"], min(1.0, t["rel"] + margin))]
+            v = F.when(_inside(value[c], lo, hi), value[c])
+            sketches += [F.kll_sketch_agg_double(v, F.lit(size)).alias(f"s{i}"), F.count(v).alias(f"n{i}")]
+        row = df.agg(*sketches).select(*[
+            x for i, ranks in asked.items() for x in (
+                F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, ranks)))).alias(f"q{i}"),
+                F.col(f"n{i}"))]).first()
+        if first:
+            for i, c in enumerate(cols):
+                n = counts[c] = row[f"n{i}"]
+                for p, at in zip(fractions, range(0, 3 * len(fractions), 3)) if n else ():
+                    r = (n - 1) * float(p)
+                    for k in {math.floor(r), math.ceil(r)}:
+                        tasks.append({"c": c, "k": k, "lo": -math.inf, "hi": math.inf, "below": 0, "inside": n,
+                                      "grid": row[f"q{i}"][at:at + 3]})
+            todo = [t for t in tasks if t["inside"] > max_inside]
+        else:
+            for i, ts in enumerate(open_.values()):
+                for j, t in enumerate(ts):
+                    t["grid"] = row[f"q{i}"][3 * j:3 * j + 3]
+            todo = [t for ts in open_.values() for t in ts]
+        first = False
+        if not todo:
+            break
+        for t in todo:
+            lo, at, hi = t["grid"]
+            t["new"] = (lo, hi) if (lo, hi) != (t["lo"], t["hi"]) else (at, at)  # no narrower: single out one value
+        # scan 2: exact counts below and inside every proposal
+        cells = {(t["c"], t["lo"], t["hi"], *t["new"]): None for t in todo}
+        sums = []
+        for i, (c, lo, hi, new_lo, new_hi) in enumerate(cells):
+            v = value[c]
+            sums += [F.count(F.when(_inside(v, lo, hi) & (v < F.lit(new_lo)), 1)).alias(f"b{i}"),
+                     F.count(F.when(_inside(v, new_lo, new_hi), 1)).alias(f"i{i}")]
+        row = df.agg(*sums).first()
+        for i, cell in enumerate(cells):
+            cells[cell] = (row[f"b{i}"], row[f"i{i}"])
+        for t in todo:
+            lo, hi = t["new"]
+            left, inside = cells[(t["c"], t["lo"], t["hi"], lo, hi)]
+            k = t["k"] - t["below"]
+            if k < left:
+                t["hi"], t["inside"] = math.nextafter(lo, -math.inf), left
+            elif k < left + inside:
+                t["lo"], t["hi"], t["below"], t["inside"] = lo, hi, t["below"] + left, inside
+            else:
+                t["lo"], t["below"], t["inside"] = math.nextafter(hi, math.inf), t["below"] + left + inside, t["inside"] - left - inside
+    # scan 3: the cells inside a bracket, at most ``max_inside`` distinct ones each
+    brackets: dict[tuple, int] = {}
+    for t in tasks:
+        if t["lo"] < t["hi"]:
+            t["b"] = brackets.setdefault((t["c"], t["lo"], t["hi"]), len(brackets))
+    got = {}
+    if brackets:
+        found = [F.when(_inside(value[c], lo, hi), F.struct(F.lit(b).alias("_t"), value[c].alias("v")))
+                 for (c, lo, hi), b in brackets.items()]
+        tagged = df.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*").filter("v IS NOT NULL")
+        wanted = df.sparkSession.createDataFrame(sorted({(t["b"], t["k"] - t["below"]) for t in tasks if "b" in t}), "_t int, rk long")
+        picked = (
+            _ranked(tagged).join(F.broadcast(wanted), "_t")  # two ranks a percentile
+            .filter((F.col("rk") >= F.col("_upto") - F.col("_c")) & (F.col("rk") < F.col("_upto"))).select("_t", "rk", "v").collect()
+        )
+        got = {(r["_t"], r["rk"]): r["v"] for r in picked}
+    stats = {(t["c"], t["k"]): got[(t["b"], t["k"] - t["below"])] if "b" in t else t["lo"] for t in tasks}
+    out = {}
+    for c in cols:
+        for p in fractions:
+            if not counts.get(c):
+                out[(c, p)] = None
+                continue
+            r = (counts[c] - 1) * float(p)
+            low, high = stats[(c, math.floor(r))], stats[(c, math.ceil(r))]
+            out[(c, p)] = low if low == high else low + (high - low) * (r - math.floor(r))
+    return out
 
 
 def percentile_row(df: DataFrame, col: str, fractions: Sequence[float], names: Sequence[str]) -> DataFrame:

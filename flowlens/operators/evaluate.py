@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.metrics import confusion_sums, metric_columns, r6, ratio_or_null
 from flowlens.operators.ordering import ordered_scan
-from flowlens.operators.quantiles import exact_percentiles, grouped_percentiles
+from flowlens.operators.quantiles import exact_percentiles, group_percentile_table
 
 # fixed values: sweep percentiles of the validation scores
 SWEEP_PERCENTILES = [90.0, 92.0, 93.0, 94.0, 95.0, 96.0, 97.0, 97.5, 98.0, 99.0]
@@ -136,6 +136,10 @@ def roc_curve(df: DataFrame, score: str = "score", truth: str = "truth") -> Data
 
 # -- F8 / F9 ---------------------------------------------------------------------
 
+class NoScoresError(ValueError):
+    """A threshold was asked of a table without scores."""
+
+
 def threshold_sweep(
     val: DataFrame, test: DataFrame, percentiles: Sequence[float] = SWEEP_PERCENTILES,
     score: str = "score", truth: str = "truth",
@@ -145,10 +149,13 @@ def threshold_sweep(
     The thresholds come from one batched exact-percentile job.  Each test row
     is bucketed by how many thresholds it exceeds (one expression, no row
     expansion); the k+1 buckets are then folded into per-threshold counts.
-    AUC / AP are computed once.
+    AUC / AP are computed once.  Without validation scores there is no
+    threshold: ``NoScoresError``.
     """
     spark = val.sparkSession
     thetas = exact_percentiles(val, score, [p / 100.0 for p in percentiles])
+    if None in thetas:
+        raise NoScoresError("no validation scores")
     exceed = sum((F.col(score) > F.lit(t)).cast("int") for t in sorted(thetas))
     # a row is predicted anomalous for threshold i iff it exceeds at least need_i = #{j: t_j <= t_i} thresholds
     need = {t: r + 1 for r, t in enumerate(sorted(thetas))}
@@ -217,14 +224,13 @@ def per_label_metrics(df: DataFrame, label: str = "label", score: str = "score",
     """Per label: support, tp/fn/fp/tn, recall / fpr (NULL on empty denominators), mean and median score."""
     null_key = "\u0000"
     keyed = df.withColumn("_lk", F.coalesce(F.col(label).cast("string"), F.lit(null_key)))
-    med = grouped_percentiles(keyed, score, "_lk", [0.5])
-    med_df = df.sparkSession.createDataFrame([(k, v) for (k, _), v in med.items()], "_lk string, median_score double")
+    med_df = group_percentile_table(keyed, score, "_lk", [0.5]).select("_lk", F.col("pct")[0].alias("median_score"))
     g = keyed.groupBy(label, "_lk").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(truth).cast("long")).alias("n_attack"),
         *confusion_sums(truth, pred),
         F.avg(score).alias("mean_score"),
-    ).join(F.broadcast(med_df), "_lk", "left")
+    ).join(med_df, "_lk", "left")
     return g.select(
         label,
         "n",
@@ -283,7 +289,7 @@ def error_by_cell(df: DataFrame, score: str = "score", truth: str = "truth", pre
 def density_histogram(df: DataFrame, score: str, cap_p: float = 0.995, bins: int = 80) -> DataFrame:
     """Scores <= their p99.5 in ``bins`` equal-width bins over [min, max]; density = count / (n * width)."""
     cap = exact_percentiles(df, score, [cap_p])[0]
-    kept = df.filter(F.col(score) <= F.lit(cap))
+    kept = df.filter(F.col(score) <= F.lit(cap).cast("double"))  # no scores: no bins
     st = kept.agg(F.min(score).alias("mn"), F.max(score).alias("mx"), F.count(F.lit(1)).alias("n"))
     w = (F.col("mx") - F.col("mn")) / bins
     b = F.when(w > 0, F.least(F.lit(bins), F.floor((F.col(score) - F.col("mn")) / w).cast("int") + 1)).otherwise(1)
@@ -300,9 +306,11 @@ def kde_grid(df: DataFrame, score: str, cap_p: float = 0.995, points: int = 500,
 
     Every score adds its kernel to the grid: a task keeps one sum per grid point
     and emits ``points`` rows, so the shuffle does not grow with the rows.  Scores
-    without spread give NULL densities.
+    without spread give NULL densities, no scores no rows.
     """
     cap = exact_percentiles(df, score, [cap_p])[0]
+    if cap is None:
+        return df.sparkSession.createDataFrame([], "g int, x double, density double")
     kept = df.filter(F.col(score) <= F.lit(cap)).select(F.col(score).cast("double").alias("v"))
     st = kept.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd")).first()
     n, h, step = st["n"], (st["sd"] or 0.0) * factor, cap / (points - 1)

@@ -537,29 +537,143 @@ def history_audit(history: DataFrame, best: DataFrame, warmup: int, patience: in
     return j.select(run, "n_epochs", "best_epoch", "argmin_epoch", "final_epoch", status.alias("status"))
 
 
+# fixed values: the names under which a history may hold each metric, in order of preference
+HISTORY_KEYS = {
+    "train_loss": ["train_loss", "loss", "total_loss"],
+    "train_recon_loss": ["train_recon_loss", "train_recon", "recon_loss", "reconstruction_loss", "train_reconstruction_loss"],
+    "train_kl_loss": ["train_kl_loss", "train_kl", "kl_loss", "kld_loss", "train_kld_loss"],
+    "val_loss": ["val_loss", "validation_loss", "valid_loss"],
+    "val_recon_loss": ["val_recon_loss", "val_recon", "validation_recon_loss", "valid_recon_loss", "val_reconstruction_loss"],
+    "val_kl_loss": ["val_kl_loss", "val_kl", "validation_kl_loss", "valid_kl_loss", "val_kld_loss"],
+}
+
+
+def _number(text):
+    """A number, or NULL for text that is none, NaN and NULL."""
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+
+
+def normalise_history(histories: DataFrame, json: str = "history_json", run: str = "run_id") -> DataFrame:
+    """training histories stored as JSON -> one row per run and epoch with the six losses.
+
+    A history is an object of lists (epoch = place from 1; shorter lists are padded with NULL) or a
+    list of records (epoch = its ``epoch``, or its place from 1; elements that are no
+    records are skipped).  The first name of ``HISTORY_KEYS`` that is present counts, even
+    if its value is null; what is no number, or in an object no list, is NULL.  A history
+    of another shape, or without any of the lists, has no rows.
+    """
+    text = F.ltrim(F.col(json))
+
+    def held(m, names):
+        """The value under the first of ``names`` that the map has."""
+        return m[F.get(F.filter(F.array(*map(F.lit, names)), lambda k: F.map_contains_key(m, k)), F.lit(0))]
+
+    def of_lists(m):
+        lists = F.struct(*[F.from_json(held(m, names), "array<string>").alias(key) for key, names in HISTORY_KEYS.items()])
+
+        def rows(at):
+            n = F.greatest(*[F.coalesce(F.size(at[key]), F.lit(0)) for key in HISTORY_KEYS])
+            epochs = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(epochs, lambda i: F.struct(
+                i.alias("epoch"), *[_number(F.get(at[key], i - 1)).alias(key) for key in HISTORY_KEYS]))
+
+        return F.element_at(F.transform(F.array(lists), rows), 1)
+
+    def of_records(records):
+        rows = F.transform(records, lambda m, i: F.when(m.isNotNull(), F.struct(
+            F.coalesce(m["epoch"].try_cast("int"), i + 1).alias("epoch"),
+            *[_number(held(m, names)).alias(key) for key, names in HISTORY_KEYS.items()])))
+        return F.filter(rows, lambda r: r.isNotNull())
+
+    parsed = histories.select(
+        run, F.when(text.startswith("{"), F.from_json(text, "map<string,string>")).alias("_m"),
+        F.when(text.startswith("["), F.from_json(text, "array<string>")).alias("_r"))
+    # an element that is no record parses to NULL
+    parsed = parsed.withColumn("_r", F.transform("_r", lambda r: F.when(
+        F.ltrim(r).startswith("{"), F.from_json(r, "map<string,string>"))))
+    rows = F.when(F.col("_m").isNotNull(), of_lists(F.col("_m"))).otherwise(of_records(F.col("_r")))
+    return parsed.select(run, F.explode(rows).alias("r")).select(run, "r.*")
+
+
+MOMENTS = "col string, dim int, n long, mean double, m2 double, lo double, hi double, sum_abs double"
+
+
+def moment_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col, dim, n, mean, m2, lo, hi, sum_abs) of the array columns: every task keeps one moment vector
+    for each column and merges its batches into it; the tasks' vectors are merged by dimension.  Null arrays are left out."""
+
+    def run(batches):
+        held: dict[str, list] = {}
+        for rb in batches:
+            for c in cols:
+                col = rb.column(rb.schema.get_field_index(c)).drop_null()
+                if not len(col):
+                    continue
+                x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+                mean = x.mean(axis=0)
+                new = [len(x), mean, ((x - mean) ** 2).sum(axis=0), x.min(axis=0), x.max(axis=0), np.abs(x).sum(axis=0)]
+                old = held.get(c)
+                if old:
+                    n, gap = old[0] + new[0], new[1] - old[1]
+                    new = [n, old[1] + gap * (new[0] / n), old[2] + new[2] + gap**2 * (old[0] * new[0] / n),
+                           np.minimum(old[3], new[3]), np.maximum(old[4], new[4]), old[5] + new[5]]
+                held[c] = new
+        for c, (n, *vectors) in held.items():
+            k = len(vectors[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c] * k), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, n, np.int64)),
+                 *[pa.array(np.asarray(v, np.float64)) for v in vectors]],
+                ["col", "dim", "n", "mean", "m2", "lo", "hi", "sum_abs"])
+
+    parts = df.select(*[F.col(c).cast("array<double>").alias(c) for c in cols]).mapInArrow(run, MOMENTS)
+    return merged_moments(parts, "col", "dim")
+
+
+def merged_moments(parts: DataFrame, *keys: str) -> DataFrame:
+    """Moments of the union of the parts of each key; a list holds one part per task (or dimension)."""
+
+    def merge(a, b):
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap * (b["n"] / n)).alias("mean"),
+                        (a["m2"] + b["m2"] + gap * gap * (a["n"] * b["n"].cast("double") / n)).alias("m2"))
+
+    g = parts.groupBy(*keys).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("p"), F.min("lo").alias("lo"),
+                                 F.max("hi").alias("hi"), F.sum("sum_abs").alias("sum_abs"))
+    whole = F.aggregate(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.element_at("p", 1), merge)
+    return g.withColumn("w", whole).select(*keys, "w.n", "w.mean", "w.m2", "lo", "hi", "sum_abs")
+
+
 def collapse_stats(scored: DataFrame, latent: int, x: str = "x") -> DataFrame:
-    """mu spread (sample std overall / per dim), max |mu|, logvar and x_hat stats, error percentiles,
-    model MSE vs the zero predictor and the improvement in percent (one row)."""
-    mu_all = scored.select(F.explode("mu").alias("m"))
+    """mu spread (sample std overall / per dim), max |mu|, mean and spread of logvar, mean |x_hat| and spread
+    of x_hat, error percentiles, model MSE vs the zero predictor and the improvement in percent (one row).
+    ``scored`` holds mu, logvar, x_hat and the inputs ``x``."""
     pct = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
+    by_dim = moment_vectors(scored, ["mu", "logvar", "x_hat"])
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    dims = {r["dim"]: r for r in by_dim.filter("col = 'mu'").select("dim", std.alias("std"), "lo", "hi").collect()}
+    all_ = {r["col"]: r for r in merged_moments(by_dim, "col").select(
+        "col", std.alias("std"), "mean", (F.col("sum_abs") / F.col("n")).alias("mean_abs"), "lo", "hi").collect()}
+
+    def fact(name, key):
+        return F.lit(all_[name][key] if name in all_ else None).cast("double")
+
     base = scored.agg(
-        *[F.stddev_samp(F.col("mu")[i]).alias(f"mu_std_{i}") for i in range(latent)],
-        F.avg(F.aggregate("logvar", F.lit(0.0), lambda a, b: a + b) / latent).alias("logvar_mean"),
         F.avg("reconstruction_error").alias("mse_model"),
         F.avg(F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b) / F.size(x)).alias("mse_zero"),
     )
     ep = exact_percentiles(scored, "reconstruction_error", pct)
-    base = base.withColumn("err_pct", F.array(*[F.lit(v).cast("double") for v in ep]))
-    m = mu_all.agg(F.stddev_samp("m").alias("mu_std"), F.max(F.abs("m")).alias("mu_max_abs"))
-    return base.crossJoin(m).select(
-        F.round("mu_std", 6).alias("mu_std"),
-        *[F.round(f"mu_std_{i}", 6).alias(f"mu_std_{i}") for i in range(latent)],
-        F.round("mu_max_abs", 6).alias("mu_max_abs"),
-        F.round("logvar_mean", 6).alias("logvar_mean"),
+    return base.select(
+        F.round(fact("mu", "std"), 6).alias("mu_std"),
+        *[F.round(F.lit(dims[i]["std"] if i in dims else None).cast("double"), 6).alias(f"mu_std_{i}") for i in range(latent)],
+        F.round(F.greatest(F.abs(fact("mu", "lo")), F.abs(fact("mu", "hi"))), 6).alias("mu_max_abs"),
+        F.round(fact("logvar", "mean"), 6).alias("logvar_mean"),
+        F.round(fact("logvar", "std"), 6).alias("logvar_std"),
+        F.round(fact("x_hat", "mean_abs"), 6).alias("xhat_mean_abs"),
+        F.round(fact("x_hat", "std"), 6).alias("xhat_std"),
         F.round("mse_model", 6).alias("mse_model"),
         F.round("mse_zero", 6).alias("mse_zero"),
         F.round(F.when(F.col("mse_zero") > 0, (F.col("mse_zero") - F.col("mse_model")) / F.col("mse_zero") * 100), 4).alias("improvement_pct"),
-        *[F.round(F.col("err_pct")[i], 6).alias(f"err_p{int(p * 100)}") for i, p in enumerate(pct)],
+        *[F.round(F.lit(v).cast("double"), 6).alias(f"err_p{int(p * 100)}") for v, p in zip(ep, pct)],
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import finite_or_null
-from flowlens.operators.quantiles import grouped_percentiles, percentile_columns
+from flowlens.operators.quantiles import group_percentile_table, percentile_columns
 
 INF = float("inf")
 
@@ -232,11 +232,10 @@ def _bin(df: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
 
 def clipped_by_label(df: DataFrame, col: str, label: str = "label", bins: int = 20) -> DataFrame:
     """One feature per label: clip at the label's own p1/p99, equal-width bins."""
-    q = grouped_percentiles(df, col, label, [0.01, 0.99])
-    labels = sorted({k for k, _ in q})
-    bounds = df.sparkSession.createDataFrame([(k, q[(k, 0.01)], q[(k, 0.99)]) for k in labels], f"{label} string, lo double, hi double")
+    bounds = group_percentile_table(df, col, label, [0.01, 0.99]).select(
+        label, F.col("pct")[0].alias("lo"), F.col("pct")[1].alias("hi"))
     vals = df.select(F.col(label).cast("string").alias(label), F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    return _bin(vals.join(F.broadcast(bounds), label), [label], bins)
+    return _bin(vals.join(bounds, label), [label], bins)
 
 
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy", "bad"]

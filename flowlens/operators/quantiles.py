@@ -28,6 +28,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.operators.ordering import ordered_scan
+from flowlens.session import scratch_dir
+
 ACCURACY = 100_000
 MAX_INSIDE = 100_000
 GRID = [i / 1000 for i in range(1001)]
@@ -192,6 +195,65 @@ def order_statistics(df: DataFrame, col: str, ks: Sequence[int], max_inside: int
     return {k: v for (_, k), v in res.items()}
 
 
+def group_percentile_table(df: DataFrame, value: str, group: str, fractions: Sequence[float],
+                           accuracy: int = ACCURACY) -> DataFrame:
+    """(group, n, pct): exact percentiles of every group as a table, for any number of groups.
+
+    The brackets are rows joined by group and never reach the driver: a KLL sketch of every group
+    proposes one for each fraction, one pass counts what lies below and inside, and
+    the values inside are ranked by ``ordered_scan``, so that a group that holds a third of
+    the rows is ranked by many tasks.  A group whose sketch misses a rank is ranked as a
+    whole.  The join is the planner's: it is broadcast while the table is small.
+    Groups are compared as strings; NULL groups and groups without values are left out.
+    """
+    size = int(min(65535, max(8, accuracy // 25)))
+    margin, ps = 7.0 / size**0.97, [float(p) for p in fractions]
+    path = scratch_dir(df.sparkSession, "group_percentiles", unique=True)
+    spark = df.sparkSession
+    values = _values(df, value, group)
+    asked = F.array(*[F.lit(x) for p in ps for x in (max(0.0, p - margin), min(1.0, p + margin))])
+    sketched = values.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("v", F.lit(size)).alias("s"))
+    sketched.select("_g", "n", F.kll_sketch_get_quantile_double("s", asked).alias("q")).write.parquet(f"{path}/brackets")
+    brackets = spark.read.parquet(f"{path}/brackets")
+
+    def ranks(i):
+        r = (F.col("n") - 1) * F.lit(ps[i])
+        return F.floor(r), F.ceil(r)
+
+    joined = values.join(brackets, "_g")
+    below = joined.groupBy("_g").agg(*[
+        f for i in range(len(ps)) for f in (
+            F.count(F.when(F.col("v") < F.col("q")[2 * i], 1)).alias(f"b{i}"),
+            F.count(F.when(F.col("v") <= F.col("q")[2 * i + 1], 1)).alias(f"u{i}"))])
+    checked = brackets.join(below, "_g")
+    held = F.lit(True)
+    for i in range(len(ps)):
+        held = held & (ranks(i)[0] >= F.col(f"b{i}")) & (ranks(i)[1] < F.col(f"u{i}"))
+    wide = F.array(*[F.lit(x) for _ in ps for x in (-math.inf, math.inf)])
+    checked.select("_g", "n", F.when(held, F.col("q")).otherwise(wide).alias("q"),
+                   *[F.when(held, F.col(f"b{i}")).otherwise(0).alias(f"b{i}") for i in range(len(ps))]).write.parquet(f"{path}/checked")
+    checked = spark.read.parquet(f"{path}/checked")
+    # (group, fraction, value) of what lies inside, distinct values with their counts
+    v = F.col("v")
+    inside = values.join(checked.select("_g", "q"), "_g").select("_g", "v", F.explode(F.array_compact(F.array(*[
+        F.when((v >= F.col("q")[2 * i]) & (v <= F.col("q")[2 * i + 1]), F.lit(i)) for i in range(len(ps))]))).alias("_t"))
+    distinct = inside.groupBy("_g", "_t", "v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = ordered_scan(distinct, order_cols=["v"], group_cols=["_g", "_t"], sums=["_c"])
+    targets = checked.select("_g", "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_t"), (ranks(i)[0] - F.col(f"b{i}")).alias("lo"), (ranks(i)[1] - F.col(f"b{i}")).alias("hi"),
+                 ((F.col("n") - 1) * F.lit(ps[i]) - ranks(i)[0]).alias("part")) for i in range(len(ps))])).alias("t")).select("_g", "n", "t.*")
+    first = F.col("cum__c") - F.col("_c")
+
+    def at(rank):
+        return F.max(F.when((F.col(rank) >= first) & (F.col(rank) < F.col("cum__c")), F.col("v")))
+
+    near = ranked.join(targets, ["_g", "_t"]).filter((F.col("hi") >= first) & (F.col("lo") < F.col("cum__c")))
+    picked = near.groupBy("_g", "n", "_t", "part").agg(at("lo").alias("a"), at("hi").alias("b"))
+    pct = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
+    return picked.select("_g", "n", F.struct("_t", pct.alias("p")).alias("x")).groupBy(F.col("_g").alias(group), "n").agg(
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]).alias("pct"))
+
+
 DIGIT_BITS = 12
 
 

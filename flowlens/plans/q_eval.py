@@ -335,6 +335,15 @@ FROM (SELECT CASE WHEN (mx - mn) / 80 > 0 THEN least(80, CAST(floor((score - mn)
      (SELECT min(score) AS mn, max(score) AS mx, count(*) AS n FROM kept) st""", SCORES, _CAP)
 
 
+def q_density_wide(spark, sf):
+    """F15, the view of false positives: the same histogram up to p99.8."""
+    val, _ = _split(spark, sf)
+    return E.density_histogram(val, "score", 0.998, 80)
+
+
+SQL_DENSITY_WIDE = SQL_DENSITY_HISTOGRAM.replace("quantile_cont(score, 0.995)", "quantile_cont(score, 0.998)")
+
+
 def q_kde(spark, sf):
     val, _ = _split(spark, sf)
     return E.kde_grid(val, "score", 0.995, 500, 0.3)
@@ -396,6 +405,7 @@ FROM (SELECT 'percentile_sweep' AS experiment, percentile,
 
 QUERIES.update({
     "f15_density_histogram": (q_density_histogram, SQL_DENSITY_HISTOGRAM),
+    "f15_density_p998": (q_density_wide, SQL_DENSITY_WIDE),
     "f15_kde": (q_kde, SQL_KDE),
     "f16_best_by_metric": (q_best_by_metric, SQL_BEST_BY_METRIC),
     "f16_tradeoff": (q_tradeoff, SQL_TRADEOFF),

@@ -191,6 +191,40 @@ SELECT h.run_id, h.epoch, n.notes, round(h.train_loss, 6) AS train_loss, round(h
 FROM history h JOIN notes n ON h.run_id = n.run_id AND h.epoch = n.epoch"""
 
 
+STORED = {"train_loss": "train_loss", "train_recon": "train_recon_loss", "train_kl": "train_kl_loss",
+          "val_loss": "val_loss", "val_recon": "val_recon_loss", "val_kl": "val_kl_loss"}
+# fixed values: other names of the metrics
+ALIASES = {"train_loss": "loss", "train_recon": "reconstruction_loss", "train_kl": "kld_loss",
+           "val_loss": "validation_loss", "val_recon": "valid_recon_loss", "val_kl": "val_kld_loss"}
+
+
+def q_normalise_history(spark, sf):
+    """every run's history in three stored shapes (lists; records under other names; lists under other names
+    of which the validation ones lack the last three epochs), read back as one table."""
+    h = history(spark, sf)
+    by_epoch = h.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("epoch", *STORED))).alias("e"))
+
+    def listed(names, short=0):
+        return F.to_json(F.struct(*[
+            F.slice(F.transform("e", _field(m)), F.lit(1), F.size("e") - (short if m.startswith("val") else 0)).alias(names[m])
+            for m in STORED]))
+
+    records = F.to_json(F.transform("e", lambda r: F.struct(r["epoch"].alias("epoch"), *[r[m].alias(ALIASES[m]) for m in STORED])))
+    shapes = {"lists": listed(STORED), "records": records, "short": listed(ALIASES, 3)}
+    stored = by_epoch.select(F.explode(F.array(*[
+        F.struct(F.concat_ws("-", "run_id", F.lit(k)).alias("run_id"), v.alias("history_json")) for k, v in shapes.items()])).alias("s"))
+    out = FT.normalise_history(stored.select("s.*"))
+    return out.select("run_id", "epoch", *[F.round(c, 9).alias(c) for c in STORED.values()])
+
+
+SQL_NORMALISE_HISTORY = "WITH " + HISTORY_SQL + """,
+e AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS pos, count(*) OVER (PARTITION BY run_id) AS n FROM history)
+SELECT run_id || '-' || shape AS run_id, CAST(CASE WHEN shape = 'records' THEN epoch ELSE pos END AS INTEGER) AS epoch, """ + ", ".join(
+    f"round({m}, 9) AS {c}" if m.startswith("train") else
+    f"CASE WHEN shape <> 'short' OR pos <= n - 3 THEN round({m}, 9) END AS {c}" for m, c in STORED.items()) + """
+FROM e, (VALUES ('lists'), ('records'), ('short')) t(shape)"""
+
+
 # -- E1 / E4 / E5 -----------------------------------------------------------------
 
 
@@ -308,7 +342,7 @@ SQL_CONFIG_SWEEP = f"WITH {_VECTOR_COUNTS}\n" + " UNION ALL ".join(
 
 
 def q_collapse_stats(spark, sf):
-    s = S.vae_score(B.vectors(spark, sf), TINY, "x", ["vec_id", "x"], latent=True)
+    s = S.vae_score(B.vectors(spark, sf), TINY, "x", ["vec_id", "x"], latent=True, xhat=True)
     return FT.collapse_stats(s, 2, "x")
 
 
@@ -318,6 +352,9 @@ SELECT round((SELECT stddev_samp(m) FROM (SELECT mu0 AS m FROM tiny UNION ALL SE
        round(stddev_samp(mu0), 6) AS mu_std_0, round(stddev_samp(mu1), 6) AS mu_std_1,
        round(greatest(max(abs(mu0)), max(abs(mu1))), 6) AS mu_max_abs,
        round(avg((lv0 + lv1) / 2), 6) AS logvar_mean,
+       round((SELECT stddev_samp(v) FROM (SELECT lv0 AS v FROM tiny UNION ALL SELECT lv1 FROM tiny)), 6) AS logvar_std,
+       round((SELECT avg(abs(v)) FROM (SELECT unnest([""" + ", ".join(f"y{i}" for i in range(WIDTH)) + """]) AS v FROM tiny)), 6) AS xhat_mean_abs,
+       round((SELECT stddev_samp(v) FROM (SELECT unnest([""" + ", ".join(f"y{i}" for i in range(WIDTH)) + """]) AS v FROM tiny)), 6) AS xhat_std,
        round(avg(recon_error), 6) AS mse_model, round(avg(zero_error), 6) AS mse_zero,
        round(CASE WHEN avg(zero_error) > 0 THEN
              (avg(zero_error) - avg(recon_error)) / avg(zero_error) * 100 END, 4)
@@ -385,6 +422,7 @@ QUERIES = {
     "e5_collapse_stats": (q_collapse_stats, SQL_COLLAPSE_STATS),
     "e5_collapse_verdict": (q_collapse_verdict, _verdict_sql()),
     "f18_best_epoch": (q_best_epoch, SQL_BEST_EPOCH),
+    "f19_normalise_history": (q_normalise_history, SQL_NORMALISE_HISTORY),
     "f19_selected_epochs": (q_selected_epochs, SQL_SELECTED_EPOCHS),
     "f18_best_vs_final": (q_best_vs_final, SQL_BEST_VS_FINAL),
     "f20_history_audit": (q_history_audit, SQL_HISTORY_AUDIT),

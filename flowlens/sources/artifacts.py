@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_splits(df: DataFrame, features: Sequence[str], label: str, source: str, out: str) -> dict[str, str]:
-    """Features + binary label partitioned by split; test metadata; the ordered feature contract."""
+def write_splits(df: DataFrame, features: Sequence[str], label: str, source: str, out: str,
+                 medians: DataFrame | None = None, scaler: DataFrame | None = None) -> dict[str, str]:
+    """Features + binary label partitioned by split; test metadata; the ordered feature contract; and what was
+    fitted on the training split: one row of medians, and (feature, pos, mean, scale) rows of the scaler."""
     paths = {
         "features": f"{out}/features",
         "test_metadata": f"{out}/test_metadata",
@@ -23,6 +25,10 @@ def write_splits(df: DataFrame, features: Sequence[str], label: str, source: str
     spark.createDataFrame([(list(features),)], "feature_columns array<string>").coalesce(1).write.mode("overwrite").json(
         paths["feature_schema"]
     )
+    for name, fitted in (("medians", medians), ("scaler", scaler)):
+        if fitted is not None:
+            paths[name] = f"{out}/{name}"
+            fitted.write.mode("overwrite").parquet(paths[name])
     return paths
 
 

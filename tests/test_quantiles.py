@@ -91,3 +91,25 @@ def test_radix_select_is_exact_for_close_integers(spark):
             assert radix_select(df, "v", k, few) == (order[k], sum(v < order[k] for v in values), values.count(order[k]))
     with pytest.raises(ValueError):
         radix_select(df, "v", len(values))
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 250])
+def test_group_percentiles_as_a_table(spark, accuracy):
+    """A hot group, tied values, single rows, many small groups; a coarse sketch may miss ranks."""
+    from flowlens.operators.quantiles import group_percentile_table
+
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(x)) for x in rng.normal(size=3000)] + [("tied", 1.5)] * 500 + [("one", 7.0)]
+    rows += [(f"g{i % 300}", float(x)) for i, x in enumerate(rng.exponential(size=1500))]
+    rows += [("hot", None), ("hot", float("nan")), (None, 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = [0.0, 0.01, 0.5, 0.999, 1.0]
+    got = {r["g"]: (r["n"], r["pct"]) for r in group_percentile_table(df, "x", "g", ps, accuracy).collect()}
+    want = {}
+    for g, x in rows:
+        if g is not None and x is not None and x == x:
+            want.setdefault(g, []).append(x)
+    assert got.keys() == want.keys()
+    for g, xs in want.items():
+        assert got[g][0] == len(xs)
+        np.testing.assert_allclose(got[g][1], np.percentile(xs, [100 * p for p in ps]), rtol=1e-12, atol=1e-12)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.functions.cleaning import coerce_numeric, json_safe_payload
+from flowlens.operators import prep as P
 from flowlens.plans import bindings as B
-from flowlens.plans.q_prep import FEATS, KEY, PREP_VIEWS, split_flows
+from flowlens.plans.q_prep import _IMPUTED_SQL, _MED_SQL, _SCALER_SQL, FEATS, KEY, PREP_VIEWS, _medians, split_flows
 from flowlens.plans.views_sql import FLOWS, SCORES, with_views
 from flowlens.session import scratch_dir
 from flowlens.sources import artifacts as AR
@@ -52,8 +53,6 @@ FROM csv_rows"""
 def q_dedupe_file_order(spark, sf):
     """C2 as in the cleaning pipeline: read the CSV files (A1), index rows in file order (A13), keep the
     first row of every group of equal (Quantity, Discount, Tax, Label) -- a hash aggregation of min(row_index)."""
-    from flowlens.operators import prep as P
-
     _, df, _ = _read(spark, sf)
     idx = FF.with_row_index(df)
     feats = idx.select("row_index", *[coerce_numeric(F.col(c)).alias(c.lower()) for c in ["Quantity", "Discount", "Tax"]],
@@ -178,6 +177,23 @@ SQL_WRITE_SPLITS = with_views(
 )
 
 
+def q_prep_artifacts(spark, sf):
+    """A10: the medians and the scaler fitted on the training split, written beside the splits and read back."""
+    s, med = _medians(spark, sf)
+    imp = P.impute(s, med, FEATS, ["split"])
+    scaler = P.fit_scaler(imp.filter(F.col("split") == "train"), FEATS)
+    paths = AR.write_splits(s, FEATS, "label", "source_file", scratch_dir(spark, "splits", unique=True), med, scaler)
+    medians = spark.read.parquet(paths["medians"]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("median")) for c in FEATS])).alias("m")).select("m.*")
+    return spark.read.parquet(paths["scaler"]).join(F.broadcast(medians), "feature").select(  # one row per feature
+        "feature", "pos", F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+SQL_PREP_ARTIFACTS = "WITH " + ",\n".join([*PREP_VIEWS, _MED_SQL, _IMPUTED_SQL, _SCALER_SQL]) + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS pos, round(med.{c}, 6) AS median, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS scale FROM med, scaler"
+    for i, c in enumerate(FEATS))
+
+
 def q_prep_metadata(spark, sf):
     """Counts per split, ratios, dropped columns and policy names (one row)."""
     s = split_flows(spark, sf)
@@ -238,6 +254,7 @@ QUERIES = {
     "a4_schema_diff": (q_schema_diff, SQL_SCHEMA_DIFF),
     "a7_json_payload": (q_json_payload, SQL_JSON_PAYLOAD),
     "a8_register_upload": (q_register_upload, SQL_REGISTER_UPLOAD),
+    "a10_prep_artifacts": (q_prep_artifacts, SQL_PREP_ARTIFACTS),
     "a10_write_splits": (q_write_splits, SQL_WRITE_SPLITS),
     "a11_prep_metadata": (q_prep_metadata, SQL_PREP_METADATA),
     "a16_table_fingerprint": (q_table_fingerprint, SQL_TABLE_FINGERPRINT),

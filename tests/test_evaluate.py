@@ -109,3 +109,22 @@ def test_kde_uses_every_score(spark):
     np.testing.assert_allclose([r["density"] for r in got], want, atol=2e-6)
     same = E.kde_grid(spark.createDataFrame([(1.0,), (1.0,)], "score double"), "score", points=5).collect()
     assert len(same) == 5 and all(r["density"] is None for r in same)
+
+
+def test_activation_stats_by_matrix_product(spark):
+    from flowlens.operators import score as S
+
+    rng = np.random.default_rng(5)
+    w, b = rng.normal(size=(40, 6)), rng.normal(size=40)
+    x = rng.normal(size=(50, 6))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(50, None)], "id long, x array<double>").repartition(3)
+    got = {r["id"]: r for r in S.activation_stats(df, "x", w, b).collect()}
+    for i, row in enumerate(x):
+        a = np.maximum(w @ row + b, 0)
+        top = sorted(range(40), key=lambda u: (-a[u], u))
+        r = got[i]
+        assert (r["n_active"], r["n_zero"], r["top_unit"], r["top5_units"]) == ((a > 0).sum(), (a <= 0).sum(), top[0], top[:5])
+        assert abs(r["top_activation"] - a.max()) < 1e-5
+    assert got[50]["n_active"] is None and got[50]["top5_units"] is None
+    none = S.activation_stats(df.filter("id < 0"), "x", w, b)
+    assert none.count() == 0

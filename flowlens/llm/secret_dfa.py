@@ -4,13 +4,19 @@ Every rule is a regular expression over bytes: a head, then a body of at least
 ``least`` characters.  All rules are parsed into one position automaton, turned
 into a deterministic one by subset construction, minimised by partition
 refinement and stored as transition arrays (byte -> byte class, state x class ->
-state, state -> rules that end there).  One pass over the bytes finds, for
-all rules at once, which documents hold a match; the pass walks many stretches of text in
-step, cut where the byte before resets every state (a line break, a comma).
+state, state -> rules that end there).  One pass over the bytes finds, for all rules at once,
+which stretches of text hold a match of which rules; a stretch ends where the byte before
+resets every state (a line break, a comma), so no match crosses two of them.  Many stretches
+are walked in step; the few longest are finished one by one.
 
-For a document with a hit, the rule's own automata (head, and head with body, without the minimum)
+In a stretch with a hit, the rule's own automata (head, and head with body, without the minimum)
 give the spans: leftmost, longest, not overlapping within a kind; a match whose
-body is shorter than the minimum is consumed and dropped.
+body is shorter than the minimum is consumed and dropped.  A walk remembers the (state, byte) pairs
+from which no match was reached, and a later walk that meets one of them ends: the time is linear in the
+text.  Only states on a cycle of the automaton are remembered (any long walk meets one), in one byte
+for each byte of the stretch and such state that a failed walk has been in.
+
+Any number of rules: the rule bits are kept in as many bytes as the rules need.
 
 * null and empty texts: no spans, counts 0, the digest of the empty string
 * offsets are code points, the end is exclusive; documents are whole, of any length
@@ -186,7 +192,7 @@ class Dfa:
         for k, states in enumerate(order):
             for s in states:
                 accept[k] |= ends.get(s, 0)
-        self.table, self.accept = self._minimal(np.array(rows), np.array(accept))
+        self.table, self.accept = self._minimal(np.array(rows), accept)
         #: a state that no byte leaves and that accepts nothing (-1: none)
         dead = [k for k, row in enumerate(self.table) if (row == k).all() and not self.accept[k]]
         self.dead = dead[0] if dead and not floating else -1
@@ -200,10 +206,11 @@ class Dfa:
         return inverse.ravel().astype(np.int64), [int(x) for x in first]
 
     @staticmethod
-    def _minimal(table: np.ndarray, accept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _minimal(table: np.ndarray, accept: list[int]) -> tuple[np.ndarray, list[int]]:
         """Partition refinement: states stay together while they agree on their
         rules and on the parts that all byte classes lead to."""
-        _, part = np.unique(accept, return_inverse=True)
+        number: dict[int, int] = {}
+        part = np.array([number.setdefault(bits, len(number)) for bits in accept])  # the bits may be wider than 64
         while True:
             _, first, new = np.unique(np.column_stack([part, part[table]]), axis=0, return_index=True, return_inverse=True)
             new = new.ravel()
@@ -213,8 +220,21 @@ class Dfa:
         # the start state becomes 0
         swap = np.arange(len(first))
         swap[[0, new[0]]] = swap[[new[0], 0]]
-        table, accept = swap[new[table[first]]], accept[first]
-        return table[swap], accept[swap]
+        table, accept = swap[new[table[first]]], [accept[k] for k in first]
+        return table[swap], [accept[k] for k in swap]
+
+    def cyclic(self) -> list[bool]:
+        """States that a walk can come back to."""
+        reach = np.zeros((len(self.table),) * 2, bool)
+        for k, row in enumerate(self.table):
+            reach[k, row[row != self.dead]] = True
+        for k in range(len(reach)):
+            reach |= np.outer(reach[:, k], reach[k])
+        return reach.diagonal().tolist()
+
+
+FEW = 8  # stretches that are not worth a step in common
+BLOCK = 1 << 20
 
 
 class Scanner:
@@ -227,68 +247,89 @@ class Scanner:
         self.all = Dfa([r.head + r.body * (1 if r.head else r.least) for r in rules], floating=True)
         self.width = self.all.table.shape[1]
         self.flat = (self.all.table * self.width).astype(np.int32).ravel()
-        # an accepting state matters only when it is entered, so the mask is looked up per row start
-        self.mask = np.zeros(len(self.all.table) * self.width, np.uint8)
-        self.mask[:: self.width] = self.all.accept
+        # the rules that end in a state, eight to a byte; looked up per row start
+        words = -(-len(rules) // 8)
+        self.masks = [np.zeros(len(self.flat), np.uint8) for _ in range(words)]
+        for w, mask in enumerate(self.masks):
+            mask[:: self.width] = [bits >> (8 * w) & 255 for bits in self.all.accept]
         resets = (self.all.table == self.all.table[0]).all(axis=0)
         same = self.all.table[0][self.all.classes] == 0
         self.reset = resets[self.all.classes] & same
+        self.kinds = self.all.classes.astype(np.uint8)
         self.heads = [Dfa([r.head], floating=False) for r in rules]
         self.wholes = [Dfa([r.head + r.body + "+"], floating=False) for r in rules]
+        self.tables = [(d.table.tolist(), d.accept, d.dead, d.cyclic(), bytes(d.classes.tolist())) for d in self.wholes]
 
-    def hits(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of the rules that match, per text."""
-        out = np.zeros(len(texts), np.uint8)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        if not len(data):
-            return out
-        ends = np.cumsum([len(t) for t in texts])
-        cuts = np.flatnonzero(self.reset[data]) + 1
-        wanted = np.arange(self.stretch, len(data), self.stretch)
-        at = np.searchsorted(cuts, wanted)
-        starts = np.unique(np.concatenate([[0], ends, cuts[at[at < len(cuts)]]]))
-        starts = starts[starts < len(data)]
+    def hits(self, data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Bits of the rules that match inside every stretch of ``data``, eight rules to an array."""
         sizes = np.diff(np.append(starts, len(data)))
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        kind = self.all.classes.astype(np.uint8)[data]
-        state, seen, pos = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.uint8), starts.copy()
-        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")  # stretches longer than the step
-        for n in active:
+        sizes, pos = sizes[order], starts[order]
+        kind = self.kinds[data]
+        state = np.zeros(len(pos), np.int32)
+        seen = [np.zeros(len(pos), np.uint8) for _ in self.masks]
+        step = int(sizes[FEW]) if len(sizes) > FEW else 0  # as long as more than FEW stretches go on, in step
+        for n in np.searchsorted(-sizes, -np.arange(step), "left"):  # stretches longer than the step
             s = self.flat[state[:n] + kind[pos[:n]]]
             state[:n] = s
-            seen[:n] |= self.mask[s]
+            for bits, mask in zip(seen, self.masks):
+                bits[:n] |= mask[s]
             pos[:n] += 1
-        np.bitwise_or.at(out, np.searchsorted(ends, starts, "right"), seen)
+        flat = self.flat.tolist() if step < sizes[0] else []
+        for k in range(min(FEW, len(sizes))):
+            s, entered = int(state[k]), set()
+            for at in range(int(pos[k]), int(pos[k] + sizes[k] - step), BLOCK):
+                for c in kind[at : min(at + BLOCK, int(pos[k] + sizes[k] - step))].tolist():
+                    s = flat[s + c]
+                    entered.add(s)
+            for bits, mask in zip(seen, self.masks):
+                bits[k] |= np.bitwise_or.reduce(mask[list(entered)]) if entered else 0
+        out = [np.zeros(len(starts), np.uint8) for _ in self.masks]
+        for bits, found in zip(out, seen):
+            bits[order] = found
         return out
 
     def spans(self, text: bytes, k: int) -> list[tuple[int, int]]:
-        """Byte spans of rule ``k``."""
+        """Byte spans of rule ``k``, in linear time."""
         whole, head, out, at = self.wholes[k], self.heads[k], [], 0
-        kinds = whole.classes[np.frombuffer(text, np.uint8)]
-        can_start = np.flatnonzero(whole.table[0][kinds] != whole.dead).tolist()
-        kinds, table, accept, dead = kinds.tolist(), whole.table.tolist(), whole.accept.tolist(), whole.dead
+        table, accept, dead, cyclic, classes = self.tables[k]
+        can_start = np.flatnonzero((whole.table[0] != dead)[whole.classes][np.frombuffer(text, np.uint8)])
+        kinds = text.translate(classes)
+        n, failed = len(kinds), {}
         for start in can_start:
             if start < at:
                 continue
+            start = int(start)
             state, end, i = 0, -1, start
-            while i < len(kinds):
+            met: list[tuple[int, int]] = []  # since the last end of a match
+            while i < n:
                 state = table[state][kinds[i]]
                 if state == dead:
                     break
                 i += 1
                 if accept[state]:
                     end = i
+                    if met:
+                        met = []
+                elif cyclic[state]:
+                    if state in failed and failed[state][i - 1]:
+                        break
+                    met.append((state, i - 1))
+            for state, i in met:
+                if state not in failed:
+                    failed[state] = bytearray(n)
+                failed[state][i] = 1
             if end > start:
                 at = end
-                if end - self._head_end(head, text, start) >= self.rules[k].least:
+                if end - self._head_end(head, text, start, end) >= self.rules[k].least:
                     out.append((start, end))
         return out
 
     @staticmethod
-    def _head_end(head: Dfa, text: bytes, start: int) -> int:
+    def _head_end(head: Dfa, text: bytes, start: int, stop: int) -> int:
+        """End of the longest head at ``start`` that leaves a body before ``stop``."""
         state, end = 0, start
-        for i in range(start, len(text)):
+        for i in range(start, stop - 1):
             state = head.table[state][head.classes[text[i]]]
             if state == head.dead:
                 break
@@ -296,18 +337,37 @@ class Scanner:
                 end = i + 1
         return end
 
+    def stretches(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Starts of stretches of about ``stretch`` bytes that no match crosses; a text starts one."""
+        cuts = np.flatnonzero(self.reset[data]) + 1
+        at = np.searchsorted(cuts, np.arange(self.stretch, len(data), self.stretch))
+        starts = np.unique(np.concatenate([[0], ends, cuts[at[at < len(cuts)]]]))
+        return starts[starts < len(data)]
+
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """Per text the (start, rule number, end) in code points, sorted."""
-        out = []
-        for text, bits in zip(texts, self.hits(texts).tolist(), strict=True):
-            found = []
-            if bits:
-                points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-                for k in range(len(self.rules)):
-                    if bits >> k & 1:
-                        found += [(int(points[a]) - 1, k, int(points[b - 1])) for a, b in self.spans(text, k)]
-            out.append(sorted(found))
-        return out
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        joined = b"".join(texts)
+        if not joined:
+            return out
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        starts = self.stretches(data, ends)
+        stops = np.append(starts[1:], len(data))
+        owner = np.searchsorted(ends, starts, "right")
+        known = (-1, 0, 0)  # text, byte and code points before it
+        hits = self.hits(data, starts)
+        for x in np.flatnonzero(np.bitwise_or.reduce(hits)).tolist():
+            a, b, text = int(starts[x]), int(stops[x]), int(owner[x])
+            at, before = known[1:] if known[0] == text else (int(ends[text]) - len(texts[text]), 0)
+            before += int(np.count_nonzero((data[at:a] & 0xC0) != 0x80))
+            known = (text, a, before)
+            points = np.cumsum((data[a:b] & 0xC0) != 0x80) + before
+            part = joined[a:b]
+            for k in range(len(self.rules)):
+                if hits[k // 8][x] >> (k % 8) & 1:
+                    out[text] += [(int(points[i]) - 1, k, int(points[j - 1])) for i, j in self.spans(part, k)]
+        return [sorted(found) for found in out]
 
 
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -186,6 +187,61 @@ def test_secrets_equal_the_rules(docs_of):
     assert github.spans == "github:2:28" and github.n_hex == 0
 
 
+def _naive_spans(rule, text):
+    """Leftmost, longest, not overlapping, by trying every end of every start with ``re``."""
+    whole, head = re.compile(rule.head + rule.body + "+"), re.compile(rule.head)
+    out, at = [], 0
+    while at < len(text):
+        ends = [e for e in range(at + 1, len(text) + 1) if whole.fullmatch(text, at, e)]
+        if not ends:
+            at += 1
+            continue
+        end = ends[-1]
+        start_of_body = max(e for e in range(at, end) if head.fullmatch(text, at, e))
+        if end - start_of_body >= rule.least:
+            out.append((at, end))
+        at = end
+    return out
+
+
+def test_secrets_more_rules_than_a_byte(docs_of):
+    added = tuple(secret_dfa.Rule(f"z{k}", f"zz{k:02d}", "[a-z]", 2) for k in range(70))
+    scanner = secret_dfa.Scanner(secret_dfa.RULES + added)
+    text = " ".join(f"zz{k:02d}abcd" for k in range(70))
+    assert [k for _, k, _ in scanner.scan([text.encode()])[0]] == [len(secret_dfa.RULES) + k for k in range(70)]
+    row = secret_dfa.find_secrets(docs_of([(1, "é zz13ab")]), secret_dfa.RULES + added).first()
+    assert row.spans == "z13:2:8" and (row.n_assign, row.n_hex) == (0, 0)
+
+
+def test_secrets_spans_equal_a_naive_search():
+    rnd = random.Random(8)
+    rules = secret_dfa.RULES + (secret_dfa.Rule("loop", "(ab*c|a)*d", "[ab]", 2), secret_dfa.Rule("far", "a(b|c)*", "d", 2))
+    parts = ["eyJ", "eyJabc.", ".", "a", "b", "c", "d", "dd", "ab", "-----BEGIN", " RSA", " PRIVATE KEY", "-----", "token", "=",
+             " ", "abcdef123456", "xoxb-", "\n", ","]
+    scanner = secret_dfa.Scanner(rules, stretch=16)
+    for _ in range(250):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(25)))
+        want = sorted((a, k, b) for k, r in enumerate(rules) for a, b in _naive_spans(r, text))
+        assert scanner.scan([text.encode()])[0] == want, text
+
+
+def test_secrets_time_is_linear_on_failing_starts():
+    scanner = secret_dfa.Scanner()
+    jwt = b"eyJabcdefgh.eyJabcdefgh.abcdefghijkl"
+    took = []
+    for n in (100_000, 400_000):
+        text = jwt + b" " + b"eyJ" * n + b" token" + b" " * n + b"AKIA" * n
+        began = time.monotonic()
+        found = scanner.scan([text])[0]
+        took.append(time.monotonic() - began)
+        assert (0, 5, len(jwt)) in found and any(k == 1 for _, k, _ in found)
+    assert took[1] < 60 and took[1] < 12 * max(took[0], 0.5)
+
+
+def test_secrets_empty_table(docs_of):
+    assert secret_dfa.find_secrets(docs_of([(1, "x")]).filter("doc_id = 2")).collect() == []
+
+
 def test_automaton_is_minimal():
     d = secret_dfa.Dfa(["ab|cb", "x+"], floating=False)
     assert len(d.table) == 5  # start, after a or c, ab, x+, dead
@@ -217,4 +273,4 @@ def test_sql(spark, name):
 
 def test_registered():
     names = set(E.queries())
-    assert {"pipeline"} | set(QUERIES) <= names and len(QUERIES) == 10
+    assert {"pipeline"} | set(QUERIES) <= names and len(QUERIES) == 13

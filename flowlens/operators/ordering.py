@@ -1,12 +1,14 @@
 """Order-dependent work without a single-partition window.
 
 ``Window.orderBy`` without ``partitionBy`` plans ``Exchange SinglePartition``;
-``Window.partitionBy(group)`` puts a hot group (a third of all rows) into one
 task.  ``ordered_scan`` instead
 
-1. range-partitions on (group, order) into ``n`` balanced partitions and pins
-   the partition id as a column (written once to the shared scratch folder, so
-   the ids survive recomputation and executor loss),
+1. writes the rows to the shared scratch folder, counts them there (Parquet
+   footers) and range-partitions them on (group, order) into ``n`` balanced
+   partitions of at most about ``ROWS_PER_RANGE`` rows; the range sampling then
+   reads the written rows instead of computing the input again.  The partition id
+   is pinned as a column (written too, so the ids survive recomputation and
+   executor loss),
 2. numbers rows / accumulates sums inside each (partition, group) slice -- a
    slice is at most one range partition, so this shuffle is balanced,
 3. adds, per slice, the totals of the same group in earlier partitions.  Only
@@ -28,10 +30,18 @@ from pyspark.sql import functions as F
 from flowlens.session import scratch_dir
 
 PID = "_pid"
+ROWS_PER_RANGE = 4_000_000
 
 
-def _default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def range_count(rows: int, setting: int) -> int:
+    """Ranges of an ordered scan: the session's shuffle partitions, more when they would hold over ``ROWS_PER_RANGE`` rows."""
+    return max(setting, -(-rows // ROWS_PER_RANGE))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession, "ordered_scan", unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered_scan(
@@ -41,26 +51,23 @@ def ordered_scan(
     sums: Sequence[str] = (),
     index_col: str | None = None,
     num_partitions: int | None = None,
-    checkpoint: bool = True,
 ) -> DataFrame:
     """Add ``index_col`` (0-based position inside the group) and ``cum_<s>``
     (inclusive running sum of ``s``) for every ``s`` in ``sums``.
 
     ``order_cols`` must define a total order inside each group, otherwise the
-    index of tied rows is arbitrary.
+    index of tied rows is arbitrary.  ``num_partitions`` fixes the number of ranges;
+    None takes it from the counted rows.
     """
     group_cols = list(group_cols)
     order_cols = list(order_cols)
-    n = num_partitions or _default_partitions(df)
     sort_keys = [*group_cols, *order_cols]
-
-    parted = df.repartitionByRange(n, *sort_keys).withColumn(PID, F.spark_partition_id())
-    if checkpoint:
-        # pin the partition ids: one job writes the range-partitioned rows (with their id) to the
-        # shared scratch folder; both branches below read the same ids back
-        path = scratch_dir(df.sparkSession, "ordered_scan", unique=True)
-        parted.write.parquet(path)
-        parted = df.sparkSession.read.parquet(path)
+    n = num_partitions
+    if n is None:
+        df = _written(df)
+        n = range_count(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # pin the partition ids: both branches below read the same ids back
+    parted = _written(df.repartitionByRange(n, *sort_keys).withColumn(PID, F.spark_partition_id()))
 
     # step 2: inside (partition, group) slices; balanced by construction
     slice_w = Window.partitionBy(PID, *group_cols).orderBy(*order_cols)

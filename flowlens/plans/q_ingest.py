@@ -84,6 +84,65 @@ SELECT source,
 FROM (SELECT DISTINCT source_file AS source FROM flows)""", FLOWS)
 
 
+#: Header cells of the padded files: three of them strip to the same name.
+PADDED = ["Quantity", " Quantity ", "  Price", "Label  ", "Quantity  "]
+
+
+def _padded_files(spark, sf):
+    """The flows as CSV files per source whose header cells are padded and repeat a name once they are stripped."""
+    root = scratch_dir(spark, "padded_csv", unique=True)
+    values = [F.col("quantity"), F.col("quantity") * 2, F.col("price"), F.col("label"), F.col("quantity") * 3]
+    (B.flows(spark, sf).select(F.col("source_file").alias("source"), *[v.alias(h) for v, h in zip(values, PADDED, strict=True)])
+     .write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .partitionBy("source").csv(root))
+    return root
+
+
+def q_padded_headers(spark, sf):
+    """A1 + A2 + A4 over padded and repeated headers: raw cells and unique names of every source, the
+    comparison with the first file (by stripped names), and sums that show which column a name reads."""
+    root = _padded_files(spark, sf)
+    paths = FF.list_csv_files(spark, root)
+    heads = FF.read_headers(spark, paths).groupBy(_source_of("_file").alias("source")).agg(
+        F.min(F.concat_ws("|", "raw")).alias("raw"), F.max(F.concat_ws("|", "names")).alias("names"))
+    same = FF.schema_diff(spark, paths).groupBy(_source_of("_file").alias("source")).agg(F.min(
+        F.col("same") & (F.size("missing") == 0) & (F.size("extra") == 0)).alias("same"))
+    df, _ = FF.read_flows(spark, root)
+    total = lambda c: F.round(F.sum(coerce_numeric(F.col(f"`{c}`"))), 2)
+    sums = df.groupBy(_source_of("_file").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_rows"), total("Quantity").alias("q0"), total("Quantity.1").alias("q1"),
+        total("Quantity.2").alias("q2"), F.sum((F.col("Label") == "BENIGN").cast("long")).alias("benign"))
+    return sums.join(heads, "source").join(same, "source")
+
+
+SQL_PADDED_HEADERS = with_views(f"""
+SELECT source_file AS source, CAST(count(*) AS BIGINT) AS n_rows, round(sum(quantity), 2) AS q0, round(sum(quantity) * 2, 2) AS q1,
+       round(sum(quantity) * 3, 2) AS q2, CAST(sum(CASE WHEN label = 'BENIGN' THEN 1 ELSE 0 END) AS BIGINT) AS benign,
+       '{"|".join(PADDED)}' AS raw, 'Quantity|Quantity.1|Price|Label|Quantity.2' AS names, true AS same
+FROM flows GROUP BY source_file""", FLOWS)
+
+
+def q_padded_uploads(spark, sf):
+    """A8 over padded and repeated headers: the registered column names, rows in the metadata and in the store,
+    and a sum over a payload's repeated column."""
+    root = _padded_files(spark, sf)
+    store = scratch_dir(spark, "uploads", unique=True)
+    up = RS.register_uploads(spark, {p: 9_100_000 + i for i, p in enumerate(FF.list_csv_files(spark, root))}, store)
+    rows = RS.read_committed(spark, store)["rows"].groupBy("upload_id").agg(
+        F.count(F.lit(1)).alias("stored_rows"),
+        F.sum(F.get_json_object("payload", "$['Quantity.2']").cast("double")).alias("q2"))
+    return up.join(rows, "upload_id").groupBy(_source_of("path").alias("source")).agg(
+        F.sum("row_count").alias("row_count"), F.max("columns").alias("columns"), F.max("col_count").alias("col_count"),
+        F.sum("stored_rows").alias("stored_rows"), F.round(F.sum("q2"), 2).alias("q2"))
+
+
+SQL_PADDED_UPLOADS = with_views("""
+SELECT source_file AS source, CAST(count(*) AS BIGINT) AS row_count,
+       ['Quantity', 'Quantity.1', 'Price', 'Label', 'Quantity.2'] AS columns, 5 AS col_count,
+       CAST(count(*) AS BIGINT) AS stored_rows, round(sum(quantity) * 3, 2) AS q2
+FROM flows GROUP BY source_file""", FLOWS)
+
+
 def q_file_profile(spark, sf):
     """A3: rows and columns per source folder; one consistency flag and the total."""
     root, df, _ = _read(spark, sf)
@@ -226,6 +285,10 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows,
 FROM scores""", SCORES)
 
 
+from flowlens.plans.views_sql import STORE as _STORE  # noqa: E402
+from flowlens.plans.q_store import _LATEST  # noqa: E402
+
+
 def q_export_csv(spark, sf):
     """Export every latest run's rows as UTF-8 (BOM) CSV plus a summary output; rows written."""
     from flowlens.operators import results as R
@@ -238,8 +301,32 @@ def q_export_csv(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("rows_written"), F.countDistinct("run_id").alias("runs"))
 
 
-from flowlens.plans.views_sql import STORE as _STORE  # noqa: E402
-from flowlens.plans.q_store import _LATEST  # noqa: E402
+def q_export_sorted_parts(spark, sf):
+    """The export sorted by run and row over all its parts, read back in file order (A1, A13): per run the
+    rows, and whether they follow each other by row index in the files; per run its summary lines and the exported count."""
+    from flowlens.operators import results as R
+
+    st = B.store(spark, sf)
+    exp = R.export_results(st["predictions"], st["rows"], st["runs"])
+    paths = EX.export_csv(exp, R.export_summary(exp), scratch_dir(spark, "export", unique=True), order=["run_id", "row_index"])
+    df, _ = FF.read_flows(spark, paths["rows"])
+    lines = FF.with_row_index(df, "line").select(*[F.col(c).cast("long") for c in ("run_id", "row_index", "line")])
+    runs = lines.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("line").alias("from_line"),
+        (F.countDistinct(F.col("line") - F.col("row_index")) == 1).alias("in_order"))
+    summary = spark.read.option("header", True).csv(paths["summary"]).groupBy(F.col("run_id").cast("long").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("summary_lines"),
+        F.max(F.when(F.col("metric") == "total_exported", F.col("value"))).cast("long").alias("total_exported"))
+    return runs.join(summary, "run_id")
+
+
+SQL_EXPORT_SORTED_PARTS = with_views("""
+SELECT p.run_id, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(count(*)) OVER (ORDER BY p.run_id) - count(*) AS BIGINT) AS from_line,
+       max(p.row_index) - min(p.row_index) + 1 = count(*) AS in_order,
+       CAST(10 AS BIGINT) AS summary_lines, CAST(count(*) AS BIGINT) AS total_exported
+FROM predictions p JOIN latest l ON p.run_id = l.run_id GROUP BY p.run_id""", _STORE, _LATEST)
+
 
 SQL_EXPORT_CSV = with_views(
     "SELECT CAST(count(*) AS BIGINT) AS rows_written, CAST(count(DISTINCT p.run_id) AS BIGINT) AS runs "
@@ -259,4 +346,7 @@ QUERIES = {
     "a11_prep_metadata": (q_prep_metadata, SQL_PREP_METADATA),
     "a16_table_fingerprint": (q_table_fingerprint, SQL_TABLE_FINGERPRINT),
     "a17_export_csv": (q_export_csv, SQL_EXPORT_CSV),
+    "a17_export_sorted_parts": (q_export_sorted_parts, SQL_EXPORT_SORTED_PARTS),
+    "a2_padded_headers": (q_padded_headers, SQL_PADDED_HEADERS),
+    "a8_padded_uploads": (q_padded_uploads, SQL_PADDED_UPLOADS),
 }

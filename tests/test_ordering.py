@@ -46,3 +46,14 @@ def test_rows_never_meet_in_one_partition(spark):
     assert "hashpartitioning(_pid" in plan
     for feeder in single_partition_inputs(plan):
         assert feeder.startswith("HashAggregate(keys=[_pid"), feeder
+
+
+def test_ranges_follow_the_counted_rows(spark, monkeypatch):
+    from flowlens.operators import ordering
+
+    assert ordering.range_count(0, 8) == 8 and ordering.range_count(10**12, 8) == 250_000
+    seen = []
+    monkeypatch.setattr(ordering, "range_count", lambda rows, setting: seen.append((rows, max(1, -(-rows // 10)))) or seen[-1][1])
+    rows = ordered_scan(spark.range(95).withColumnRenamed("id", "k"), order_cols=["k"], index_col="i").collect()
+    assert seen == [(95, 10)] and all(r.k == r.i for r in rows) and len(rows) == 95
+    assert ordered_scan(spark.range(0), order_cols=["id"], index_col="i").count() == 0

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from flowlens.llm import crf_rules, lexicon_toxicity, ppm_langid, quality_ftrl
 from flowlens.llm.common import labelled_sample
@@ -38,31 +39,78 @@ def test_ftrl_learns_a_sign():
     assert w[0] > 0 > w[1] and w[2] == 0
 
 
+def _ppm_model(texts, p):
+    """texts: language -> training texts."""
+    langs, lang, gram, count = sorted(texts), [], [], []
+    for k, name in enumerate(langs):
+        found = {}
+        for text in texts[name]:
+            for g in ppm_langid.gram_codes(text, p.order).tolist():
+                found[g] = found.get(g, 0) + 1
+        lang += [k] * len(found)
+        gram += list(found)
+        count += list(found.values())
+    return ppm_langid.PpmModel(langs, np.array(lang), np.array(gram), np.array(count), p)
+
+
+def _ppm_bits(train, text, p):
+    """Code length by the rule, byte by byte, from the training texts themselves."""
+    pad = [ppm_langid.PAD] * p.order
+    chains, chain, bits = [[*pad, *t] for t in train], [*pad, *text], 0.0
+    for i in range(p.order, len(chain)):
+        prob = 1 / 256
+        for depth in range(p.order + 1):
+            follow = [c[j] for c in chains for j in range(p.order, len(c)) if c[j - depth : j] == chain[i - depth : i]]
+            if len(follow) >= (p.min_context if depth > p.full_order else 1):
+                n, distinct = follow.count(chain[i]), len(set(follow))
+                prob = n / (len(follow) + distinct) if n else distinct / (len(follow) + distinct) * prob
+        bits -= np.log2(prob)
+    return bits
+
+
 def test_ppm_code_lengths_by_hand():
-    grams = {}
-    for text in (b"abab", b"ba"):
-        for g in ppm_langid.gram_codes(text, 2).tolist():
-            grams[g] = grams.get(g, 0) + 1
-    model = ppm_langid.PpmModel([("x", g, n) for g, n in grams.items()], ppm_langid.PpmParams())
-
-    def prob(context, byte):
-        chains = [[ppm_langid.PAD, ppm_langid.PAD, *t] for t in (b"abab", b"ba")]
-        p = 1 / 256
-        for depth in range(3):
-            ctx = context[len(context) - depth:]
-            follow = [c[i] for c in chains for i in range(2, len(c)) if c[i - depth:i] == ctx]
-            if follow:
-                distinct = len(set(follow))
-                n = follow.count(byte)
-                p = n / (len(follow) + distinct) if n else distinct / (len(follow) + distinct) * p
-        return p
-
-    for text in (b"ab", b"abba", b"aqb", b"zz"):
-        chain = [ppm_langid.PAD, ppm_langid.PAD, *text]
-        bits = -sum(np.log2(prob(chain[i - 2:i], chain[i])) for i in range(2, len(chain)))
-        if b"z" not in text and b"q" not in text:
-            assert abs(model.code_lengths([text])[0, 0] - bits) < 1e-4
-        assert np.isfinite(model.code_lengths([text])).all()
+    rnd = random.Random(4)
+    train = {"x": [b"abab", b"ba"], "y": [b"bcbcbcab", b"cab"], "z": [bytes(rnd.choice(b"abcd") for _ in range(60))]}
+    texts = [b"ab", b"abba", b"aqb", b"zz", bytes(rnd.choice(b"abcde") for _ in range(50)), b""]
+    for p in (ppm_langid.PpmParams(), ppm_langid.PpmParams(order=2), ppm_langid.PpmParams(order=5, full_order=1, min_context=3)):
+        got = _ppm_model(train, p).code_lengths(texts)
+        for i, text in enumerate(texts):
+            for k, name in enumerate(sorted(train)):
+                assert abs(got[i, k] - _ppm_bits(train[name], text, p)) < 1e-3, (text, name, p)
+
+
+def test_ppm_long_texts_in_pieces():
+    model = _ppm_model({"x": [b"abab" * 9], "y": [b"bcb" * 9]}, ppm_langid.PpmParams())
+    text = b"abcb" * 100_000
+    whole = model._bits(ppm_langid.gram_codes(text, 4)[:0])
+    assert whole.shape == (0, 2)
+    grams, times = np.unique(ppm_langid.gram_codes(text, 4), return_counts=True)
+    want = (model._bits(grams).astype(float) * times[:, None]).sum(axis=0)
+    assert np.allclose(model.code_lengths([b"", text, b"a"])[1], want)
+
+
+def test_ppm_size_is_checked():
+    small = ppm_langid.PpmParams(max_bytes=1000)
+    with pytest.raises(ValueError, match="max_bytes"):
+        _ppm_model({"x": [bytes(range(256))]}, small)
+
+
+def test_ppm_training_rows_are_bounded(spark, docs_of):
+    p = ppm_langid.PpmParams(max_docs=100)
+    rows = [(i, f"text {i}", "fr" if i % 3 else "de", "s") for i in range(6000)]
+    rows += [(5, f"copy {i}", "fr", "s") for i in range(3000)]  # one hot id
+    docs = docs_of(rows)
+    found = {r["lang"]: r["count"] for r in ppm_langid.training_ids(docs, p).groupBy("lang").count().collect()}
+    assert set(found) == {"fr", "de"} and all(100 <= n <= 400 for n in found.values())
+    sample = ppm_langid.training_sample(docs, p).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == {"fr": 100, "de": 100}
+
+
+def test_ppm_letters(docs_of):
+    rows = [(i, "the hill", "en", "s") for i in range(50)] + [(100, "² ½ ①", "en", "s"), (101, "", "en", "s"), (102, "é", None, "s")]
+    out = {r.doc_id: r.lang_pred for r in ppm_langid.identify(docs_of(rows)).collect()}
+    assert (out[100], out[101], out[102]) == ("und", "und", "en")
+    assert ppm_langid.identify(docs_of(rows).filter("doc_id < 0")).collect() == []
 
 
 def test_ppm_languages(docs_of):

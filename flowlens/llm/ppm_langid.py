@@ -55,7 +55,11 @@ def training_ids(docs: DataFrame, p: PpmParams) -> DataFrame:
     rows = docs.select("doc_id", F.col("lang").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     rows = rows.withColumn("ord", F.xxhash64(F.lit("ppm"), "doc_id"))
-    share = rows.groupBy("lang").agg((F.lit(2.5 * p.max_docs) / F.approx_count_distinct("doc_id")).alias("share"))
+    # written first: its rows, one for each language, are counted before they are broadcast, so that
+    # no row is dealt by its language
+    share = materialise(rows.groupBy("lang").agg((F.lit(2.5 * p.max_docs) / F.approx_count_distinct("doc_id")).alias("share")))
+    if share.count() <= MAX_BROADCAST_IDS:
+        share = F.broadcast(share)
     near = rows.join(share, "lang").filter(F.col("ord") / F.lit(2.0**64) + 0.5 < F.col("share"))
     return near.groupBy("lang", "doc_id", "ord").agg(F.lit(1).alias("one")).drop("one")  # a hot id is combined first
 

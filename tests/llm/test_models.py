@@ -100,6 +100,8 @@ def test_ppm_training_rows_are_bounded(spark, docs_of):
     rows = [(i, f"text {i}", "fr" if i % 3 else "de", "s") for i in range(6000)]
     rows += [(5, f"copy {i}", "fr", "s") for i in range(3000)]  # one hot id
     docs = docs_of(rows)
+    plan = ppm_langid.training_ids(docs, p)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lang#" in plan and all("doc_id" in x for x in plan.split("hashpartitioning(")[1:])  # never by language alone
     found = {r["lang"]: r["count"] for r in ppm_langid.training_ids(docs, p).groupBy("lang").count().collect()}
     assert set(found) == {"fr", "de"} and all(100 <= n <= 400 for n in found.values())
     sample = ppm_langid.training_sample(docs, p).groupBy("lang").count().collect()

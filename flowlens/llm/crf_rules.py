@@ -8,10 +8,13 @@ document that passes the base rules is kept if content lines hold at least
 
 The field is trained here by gradient ascent on the regularised conditional
 likelihood (exact forward-backward) of at most ``max_train`` documents (a documented
-bound, a seeded hash of the id).  Its line labels are distant ones: a line with
-two or more warning features, or with symbols beside most words, is
-boilerplate.  The chain learns how much each feature weighs and how labels
-follow each other, so a line is judged together with its neighbours.
+bound, a seeded hash of the id).  With a table of labels, these are labelled documents
+(``quality``, rows held out as in the quality classifier): the lines of good ones are content,
+those of bad ones boilerplate, whatever their features.  A line that looks the same in
+both is decided by its neighbours: the chain learns how much each feature weighs
+and how labels follow each other.  Without labels, or without both kinds of them, the labels are
+distant ones: a line with two or more warning features, or with symbols beside most words,
+is boilerplate.
 
 Base rules: see ``base_counts``.  ``base_failed`` holds for fewer than 50 words,
 or if more than half of the words stand in repeated three-word windows.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import as_bytes, one_text_per_id, slices
+from flowlens.llm.common import as_bytes, labelled_sample, materialise, one_text_per_id, slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -192,16 +195,35 @@ def _stack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return x, chars, sizes[order], order
 
 
-def fit(docs: DataFrame, p: CrfParams = CrfParams()) -> Chain:
+def labelled_lines(docs: DataFrame, labels: DataFrame, p: CrfParams) -> DataFrame:
+    """(ord, text, label) of training documents; label 1: its lines are boilerplate."""
+    rows = materialise(labelled_sample(docs, labels, "quality", 3, 1, p.max_train))
+    return rows.select("ord", "text", (F.col("label") != 1).cast("int").alias("label"))
+
+
+def distant_lines(docs: DataFrame, p: CrfParams) -> DataFrame:
+    """(ord, text, label) of training documents; label null: lines are judged by ``distant_labels``."""
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
     ids = ids.withColumn("ord", F.xxhash64(F.lit("crf"), "doc_id")).orderBy("ord", "doc_id").limit(p.max_train)
     # max_train ids: small enough to broadcast
-    sample = one_text_per_id(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "ord", "doc_id").drop("doc_id")
+    sample = one_text_per_id(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "ord", "doc_id")
+    return sample.select("ord", "text", F.lit(None).cast("int").alias("label"))
+
+
+def fit(docs: DataFrame, p: CrfParams = CrfParams(), labels: DataFrame | None = None) -> Chain:
+    sample = None if labels is None else labelled_lines(docs, labels, p)
+    if sample is None or sample.select("label").distinct().count() < 2:
+        sample = distant_lines(docs, p)
 
     def run(batches):
-        texts = [t for b in slices(batches) for t in as_bytes(b)]
-        x, _, sizes, _ = _stack(texts)
-        chain = train_chain(x, distant_labels(x), sizes, p)
+        texts, marks = [], []
+        for b in slices(batches):
+            texts += as_bytes(b)
+            marks += b.column("label").to_pylist()
+        x, _, sizes, order = _stack(texts)
+        distant = not marks or marks[0] is None
+        y = distant_labels(x) if distant else np.repeat(np.array(marks, np.int64)[order], sizes)
+        chain = train_chain(x, y, sizes, p)
         yield pa.RecordBatch.from_arrays(
             [pa.array([chain.emit.ravel().tolist()]), pa.array([chain.move.ravel().tolist()])], ["emit", "move"])
 
@@ -223,9 +245,9 @@ def content_shares(texts: list[bytes], chain: Chain) -> np.ndarray:
     return out
 
 
-def judge(docs: DataFrame, params: CrfParams = CrfParams()) -> DataFrame:
+def judge(docs: DataFrame, params: CrfParams = CrfParams(), labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share)."""
-    p, chain = params, fit(docs, params)
+    p, chain = params, fit(docs, params, labels)
 
     def run(batches):
         for batch in slices(batches):

@@ -8,20 +8,23 @@ clean ones significantly (likelihood ratio), and its weight is the log odds.
 An exception phrase is a pair of neighbouring words with an entry in it that the
 clean documents use at least as often as the toxic ones.  One automaton holds
 both; a match must be whole words, and an entry inside an exception phrase
-does not count.
+does not count.  Lexicon and exceptions hold all terms that pass these tests; they are
+words and pairs of the at most ``max_train`` documents, whatever the table's size.
 
 The score is a logistic function, fitted on the same documents, of the matched
 weight divided by a power of the number of words.
 
 * null, empty or wordless texts match nothing: the score is the logistic of the bias
-* without toxic (or clean) labelled rows the lexicon is empty and the score constant
+* without toxic (or clean) labelled rows the lexicon is empty and every score 0.5
 * repeated rows are scored alike; repeated labels of an id count with the largest
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -48,7 +51,6 @@ class LexiconParams:
     max_train: int = 8000
     least_support: int = 3  # toxic documents with the word
     least_ratio: float = 20.0  # likelihood ratio statistic
-    max_entries: int = 5000
     length_power: float = 0.5
 
 
@@ -117,7 +119,10 @@ class Matcher:
                 continue
             (exempt if weight is None else found).append((start, end, weight))
         if exempt:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in exempt if b >= f[0])]
+            exempt.sort(key=lambda x: x[0])
+            starts, reach = [a for a, *_ in exempt], list(accumulate((b for _, b, _ in exempt), max))
+            # inside a phrase: of those that start no later one ends no earlier
+            found = [f for f in found if not ((k := bisect_right(starts, f[0])) and reach[k - 1] >= f[1])]
         return sum(w for *_, w in found) / (folded.count(" ") + 1) ** self.p.length_power
 
 
@@ -155,14 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: LexiconParams = LexiconParam
     top = (
         _term_counts(sample, None)
         .filter((F.col("toxic") >= p.least_support) & (odds > 1) & (_ratio("toxic", "clean", n_toxic, n_clean) >= p.least_ratio))
-        .select("term", odds.alias("weight")).orderBy(F.desc("weight"), "term").limit(p.max_entries).collect()
+        .select("term", odds.alias("weight")).collect()
     )
-    weights = {r.term: round(r.weight, 6) for r in top}
-    exceptions = [
+    weights = {r.term: round(r.weight, 6) for r in sorted(top)}
+    exceptions = sorted(
         r.term for r in _term_counts(sample, set(weights))
-        .filter(F.col("clean") >= p.least_support).filter(odds <= 0)
-        .orderBy(F.desc("clean"), "term").limit(p.max_entries).collect()
-    ]
+        .filter(F.col("clean") >= p.least_support).filter(odds <= 0).select("term").collect()
+    )
     matcher = Matcher(weights, exceptions, p)
 
     def densities(batches):
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: LexiconParams = LexiconParam
                 [pa.array(x, pa.float64()), batch.column("label").cast(pa.int32())], ["x", "y"])
 
     # one number and one label of each of the at most max_train documents
-    xy = sample.select("text", "label").mapInArrow(densities, "x double, y int").orderBy("x", "y").toPandas()
+    xy = sample.select("text", "label").mapInArrow(densities, "x double, y int").toPandas().sort_values(["x", "y"])
     slope, bias = _logistic(xy["x"].to_numpy(float), xy["y"].to_numpy(float))
     return ToxicityModel(weights, exceptions, round(slope, 6), round(bias, 6), p)
 

@@ -64,8 +64,8 @@ def op8_lexicon(spark, sf_dir):
 
 
 def op9_crf_rules(spark, sf_dir):
-    """Quality rules of every document with line labels of the CRF."""
-    return crf_rules.judge(documents(spark, sf_dir))
+    """Quality rules of every document with line labels of the CRF, fitted to lines of labelled documents."""
+    return crf_rules.judge(documents(spark, sf_dir), labels=documents(spark, sf_dir, "labels"))
 
 
 def op10_secret_dfa(spark, sf_dir):

@@ -117,6 +117,7 @@ def test_rules_with_labels(docs_of, labels_of):
     docs, labels = _training(docs_of, labels_of)
     rnd = random.Random(3)
     words = [f"{a}{b}" for a in ("ri", "sto", "wal", "ho") for b in ("ver", "ne", "king", "use", "my")]
+    words = [a + b for a in words for b in words]  # few repeated three-word windows
     clean = "\n".join(" ".join(rnd.choice(words) for _ in range(14)) + "." for _ in range(3000))
     junk = "\n".join(" ".join(rnd.choice(words).upper() + "!!" for _ in range(14)) + " $$$ ***" for _ in range(20))
     out = {r.doc_id: r for r in crf_rules.judge(docs_of([(500, clean), (501, junk), *EDGE]), labels=labels).collect()}

@@ -21,8 +21,11 @@ some segment of every match fulfils: of d disjoint segments with k = (1 - simila
 most two of the pairs of neighbours in a window, so of its w - 1 pairs at least
 w - 1 - 2 * (k / d) are pairs of neighbours of some item.
 
-The benchmark is used in blocks of ``block`` items, each a bounded table in the
-task closure; every block is a map over all documents, without a shuffle.
+The benchmark is used in blocks of at most ``block`` items and ``block_bytes`` bytes (or one
+item).  The driver holds one block at a time and broadcasts it; a task holds the index of
+one block at a time, and with several blocks takes about ``chunk_bytes`` of documents through
+all of them.  So the documents are scanned once, without a shuffle, for up to ``pass_bytes``
+of items, which bounds what is broadcast; a larger benchmark takes one scan for each such part.
 
 * null or empty texts, items or an empty table: no match
 * items of fewer than ``min_words`` words are found without walks, all of them: an item
@@ -30,6 +33,7 @@ task closure; every block is a map over all documents, without a shuffle.
 * every item with a word is reported; a document goes only for items of at least
   ``drop_words`` words (fewer, which match verbatim only, are ordinary phrases)
 * repeated documents match alike; repeated item texts match under every item_id
+* ids keep their types, which may be any
 """
 
 from __future__ import annotations
@@ -37,11 +41,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlens.llm.common import as_bytes, mix64, slices
 
@@ -58,7 +65,10 @@ class CgkParams:
     bits: int = 3  # sampled positions per table
     class_ratio: float = 1.25
     longest_walk: int = 96  # steps
-    block: int = 1000  # items per pass
+    block: int = 20_000  # items of one index
+    block_bytes: int = 8 << 20
+    pass_bytes: int = 128 << 20
+    chunk_bytes: int = 32 << 20  # of documents, where there are several blocks
     seed: int = 11
 
 
@@ -90,7 +100,7 @@ def edit_distance_within(item: list[int], text: list[int]) -> tuple[int, int]:
 class ItemIndex:
     """LSH tables of one block of items, per length class."""
 
-    def __init__(self, items: list[tuple[int, bytes]], p: CgkParams):
+    def __init__(self, items: list[tuple[Any, bytes]], p: CgkParams):
         self.p, self.vocabulary, self.items = p, {}, []
         for item_id, data in items:
             words = tokens(data)
@@ -151,8 +161,8 @@ class ItemIndex:
     @staticmethod
     def _table(keys: np.ndarray, number: np.ndarray, offset: np.ndarray) -> tuple:
         order = np.argsort(keys, kind="stable")
-        filled = np.zeros(1 << 16, bool)
-        filled[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+        filled = np.zeros(1 << max(16, (8 * len(keys)).bit_length()), bool)
+        filled[(keys & np.uint64(len(filled) - 1)).astype(np.int64)] = True
         return filled, keys[order], number[order], offset[order]
 
     def _class(self, own: list[int], words: int, rng) -> dict:
@@ -222,14 +232,14 @@ class ItemIndex:
     def _shared(table: tuple, mine: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
         """Item numbers, documents and likely starts, ordered by the place of the window."""
         filled, keys, number, offset = table
-        hit = np.flatnonzero(filled[(mine & np.uint64(0xFFFF)).astype(np.int64)])
+        hit = np.flatnonzero(filled[(mine & np.uint64(len(filled) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
         times = hi - lo
         entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
         at = np.repeat(starts[hit], times)
         return number[entry], np.searchsorted(ends, at, "right"), at - offset[entry]
 
-    def matches(self, ids: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+    def matches(self, ids: np.ndarray, ends: np.ndarray) -> list[list[tuple[Any, int, int, int]]]:
         """Per document of the concatenated, padded ``ids``: (item_id, edits, item words, end word)."""
         out: list[dict] = [{} for _ in ends]
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -255,66 +265,108 @@ class ItemIndex:
         ]
 
 
-def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]], p: CgkParams):
-    """Batches with the list of matches of every row."""
-    index = ItemIndex(items, p)
-    pad = np.zeros(p.longest_walk + 2, np.int64)
-
+def block_matches(batch: pa.RecordBatch, index: ItemIndex) -> list[list[tuple[Any, int, int, int]]]:
+    """Matches of every row with the items of one block."""
     number = index.vocabulary | {b"": -1}  # nothing but punctuation is no word
-    for batch in slices(batches, 512):
-        parts = []
-        for data in as_bytes(batch):
-            ids = np.array([number.get(w.strip(EDGE), 1) for w in data.lower().split()], np.int64)
-            parts.append(ids[ids >= 0])
-        ends = np.cumsum([len(x) for x in parts])
-        yield batch, index.matches(np.concatenate([*parts, pad]), ends)
-
-
-def item_blocks(benchmark: DataFrame, p: CgkParams) -> Iterator[list[tuple[int, bytes]]]:
-    """Blocks of at most ``block`` items, ordered by id and text."""
+    parts = []
+    for data in as_bytes(batch):
+        ids = np.array([number.get(w.strip(EDGE), 1) for w in data.lower().split()], np.int64)
+        parts.append(ids[ids >= 0])
+    pad = np.zeros(index.p.longest_walk + 2, np.int64)
+    return index.matches(np.concatenate([*parts, pad]), np.cumsum([len(x) for x in parts]))
+
+
+def scan(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], p: CgkParams):
+    """Batches with the list of matches of every row, over all blocks."""
+    if len(blocks) == 1:
+        index = ItemIndex(blocks[0].value, p)
+        for batch in slices(batches, 512):
+            yield batch, block_matches(batch, index)
+        return
+    for chunk in _chunks(slices(batches, 512), p.chunk_bytes):
+        found: list[list[list]] = [[[] for _ in range(b.num_rows)] for b in chunk]
+        for block in blocks:
+            index = ItemIndex(block.value, p)
+            for batch, rows in zip(chunk, found, strict=True):
+                for mine, more in zip(rows, block_matches(batch, index), strict=True):
+                    mine += more
+        yield from zip(chunk, found, strict=True)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches that end as soon as they hold ``size`` bytes."""
+    chunk, held = [], 0
+    for batch in batches:
+        chunk.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def item_blocks(benchmark: DataFrame, p: CgkParams) -> Iterator[list[tuple[Any, bytes]]]:
+    """Blocks of bounded items and bytes, ordered by id and text; one is held at a time."""
     items = (
         benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
         .orderBy("item_id", "text").toLocalIterator()
     )
-    block: list[tuple[int, bytes]] = []
+    block: list[tuple[Any, bytes]] = []
+    held = 0
     for r in items:
-        block.append((r.item_id, r.text.encode("utf-8", "surrogatepass")))
-        if len(block) == p.block:
+        data = r.text.encode("utf-8", "surrogatepass")
+        if block and (len(block) == p.block or held + len(data) > p.block_bytes):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r.item_id, data))
+        held += len(data)
     if block:
         yield block
 
 
-RESULT = "doc_id long, item_id long, edits int, item_words int, end_word long"
+def passes(benchmark: DataFrame, p: CgkParams) -> Iterator[list[Broadcast]]:
+    """Broadcast blocks, as many at a time as hold ``pass_bytes``."""
+    context, blocks, held = benchmark.sparkSession.sparkContext, [], 0
+    for block in item_blocks(benchmark, p):
+        size = sum(len(data) for _, data in block)
+        if blocks and held + size > p.pass_bytes:
+            yield blocks
+            blocks, held = [], 0
+        blocks.append(context.broadcast(block))
+        held += size
+    if blocks:
+        yield blocks
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: CgkParams = CgkParams()) -> DataFrame:
     """(doc_id, item_id, edits, item_words, end_word): the best match of every item in every document."""
     p, out = params, None
-    for items in item_blocks(benchmark, p):
-
-        def run(batches, items=items):
-            for batch, found in scan(batches, items, p):
-                ids = batch.column("doc_id").to_pylist()
-                rows = [(d, *m) for d, ms in zip(ids, found, strict=True) for m in ms]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    result = (f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, "
+              "edits int, item_words int, end_word long")
+    kinds = [to_arrow_type(item_kind), pa.int32(), pa.int32(), pa.int64()]
+    for blocks in passes(benchmark, p):
+
+        def run(batches, blocks=blocks):
+            for batch, found in scan(batches, blocks, p):
+                row = pa.array([k for k, ms in enumerate(found) for _ in ms], pa.int64())
+                columns = list(zip(*(m for ms in found for m in ms), strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                    [batch.column("doc_id").take(row), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
                     ["doc_id", "item_id", "edits", "item_words", "end_word"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+        part = docs.select("doc_id", "text").mapInArrow(run, result)
         out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], RESULT) if out is None else out
+    return docs.sparkSession.createDataFrame([], result) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: CgkParams = CgkParams()) -> DataFrame:
     """The rows of ``docs`` (all columns) in which no item of ``drop_words`` words or more is found."""
-    for items in item_blocks(benchmark, params):
+    for blocks in passes(benchmark, params):
 
-        def run(batches, items=items):
-            for batch, found in scan(batches, items, params):
+        def run(batches, blocks=blocks):
+            for batch, found in scan(batches, blocks, params):
                 yield batch.filter(pa.array([all(m[2] < params.drop_words for m in ms) for ms in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -12,8 +12,8 @@ chosen by a seeded hash of the id) in one task that holds only their feature
 indices; scoring is a map over all documents without any shuffle.
 
 * null or empty text: no features, the score is the logistic of the bias
-* no labelled row (or one class only): all weights follow from those rows;
-  with none the score is 0.5 everywhere
+* one class only: the bias leans to it, so texts without features are predicted as that class
+  (below or above 0.5, by the same updates); without a labelled row the score is 0.5 everywhere
 * repeated rows are scored alike; further columns are ignored
 """
 

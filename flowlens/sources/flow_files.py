@@ -12,9 +12,13 @@ sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,27 +68,49 @@ def normalise_headers(raw: Column) -> Column:
     return F.aggregate(raw, F.array().cast("array<string>"), add)
 
 
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """The first row of every file of (_file, line) rows that each task reads file after file, in line order."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            files = batch.column(0)
+            if not len(files):
+                continue
+            changed = pc.not_equal(files.slice(1), files.slice(0, len(files) - 1)).to_numpy(zero_copy_only=False)
+            keep = np.concatenate([[files[0].as_py() != last], np.asarray(changed, dtype=bool)])
+            last = files[-1].as_py()
+            yield batch.filter(pa.array(keep))
+
+    return lines.mapInArrow(first, lines.schema)
+
+
 def read_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """A2: one row per file that has a first line: _file, raw cells, normalised names.
 
-    One distributed text scan; the first line of a file is the one at the
-    smallest position of the split that starts at byte 0.  Empty files have no row.
+    One distributed text scan, run once and written (one row per file).  The first line of a
+    file is the first row of its split that starts at byte 0, which one task reads from its
+    start, so no line is sorted or shuffled.  Empty files have no row.
     """
     lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"), "value")
-    first = lines.filter("_block = 0").groupBy("_file").agg(F.min_by("value", "_pos").alias("line"))
+        F.col("_metadata.file_path").alias("_file"), "value", F.col("_metadata.file_block_start").alias("_block"))
+    first = _first_lines(lines.filter("_block = 0").select("_file", F.col("value").alias("line")))
     raw = first.select("_file", header_cells(F.col("line")).alias("raw"))
-    return raw.select("_file", "raw", normalise_headers(F.col("raw")).alias("names"))
+    heads = raw.select("_file", "raw", normalise_headers(F.col("raw")).alias("names"))
+    path = scratch_dir(spark, "headers", unique=True)
+    heads.write.parquet(path)
+    return spark.read.schema(heads.schema).parquet(path)
 
 
-def csv_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+def csv_groups(spark: SparkSession, paths: Sequence[str], heads: DataFrame | None = None) -> list[tuple[list[str], DataFrame]]:
     """The files as one all-string frame per distinct header, in order of the first path that has it.
 
     Columns: the normalised names and _file, _source_file, _block, _pos.  The
     driver receives the headers and the paths, which the readers list anyway.
+    ``heads``: the files' ``read_headers``, where the caller has them.
     """
-    groups = read_headers(spark, paths).groupBy("names").agg(F.array_sort(F.collect_list("_file")).alias("files")).collect()
+    heads = read_headers(spark, paths) if heads is None else heads
+    groups = heads.groupBy("names").agg(F.array_sort(F.collect_list("_file")).alias("files")).collect()
     out = []
     for g in sorted(groups, key=lambda g: g["files"][0]):
         names = g["names"]
@@ -103,25 +129,34 @@ def csv_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[list[str
     return out
 
 
-def read_csv_with_order(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def read_csv_with_order(spark: SparkSession, paths: Sequence[str], heads: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Union of the files (all-string columns) with order columns _file, _block, _pos and _source_file."""
-    groups = csv_groups(spark, paths) if paths else []
+    groups = csv_groups(spark, paths, heads) if paths else []
     if not groups:
         raise ValueError("no CSV files")
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for _, df in groups])
     return out, list(dict.fromkeys(n for names, _ in groups for n in names))
 
 
-def read_flows(spark: SparkSession, root_or_paths: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
+def read_flows(spark: SparkSession, root_or_paths: str | Sequence[str], heads: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """A1: every CSV under a folder (or the given files) as one frame in file order."""
     paths = list_csv_files(spark, root_or_paths) if isinstance(root_or_paths, str) else sorted(root_or_paths)
-    return read_csv_with_order(spark, paths)
+    return read_csv_with_order(spark, paths, heads)
 
 
 MAX_BLOCKS = 1_000_000  # of the broadcast offset table: about 40 MB
 
 
-def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] = (), max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def row_blocks(df: DataFrame) -> DataFrame:
+    """Rows, first and last position of every block (a split of a file), counted in one pass and written."""
+    path = scratch_dir(df.sparkSession, "blocks", unique=True)
+    df.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] = (), max_blocks: int = MAX_BLOCKS,
+                   blocks: DataFrame | None = None) -> DataFrame:
     """Dense 0-based index in file order (file path, split offset, position), without moving a row.
 
     The first pass counts the rows of every block (a split of a file) and finds its first
@@ -131,14 +166,12 @@ def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] =
     same in both passes: a row whose block or place the first pass did not see stops the
     job with an error.  A frame from which rows were filtered has gaps in its positions
     and is ranked by ``ordered_scan``, as is one that is not grouped by file or not at all.
+    ``blocks``: the frame's ``row_blocks``, where the caller has them.
     """
     group = list(group)
     if group not in ([], ["_file"]):
         return ordered_scan(df, order_cols=["_file", "_block", "_pos"], group_cols=group, index_col=col)
-    path = scratch_dir(df.sparkSession, "blocks", unique=True)
-    df.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_from"), F.max("_pos").alias("_to")).write.parquet(path)
-    blocks = df.sparkSession.read.parquet(path)
+    blocks = row_blocks(df) if blocks is None else blocks
     facts = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.max(F.col("_to") - F.col("_from") + 1 - F.col("_n")).alias("gaps")).first()
     if facts["gaps"]:
         return ordered_scan(df, order_cols=["_file", "_block", "_pos"], group_cols=group, index_col=col)
@@ -158,10 +191,11 @@ def with_row_index(df: DataFrame, col: str = "row_index", group: Sequence[str] =
     return joined.withColumn(col, index).drop("_of", "_ob", "_n", "_from", "_start")
 
 
-def file_profile(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> DataFrame:
+def file_profile(spark: SparkSession, paths: Sequence[str], df: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """A3: rows and header columns per file, and whether all files have the same column count."""
+    heads = read_headers(spark, paths) if heads is None else heads
     files = spark.createDataFrame([(qualified(spark, p),) for p in paths], "_file string")
-    cols = files.join(read_headers(spark, paths).select("_file", F.size("names").alias("n_cols")), "_file", "left")
+    cols = files.join(heads.select("_file", F.size("names").alias("n_cols")), "_file", "left")
     rows = df.groupBy("_file").agg(F.count(F.lit(1)).alias("n_rows"))
     j = cols.join(rows, "_file", "left").select(
         "_file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_cols", F.lit(0)).alias("n_cols"))
@@ -169,9 +203,9 @@ def file_profile(spark: SparkSession, paths: Sequence[str], df: DataFrame) -> Da
     return j.crossJoin(consistent)
 
 
-def schema_diff(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def schema_diff(spark: SparkSession, paths: Sequence[str], heads: DataFrame | None = None) -> DataFrame:
     """A4: each file's stripped header against the first file's: missing and extra names."""
-    heads = read_headers(spark, paths).select(
+    heads = (read_headers(spark, paths) if heads is None else heads).select(
         "_file", F.transform("raw", lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")).alias("header"))
     ref = heads.agg(F.min_by("header", "_file").alias("ref"))
     return heads.crossJoin(F.broadcast(ref)).select(

@@ -55,3 +55,30 @@ def test_row_index_counts_blocks_and_moves_no_row(spark, tmp_path):
         assert sorted(r[0] for r in odd) == list(range(len(odd)))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_headers_are_read_once_and_no_line_is_sorted(spark, tmp_path):
+    """First lines of many small files in one task and of a file of many splits; callers reuse the written headers."""
+    for k in range(12):
+        (tmp_path / f"s{k:02d}.csv").write_text(f"h{k},b\n" + "9,9\n" * (3 * k))
+    (tmp_path / "t.csv").write_text("x,y\n" + "1,2\n" * 4000)
+    paths = FF.list_csv_files(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        heads = FF.read_headers(spark, paths)
+        assert "FileScan text" not in heads._jdf.queryExecution().executedPlan().toString()
+        want = {f"s{k:02d}.csv": [f"h{k}", "b"] for k in range(12)} | {"t.csv": ["x", "y"]}
+        rows = heads.collect()
+        assert len(rows) == 13 and {r["_file"].rsplit("/", 1)[-1]: r["raw"] for r in rows} == want
+        lines = spark.read.text(paths).selectExpr("_metadata.file_path AS _file", "value AS line")
+        assert "SortAggregate" not in FF._first_lines(lines)._jdf.queryExecution().executedPlan().toString()
+        df, _ = FF.read_flows(spark, paths, heads)
+        prof = FF.file_profile(spark, paths, df, heads)
+        assert "FileScan text" not in prof._jdf.queryExecution().executedPlan().toString()
+        assert {r["_file"].rsplit("/", 1)[-1]: (r["n_rows"], r["n_cols"]) for r in prof.collect()} == {
+            f"s{k:02d}.csv": (3 * k, 2) for k in range(12)} | {"t.csv": (4000, 2)}
+    finally:
+        for c in ("files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(f"spark.sql.{c}")

@@ -145,9 +145,10 @@ FROM flows GROUP BY source_file""", FLOWS)
 
 def q_file_profile(spark, sf):
     """A3: rows and columns per source folder; one consistency flag and the total."""
-    root, df, _ = _read(spark, sf)
-    paths = FF.list_csv_files(spark, root)
-    prof = FF.file_profile(spark, paths, df)
+    paths = FF.list_csv_files(spark, B.flow_files(spark, sf))
+    heads = FF.read_headers(spark, paths)
+    df, _ = FF.read_flows(spark, paths, heads)
+    prof = FF.file_profile(spark, paths, df, heads)
     per = prof.groupBy(_source_of("_file").alias("source")).agg(
         F.sum("n_rows").cast("long").alias("n_rows"), F.max("n_cols").alias("n_cols")
     )

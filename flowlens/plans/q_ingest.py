@@ -103,11 +103,12 @@ def q_padded_headers(spark, sf):
     comparison with the first file (by stripped names), and sums that show which column a name reads."""
     root = _padded_files(spark, sf)
     paths = FF.list_csv_files(spark, root)
-    heads = FF.read_headers(spark, paths).groupBy(_source_of("_file").alias("source")).agg(
+    read = FF.read_headers(spark, paths)
+    heads = read.groupBy(_source_of("_file").alias("source")).agg(
         F.min(F.concat_ws("|", "raw")).alias("raw"), F.max(F.concat_ws("|", "names")).alias("names"))
-    same = FF.schema_diff(spark, paths).groupBy(_source_of("_file").alias("source")).agg(F.min(
+    same = FF.schema_diff(spark, paths, read).groupBy(_source_of("_file").alias("source")).agg(F.min(
         F.col("same") & (F.size("missing") == 0) & (F.size("extra") == 0)).alias("same"))
-    df, _ = FF.read_flows(spark, root)
+    df, _ = FF.read_flows(spark, paths, read)
     total = lambda c: F.round(F.sum(coerce_numeric(F.col(f"`{c}`"))), 2)
     sums = df.groupBy(_source_of("_file").alias("source")).agg(
         F.count(F.lit(1)).alias("n_rows"), total("Quantity").alias("q0"), total("Quantity.1").alias("q1"),

@@ -120,7 +120,7 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
     leaves new rows under old metadata.  ``read_committed`` gives the stored tables.
     """
     from flowlens.functions.cleaning import json_safe_payload
-    from flowlens.sources.flow_files import csv_groups, qualified, read_headers, with_row_index
+    from flowlens.sources.flow_files import csv_groups, qualified, read_headers, row_blocks, with_row_index
 
     ids = {qualified(spark, p): i for p, i in uploads.items()}
     paths = list(ids)
@@ -128,19 +128,22 @@ def register_uploads(spark: SparkSession, uploads: dict[str, int], root: str) ->
         raise StoreError("only .csv files are accepted")
     if spark.read.format("binaryFile").load(paths).select("length").filter(F.col("length") > MAX_UPLOAD_BYTES).count():
         raise StoreError("file larger than 100 MB")
+    heads = read_headers(spark, paths)
     parts = [df.select("_file", "_block", "_pos", json_safe_payload(names).alias("payload"))
-             for names, df in csv_groups(spark, paths)]
+             for names, df in csv_groups(spark, paths, heads)]
     if not parts:
         raise StoreError("empty CSV (header only)")
-    indexed = with_row_index(reduce(DataFrame.unionByName, parts), group=["_file"])
-    counts = indexed.groupBy("_file").agg(F.count(F.lit(1)).alias("row_count"))
+    rows = reduce(DataFrame.unionByName, parts)
+    blocks = row_blocks(rows)
+    counts = blocks.groupBy("_file").agg(F.sum("_n").alias("row_count"))  # one line per split; no further pass over the files
     if counts.count() < len(paths):
         raise StoreError("empty CSV (header only)")
+    indexed = with_row_index(rows, group=["_file"], blocks=blocks)
     named = spark.createDataFrame(list(ids.items()), "_file string, upload_id long")
 
     digests = spark.read.format("binaryFile").load(paths).select(
         F.col("path").alias("_file"), F.sha2("content", 256).alias("file_sha256"))
-    columns = read_headers(spark, paths).select("_file", F.col("names").alias("columns"))
+    columns = heads.select("_file", F.col("names").alias("columns"))
     meta = named.join(counts, "_file").join(columns, "_file").join(digests, "_file").select(
         "upload_id", F.element_at(F.split("_file", "/"), -1).alias("filename"), F.col("_file").alias("path"), "row_count",
         F.size("columns").alias("col_count"), "columns", "file_sha256",

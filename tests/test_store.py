@@ -237,3 +237,17 @@ def test_old_versions_stay_readable_and_keys_leave(spark, tmp_path):
     log.commit("b", append={"rows": spark.range(9).toDF("upload_id")})  # the same transaction again
     assert sorted(r[0] for r in log.read()["rows"].collect()) == [0, 1, 2]
     assert log.read(log.snapshot(1))["rows"].count() == 4
+
+
+def test_an_upload_is_counted_in_one_pass(spark, tmp_path, monkeypatch):
+    """The metadata's row counts come from the pass that indexes the rows, its columns from one reading of the headers."""
+    from flowlens.sources import flow_files as FF
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text(" x \n5\n")
+    calls = []
+    for name in ("read_headers", "row_blocks"):
+        monkeypatch.setattr(FF, name, lambda *a, f=getattr(FF, name), n=name: calls.append(n) or f(*a))
+    up = S.register_uploads(spark, {str(tmp_path / "a.csv"): 1, str(tmp_path / "b.csv"): 2}, str(tmp_path / "store"))
+    assert sorted((r.upload_id, r.row_count, r.columns) for r in up.collect()) == [(1, 2, ["x", "y"]), (2, 1, ["x"])]
+    assert calls == ["read_headers", "row_blocks"]

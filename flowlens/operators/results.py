@@ -205,7 +205,8 @@ def export_results(predictions: DataFrame, rows: DataFrame, runs: DataFrame, pre
         p = p.filter(F.col("prediction") == 0)
     named = F.get_json_object("payload", "$._source_file").alias("_source_file")
     truth = resolve_truth(rows, *([named] if source_file else []))
-    j = p.join(truth, ["upload_id", "row_index"], "left")
+    # sort-merge: stored rows may be a hundredth of their size as Parquet, which the planner takes for small and would broadcast
+    j = p.join(truth.hint("merge"), ["upload_id", "row_index"], "left")
     out = j.select(
         (F.col("row_index") + 1).alias("flow_no"),
         "run_id",

@@ -74,7 +74,7 @@ def results_page(predictions: DataFrame, rows: DataFrame, runs: DataFrame, page:
     lr = latest_runs(runs).select("run_id", "threshold")
     p = predictions.join(lr, "run_id", "left_semi")
     paged = page_by_group(p, "run_id", [F.col("row_index")], page, size)
-    return paged.join(rows, ["upload_id", "row_index"], "inner")
+    return paged.join(rows.hint("merge"), ["upload_id", "row_index"], "inner")  # see export_results
 
 
 def top_anomalies(predictions: DataFrame, runs: DataFrame, k: int = 100) -> DataFrame:

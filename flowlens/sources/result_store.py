@@ -219,7 +219,8 @@ def table_counts(store: dict[str, DataFrame]) -> DataFrame:
 def validate_runs(predictions: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
     """Per run: declared total vs results, and results whose row index matches no stored row."""
     matched = predictions.join(
-        rows.select("upload_id", "row_index", F.lit(1).alias("_hit")), ["upload_id", "row_index"], "left"
+        rows.select("upload_id", "row_index", F.lit(1).alias("_hit")).hint("merge"),  # never a broadcast of all rows
+        ["upload_id", "row_index"], "left",
     )
     c = matched.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_results"),
@@ -275,7 +276,7 @@ def constraint_violations(store: dict[str, DataFrame]) -> DataFrame:
         n("rows_fk_upload", r.join(u, "upload_id", "left_anti")),
         n("runs_fk_upload", runs.join(u, "upload_id", "left_anti")),
         n("predictions_fk_run", p.join(runs, "run_id", "left_anti")),
-        n("predictions_fk_row", p.join(r, ["upload_id", "row_index"], "left_anti")),
+        n("predictions_fk_row", p.join(r.hint("merge"), ["upload_id", "row_index"], "left_anti")),
     ]
     out = checks[0]
     for c in checks[1:]:

@@ -70,3 +70,18 @@ def test_export_sorts_and_names_the_source_file(spark):
     assert [r.original_source_file for r in named] == ["a.csv", "", ""]
     with pytest.raises(ValueError):
         R.export_results(preds, rows, runs, sort="name")
+
+
+def test_stored_rows_are_never_broadcast(spark):
+    """As Parquet they are far smaller than in memory; the planner would take them for a small table."""
+    from flowlens.sources import result_store as S
+
+    preds = spark.createDataFrame([(1, 5, i, 2.0, 1) for i in range(3)],
+                                  "run_id long, upload_id long, row_index long, reconstruction_error double, prediction int")
+    rows = spark.createDataFrame([(5, i, "{}") for i in range(3)], "upload_id long, row_index long, payload string")
+    runs = spark.sql("SELECT 1L AS run_id, 5L AS upload_id, 1.0D AS threshold, 3L AS total_flows, timestamp'2024-01-01' AS created_at")
+    for df, n in ((R.export_results(preds, rows, runs), 3), (R.results_page(preds, rows, runs, 1, 2), 2), (S.validate_runs(preds, runs, rows), 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [ln for ln in plan.splitlines() if "Join [" in ln and "row_index" in ln]
+        assert joins and all("SortMergeJoin" in ln for ln in joins), plan
+        assert df.count() == n
